@@ -9,6 +9,9 @@ import numpy as np
 #: Units kept per Python worker, and the longest unit kept. Neither changes a result.
 CACHED_UNITS, CACHED_CHARS = 600_000, 48
 
+#: Marks that may follow a word in its unit: no letters, digits, apostrophes or white space, so they are pre-tokens of their own.
+MARKS = ".,;:!?#$%&*)]}"
+
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -33,18 +36,33 @@ class UnitEncoder:
         #: Byte-level vocabularies write bytes that don't print as the characters from 256 on, in order.
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.wide = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in prints)}
-        self.kept: dict[str, bytes] = {"\n": self._encode(["\n"])[0]}
+        self.kept: dict[str, bytes] = {"\n": self._encode_any(["\n"])[0]}
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit; a unit of letters alone (after a space or not) is one pre-token and goes to the model straight."""
+        """Ids of each unit. Letters alone, after a space or not, are one pre-token and go to the model straight; marks after them are another."""
         out: list = [None] * len(units)
-        rest = []
+        rest, kept = [], self.kept
         tokenize, wide = self.tok.model.tokenize, self.wide
         for k, u in enumerate(units):
-            if (u[1:] if u[:1] == " " else u).isalpha():
-                out[k] = pack(f"<{len(t)}I", *[x.id for x in t]) if (t := tokenize(u.encode().decode("latin-1").translate(wide))) else b""
-            else:
+            word = u.rstrip(MARKS)
+            if not (word[1:] if word[:1] == " " else word).isalpha():
                 rest.append(k)
+                continue
+            ids = kept.get(word)
+            if ids is None:
+                t = tokenize(word.encode().decode("latin-1").translate(wide))
+                ids = pack(f"<{len(t)}I", *[x.id for x in t])
+                if len(kept) < self.cached and len(word) <= CACHED_CHARS:
+                    kept[word] = ids
+            if len(word) < len(u):
+                marks = u[len(word) :]
+                more = kept.get(marks)
+                if more is None:
+                    more = self._encode_any([marks])[0]
+                    if len(kept) < self.cached and len(marks) <= CACHED_CHARS:
+                        kept[marks] = more
+                ids += more
+            out[k] = ids
         for k, ids in zip(rest, self._encode_any([units[k] for k in rest]), strict=True):
             out[k] = ids
         return out
@@ -66,44 +84,48 @@ class UnitEncoder:
 
     @staticmethod
     def _clean(unit: str) -> bool:
+        """No white space but one space before."""
+        if unit.isalpha():
+            return True
         rest = unit[1:] if unit[:1] == " " else unit
         return bool(rest) and len(rest.split()) == 1 and rest.strip() == rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        kept, out, todo = self.kept, [], {}
+        get, out, todo = self.kept.get, [], {}
         whole: list[int] = []
+        open_: list[tuple[list, list, list]] = []
         for k, text in enumerate(texts):
+            got: list = []
+            out.append(got)
             if not text:
-                out.append([])
-            elif "\0" in text:
+                continue
+            if "\0" in text:
                 whole.append(k)
-                out.append(None)
-            else:
-                units = self._units(text)
-                got = list(map(kept.get, units))
-                if None in got:
-                    new = {u for u, g in zip(units, got, strict=True) if g is None and u not in todo}
-                    if all(map(self._clean, new)):
-                        todo.update(dict.fromkeys(new))
-                    else:
-                        whole.append(k)
-                        out.append(None)
-                        continue
-                    got = units
-                out.append(got)
+                continue
+            units = self._units(text)
+            got += map(get, units)
+            missed = [i for i, g in enumerate(got) if g is None]
+            if missed:
+                new = {u for i in missed if (u := units[i]) not in todo}
+                if all(map(self._clean, new)):
+                    todo.update(dict.fromkeys(new))
+                    open_.append((got, units, missed))
+                else:
+                    whole.append(k)
+                    got.clear()
         if todo:
-            names = list(todo)
+            names, kept = list(todo), self.kept
             for u, b in zip(names, self._encode(names), strict=True):
                 todo[u] = b
-                if len(kept) < self.cached and len(u) <= CACHED_CHARS:
+                # a word alone is kept by _encode; with marks it is worth a place only while there is much room
+                if len(kept) < self.cached // 2 and len(u) <= CACHED_CHARS:
                     kept[u] = b
-        done = []
-        for got in out:
-            if got and isinstance(got[0], str):
-                got = [todo[u] if u in todo else kept[u] for u in got]
-            done.append(b"".join(got) if got is not None else b"")
+            for got, units, missed in open_:
+                for i in missed:
+                    got[i] = todo[units[i]]
+        done = [b"".join(got) for got in out]
         for k in whole:
-            done[k] = self._encode([texts[k]])[0]
+            done[k] = self._encode_any([texts[k]])[0]
         return done
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import clustered, table, written
 from tonequarry.llm.tokens import encoder, vocabulary_path
 
-LENGTH, END_ID, OPEN_WINDOWS, MERGED_PARTITIONS = 2048, 1, 128, 64
+LENGTH, END_ID, OPEN_WINDOWS, MERGED_PARTITIONS = 2048, 1, 128, 16
 SEQUENCE_BITS = 33
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import fold_crc, table, written
 
 FOLDS, END = 10, b"\n"
-KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 32
-WINDOW, RUN_WINDOWS, STRETCH, ROUNDS, LANES_TRAINED, RATE = 20, 2, 1024, 2, 64, 0.02
+KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 24
+WINDOW, RUN_WINDOWS, STRETCH, ROUNDS, LANES_TRAINED, RATE = 12, 2, 1024, 2, 96, 0.12
 LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
 
 
@@ -247,7 +247,7 @@ class Trainer:
 
     def __init__(self, net: Gru, rate: float = RATE):
         self.net, self.rate, self.tokens = net, rate, 0
-        self.seen = {n: np.full(getattr(net, n).shape, 1e-2, np.float32) for n in net.NAMES}
+        self.seen = {n: np.full(getattr(net, n).shape, 1e-4, np.float32) for n in net.NAMES}
 
     def _step(self, name: str, grad: np.ndarray) -> None:
         seen = self.seen[name]

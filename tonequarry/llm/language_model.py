@@ -42,6 +42,11 @@ def tail_bin(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BINS
 
 
+def tail_bin_column(word: str):
+    """``tail_bin`` in the JVM."""
+    return (F.crc32(F.substring(word, F.greatest(F.octet_length(word) - 1, F.lit(1)), F.lit(2))) % BINS).cast("int")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
@@ -50,14 +55,13 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), bin and n of every distinct token of ``docs`` (text), the end included; all rows are counted."""
+    """word (binary) and n of every distinct token of ``docs`` (text), the end included; all rows are counted."""
 
     def count(batches):
         held: Counter = Counter()
 
         def out():
-            words = list(held)
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array(list(map(tail_bin, words)), pa.int32()), pa.array(list(held.values()), pa.int64())], names=["word", "bin", "n"])
+            return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for b in batches:
             for t in b["text"].to_pylist():
@@ -68,8 +72,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    rows = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(count, "word binary, bin int, n long")
-    return rows.groupBy("word", "bin").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(count, "word binary, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Known:
@@ -109,7 +113,7 @@ def known(counts: DataFrame, most: int = KNOWN, vocabulary: int = VOCABULARY, cl
     """Sums over ``counts`` and its tokens above the lowest count that at most ``most`` tokens reach."""
     level = F.floor(F.log2("n") * 16).cast("int")
     bins, levels, total, distinct = {}, Counter(), 0, 0
-    for r in counts.groupBy("bin", level.alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most 32 bins by 1000 levels
+    for r in counts.groupBy(tail_bin_column("word").alias("bin"), level.alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most 32 bins by 1000 levels
         n, v = bins.get(r["bin"], (0, 0))
         bins[r["bin"]] = n + r["n"], v + r["v"]
         levels[r["level"]] += r["v"]
@@ -165,8 +169,8 @@ class Gru:
             a, g = self.inp[ids[t]], h @ self.rec
             zr = a[:, : 2 * hid]
             zr += g[:, : 2 * hid]
-            np.clip(zr, -30, 30, out=zr)
             np.negative(zr, out=zr)
+            np.minimum(zr, 80, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
@@ -198,7 +202,7 @@ class Gru:
             d_cls, d_cls_bias = hs.T @ logits, logits.sum(axis=0)
             d_h = logits @ self.cls.T
             d_out, d_out_bias = np.zeros_like(self.out), np.zeros_like(self.out_bias)
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by radix
         ends = np.searchsorted(cls[order], np.arange(self.k.n_classes + 1))
         for c in range(self.k.n_classes):
             at = order[ends[c] : ends[c + 1]]
@@ -413,7 +417,7 @@ def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: in
     return scores
 
 
-_SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, bin int, n long"
+_SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"
 
 
 def score(docs: DataFrame, counts: DataFrame, k: Known, weights: np.ndarray, hidden: int = HIDDEN) -> DataFrame:
@@ -436,15 +440,27 @@ def score(docs: DataFrame, counts: DataFrame, k: Known, weights: np.ndarray, hid
         def out():
             nonlocal made
             scores = lane_scores(net, [x[2] for x in held])
-            rows: list[tuple] = []
+            docs, rows, outs, n_tokens, n_known, base, total = [], [], [], [], [], [], []
+            rare_rows, words, times = [], [], []
             for (doc, out_, ids, ranks, rare), s in zip(held, scores, strict=True):
                 got = ranks[ranks >= 0]
-                s += float(know.tail[got[got >= know.size]].sum())
                 row, made = part + made, made + 1
-                rows.append((doc, row, out_, len(ids), len(got), float(know.base[got].sum()), s, None, None, None))
-                rows += [(None, row, None, None, None, None, None, x, tail_bin(x), n) for x, n in rare.items()]
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in _SCORED.split(", ")])
+                docs.append(doc)
+                rows.append(row)
+                outs.append(out_)
+                n_tokens.append(len(ids))
+                n_known.append(len(got))
+                base.append(know.base[got].sum())
+                total.append(s + know.tail[got[got >= know.size]].sum())
+                rare_rows += repeat(row, len(rare))
+                words += rare
+                times += rare.values()
+            a, z = pa.nulls, len(words)
+            cols = [(docs, pa.int64()), (rows, pa.int64()), (outs, pa.bool_()), (n_tokens, pa.int64()), (n_known, pa.int64()), (base, pa.float64()), (total, pa.float64())]
+            first = [pa.array(c, t) for c, t in cols] + [a(len(rows), t) for t in (pa.binary(), pa.int64())]
+            then = [a(z, pa.int64()), pa.array(rare_rows, pa.int64()), *(a(z, t) for _, t in cols[2:]), pa.array(words, pa.binary()), pa.array(times, pa.int64())]
+            for c in (first, then):
+                yield pa.record_batch(c, names=[x.split()[0] for x in _SCORED.split(", ")])
 
         for b in batches:
             for doc, held_out, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"], strict=True):
@@ -453,22 +469,22 @@ def score(docs: DataFrame, counts: DataFrame, k: Known, weights: np.ndarray, hid
                 held.append((doc, held_out, ids.astype(np.int32), ranks.astype(np.int32), Counter([words[p] for p in np.flatnonzero(ranks < 0).tolist()])))
                 size += len(words)
                 if size >= BUFFER:
-                    yield out()
+                    yield from out()
                     held.clear()
                     size = 0
         if held:
-            yield out()
+            yield from out()
 
     scored = docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string").cast("binary")).mapInArrow(run, _SCORED)
     scored = written(scored, "scored")
     share = float(np.log10(k.total + 0.1 * (k.distinct + 1)))
     tail = F.array(*[F.lit(float(x)) for x in k.bin_log])
     c = F.coalesce("c", F.lit(0))
-    rare = scored.filter("word is not null").select("row", "word", "bin", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rare = scored.filter("word is not null").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.col("n") * (F.log10(c + 0.1) - share)).alias("rare_base"),
-        F.sum(F.col("n") * (F.log10(c + 0.1) - F.get(tail, F.col("bin")))).alias("rare_score"),
+        F.sum(F.col("n") * (F.log10(c + 0.1) - F.get(tail, tail_bin_column("word")))).alias("rare_score"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
     return scored.filter("word is null").select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score").join(rare, "row", "left").select(

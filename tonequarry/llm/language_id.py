@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import by_batch, fold_crc, table
 
-BINS, SMOOTH, ROUNDS, SET_COST, HELD_FOLD, FOLDS, CHARS_AT_ONCE = 1 << 16, 0.3, 8, 2.0, 2, 4, 1 << 21
+BINS, SMOOTH, ROUNDS, SET_COST, HELD_FOLD, FOLDS, CHARS_AT_ONCE = 1 << 16, 0.3, 8, 2.0, 2, 4, 1 << 19
 
 _letters: list[np.ndarray] = []
 

@@ -35,7 +35,7 @@ from tonequarry.llm.common import fold_crc, table, written
 FOLDS, END = 10, b"\n"
 KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 24
 WINDOW, RUN_WINDOWS, STRETCH, ROUNDS, LANES_TRAINED, RATE = 12, 2, 1024, 2, 96, 0.12
-LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
+LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 20, 500_000, 32
 
 
 def tail_bin(word: bytes) -> int:

@@ -30,12 +30,16 @@ def dc_offset(chan: Column, full_scale: Column) -> Column:
 
 
 def _runs(flags: Column) -> Column:
-    """(start, length) of each run of true in an array of booleans, in order: one fold."""
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    begun = F.transform(flags, lambda f, i: F.when(f & ~F.coalesce(F.get(flags, i - 1), F.lit(False)), i))
-    ended = F.transform(flags, lambda f, i: F.when(f & ~F.coalesce(F.get(flags, i + 1), F.lit(False)), i))
-    starts, ends = F.array_compact(begun), F.array_compact(ended)
-    return F.coalesce(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length"))), empty)
+    """(start, length) of each run of true in an array of booleans, in order.
+
+    Neighbours are paired by shifted copies: an expression inside a lambda would be worked out again for every element.
+    """
+    n = F.size(flags)
+    before = F.concat(F.array(F.lit(False)), F.slice(flags, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice(flags, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.lit(False)))
+    at = lambda other: F.array_compact(F.transform(F.zip_with(flags, other, lambda f, o: f & ~o), lambda x, i: F.when(x, i)))
+    runs = F.zip_with(at(before), at(after), lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
 
 
 def full_scale_runs(chan: Column, full_scale: Column, lsb: Column, min_run: int = 3) -> Column:
@@ -60,8 +64,12 @@ def head_silence(chan: Column, floor: Column, window: Column) -> Column:
 
 def tail_silence(chan: Column, floor: Column, window: Column) -> Column:
     """As ``head_silence`` from the end, windows aligned to it; 0 if all is silent, which the head then holds."""
-    back = head_silence(F.reverse(chan), floor, window)
-    return F.when(channel_peak(chan) > floor, back).otherwise(F.lit(0))
+    n = F.size(chan)
+    last = lambda k: n - k * window
+    first = lambda k: F.greatest(F.lit(0), last(k) - window)
+    loud = F.transform(F.sequence(F.lit(0), F.ceil(n / window).cast("int") - 1), lambda k: channel_peak(F.slice(chan, first(k) + 1, last(k) - first(k))) > floor)
+    at = F.array_position(loud, True)
+    return F.when((n > 0) & (at > 0), F.least((at - 1) * window, n)).otherwise(F.lit(0))
 
 
 def trailing_zeros(chans: Column) -> Column:
@@ -73,10 +81,9 @@ def trailing_zeros(chans: Column) -> Column:
 
 def silence_gaps(chans: Column, floor: Column, window: Column, min_frames: Column) -> Column:
     """(start, length) of the runs of windows in which all channels are at or below the floor, with signal before and after, of ``min_frames`` at least."""
-    peaks = F.transform(chans, lambda c: window_peaks(c, window))
-    first = F.get(peaks, F.lit(0))
-    silent = F.transform(first, lambda p, k: F.forall(peaks, lambda c: F.coalesce(F.get(c, k) <= floor, F.lit(True))))
-    inner = F.filter(_runs(silent), lambda r: (r["start"] > 0) & (r["start"] + r["length"] < F.size(first)))
+    loud = F.aggregate(chans, window_peaks(F.get(chans, F.lit(0)), window), lambda acc, c: F.zip_with(acc, window_peaks(c, window), lambda a, b: F.greatest(a, b)))
+    n = F.ceil(F.array_max(F.transform(chans, F.size)) / window)
+    inner = F.filter(_runs(F.transform(loud, lambda p: p <= floor)), lambda r: (r["start"] > 0) & (r["start"] + r["length"] < n))
     gaps = F.transform(inner, lambda r: F.struct((r["start"] * window).alias("start"), (r["length"] * window).alias("length")))
     return F.filter(gaps, lambda g: g["length"] >= min_frames)
 
@@ -88,7 +95,8 @@ def loop_step(chan: Column, full_scale: Column) -> Column:
 
 def slope_p99(chan: Column, full_scale: Column) -> Column:
     """The 99th percentile (nearest rank) of the absolute steps between neighbours; 0 below three samples."""
-    steps = F.transform(F.slice(chan, 2, F.greatest(F.size(chan) - 1, F.lit(0))), lambda v, i: F.abs(v - F.get(chan, i)))
+    rest = F.greatest(F.size(chan) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(chan, F.lit(2), rest), F.slice(chan, F.lit(1), rest), lambda a, b: F.abs(a - b))
     return F.when(F.size(chan) >= 3, nearest_rank_of(F.array_sort(steps), 0.99) / full_scale).otherwise(F.lit(0.0))
 
 

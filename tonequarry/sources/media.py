@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,10 +89,11 @@ def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSION
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(suffix(F.col("path")).isin(wanted)).select("path", "content")
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                content = bytes(content)
+        number = pa.int64()
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": number, "array<array<long>>": pa.list_(pa.list_(number))}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in AUDIO.split(", ")])
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 row = {"path": path, "size_bytes": len(content), "file_sha256": hashlib.sha256(content).hexdigest(), "content_sha256": "", "frames": 0, "chans": [], "error": None}
                 try:
                     via = "wave"
@@ -106,10 +108,10 @@ def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSION
                     row |= {"content_sha256": hashlib.sha256(pcm).hexdigest(), "decoded_via": via, "sample_rate": rate, "bit_depth": 8 * width, "channels": channels, "full_scale": full, "lsb": lsb, "frames": len(x), "chans": [c.tolist() for c in x.T]}
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's error
                     row["error"] = str(e) or type(e).__name__
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in AUDIO.split(", ")])
+                # a file at a time: samples take many times a file's size
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return files.mapInPandas(run, AUDIO)
+    return files.mapInArrow(run, AUDIO)
 
 
 def momentary(logs: DataFrame, clip: str = "clip", line: str = "value") -> DataFrame:

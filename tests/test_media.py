@@ -92,7 +92,7 @@ def test_scan_of_files(spark, tmp_path):
     for width in (1, 3, 4):
         write_wav(tmp_path / f"w{width}.wav", [sine(1, 0.5)], 8000, width)
     (tmp_path / "bad.wav").write_bytes(b"RIFFjunk")
-    (tmp_path / "句_copy.wav").write_bytes(b"")
+    (tmp_path / "句_copy.wav").write_bytes(b"x")
     (tmp_path / "note.txt").write_text("x")
     audio = media.drop_work_copies(media.read_audio(spark, str(tmp_path)))
     got = {os.path.basename(r["path"]): r for r in R.judge(R.measure(audio, R.Thresholds(dropout_min_ms=100.0)), R.Thresholds(dropout_min_ms=100.0)).collect()}

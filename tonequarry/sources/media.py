@@ -32,7 +32,7 @@ AUDIO = "path string, size_bytes long, file_sha256 string, content_sha256 string
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
-    """path, length and modificationTime of the files under a folder; contents are not read."""
+    """path, length and modificationTime of the files under a folder; contents are not read. Spark leaves out files of no bytes."""
     wanted = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.filter(suffix(F.col("path")).isin(wanted)).select("path", "length", "modificationTime")

@@ -7,7 +7,7 @@ from struct import pack
 import numpy as np
 
 #: Units kept per Python worker, and the longest unit kept. Neither changes a result.
-CACHED_UNITS, CACHED_CHARS = 400_000, 48
+CACHED_UNITS, CACHED_CHARS = 500_000, 48
 
 #: Marks that may follow a word in its unit: no letters, digits, apostrophes or white space, so they are pre-tokens of their own.
 MARKS = ".,;:!?#$%&*)]}"

@@ -373,48 +373,46 @@ def _mean(batches):
 
 
 def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: int = 64) -> list[float]:
-    """log10 probability of each document's ids, by the network alone."""
-    lanes = max(1, min(lanes, len(docs)))
-    ends = np.zeros(lanes, np.int64)
+    """log10 probability of each document's ids, by the network alone.
+
+    A lane is a stretch of one flat row of ids, read a window at a time: memory is linear in the ids, however long one document is.
+    """
+    if not docs:
+        return []
+    lanes = min(lanes, len(docs))
     placed: list[list[int]] = [[] for _ in range(lanes)]
     heap = [(0, w) for w in range(lanes)]
     for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
         n, w = heapq.heappop(heap)
         placed[w].append(d)
         heapq.heappush(heap, (n + len(docs[d]), w))
-    for w, ds in enumerate(placed):
-        ends[w] = sum(len(docs[d]) for d in ds)
     # the longest lanes first: those still at work are then a prefix
-    placed = [placed[w] for w in np.argsort(-ends, kind="stable")]
-    ends = np.sort(ends)[::-1]
-    total = int(ends[0])
-    out = np.full((total, lanes), -1, np.int32)
-    inp = np.full((total, lanes), net.start, np.int32)
-    fresh = np.zeros((total, lanes), bool)
-    for w, ds in enumerate(placed):
-        at = 0
-        for d in ds:
-            n = len(docs[d])
-            out[at : at + n, w] = docs[d]
-            inp[at + 1 : at + n, w] = docs[d][:-1]
-            fresh[at, w] = True
-            at += n
-    lp = np.zeros((total, lanes), np.float64)
+    size = np.array([sum(len(docs[d]) for d in ds) for ds in placed])
+    placed = [placed[w] for w in np.argsort(-size, kind="stable")]
+    size = np.sort(size)[::-1]
+    lane_end = np.cumsum(size)
+    lane_at = lane_end - size
+    order = [d for ds in placed for d in ds]
+    out = np.concatenate([docs[d] for d in order])
+    doc_size = np.array([len(docs[d]) for d in order])
+    doc_at = np.cumsum(doc_size) - doc_size
+    inp = np.append(out[:1], out[:-1])
+    inp[doc_at] = net.start
+    fresh = np.zeros(len(out), bool)
+    fresh[doc_at] = True
+    lp = np.zeros(len(out), np.float64)
     h = np.zeros((lanes, net.hidden), np.float32)
-    for t in range(0, total, window):
-        on = int(np.searchsorted(-ends, -t, "left"))  # lanes longer than t
-        s = slice(t, min(t + window, total))
-        hs, _ = net.forward(inp[s, :on], h[:on], fresh[s, :on])
+    for t in range(0, int(size[0]), window):
+        on = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
+        at = lane_at[None, :on] + np.arange(t, min(t + window, int(size[0])))[:, None]
+        real = at < lane_end[None, :on]
+        at[~real] = 0
+        hs, _ = net.forward(np.where(real, inp[at], net.start), h[:on], fresh[at] & real)
         h = hs[-1]
-        real = out[s, :on] >= 0
-        lp[s, :on][real] = net.log_probs(hs[real], out[s, :on][real])
-    scores = [0.0] * len(docs)
-    for w, ds in enumerate(placed):
-        at = 0
-        for d in ds:
-            scores[d] = float(lp[at : at + len(docs[d]), w].sum()) / np.log(10)
-            at += len(docs[d])
-    return scores
+        lp[at[real]] = net.log_probs(hs[real], out[at[real]])
+    scores = np.empty(len(docs))
+    scores[order] = np.add.reduceat(lp, doc_at) / np.log(10)
+    return scores.tolist()
 
 
 _SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"

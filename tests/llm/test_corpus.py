@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and held-out rows."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, packing, sharding, simhash, token_files, tokens
+from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, packing, registry, sharding, simhash, token_files, tokens
 from tonequarry.llm.common import table
 from tonequarry.llm.components import connected_components
 
@@ -140,6 +141,17 @@ def test_lanes_carry_state_whole_documents():
     texts = [rng.integers(0, 30, n).astype(np.int32) for n in (1, 700, 3, 50, 129, 64, 1)]
     alone = [language_model.lane_scores(net, [t], 1, 10_000)[0] for t in texts]
     assert np.allclose(language_model.lane_scores(net, texts, 3, 16), alone, rtol=1e-4)
+    assert language_model.lane_scores(net, []) == []
+
+
+def test_one_long_document_does_not_widen_the_lanes():
+    k = small_known(30, 4)[1]
+    net, rng = language_model.Gru(k, 8), np.random.default_rng(2)
+    texts = [rng.integers(0, 30, n).astype(np.int32) for n in [20_000] + [5] * 255]
+    tracemalloc.start()
+    language_model.lane_scores(net, texts)
+    assert tracemalloc.get_traced_memory()[1] < 20e6  # a matrix of lanes by steps would take 17 bytes by 256 by 20,000
+    tracemalloc.stop()
 
 
 def test_language_model_odd_rows(spark):
@@ -511,3 +523,23 @@ def test_pipeline(spark, sf, rows):
     want = set(low.values()) - leaked
     check_packing(out, [(d, t) for d, t in rows if d in want])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "packing"]
+
+
+# SQL
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_corpus_query_equals_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    cols = sorted(names)
+    plain = lambda x: round(x, 9) if isinstance(x, float) else x
+    want = [tuple(plain(dict(zip(names, r, strict=True))[c]) for c in cols) for r in want.fetchall()]
+    got = registry.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == cols
+    assert sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=str) == sorted(want, key=str)

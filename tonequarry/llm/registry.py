@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tonequarry.llm import sql
 from tonequarry.llm.decontamination import op8_decontamination
 from tonequarry.llm.embeddings import op9_embeddings
 from tonequarry.llm.html_extract import op5_html
@@ -18,5 +19,5 @@ QUERIES = {
     for f in (op1_language_model, op2_language_id, op3_licenses, op4_packing, op5_html, op6_sharding, op7_token_files, op8_decontamination, op9_embeddings, op10_simhash)
 }
 
-#: None yet: models, tokenizers, hashes by jumps and XXH64 have no form in DuckDB that runs on whole tables in time.
-ORACLE_SQL: dict[str, str] = {}
+#: The others have none: models, tokenizers, XXH64, crc32 and edit alignment have no form in DuckDB that runs on whole tables in time.
+ORACLE_SQL: dict[str, str] = {"op3_licenses": sql.LICENSES, "op9_embeddings": sql.EMBEDDINGS}

@@ -99,20 +99,16 @@ def text_states(frames: DataFrame, keys: list[str], fps: float, floor_least: flo
 
 
 def debounce(states: DataFrame, keys: list[str], least: float = 0.4) -> DataFrame:
-    """Take a state shorter than ``least``, and the one after it, into the state before; the first state always stands."""
-    item = "array<struct<start:double,end:double>>"
-    s = states.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("_s"))
-
-    def step(acc, x):
-        short = F.bround(x["end"] - x["start"], 3) < least
-        done, size = acc["done"], F.size(acc["done"])
-        into = (size > 0) & (short | acc["next"])
-        last = F.element_at(done, -1)
-        merged = F.concat(F.slice(done, F.lit(1), F.greatest(size - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
-        return F.struct(F.when(into, merged).otherwise(F.concat(done, F.array(x))).alias("done"), F.when(into, short).otherwise(F.lit(False)).alias("next"))
-
-    zero = F.struct(F.array().cast(item).alias("done"), F.lit(False).alias("next"))
-    return s.select(*keys, F.inline(F.aggregate("_s", zero, step, lambda a: a["done"])))
+    """Take a state shorter than ``least``, and the one after it, into the state before; the first state always stands.
+
+    Whether a state is taken in depends on its own length and on that of the one before alone: no key's states are gathered.
+    """
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    s = states.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    s = s.withColumn("_k", F.row_number().over(w)).withColumn("_short", (F.bround(F.col("end") - F.col("start"), 3) < least) & (F.col("_k") > 1))
+    stands = ~(F.col("_short") | F.coalesce(F.lag("_short").over(w), F.lit(False)))
+    s = s.withColumn("_state", F.sum(stands.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return s.groupBy(*keys, "_state").agg(F.min("start").alias("start"), F.max_by("end", "_k").alias("end")).drop("_state")
 
 
 def greedy_peaks(df: DataFrame, keys: list[str], order: str, value: str, threshold: Column, gap: int) -> DataFrame:

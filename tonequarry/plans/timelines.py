@@ -206,15 +206,19 @@ def w09_text_states(spark, sf_dir):
     return Q.text_states(_frames(spark, sf_dir), ["user_id"], 5.0, change=0.75).select("user_id", "start", "end")
 
 
-@query()
+@query(f"""WITH {_STATES}, s AS (SELECT user_id, min(idx) / 5.0::DOUBLE AS a, (max(idx) + 1) / 5.0::DOUBLE AS b FROM nb WHERE txt GROUP BY user_id, st),
+k AS (SELECT *, row_number() OVER w AS k, round_even(b - a, 3) < 0.5 AND row_number() OVER w > 1 AS short FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b)),
+j AS (SELECT *, sum(CAST(NOT (short OR coalesce(lag_short, false)) AS INT)) OVER (PARTITION BY user_id ORDER BY k) AS g FROM (SELECT *, lag(short) OVER (PARTITION BY user_id ORDER BY k) AS lag_short FROM k))
+SELECT user_id, min(a) AS start, arg_max(b, k) AS "end" FROM j GROUP BY user_id, g""")
 def w10_debounce(spark, sf_dir):
-    """A fold: held against brute force in the tests."""
     return Q.debounce(Q.text_states(_frames(spark, sf_dir), ["user_id"], 5.0, change=0.75), ["user_id"], 0.5)
 
 
-@query()
+@query("""WITH RECURSIVE fr AS (SELECT user_id, row_number() OVER w - 1 AS idx, value AS v, lag(value) OVER w AS p, lead(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS MATERIALIZED (SELECT user_id, idx FROM fr WHERE v >= 20 AND v >= p AND v >= n),
+t AS (SELECT user_id, min(idx) AS idx FROM c GROUP BY 1 UNION ALL SELECT c.user_id, min(c.idx) FROM t JOIN c ON c.user_id = t.user_id AND c.idx >= t.idx + 5 GROUP BY 1)
+SELECT user_id, idx FROM t""")
 def w11_greedy_peaks(spark, sf_dir):
-    """A fold: held against brute force in the tests."""
     return Q.greedy_peaks(_frames(spark, sf_dir), ["user_id"], "idx", "bright", F.lit(20.0), 5)
 
 

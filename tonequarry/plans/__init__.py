@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tonequarry.plans import media, timelines
+from tonequarry.plans import media, reports, timelines
 
-_MODULES = (media, timelines)
+_MODULES = (media, timelines, reports)
 
 
 def queries() -> dict:

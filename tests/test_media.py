@@ -296,3 +296,25 @@ def test_streams(spark, tmp_path):
 def test_windowed_counts_of_a_batch(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert recorder.windowed_counts(e, "ts", ["user_id"]).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_look_ups_and_reports(spark, tmp_path):
+    from tonequarry.operators import predicates as P
+    from tonequarry.sources import reports as W
+
+    d = spark.createDataFrame([(1, "Mic A"), (1, "Line"), (2, "Mic A"), (2, "mic b"), (3, None)], "k int, name string")
+    assert [tuple(r) for r in P.the_one(d.filter("k <> 2"), ["k"], "name", F.lit("MIC")).collect()] == [(1, "Mic A")]
+    with pytest.raises(Exception, match="2 names match"):
+        P.the_one(d, ["k"], "name", F.lit("mic")).collect()
+    assert {r["name"] for r in P.off_convention(d, F.col("name"), "mic .").collect()} == {"Line", None}
+    names = d.limit(1).select(P.clip_name(F.lit("c"), F.lit("s"), F.lit(123), F.lit(".wav")).alias("n")).first()["n"]
+    assert names == "raw_c_s_r123.wav"
+    lines = W.markdown_table(spark.createDataFrame([("b|c", None), ("a\r\nb", 1)], "x string, y int"), "T", ["x", "y"], ["x"])
+    assert [r["line"] for r in lines.collect()] == ["## T", "", "| x | y |", "|---|---|", "| a b | 1 |", "| b\\|c |  |"]
+    W.write_markdown(lines, f"{tmp_path}/md")
+    assert spark.read.text(f"{tmp_path}/md").count() == 6
+    states = spark.createDataFrame([(1, 2.0, 3.5), (1, 0.5, 1.0)], "k int, start double, end double")
+    W.write_ground_truth(W.ground_truth(states, ["k"]), f"{tmp_path}/tsv")
+    got = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/tsv").orderBy("idx").collect()
+    assert [(r["idx"], r["subtitle_start"], r["subtitle_end"]) for r in got] == [("D-01", "0.500", "1.000"), ("D-02", "2.000", "3.500")]
+    assert [tuple(r)[3:] for r in W.evidence_plan(states).orderBy("start").collect()] == [(0.0, 1.5), (1.5, 2.5)]

@@ -405,11 +405,15 @@ def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: in
     for t in range(0, int(size[0]), window):
         on = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
         at = lane_at[None, :on] + np.arange(t, min(t + window, int(size[0])))[:, None]
-        real = at < lane_end[None, :on]
-        at[~real] = 0
-        hs, _ = net.forward(np.where(real, inp[at], net.start), h[:on], fresh[at] & real)
+        if t + len(at) <= size[on - 1]:  # no lane ends in this window
+            hs, _ = net.forward(inp[at], h[:on], fresh[at])
+            lp[at.ravel()] = net.log_probs(hs.reshape(-1, net.hidden), out[at.ravel()])
+        else:
+            real = at < lane_end[None, :on]
+            at[~real] = 0
+            hs, _ = net.forward(np.where(real, inp[at], net.start), h[:on], fresh[at] & real)
+            lp[at[real]] = net.log_probs(hs[real], out[at[real]])
         h = hs[-1]
-        lp[at[real]] = net.log_probs(hs[real], out[at[real]])
     scores = np.empty(len(docs))
     scores[order] = np.add.reduceat(lp, doc_at) / np.log(10)
     return scores.tolist()

@@ -507,6 +507,35 @@ def test_simhash_odd_rows(spark):
     assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
 
 
+def five_word_sets(rows):
+    out = {}
+    for d, t in rows:
+        w = t.encode().lower().split()
+        out[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    return out
+
+
+def near_copy_groups(rows):
+    sets = five_word_sets(rows)
+    ids = sorted(sets)
+    return union([(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])], ids)
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group_of_similarity(spark, docs, rows):
+    rng, words = random.Random(5), [f"w{i}" for i in range(500)]
+    common, more = "a line that stands in very many of the texts", []
+    for k in range(40):
+        base = rng.choices(words, k=rng.randint(8, 200)) + common.split()
+        for _ in range(rng.randint(1, 8)):  # copies on both sides of the bound
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            more.append((10_000 + len(more), " ".join(copy)))
+    for some in (rows, [*rows, *more]):
+        kept = {r[0] for r in simhash.drop_near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert kept == set(near_copy_groups(some).values())
+
+
 # pipeline
 
 

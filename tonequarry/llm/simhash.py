@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import by_batch, clustered, table, written
 from tonequarry.llm.components import connected_components, local_roots
+from tonequarry.llm.near_copies import near_copies
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 1024
 
@@ -114,11 +115,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are their group's first: one document of each group stays, and one row of a repeated id.
+    """The rows of ``docs`` that are the first of their group of near copies (see ``near_copies``), and one row of a repeated id.
 
     Rows without an id stay (as one row) only where their group has no id at all.
     """
-    keep = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = written(near_copies(docs), "copies")
+    keep = rows.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
 
 

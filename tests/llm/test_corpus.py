@@ -223,6 +223,26 @@ def test_licenses_odd_rows_and_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_license_notices(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under the GNU General Public License version 2 or later": "gpl",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "lgpl",
+        "This program is licensed under the GNU Affero General Public License v3": "agpl",
+        "The MIT License (MIT)": "mit",
+        "Licensed under MIT.": "mit",
+        "Licensed under the Apache License 2.0": "apache-2",
+        "Text is under CC BY 4.0.": "cc-by",
+        "Licensed under Creative Commons Attribution 4.0": "cc-by",
+        "Creative Commons Attribution-NonCommercial": "cc-by-nc",
+        "Creative Commons Attribution Non-Commercial 4.0": "cc-by-nc",
+        "Licensed under the Apache License, Version 1.1": "",
+    }
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(k, f"Some words first. {t} And then more words.") for k, t in rows], "doc_id long, text string")).collect()}
+    assert {t: got[k] for k, t in rows} == lines
+
+
 # 4
 
 

@@ -26,24 +26,42 @@ GRAM, BAND, COVER = 3, 8, 0.6
 #: The phrases of the contract, and the label of each.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices of public licenses.
-NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "apache-2": "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-}
+
+class Forms(tuple):
+    """Pairs of a label and a text, read like a dict's items; a label may have more than one text."""
+
+    def items(self):
+        return iter(self)
+
+
+#: Notices of public licenses, and the short forms in which they are named.
+NOTICES = Forms((
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl", "under the gnu general public license"),
+    ("lgpl", "under the gnu lesser general public license"),
+    ("agpl", "under the gnu affero general public license"),
+    ("mit", "the mit license mit"),
+    ("mit", "licensed under mit"),
+    ("apache-2", "apache license 2 0"),
+    ("cc-by", "cc by 4 0"),
+    ("cc-by", "creative commons attribution 4 0"),
+    ("cc-by-nc", "creative commons attribution noncommercial"),
+    ("cc-by-nc", "creative commons attribution non commercial"),
+))
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No run of words hashes to it but by chance, and then its place isn't the text's end.
 _END = -7046029254386353131
 
 
-def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] | Forms = NOTICES) -> DataFrame:
     """A row for each run of words of each template: h, gram, template, place, runs, label, phrase. As many rows as the templates have words."""
     rows = []
     for k, (text, label, phrase) in enumerate([*((t, n, True) for t, n in phrases.items()), *((t, n, False) for n, t in notices.items())]):

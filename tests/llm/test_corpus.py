@@ -144,6 +144,17 @@ def test_lanes_carry_state_whole_documents():
     assert language_model.lane_scores(net, []) == []
 
 
+def test_training_takes_every_token_and_carries_the_state():
+    k = small_known(30, 4)[1]
+    trainer, rng = language_model.Trainer(language_model.Gru(k, 8)), np.random.default_rng(2)
+    docs = [np.append(trainer.net.start, rng.integers(0, 30, n)) for n in (1, 700, 12, 13, 3000, 24)]
+    inner, starts = trainer._window, []
+    trainer._window = lambda ids, h, lanes: (starts.append(int((~h.any(axis=1)).sum())), inner(ids, h, lanes))[1]
+    trainer.run(docs, 3)
+    assert trainer.tokens == sum(len(d) - 1 for d in docs)
+    assert sum(starts) == len(docs)  # a state is zero where a document begins, and nowhere else
+
+
 def test_one_long_document_does_not_widen_the_lanes():
     k = small_known(30, 4)[1]
     net, rng = language_model.Gru(k, 8), np.random.default_rng(2)

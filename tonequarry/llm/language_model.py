@@ -7,8 +7,8 @@ class. The ``vocabulary`` most frequent tokens are dealt over ``classes`` classe
 Every other token belongs to one of ``bins`` tail classes by its last two bytes; within such a class its
 probability comes from the counts of the whole corpus, (c+0.1)/(n+0.1(v+1)), so unseen words have a share too.
 
-Training is truncated backpropagation: in every ``stretch`` tokens of every training document a run of
-windows is taken, the state carried from window to window. Each task trains a copy on its rows and
+Training is truncated backpropagation over every token of every training document, window by
+window, the state carried from a document's start to its end. Each task trains a copy on its rows and
 the copies are averaged by their tokens (two levels, in blocks of weights); then the next round begins.
 Scoring carries the state through the whole document: documents are laid end to end in lanes
 of a matrix, and a lane's state is cleared where a document begins.
@@ -34,7 +34,7 @@ from tonequarry.llm.common import fold_crc, table, written
 
 FOLDS, END = 10, b"\n"
 KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 24
-WINDOW, RUN_WINDOWS, STRETCH, ROUNDS, LANES_TRAINED, RATE = 12, 2, 1024, 2, 96, 0.12
+WINDOW, ROUNDS, LANES_TRAINED, RATE = 12, 2, 96, 0.12
 LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
 
 
@@ -258,36 +258,57 @@ class Trainer:
         seen += grad * grad
         getattr(self.net, name)[...] -= self.rate * grad / np.sqrt(seen)
 
-    def run(self, ids: np.ndarray, windows: int, window: int) -> None:
-        """Train on runs (lanes x windows * window + 1 ids, -1 past an end), the state carried over the windows."""
-        net = self.net
-        h = np.zeros((len(ids), net.hidden), np.float32)
-        for w in range(windows):
-            inp, out = ids[:, w * window : (w + 1) * window].T, ids[:, w * window + 1 : (w + 1) * window + 1].T
-            real = (inp >= 0) & (out >= 0)
-            if not real.any():
+    def run(self, docs, lanes: int = LANES_TRAINED, window: int = WINDOW) -> None:
+        """Train on every token of each of ``docs`` (ids after the start's), the state carried from a document's start to its end.
+
+        A lane takes the next document where its own ends; the gradients of a window reach back to its begin.
+        """
+        queue = iter(docs)
+        held: list = [None] * lanes
+        at = [0] * lanes
+        h = np.zeros((lanes, self.net.hidden), np.float32)
+        while True:
+            for w in range(lanes):
+                if held[w] is None and (ids := next(queue, None)) is not None:
+                    held[w], at[w], h[w] = ids, 0, 0
+            on = [w for w in range(lanes) if held[w] is not None]
+            if not on:
                 return
-            inp = np.where(inp >= 0, inp, net.start)
-            hs, gates = net.forward(inp, h)
-            h = hs[-1]
-            _, d, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(hs[real], out[real], True)
-            n = len(d)
-            scale = np.float32(1 / len(ids))
-            d_hs = np.zeros_like(hs)
-            d_hs[real] = d * scale
-            d_in, d_rec = net.backward(inp, gates, d_hs)
-            rows, back = np.unique(inp, return_inverse=True)
-            flat = d_in.reshape(-1, d_in.shape[-1])
-            order = np.argsort(back.ravel(), kind="stable")
-            sums = np.add.reduceat(flat[order], np.searchsorted(back.ravel()[order], np.arange(len(rows))), axis=0)
-            np.clip(sums, -1, 1, out=sums)
-            seen = self.seen["inp"][rows] + sums * sums
-            self.seen["inp"][rows] = seen
-            net.inp[rows] -= self.rate * sums / np.sqrt(seen)
-            self._step("rec", np.clip(d_rec, -1, 1))
-            for name, g in (("cls", d_cls), ("cls_bias", d_cls_bias), ("out", d_out), ("out_bias", d_out_bias)):
-                self._step(name, g * scale)
-            self.tokens += n
+            ids = np.full((len(on), window + 1), -1, np.int64)
+            for k, w in enumerate(on):
+                some = held[w][at[w] : at[w] + window + 1]
+                ids[k, : len(some)] = some
+                at[w] += window
+                if at[w] >= len(held[w]) - 1:
+                    held[w] = None
+            h[on] = self._window(ids, h[on], lanes)
+
+    def _window(self, ids: np.ndarray, h: np.ndarray, lanes: int) -> np.ndarray:
+        """Train on a window (lanes x steps + 1 ids, -1 past an end) and give the states after it."""
+        net = self.net
+        inp, out = ids[:, :-1].T, ids[:, 1:].T
+        real = (inp >= 0) & (out >= 0)
+        inp = np.where(inp >= 0, inp, net.start)
+        hs, gates = net.forward(inp, h)
+        _, d, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(hs[real], out[real], True)
+        n = len(d)
+        scale = np.float32(1 / lanes)
+        d_hs = np.zeros_like(hs)
+        d_hs[real] = d * scale
+        d_in, d_rec = net.backward(inp, gates, d_hs)
+        rows, back = np.unique(inp, return_inverse=True)
+        flat = d_in.reshape(-1, d_in.shape[-1])
+        order = np.argsort(back.ravel(), kind="stable")
+        sums = np.add.reduceat(flat[order], np.searchsorted(back.ravel()[order], np.arange(len(rows))), axis=0)
+        np.clip(sums, -1, 1, out=sums)
+        seen = self.seen["inp"][rows] + sums * sums
+        self.seen["inp"][rows] = seen
+        net.inp[rows] -= self.rate * sums / np.sqrt(seen)
+        self._step("rec", np.clip(d_rec, -1, 1))
+        for name, g in (("cls", d_cls), ("cls_bias", d_cls_bias), ("out", d_out), ("out_bias", d_out_bias)):
+            self._step(name, g * scale)
+        self.tokens += n
+        return hs[-1]
 
 
 def _document_ids(k: Known, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,27 +322,11 @@ def _document_ids(k: Known, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return ranks, k.ids(ranks, bins)
 
 
-def runs_of(k: Known, words: list[bytes], start_id: int, doc: int, turn: int, length: int, stretch: int = STRETCH) -> list[np.ndarray]:
-    """From each ``stretch`` tokens of a document a run of ``length`` + 1 ids, at a place that changes with the round; the first token's input is the start."""
-    out = []
-    for at in range(0, len(words), stretch):
-        room = min(stretch, len(words) - at) - length
-        s = at + (zlib.crc32(b"%d %d %d" % (doc, turn, at)) % (room + 1) if room > 0 else 0)
-        run = np.full(length + 1, -1, np.int64)
-        ids = _document_ids(k, words[max(0, s - 1) : s + length])[1]
-        if not s:
-            ids = np.concatenate(([start_id], ids))
-        run[: len(ids)] = ids
-        out.append(run)
-    return out
-
-
 def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: float = RATE) -> np.ndarray:
     """Weights of a ``Gru`` trained on every row of ``docs`` (text)."""
     spark = docs.sparkSession
     net = Gru(k, hidden)
     weights = net.flat()
-    length = WINDOW * RUN_WINDOWS
     rows = docs.select(F.col("text").cast("string").cast("binary"))
     if not k.size:
         return weights
@@ -334,16 +339,9 @@ def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN,
             know, begin = sent.value
             own = Gru(know, hidden)
             own.load(begin)
-            trainer, held, seen = Trainer(own, rate / (1 + turn)), [], 0
-            for b in batches:
-                for t in b["text"].to_pylist():
-                    seen += 1
-                    held += runs_of(know, words_of(t), own.start, seen, turn, length)
-                    while len(held) >= LANES_TRAINED:
-                        trainer.run(np.array(held[:LANES_TRAINED]), RUN_WINDOWS, WINDOW)
-                        del held[:LANES_TRAINED]
-            if held:
-                trainer.run(np.array(held), RUN_WINDOWS, WINDOW)
+            trainer = Trainer(own, rate / (1 + turn))
+            texts = (words_of(t) for b in batches for t in b["text"].to_pylist())
+            trainer.run(np.concatenate(([own.start], _document_ids(know, words)[1])) for words in texts)
             if trainer.tokens:
                 part = TaskContext.get().partitionId() % 16
                 cuts = np.array_split(own.flat(), WEIGHT_BLOCKS)

@@ -226,7 +226,7 @@ def test_licenses(spark, docs, rows):
 
 def test_licenses_odd_rows_and_plan(spark):
     got = licenses.scan(odd(spark)).collect()
-    assert len(got) == len(ODD) - 1  # the repeated row is one
+    assert len(got) == len(ODD)  # repeated rows and null ids are rows of their own
     by = {r["doc_id"]: r for r in got}
     assert by[1]["n_words"] == 0 and by[8]["n_base"] == 2 and by[8]["last_word"] == 4
     assert licenses.scan(nothing(spark)).count() == 0
@@ -234,6 +234,32 @@ def test_licenses_odd_rows_and_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_votes_are_distinct_places_and_rows_stay_rows(spark):
+    apache, cc = licenses.NOTICES[1][1], "this work is licensed under a creative commons attribution 4 0 international license"
+    texts = ["of this software " * 20, "the license you may " * 12, f"{cc} " + "creative commons attribution 4 0\n" * 10, "apache license version", "apache license version", apache.replace("the license", "this same license"), "creative commons attribution 4 0 " * 10]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame([(k // 2 if k in (2, 3) else None if k in (4, 5) else k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["labels"], r["n_base"]))
+    assert got[0] == [("", 0)] and got[6] == [("cc-by", 0)]
+    assert sorted(got[1]) == [("", 0), ("", 0), ("cc-by", 0)]  # the twelvefold line, and two texts under one id
+    assert sorted(got[None]) == [("", 0), ("apache-2", 0)]
+    spans = licenses.scan(spark.createDataFrame([(1, f"one two {apache} end")], "doc_id long, text string")).first()["spans"]
+    assert [(s["label"], s["first"], s["last"], s["score"]) for s in spans] == [("apache-2", 2, 1 + len(apache.split()), 1.0)]
+
+
+def test_license_scan_of_a_long_text_is_linear(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, " ".join(f"w{k % 977}" for k in range(n)))], "doc_id long, text string")
+        at = time.perf_counter()
+        assert licenses.scan(df).first()["n_words"] == n
+        return time.perf_counter() - at
+
+    took(1000)
+    assert took(400_000) < 4 * took(100_000) + 4
+
+
 def test_short_license_notices(spark):
     lines = {
         "This work is licensed under the GNU General Public License, version 3.": "gpl",

@@ -2,15 +2,19 @@
 
 Every run of ``GRAM`` words of a text is hashed and joined with the places of such runs in a set of
 templates. A match votes for a diagonal: its place in the text less its place in the template.
-Votes are summed by document, template and diagonal; diagonals near each other in the same
-stretch of text, as words put in or left out make them, are merged; a merged span counts where
-the votes cover enough of the template. Matches are checked word by word as they vote, so a
-hash that only looks the same has no vote.
+Votes are gathered by row, template and diagonal. A diagonal and those up to ``BAND`` after it, as words
+put in or left out make them, are one stretch of text; it is a match where the distinct template
+places that it holds cover enough of the template, so a line said over and over counts once, and
+where no match of another label that covers more overlaps it. Matches that touch are told as one span. A hash that only looks the same has no vote: the words
+themselves are compared.
 
 Short phrases have to match in full: a phrase's place is a diagonal with all its runs.
 
-Null and empty texts have no words: n_words 0, no place, labels ''. Rows that repeat another in id
-and text give one row. An empty table gives no rows. Extra columns are ignored.
+Each row is judged by itself, repeated rows and null ids too: a row for each row. Null and empty texts
+have no words: n_words 0, no place, labels ''. Very long texts: work is linear in the words, since only
+words that begin a known run leave the row. Ties: of equal scores the label is in ``labels`` once.
+An empty table gives no rows. Extra columns, whatever their names, are ignored. ``docs`` is a table's
+scan, so that rows get the same number when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from pyspark.sql.window import Window
 
 from tonequarry.llm.common import table
 
-GRAM, BAND, COVER = 3, 8, 0.6
+GRAM, BAND, COVER = 3, 16, 0.6
+#: Templates are known and few: more words than this in them are refused, since each task gets them all.
+MOST_RUNS = 100_000
 
 #: The phrases of the contract, and the label of each.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -81,37 +87,56 @@ def _words(text):
 
 
 def scan(docs: DataFrame, found: DataFrame | None = None, band: int = BAND, cover: float = COVER) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans (label, first, last, score) of each document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and spans (label, first, last, score) of each row."""
     found = templates(docs.sparkSession) if found is None else found
-    d = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), _words(F.col("text")).alias("words"))
-    d = d.withColumn("n", F.size("words"))
-    runs = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, GRAM)]))
-    votes = d.select("doc_id", "row", "words", "n", F.posexplode(F.concat(runs, F.array(F.lit(_END)))).alias("at", "h"))
-    votes = votes.join(F.broadcast(found), "h").filter(
-        F.when(F.col("template") < 0, F.col("at") == F.col("n")).otherwise(F.slice("words", F.col("at") + 1, GRAM) == F.col("gram"))
-    )
-    by = ["doc_id", "row", "template"]
-    diagonals = votes.groupBy(*by, (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"), F.any_value("runs").alias("runs"), F.any_value("label").alias("label"), F.any_value("phrase").alias("phrase")
-    )
-    # neighbouring diagonals of one stretch of text are one match
-    w = Window.partitionBy(*by).orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("phrase") | (F.col("template") < 0), 0).otherwise(band)) | F.lag("diagonal").over(w).isNull()
-    spans = diagonals.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(w))
-    spans = spans.groupBy(*by, "span").agg(*[F.any_value(c).alias(c) for c in ("runs", "label", "phrase")], F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    score = F.least(F.lit(1.0), F.col("votes") / F.col("runs"))
+    listed = found.select("h", "runs").limit(MOST_RUNS + 1).collect()
+    if len(listed) > MOST_RUNS:
+        raise ValueError(f"the templates have more than {MOST_RUNS} runs of words")
+    known, longest = sorted({r["h"] for r in listed}), max(r["runs"] for r in listed)
+    d = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), _words(F.col("text")).alias("words"))
+    here = F.transform("words", lambda w, i: F.when(F.xxhash64(w, *[F.get("words", i + k) for k in range(1, GRAM)]).isin(known), i))
+    d = d.withColumn("n", F.size("words")).withColumn("here", F.array_compact(here))
+    run = lambda i: F.slice("words", i + 1, GRAM)
+    hash_of = lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(GRAM)])
+    end = F.struct(F.col("n").alias("at"), F.lit(_END).alias("h"), F.array().cast("array<string>").alias("own"))
+    hits = F.concat(F.transform("here", lambda i: F.struct(i.alias("at"), hash_of(i).alias("h"), run(i).alias("own"))), F.array(end))
+    votes = d.select("doc_id", "row", "n", F.explode(hits).alias("v")).select("doc_id", "row", "n", "v.*").join(F.broadcast(found), "h")
+    votes = votes.filter(F.when(F.col("template") < 0, F.col("at") == F.col("n")).otherwise(F.col("own") == F.col("gram")))
+    # one shuffle: a row's votes stay together from here on
+    votes = votes.select("doc_id", "row", "template", (F.col("at") - F.col("place")).alias("diagonal"), "at", "place", "runs", "label", "phrase").repartition("row")
+    by = ["row", "doc_id", "template"]
+    kept = [F.any_value(c).alias(c) for c in ("runs", "label", "phrase")]
+    diagonals = votes.groupBy(*by, "diagonal").agg(F.collect_list("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), *kept)
+    # a diagonal has a place at most once, so each list here is bounded by the template and the band
+    reach = Window.partitionBy(*by).orderBy("diagonal").rangeBetween(0, band)
+    near = ~F.col("phrase") & (F.col("template") >= 0)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("places").over(reach))))
+    stretch = diagonals.withColumn("votes", F.when(near, covered).otherwise(F.size("places"))).withColumn("last", F.when(near, F.max("last").over(reach)).otherwise(F.col("last")))
     whole = F.col("phrase") & (F.col("votes") >= F.col("runs"))
-    near = ~F.col("phrase") & (F.col("template") >= 0) & (F.col("votes") >= F.lit(cover) * F.col("runs")) & (F.col("last") - F.col("first") < 2 * F.col("runs") + band)
-    spans = spans.withColumn("score", F.when(whole | near, score))
-    span = F.when(F.col("score").isNotNull(), F.struct("label", "first", (F.col("last") + GRAM - 1).alias("last"), "score"))
+    hit = whole | (near & (F.col("votes") >= F.lit(cover) * F.col("runs")))
+    stretch = stretch.withColumn("whole", whole).withColumn("score", F.when(hit, F.col("votes") / F.col("runs")))
+    # the matches that can overlap one begin within a template's length of it
+    about = Window.partitionBy("row", "doc_id").orderBy("first").rangeBetween(-(longest + band + GRAM), longest + band + GRAM)
+    others = F.collect_list(F.when(F.col("score").isNotNull(), F.struct("label", "score", "first", "last"))).over(about)
+    beaten = F.exists("others", lambda o: (o["score"] > F.col("score")) & (o["label"] != F.col("label")) & (o["first"] < F.col("last") + GRAM) & (F.col("first") < o["last"] + GRAM))
+    stretch = stretch.withColumn("others", others).withColumn("score", F.when(F.col("whole") | ~beaten, F.col("score"))).drop("others")
+    # matches that touch are one span; rows without a match are kept for the words that they count
+    earlier = Window.partitionBy(*by, "hit").orderBy("diagonal")
+    stretch = stretch.withColumn("hit", F.col("score").isNotNull())
+    apart = F.col("phrase") | F.coalesce(F.col("first") > F.max("last").over(earlier.rowsBetween(Window.unboundedPreceding, -1)) + GRAM, F.lit(True))
+    stretch = stretch.withColumn("span", F.sum(apart.cast("int")).over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = stretch.groupBy(*by, "hit", "span").agg(
+        F.any_value("label").alias("label"), F.bool_or("whole").alias("whole"), F.max("score").alias("score"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+    span = F.when(F.col("hit"), F.struct("label", "first", (F.col("last") + GRAM - 1).alias("last"), "score"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
-    return spans.groupBy("doc_id", "row").agg(
+    return spans.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("template") < 0, F.col("first"))).cast("long").alias("n_words"),
-        F.count_if(whole).alias("n_base"),
-        F.min(F.when(whole, F.col("first"))).cast("long").alias("first_word"),
-        F.max(F.when(whole, F.col("first"))).cast("long").alias("last_word"),
-        labels(whole).alias("base_labels"),
-        labels(F.col("score").isNotNull()).alias("labels"),
+        F.count_if("whole").alias("n_base"),
+        F.min(F.when(F.col("whole"), F.col("first"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("whole"), F.col("first"))).cast("long").alias("last_word"),
+        labels(F.col("whole")).alias("base_labels"),
+        labels(F.col("hit")).alias("labels"),
         F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(span)).alias("spans"),
     ).drop("row")

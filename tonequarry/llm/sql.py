@@ -7,19 +7,20 @@ from tonequarry.llm.licenses import BAND, COVER, GRAM, NOTICES, PHRASES
 
 _TEMPLATES = ", ".join(f"({k}, '{text}', '{label}', {phrase})" for k, (text, label, phrase) in enumerate([*((t, n, True) for t, n in PHRASES.items()), *((t, n, False) for n, t in NOTICES.items())]))
 
-#: Matched runs, diagonals, merged neighbours and labels, as the operator defines them; runs are joined as words, not by hash.
+#: Labels by the definition: runs are joined as words, not by hash, and the distinct template places of a band of diagonals are counted.
 LICENSES = rf"""WITH tmpl AS (SELECT template, label, phrase, str_split(body, ' ') AS ws FROM (VALUES {_TEMPLATES}) AS t(template, body, label, phrase)),
 grams AS (SELECT template, label, phrase, len(ws) - {GRAM - 1} AS runs, place, array_to_string(ws[place + 1 : place + {GRAM}], ' ') AS gram FROM (SELECT *, unnest(range(0, len(ws) - {GRAM - 1})) AS place FROM tmpl)),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT DISTINCT doc_id, text FROM documents)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 placed AS (SELECT rid, unnest(ws) AS w, unnest(range(0, len(ws))) AS place FROM docs),
 text_runs AS (SELECT rid, place, {" || ' ' || ".join(["w", *(f"lead(w, {k}) OVER (PARTITION BY rid ORDER BY place)" for k in range(1, GRAM))])} AS gram FROM placed),
-diagonals AS (SELECT r.rid, template, r.place - g.place AS diagonal, count(*) AS votes, min(r.place) AS lo, max(r.place) AS hi, any_value(runs) AS runs, any_value(label) AS label, any_value(phrase) AS phrase FROM text_runs r JOIN grams g USING (gram) GROUP BY 1, 2, 3),
-parted AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) > CASE WHEN phrase THEN 0 ELSE {BAND} END, true) AS is_new FROM diagonals),
-numbered AS (SELECT *, sum(CAST(is_new AS INT)) OVER (PARTITION BY rid, template ORDER BY diagonal) AS span FROM parted),
-spans AS (SELECT rid, template, span, any_value(runs) AS runs, any_value(label) AS label, any_value(phrase) AS phrase, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY 1, 2, 3),
-judged AS (SELECT *, phrase AND votes >= runs AS is_base, CASE WHEN phrase THEN votes >= runs ELSE votes >= {COVER}::DOUBLE * runs AND hi - lo < 2 * runs + {BAND} END AS is_match FROM spans),
-told AS (SELECT rid, count(*) FILTER (is_base) AS n_base, min(lo) FILTER (is_base) AS first_word, max(lo) FILTER (is_base) AS last_word,
- list_sort(list(DISTINCT label) FILTER (is_base)) AS bl, list_sort(list(DISTINCT label) FILTER (is_match)) AS ml, max(least(1.0::DOUBLE, votes::DOUBLE / runs)) FILTER (is_match) AS score FROM judged GROUP BY 1)
+votes AS MATERIALIZED (SELECT r.rid, template, r.place - g.place AS diagonal, r.place AS at_word, g.place, runs, label, phrase FROM text_runs r JOIN grams g USING (gram)),
+diagonals AS (SELECT rid, template, diagonal, any_value(runs) AS runs, any_value(label) AS label, any_value(phrase) AS phrase, min(at_word) AS lo FROM votes GROUP BY 1, 2, 3),
+judged AS (SELECT d.rid, d.template, d.diagonal, d.label, d.phrase, d.lo, max(v.at_word) AS hi, count(DISTINCT v.place)::DOUBLE / d.runs AS share
+ FROM diagonals d JOIN votes v ON v.rid = d.rid AND v.template = d.template AND v.diagonal BETWEEN d.diagonal AND d.diagonal + CASE WHEN d.phrase THEN 0 ELSE {BAND} END GROUP BY d.rid, d.template, d.diagonal, d.label, d.phrase, d.lo, d.runs),
+hits AS MATERIALIZED (SELECT * FROM judged WHERE share >= CASE WHEN phrase THEN 1 ELSE {COVER}::DOUBLE END),
+best AS (SELECT * FROM hits h WHERE phrase OR NOT EXISTS (SELECT 1 FROM hits o WHERE o.rid = h.rid AND o.label <> h.label AND o.share > h.share AND o.lo < h.hi + {GRAM} AND h.lo < o.hi + {GRAM})),
+told AS (SELECT rid, count(*) FILTER (phrase) AS n_base, min(lo) FILTER (phrase) AS first_word, max(lo) FILTER (phrase) AS last_word,
+ list_sort(list(DISTINCT label) FILTER (phrase)) AS bl, list_sort(list(DISTINCT label)) AS ml, max(share) AS score FROM best GROUP BY 1)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
  coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(ml, ','), '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM docs LEFT JOIN told USING (rid)"""
 

@@ -338,6 +338,54 @@ def test_html():
     assert len(html_extract.extract("<p>" + "word " * 100_000).split()) == 100_000
 
 
+def test_html_keeps_the_article_whatever_its_names():
+    body, more = "<h1>Title</h1><p>Many words of an article stand here and go on for a while.</p>", "<p>More words that belong to the article too, and some.</p>"
+    want = "Title\n\nMany words of an article stand here and go on for a while.\n\nMore words that belong to the article too, and some."
+    for page in (
+        f'<div class="post tag-news">{body}{more}</div>',
+        f'<div class="page social-article">{body}{more}</div>',
+        f'<article>{body}<p class="more">{more[3:]}</article>',
+        f'<article><div class="header"><h1>Title</h1></div>{body[14:]}{more}</article>',
+        f'<article>{body}<div class="side-by-side">{more}</div></article>',
+        f'<div class="layout has-sidebar"><nav>x y</nav>{body}{more}<div class="sidebar">not this</div></div>',
+        f"<form>{body}{more}</form>",
+        f'<article>{body}<div class="newsletter">sign up</div>{more}<div class="social-share">share</div></article><section id="comments"><article><p>{"a reader says " * 40}</p></article></section>',
+        f'<div class="ad-slot">buy</div><div class="content">{body}{more}</div><div class="comment-thread"><p>{"a reader says " * 40}</p></div>',
+    ):
+        assert html_extract.extract(page) == want, page
+
+
+def test_best_region_equals_all_regions():
+    rng = random.Random(3)
+    for _ in range(400):
+        x = [rng.choice((-3, -1, -0.5, 0, 0.5, 1, 2)) for _ in range(rng.randrange(14))]
+        first, stop = html_extract.best_region(x)
+        assert sum(x[first:stop]) == max([0.0, *(sum(x[a:b]) for a in range(len(x)) for b in range(a, len(x) + 1))])
+
+
+def test_html_extract_equals_a_search_of_all_regions():
+    rng = random.Random(8)
+    parts = ["<p>some words here</p>", "<nav><a>x</a></nav>", "<div class='ad'>buy now</div>", "<h2>head</h2>", "<a>one</a>", "<ul><li>item of words</li></ul>", "</div>", "<table><tr><td>1</td></tr></table>", "text"]
+    for _ in range(150):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        p = html_extract.Page(page)
+        told, out = html_extract.keys(p, html_extract.WEIGHTS)
+        scores = html_extract.scores(p, told, html_extract.WEIGHTS)
+        all_ = [(round(sum(scores[a:b]), 9), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1) if sum(scores[a:b]) > 1e-9]
+        first, stop = (-max(all_)[1], -max(all_)[2]) if all_ else (0, 0)
+        words = " ".join(t for (kind, _, t, _), o in zip(p.tokens[first:stop], out[first:stop], strict=True) if kind == "word" and not o).split()
+        assert html_extract.extract(page).split() == words
+
+
+def test_html_work_is_linear():
+    import time
+
+    for junk in ("<div></b>", "<select>", "<header>", '<p <a "', "<b><i></u>", "<article></div>"):
+        at = time.perf_counter()
+        html_extract.extract(junk * 16_000)
+        assert time.perf_counter() - at < 1, junk
+
+
 def test_html_pages(spark, sf):
     got = {r["page_id"]: r for r in html_extract.op5_html(spark, sf).collect()}
     import html

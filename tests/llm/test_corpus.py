@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, packing, registry, sharding, simhash, token_files, tokens
+from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, near_copies, packing, registry, sharding, simhash, token_files, tokens
 from tonequarry.llm.common import table
 from tonequarry.llm.components import connected_components
 
@@ -607,7 +607,7 @@ def test_simhash_odd_rows(spark):
     kept = simhash.drop_near_duplicates(odd(spark))
     assert kept.columns == odd(spark).columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and {1, 4, 5} <= set(ids) and 2 not in ids
+    assert len(ids) == len(set(ids)) and {1, 4, 5, None} <= set(ids) and 2 not in ids
     assert simhash.near_duplicates(nothing(spark)).count() == 0
     assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
 
@@ -641,6 +641,30 @@ def test_near_duplicate_stage_keeps_one_of_each_group_of_similarity(spark, docs,
         assert kept == set(near_copy_groups(some).values())
 
 
+def test_near_duplicate_stage_loses_no_text(spark):
+    texts = [(1, "one text of its own here"), (1, "quite another text under the same id"), (None, "a text without an id"), (None, "and another text without an id at all"), (None, "a text without an id"), (2, "a text without an id"), (3, None), (None, ""), (4, "one text of its own here"), (4, "one text of its own here")]
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert kept == sorted([("1", texts[0][1]), ("1", texts[1][1]), ("None", texts[3][1]), ("2", texts[2][1]), ("3", "")])
+
+
+def test_near_copies_in_blocks_equal_all_pairs(spark):
+    rng, words = random.Random(6), [f"w{i}" for i in range(300)]
+    base, rows = rng.choices(words, k=90), []
+    for k in range(150):  # a dense group in which few are linked to any one of them
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    want = near_copy_groups(rows)
+    got = defaultdict(set)
+    for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=16, dealt=8).collect():
+        got[r["component"]].add(r["doc_id"])
+    by = defaultdict(set)
+    for d, g in want.items():
+        by[g].add(d)
+    assert 1 < len(by) < 150 and sorted(map(sorted, got.values())) == sorted(map(sorted, by.values()))
+
+
 # pipeline
 
 

@@ -115,13 +115,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of near copies (see ``near_copies``), and one row of a repeated id.
+    """One row of ``docs``, all columns, of each group of near copies (see ``near_copies``): its smallest doc_id, a null id last,
+    then the smallest hash of the text. Rows of one id with unlike texts are in different groups, so each group keeps its own.
 
-    Rows without an id stay (as one row) only where their group has no id at all.
+    Groups are ranked on ids and hashes alone; texts are shuffled once, to meet the kept (id, hash), after repeats
+    within a partition are gone.
     """
     rows = written(near_copies(docs), "copies")
-    keep = rows.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m"))
+    keep = first.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("")).alias("__tq_id"), F.col("m.mark").alias("__tq_mark"))
+    keyed = docs.withColumn("__tq_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("__tq_mark", F.xxhash64(F.col("text").cast("string")))
+
+    def once(batches):
+        seen = set()
+        for b in batches:
+            new = []
+            for key in zip(b["__tq_id"].to_pylist(), b["__tq_mark"].to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    return keyed.mapInArrow(once, keyed.schema).join(keep, ["__tq_id", "__tq_mark"], "left_semi").dropDuplicates(["__tq_id", "__tq_mark"]).select(docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -188,14 +188,65 @@ def test_language_mixture_and_odd_rows(spark, docs):
     texts = defaultdict(str)
     for r in docs.collect():
         texts[r["lang"]] += " " + r["text"]
-    (a, sa), (b, sb), *_ = model([" ".join(texts["en"].split()[:300] + texts["fr"].split()[:100]), " ".join(texts["en"].split()[:100] + texts["fr"].split()[:300])])
+    (a, sa, *_), (b, sb, mixture, _) = model([" ".join(texts["en"].split()[:300] + texts["fr"].split()[:100]), " ".join(texts["en"].split()[:100] + texts["fr"].split()[:300])])
+    assert [k for k, _ in mixture] == ["fr", "en"] and abs(sum(x for _, x in mixture) - 1) < 1e-5
     assert (a, b) == ("en", "fr") and 0.6 < sa < 0.9 and 0.6 < sb < 0.9
     got = {r["doc_id"]: r for r in language_id.predict(odd(spark), model, "doc_id").collect()}
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (1, 2, 3, 4))
     kept = language_id.keep_identified(odd(spark), model)
-    assert kept.columns == odd(spark).columns and kept.count() == len(ODD) - 4
+    # the four without a letter go, and five thousand times the letter x
+    assert kept.columns == odd(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 5, 6, 8, 9]
     assert language_id.predict(nothing(spark), model, "doc_id").count() == 0
-    assert language_id.learn(nothing(spark))(["text"]) == [("und", 0.0)]
+    none = language_id.learn(nothing(spark))
+    assert none(["text"]) == [language_id.Found()]
+    assert language_id.keep_identified(odd(spark), none).count() == len(ODD) - 4
+    odd_texts = spark.createDataFrame([(1, "xkqzj wvbnq zzzx qqkx jjwq", None), (2, texts["de"][:300], ""), (3, "ぶんしょうのなかに", "x")], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language_id.keep_identified(odd_texts, model).collect()] == [2]
+    assert language_id.learn(odd_texts).names == ["", "x"] and language_id.learn(odd_texts, 1).names == [""]
+
+
+def plain_mixture(model, text):
+    """The mixture of one text word by word, and the best of all sets of languages by penalised likelihood."""
+    from itertools import combinations
+
+    words = []
+    low = (text or "").lower()
+    for k, c in enumerate(low):
+        if c.isalpha():
+            around = [ord(x) if x.isalpha() else 0 for x in (low[k - 1] if k else " ", c, low[k + 1] if k + 1 < len(low) else " ")]
+            b = (around[0] * 1_000_003 + around[1] * 8_191 + around[2] * 131_071 * 31) * 0x9E3779B1 >> 13 & language_id.BINS - 1
+            if not around[0]:
+                words.append(np.zeros(len(model.names)))
+            words[-1] = words[-1] + model.log_p[b].astype(np.float64)
+    if not words:
+        return "und", 0.0
+    ll = np.array(words)
+
+    def em(langs):
+        like = np.exp(ll[:, langs] - ll.max(axis=1, keepdims=True))
+        pi = np.full(len(langs), 1 / len(langs))
+        for _ in range(language_id.ROUNDS):
+            part = like * pi
+            pi = (part / np.maximum(part.sum(axis=1, keepdims=True), 1e-30)).mean(axis=0)
+        return np.log(np.maximum((like * pi).sum(axis=1), 1e-30)).sum(), pi
+
+    best = []
+    for k in range(1, len(model.names) + 1):
+        for langs in combinations(range(len(model.names)), k):
+            value, pi = em(list(langs))
+            best.append((value - (k - 1) * (0.5 * np.log(len(ll)) + language_id.SET_COST), model.names[langs[int(pi.argmax())]], float(pi.max())))
+    _, lang, share = max(best)
+    return lang, share
+
+
+def test_language_mixture_equals_a_search_of_all_sets(spark, docs, rows):
+    model = language_id.learn(docs)
+    rng, texts = random.Random(4), [t for _, t in rows if len(t) < 3000]
+    texts = texts[:60] + [" ".join(" ".join(rng.choice(texts).split()[: rng.randint(3, 60)]) for _ in range(rng.randint(2, 3))) for _ in range(60)]
+    got, want = model(texts), [plain_mixture(model, t) for t in texts]
+    same = [g.lang == w[0] and abs(g.score - w[1]) < 2e-3 for g, w in zip(got, want, strict=True)]
+    assert sum(same) >= 0.97 * len(texts)  # sets are sought in the order of their languages' shares, not all of them
+    assert all(g.lang == w[0] for g, w in zip(got[:60], want[:60], strict=True))
 
 
 # 3
@@ -668,18 +719,17 @@ def test_near_copies_in_blocks_equal_all_pairs(spark):
 # pipeline
 
 
-def test_pipeline(spark, sf, rows):
+def test_pipeline(spark, sf, docs, rows):
+    """Every stage by brute force on its own input: rejected texts, groups of five-word similarity, items found, packed ids."""
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, sf).collect()
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.op10_simhash(spark, sf).collect()}
+    model = language_id.learn(docs)
+    identified = [(d, t) for (d, t), f in zip(rows, model([t for _, t in rows]), strict=True) if f.lang != "und" and f.evidence >= language_id.UNSEEN_SHARE * model.unseen]
+    assert {d for d, _ in identified} == {d for d, t in rows if any(c.isalpha() for c in t)}  # nothing but texts without a letter here
+    firsts = set(near_copy_groups(identified).values())
     leaked = {r["doc_id"] for r in decontamination.op8_decontamination(spark, sf).collect()}
-    lettered = {d for d, t in rows if any(c.isalpha() for c in t)}
-    low = {}
-    for d in sorted(lettered):
-        low.setdefault(groups[d], d)
-    want = set(low.values()) - leaked
-    check_packing(out, [(d, t) for d, t in rows if d in want])
+    check_packing(out, [(d, t) for d, t in rows if d in firsts - leaked])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "packing"]
 
 

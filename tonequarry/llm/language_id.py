@@ -4,14 +4,20 @@ Each learned language is a distribution over hashed letter trigrams. A document
 word comes from one of its languages, in unknown proportions. Expectation-maximisation estimates the
 proportions; the set of languages is the one of highest likelihood less a penalty for each language
 (half the logarithm of the number of words, and ``SET_COST``), sought among the languages in order of their proportion.
-The prediction is the set's largest language; the score is its proportion in it.
+The prediction is the set's largest language; the score is its proportion in it. The whole set with its
+proportions is told too, and the evidence: how much better the mixture explains a letter than chance.
 
 A text that is null or has no letter is ``und`` with score 0. Ties go to the first language by name.
-With no labelled text at all everything is ``und``. Repeated rows are rows; extra columns are ignored.
+With no labelled text at all everything is ``und``. A blank label is a label; a null one teaches nothing. Of more
+than ``LANGUAGES`` labels the most frequent are learned, so a dirty column can't grow the model (256 KB a language).
+Very long texts are judged whole, one at a time. Repeated rows are rows, null ids too; extra columns, whatever their
+names, are ignored by ``predict`` and kept by ``keep_identified``. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import by_batch, fold_crc, table
 
-BINS, SMOOTH, ROUNDS, SET_COST, HELD_FOLD, FOLDS, CHARS_AT_ONCE = 1 << 16, 0.3, 8, 2.0, 2, 4, 1 << 19
+BINS, SMOOTH, ROUNDS, SET_COST, HELD_FOLD, FOLDS, CHARS_AT_ONCE, UNKNOWN, LANGUAGES, UNSEEN_SHARE = 1 << 16, 0.3, 8, 2.0, 2, 4, 1 << 19, "und", 256, 0.75
 
 _letters: list[np.ndarray] = []
 
@@ -58,18 +64,30 @@ def _chunks(texts: list):
         yield at, texts[at:]
 
 
+class Found(NamedTuple):
+    """What is found in one text: its language, that one's share, the set with each one's share (largest first), and how much better
+    a letter is explained by them than by chance (the mean of natural logarithms; every trigram bin being equal)."""
+
+    lang: str = UNKNOWN
+    score: float = 0.0
+    mixture: tuple[tuple[str, float], ...] = ()
+    evidence: float = 0.0
+
+
 class Model:
     def __init__(self, names: list[str], log_p: np.ndarray):
         self.names, self.log_p = names, log_p  # log_p: bins x languages
+        #: The evidence of a letter whose trigram no language has.
+        self.unseen = float(log_p.min(axis=0).max() + np.log(BINS)) if names else 0.0
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
+    def __call__(self, texts: list[str | None]) -> list[Found]:
+        out: list[Found] = []
         for _, some in _chunks(texts):
             out += self._infer(some)
         return out
 
-    def _infer(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out = [("und", 0.0)] * len(texts)
+    def _infer(self, texts: list[str | None]) -> list[Found]:
+        out = [Found()] * len(texts)
         bins, begins, doc = trigrams(texts)
         if not bins.size or not self.names:
             return out
@@ -81,6 +99,8 @@ class Model:
         alone = np.add.reduceat((ll - top).astype(np.float64), first, axis=0)
         n_langs = len(self.names)
         pi, full = self._em(like, first, words, of, np.ones((len(present), n_langs), bool))
+        letters = np.add.reduceat(np.diff(np.append(begins, len(bins))), first)
+        evidence = (np.add.reduceat(top[:, 0].astype(np.float64), first) + full) / letters + np.log(BINS)
         order = np.argsort(-pi, axis=1, kind="stable")
         best, gain = alone.argmax(axis=1), alone.max(axis=1)
         cost = 0.5 * np.log(words) + SET_COST
@@ -100,9 +120,10 @@ class Model:
             better = value - (k - 1) * cost[open_] > gain[open_]
             chosen[open_[better]], gain[open_[better]] = some[better], value[better] - (k - 1) * cost[open_[better]]
             open_ = open_[full[open_] - k * cost[open_] > gain[open_]]
-        lang = chosen.argmax(axis=1)
-        for d, lng, share in zip(present.tolist(), lang.tolist(), chosen.max(axis=1).tolist(), strict=True):
-            out[d] = self.names[lng], min(1.0, float(share))
+        for d, shares, e in zip(present.tolist(), chosen, evidence.tolist(), strict=True):
+            by_share = np.argsort(-shares, kind="stable")[: int((shares > 0).sum())].tolist()
+            mixture = tuple((self.names[k], min(1.0, float(shares[k]))) for k in by_share)
+            out[d] = Found(*mixture[0], mixture, e)
         return out
 
     @staticmethod
@@ -116,11 +137,14 @@ class Model:
         return pi, np.add.reduceat(total, first)
 
 
-def learn(docs: DataFrame) -> Model:
-    """Trigram counts of every row of ``docs`` (text, lang) with both; blank languages teach nothing.
+def learn(docs: DataFrame, languages: int = LANGUAGES) -> Model:
+    """Trigram counts of every row of ``docs`` (text, lang) with both, of the ``languages`` most frequent labels (of equals the first by name).
 
     A task counts into one array for each language it meets; the driver gets only sums: languages times bins.
     """
+    known = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null")
+    # the labels alone are read here; at most so many come to the driver
+    wanted = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -136,8 +160,7 @@ def learn(docs: DataFrame) -> Model:
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "bin", "n"])
 
-    known = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and trim(lang) <> ''")
-    counts = known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counts = known.filter(F.col("lang").isin(wanted)).mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("c")).orderBy("lang").toLocalIterator()
     names, cols = [], []
     for r in packed:
@@ -149,26 +172,39 @@ def learn(docs: DataFrame) -> Model:
     return Model(names, np.array(cols, np.float32).T if cols else np.zeros((BINS, 0), np.float32))
 
 
+_MIXTURE = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs``, lang_pred and score, from each row's whole text alone."""
+    """``keep`` columns of ``docs``, lang_pred, score, mixture (each language of the set with its share) and evidence, from each row's whole text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score = zip(*sent.value(b["_text"].to_pylist()), strict=True) if b.num_rows else ((), ())
-        return pa.record_batch([*(b[k] for k in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        found = sent.value(b["_text"].to_pylist())
+        mixture = [[{"lang": lang, "share": share} for lang, share in x.mixture] for x in found]
+        cols = [pa.array([x.lang for x in found], pa.string()), pa.array([x.score for x in found], pa.float64()), pa.array(mixture, _MIXTURE), pa.array([x.evidence for x in found], pa.float64())]
+        return pa.record_batch([*(b[k] for k in keep), *cols], names=[*keep, "lang_pred", "score", "mixture", "evidence"])
 
-    kept = rows.select(*keep).schema
-    return rows.mapInArrow(by_batch(run), kept.add("lang_pred", "string").add("score", "double"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "lang_pred string, score double, mixture array<struct<lang:string,share:double>>, evidence double"])
+    return rows.mapInArrow(by_batch(run), schema)
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, in which a learned language is found (texts without a letter go)."""
+def keep_identified(docs: DataFrame, model: Model, unseen_share: float = UNSEEN_SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, in which a learned language is found.
+
+    Texts without a letter go, and texts of no learned language: those whose evidence is at or below ``unseen_share`` of what a text
+    has whose trigrams no language ever had. Where no language was learned every text with a letter stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = sent.value(b["text"].cast(pa.string()).to_pylist()) if b.num_rows else []
-        return b.filter(pa.array([lang != "und" for lang, _ in found], pa.bool_()))
+        texts = b["text"].cast(pa.string()).to_pylist()
+        if sent.value.names:
+            keep = [x.lang != UNKNOWN and x.evidence >= unseen_share * sent.value.unseen for x in sent.value(texts)]
+        else:
+            keep = [any(map(str.isalpha, t or "")) for t in texts]
+        return b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(by_batch(run), docs.schema)
 

@@ -147,12 +147,83 @@ def test_lanes_carry_state_whole_documents():
 def test_training_takes_every_token_and_carries_the_state():
     k = small_known(30, 4)[1]
     trainer, rng = language_model.Trainer(language_model.Gru(k, 8)), np.random.default_rng(2)
-    docs = [np.append(trainer.net.start, rng.integers(0, 30, n)) for n in (1, 700, 12, 13, 3000, 24)]
-    inner, starts = trainer._window, []
-    trainer._window = lambda ids, h, lanes: (starts.append(int((~h.any(axis=1)).sum())), inner(ids, h, lanes))[1]
+    docs = [rng.integers(0, 30, n).astype(np.int32) for n in (1, 700, 12, 13, 3000, 24)]
+    inner, fed, cleared = trainer.net.forward, [], []
+
+    def forward(ids, h, fresh):
+        fed.append(h.copy())
+        cleared.append(int(fresh.sum()))
+        hs, gates = inner(ids, h, fresh)
+        fed.append(hs[-1])
+        return hs, gates
+
+    trainer.net.forward = forward
     trainer.run(docs, 3)
-    assert trainer.tokens == sum(len(d) - 1 for d in docs)
-    assert sum(starts) == len(docs)  # a state is zero where a document begins, and nowhere else
+    assert trainer.tokens == sum(map(len, docs))
+    for before, after in zip(fed[1::2], fed[2::2], strict=False):  # a window begins with the states that the last one ended with
+        assert (before[: len(after)] == after).all()
+    assert sum(cleared) >= len(docs)  # places beyond a lane's end repeat the first
+
+
+def test_gradients_stop_where_a_document_begins():
+    k = small_known(20, 5)[1]
+    net, rng = language_model.Gru(k, 6), np.random.default_rng(1)
+    ids = rng.integers(0, 20, (6, 2))
+    fresh = np.zeros((6, 2), bool)
+    fresh[3, 0] = fresh[0, 1] = True
+    h = rng.standard_normal((2, 6)).astype(np.float32)
+    hs, gates = net.forward(ids, h, fresh)
+    d = rng.standard_normal(hs.shape).astype(np.float32)
+    d_in, d_rec = net.backward(ids, gates, d, fresh)
+    want, total = np.zeros_like(d_in), np.zeros_like(d_rec)
+    for lane, start, stop in ((0, 0, 3), (0, 3, 6), (1, 0, 6)):
+        own, begin = ids[start:stop, lane : lane + 1], np.where(fresh[start, lane], 0, h[lane : lane + 1]).astype(np.float32)
+        x, r = net.backward(own, net.forward(own, begin)[1], d[start:stop, lane : lane + 1])
+        want[start:stop, lane : lane + 1] = x
+        total += r
+    assert np.allclose(d_in, want, atol=1e-5) and np.allclose(d_rec, total, atol=1e-4)
+
+
+def plain_score(net, k, counts, words):
+    """log10 probability of a document, one token at a time from the counts and weights."""
+    h, ln10, hid = np.zeros(net.hidden), np.log(10), net.hidden
+    total, last = 0.0, net.start
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for w in words:
+        a, g = net.inp[last].astype(float), h @ net.rec
+        z, r = sig(a[:hid] + g[:hid]), sig(a[hid : 2 * hid] + g[hid : 2 * hid])
+        h = z * h + (1 - z) * np.tanh(a[2 * hid :] + r * g[2 * hid :])
+        logits = h @ net.cls + net.cls_bias
+        rank, b = k.rank.get(w, -1), language_model.tail_bin(w)
+        inside = 0 <= rank < k.size
+        c = int(k.cls[rank]) if inside else k.n_classes + b
+        total += (logits[c] - np.log(np.exp(logits).sum())) / ln10
+        if inside:
+            own = slice(k.bounds[c], k.bounds[c + 1])
+            x = h @ net.out[:, own] + net.out_bias[own]
+            total += (x[rank - own.start] - np.log(np.exp(x).sum())) / ln10
+            last = rank
+        else:
+            total += np.log10((counts.get(w, 0) + 0.1) / (k.bin_n[b] + 0.1 * (k.bin_v[b] + 1)))
+            last = k.size + b
+    return total
+
+
+def test_scores_equal_a_plain_recomputation(spark, docs):
+    rows = docs.select("doc_id", (language_model.fold_crc("doc_id", 10) == 0).alias("held_out"), "text")
+    learned = rows.filter("not held_out")
+    counts = language_model.token_counts(learned).cache()
+    k = language_model.known(counts, most=600, vocabulary=150, classes=12)
+    weights = language_model.train(learned, k, rounds=1, hidden=8)
+    net = language_model.Gru(k, 8)
+    net.load(weights)
+    plain = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in language_model.score(rows, counts, k, weights, hidden=8).collect()}
+    assert len(plain) > 2000  # most words are not among the known: their counts are joined
+    for r in docs.collect():
+        words = language_model.words_of((r["text"] or "").encode())
+        if len(words) < 400:
+            assert abs(got[r["doc_id"]] - plain_score(net, k, plain, words)) < 1e-3 * len(words), r["doc_id"]
 
 
 def test_one_long_document_does_not_widen_the_lanes():

@@ -10,12 +10,15 @@ probability comes from the counts of the whole corpus, (c+0.1)/(n+0.1(v+1)), so
 Training is truncated backpropagation over every token of every training document, window by
 window, the state carried from a document's start to its end. Each task trains a copy on its rows and
 the copies are averaged by their tokens (two levels, in blocks of weights); then the next round begins.
-Scoring carries the state through the whole document: documents are laid end to end in lanes
-of a matrix, and a lane's state is cleared where a document begins.
+A round that didn't see each training token once is an error. The weights depend on how rows are dealt
+over tasks, as any training in parts does; counts and base don't. Scoring carries the state through the
+whole document too: in both, documents are laid end to end in lanes of a matrix, and a lane's state is
+cleared where a document begins.
 
 Null and empty texts have the end alone. A null doc_id has crc32 zero, so it is held out. Repeated
-rows are rows. With no training text every token has the share of an unseen one. An empty table
-gives no rows. Extra columns are ignored.
+rows are rows. Very long texts are one stretch of a lane: memory is linear in the ids. Ties in
+frequency go to the smaller word. With no training text every token has the share of an unseen
+one. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import fold_crc, table, written
 
 FOLDS, END = 10, b"\n"
-KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 24
-WINDOW, ROUNDS, LANES_TRAINED, RATE = 12, 2, 96, 0.12
+KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 32
+WINDOW, ROUNDS, LANES_TRAINED, RATE = 20, 2, 96, 0.12
 LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
 
 
@@ -225,8 +228,8 @@ class Gru:
                 d_h[at] += x @ self.out[:, lo:hi].T
         return (lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias) if grads else lp
 
-    def backward(self, ids: np.ndarray, gates: list, d_hs: np.ndarray):
-        """Gradients of the input rows (as ids and rows) and of the recurrent weights, through one window."""
+    def backward(self, ids: np.ndarray, gates: list, d_hs: np.ndarray, fresh: np.ndarray | None = None):
+        """Gradients of the input rows (as ids and rows) and of the recurrent weights, through one window; none pass a document's start."""
         hid = self.hidden
         d_rec = np.zeros_like(self.rec)
         d_in = np.empty((*ids.shape, 3 * hid), np.float32)
@@ -243,6 +246,8 @@ class Gru:
             d_g[:, 2 * hid :] = d_pre_c * r
             d_rec += h.T @ d_g
             d_h = d * z + d_g @ self.rec.T
+            if fresh is not None and fresh[t].any():
+                d_h[fresh[t]] = 0
         return d_in, d_rec
 
 
@@ -258,59 +263,103 @@ class Trainer:
         seen += grad * grad
         getattr(self.net, name)[...] -= self.rate * grad / np.sqrt(seen)
 
-    def run(self, docs, lanes: int = LANES_TRAINED, window: int = WINDOW) -> None:
-        """Train on every token of each of ``docs`` (ids after the start's), the state carried from a document's start to its end.
+    def run(self, docs, lanes: int = LANES_TRAINED, window: int = WINDOW, buffer: int = BUFFER) -> None:
+        """Train on every token of each of ``docs`` (arrays of ids), the state carried from a document's start to its end.
 
-        A lane takes the next document where its own ends; the gradients of a window reach back to its begin.
+        About ``buffer`` ids are held at once, and laid out in lanes; the gradients of a window reach back to its begin.
         """
-        queue = iter(docs)
-        held: list = [None] * lanes
-        at = [0] * lanes
-        h = np.zeros((lanes, self.net.hidden), np.float32)
-        while True:
-            for w in range(lanes):
-                if held[w] is None and (ids := next(queue, None)) is not None:
-                    held[w], at[w], h[w] = ids, 0, 0
-            on = [w for w in range(lanes) if held[w] is not None]
-            if not on:
-                return
-            ids = np.full((len(on), window + 1), -1, np.int64)
-            for k, w in enumerate(on):
-                some = held[w][at[w] : at[w] + window + 1]
-                ids[k, : len(some)] = some
-                at[w] += window
-                if at[w] >= len(held[w]) - 1:
-                    held[w] = None
-            h[on] = self._window(ids, h[on], lanes)
-
-    def _window(self, ids: np.ndarray, h: np.ndarray, lanes: int) -> np.ndarray:
-        """Train on a window (lanes x steps + 1 ids, -1 past an end) and give the states after it."""
+        held: list = []
+        size = 0
+        for ids in docs:
+            held.append(ids)
+            size += len(ids)
+            if size >= buffer:
+                self._run(held, lanes, window)
+                held, size = [], 0
+        if held:
+            self._run(held, lanes, window)
+
+    def _run(self, docs: list[np.ndarray], lanes: int, window: int) -> None:
+        laid = Lanes(docs, lanes, self.net.start, np.random.default_rng(self.tokens))
+        h = np.zeros((laid.n, self.net.hidden), np.float32)
+        for at, real in laid.windows(window):
+            h = self._window(laid, at, real, h[: at.shape[1]], min(lanes, laid.n))
+
+    def _window(self, laid: Lanes, at: np.ndarray, real: np.ndarray | None, h: np.ndarray, lanes: int) -> np.ndarray:
+        """Train on a window (places of ids, steps x lanes; ``real`` where a lane hasn't ended) and give the states after it."""
         net = self.net
-        inp, out = ids[:, :-1].T, ids[:, 1:].T
-        real = (inp >= 0) & (out >= 0)
-        inp = np.where(inp >= 0, inp, net.start)
-        hs, gates = net.forward(inp, h)
-        _, d, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(hs[real], out[real], True)
-        n = len(d)
-        scale = np.float32(1 / lanes)
+        inp, fresh, out = laid.inp[at], laid.fresh[at], laid.out[at]
+        hs, gates = net.forward(inp, h, fresh)
         d_hs = np.zeros_like(hs)
-        d_hs[real] = d * scale
-        d_in, d_rec = net.backward(inp, gates, d_hs)
-        rows, back = np.unique(inp, return_inverse=True)
-        flat = d_in.reshape(-1, d_in.shape[-1])
-        order = np.argsort(back.ravel(), kind="stable")
-        sums = np.add.reduceat(flat[order], np.searchsorted(back.ravel()[order], np.arange(len(rows))), axis=0)
+        where = slice(None) if real is None else real
+        flat_hs = hs.reshape(-1, net.hidden) if real is None else hs[real]
+        _, d, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(flat_hs, out[where].ravel(), True)
+        scale = np.float32(1 / lanes)
+        d *= scale
+        d_hs[where] = d.reshape(hs.shape) if real is None else d
+        d_in, d_rec = net.backward(inp, gates, d_hs, fresh)
+        flat, ids = d_in.reshape(-1, d_in.shape[-1]), inp.ravel()
+        order = np.argsort(ids.astype(np.int16), kind="stable") if net.start < 1 << 15 else np.argsort(ids, kind="stable")
+        ids = ids[order]
+        begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        rows = ids[begins]
+        sums = np.add.reduceat(flat[order], begins, axis=0)
         np.clip(sums, -1, 1, out=sums)
         seen = self.seen["inp"][rows] + sums * sums
         self.seen["inp"][rows] = seen
         net.inp[rows] -= self.rate * sums / np.sqrt(seen)
         self._step("rec", np.clip(d_rec, -1, 1))
         for name, g in (("cls", d_cls), ("cls_bias", d_cls_bias), ("out", d_out), ("out_bias", d_out_bias)):
-            self._step(name, g * scale)
-        self.tokens += n
+            g *= scale
+            self._step(name, g)
+        self.tokens += len(flat_hs)
         return hs[-1]
 
 
+class Lanes:
+    """Documents laid end to end in lanes of about equal length, each lane a stretch of one flat row of ids.
+
+    Memory is linear in the ids, however long one document is. The longest lanes come first: those still at work are a prefix.
+    """
+
+    def __init__(self, docs: list[np.ndarray], lanes: int, start: int, rng: np.random.Generator | None = None):
+        self.n = lanes = min(lanes, len(docs))
+        placed: list[list[int]] = [[] for _ in range(lanes)]
+        heap = [(0, w) for w in range(lanes)]
+        for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
+            n, w = heapq.heappop(heap)
+            placed[w].append(d)
+            heapq.heappush(heap, (n + len(docs[d]), w))
+        if rng is not None:
+            for ds in placed:
+                rng.shuffle(ds)
+        size = np.array([sum(len(docs[d]) for d in ds) for ds in placed])
+        placed = [placed[w] for w in np.argsort(-size, kind="stable")]
+        self.size = np.sort(size)[::-1]
+        self.end = np.cumsum(self.size)
+        self.order = [d for ds in placed for d in ds]
+        self.out = np.concatenate([docs[d] for d in self.order])
+        doc_size = np.array([len(docs[d]) for d in self.order])
+        self.doc_at = np.cumsum(doc_size) - doc_size
+        self.inp = np.append(self.out[:1], self.out[:-1])
+        self.inp[self.doc_at] = start
+        self.fresh = np.zeros(len(self.out), bool)
+        self.fresh[self.doc_at] = True
+
+    def windows(self, window: int):
+        """(places, real): places of the ids of a window, steps x lanes; real is None where no lane ends, else which places are."""
+        begin = self.end - self.size
+        for t in range(0, int(self.size[0]), window):
+            on = int(np.searchsorted(-self.size, -t, "left"))  # lanes longer than t
+            at = begin[None, :on] + np.arange(t, min(t + window, int(self.size[0])))[:, None]
+            if t + len(at) <= self.size[on - 1]:
+                yield at, None
+            else:
+                real = at < self.end[None, :on]
+                at[~real] = 0
+                yield at, real
+
+
 def _document_ids(k: Known, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ranks (-1: not among the known) and input ids of a document's tokens."""
     ranks = np.fromiter(map(k.rank.get, words, repeat(-1)), np.int64, len(words))
@@ -341,7 +390,7 @@ def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN,
             own.load(begin)
             trainer = Trainer(own, rate / (1 + turn))
             texts = (words_of(t) for b in batches for t in b["text"].to_pylist())
-            trainer.run(np.concatenate(([own.start], _document_ids(know, words)[1])) for words in texts)
+            trainer.run(_document_ids(know, words)[1].astype(np.int32) for words in texts)
             if trainer.tokens:
                 part = TaskContext.get().partitionId() % 16
                 cuts = np.array_split(own.flat(), WEIGHT_BLOCKS)
@@ -350,6 +399,9 @@ def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN,
         copies = rows.mapInArrow(fit, "block int, part int, tokens long, w binary")
         some = copies.repartition("block", "part").mapInArrow(_mean, copies.schema)
         done = some.withColumn("part", F.lit(0)).repartition("block").mapInArrow(_mean, copies.schema).collect()  # WEIGHT_BLOCKS rows
+        seen = {r["tokens"] for r in done}
+        if seen != {k.total}:
+            raise RuntimeError(f"trained on {sorted(seen)} tokens of {k.total}")
         if done:
             weights = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(done, key=lambda r: r["block"])])
     return weights
@@ -371,49 +423,21 @@ def _mean(batches):
 
 
 def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: int = 64) -> list[float]:
-    """log10 probability of each document's ids, by the network alone.
-
-    A lane is a stretch of one flat row of ids, read a window at a time: memory is linear in the ids, however long one document is.
-    """
+    """log10 probability of each document's ids, by the network alone, in lanes."""
     if not docs:
         return []
-    lanes = min(lanes, len(docs))
-    placed: list[list[int]] = [[] for _ in range(lanes)]
-    heap = [(0, w) for w in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        n, w = heapq.heappop(heap)
-        placed[w].append(d)
-        heapq.heappush(heap, (n + len(docs[d]), w))
-    # the longest lanes first: those still at work are then a prefix
-    size = np.array([sum(len(docs[d]) for d in ds) for ds in placed])
-    placed = [placed[w] for w in np.argsort(-size, kind="stable")]
-    size = np.sort(size)[::-1]
-    lane_end = np.cumsum(size)
-    lane_at = lane_end - size
-    order = [d for ds in placed for d in ds]
-    out = np.concatenate([docs[d] for d in order])
-    doc_size = np.array([len(docs[d]) for d in order])
-    doc_at = np.cumsum(doc_size) - doc_size
-    inp = np.append(out[:1], out[:-1])
-    inp[doc_at] = net.start
-    fresh = np.zeros(len(out), bool)
-    fresh[doc_at] = True
-    lp = np.zeros(len(out), np.float64)
-    h = np.zeros((lanes, net.hidden), np.float32)
-    for t in range(0, int(size[0]), window):
-        on = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t
-        at = lane_at[None, :on] + np.arange(t, min(t + window, int(size[0])))[:, None]
-        if t + len(at) <= size[on - 1]:  # no lane ends in this window
-            hs, _ = net.forward(inp[at], h[:on], fresh[at])
-            lp[at.ravel()] = net.log_probs(hs.reshape(-1, net.hidden), out[at.ravel()])
+    laid = Lanes(docs, lanes, net.start)
+    lp = np.zeros(len(laid.out), np.float64)
+    h = np.zeros((laid.n, net.hidden), np.float32)
+    for at, real in laid.windows(window):
+        hs, _ = net.forward(laid.inp[at], h[: at.shape[1]], laid.fresh[at])
+        if real is None:
+            lp[at.ravel()] = net.log_probs(hs.reshape(-1, net.hidden), laid.out[at.ravel()])
         else:
-            real = at < lane_end[None, :on]
-            at[~real] = 0
-            hs, _ = net.forward(np.where(real, inp[at], net.start), h[:on], fresh[at] & real)
-            lp[at[real]] = net.log_probs(hs[real], out[at[real]])
+            lp[at[real]] = net.log_probs(hs[real], laid.out[at[real]])
         h = hs[-1]
     scores = np.empty(len(docs))
-    scores[order] = np.add.reduceat(lp, doc_at) / np.log(10)
+    scores[laid.order] = np.add.reduceat(lp, laid.doc_at) / np.log(10)
     return scores.tolist()
 
 

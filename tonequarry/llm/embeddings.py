@@ -1,15 +1,20 @@
 """Embedding near-duplicates: random-hyperplane signs in several tables, exact cosine, connected components.
 
 Equal vectors are one row with a weight first. In each of several tables a vector's bucket is the
-signs of its products with random hyperplanes. Within a bucket, blocks of vectors are compared by
-matrix products in double precision; a pair counts in the first table in which it meets, so links
-are counted without listing pairs, and only spanning links leave a block. The number of signs
+signs of its products with random hyperplanes. Vectors go to their buckets as 16-bit integers with a scale,
+a quarter of their size. Within a bucket, blocks of vectors are compared by matrix products; what the
+rounding leaves open, a hair around the threshold, is compared again with the whole vectors in double
+precision, so no link is gained or lost by it. A pair counts in the first table in which it meets: planes
+and vectors are whole numbers there, so signs come out the same wherever they are computed. Links
+are counted without listing pairs, and only spanning links and open pairs leave a block. The number of signs
 follows the number of vectors (about ``BUCKET`` to a bucket), the number of tables then follows
 from the recall asked for at the threshold itself; nearer pairs are found more surely.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id,
 link with nothing: n_links 0, component_id their own id (null id: null, kept false). Vectors of
-different lengths don't link. Repeated rows are rows. An empty table gives no rows.
+different lengths don't link. Repeated rows are rows, each linked to the others of its vector. Ties: rows of
+one id share its component and are all kept or none. An empty table gives no rows. Extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from tonequarry.llm.common import clustered, table, written
 from tonequarry.llm.components import connected_components, local_roots
 
 THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.9999, 1000, 1024, 5
+#: More buckets than this with several blocks are joined instead of broadcast.
+BROADCAST_BUCKETS = 200_000
+#: Rounding of a product of two unit vectors in single precision, generously.
+SLACK = 5e-5
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -34,32 +43,58 @@ def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bu
     return signs, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _signs(signs: int, tables: int):
-    """Rows (tab, sig, dim, rep, weight, vec, sigs) of each vector, one a table."""
+def _signs_of(q: np.ndarray, signs: int, tables: int) -> np.ndarray:
+    """The bucket of each whole-numbered vector in each of the first ``tables`` tables. Sums stay below 2**53, so they are exact in any order."""
+    planes = np.random.default_rng((SEED, q.shape[1])).standard_normal((tables * signs, q.shape[1]))
+    planes = np.clip(np.rint(planes * 32), -127, 127).T
+    above = (q.astype(np.float64) @ planes > 0).reshape(len(q), tables, signs)
+    return (above * (1 << np.arange(signs, dtype=np.int64))).sum(axis=2).astype(np.int32)
+
+
+def _by_length(some: pa.RecordBatch):
+    """Slices of rows whose vectors have one length, with these as whole numbers."""
+    vecs = some["q"].to_pylist()
+    for dim in sorted({len(v) // 2 for v in vecs}):
+        own = [k for k, v in enumerate(vecs) if len(v) == 2 * dim]
+        yield dim, own, np.frombuffer(b"".join(vecs[k] for k in own), np.int16).reshape(-1, dim)
+
+
+def _bucket_sizes(signs: int, tables: int):
+    """Rows (tab, dim, sig, n): vectors of each bucket, some at a time."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                for dim, _, q in _by_length(b.slice(at, 4096)):
+                    sig = _signs_of(q, signs, tables)
+                    key, n = np.unique(sig.astype(np.int64) + (np.arange(tables, dtype=np.int64) << 32), return_counts=True)
+                    yield pa.record_batch([pa.array((key >> 32).astype(np.int32)), pa.array(np.full(len(key), dim, np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["tab", "dim", "sig", "n"])
+
+    return run
+
+
+def _dealt(signs: int, tables: int):
+    """Rows (tab, dim, sig, rep, weight, scale, q) of each vector, one a table."""
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
-        power = 1 << np.arange(signs, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                vecs = some["vec"].to_pylist()
-                for dim in {len(v) // 8 for v in vecs}:
-                    if dim not in planes:
-                        planes[dim] = np.random.default_rng((SEED, dim)).standard_normal((dim, tables * signs))
-                    own = [k for k, v in enumerate(vecs) if len(v) == 8 * dim]
-                    x = np.frombuffer(b"".join(vecs[k] for k in own), np.float64).reshape(-1, dim)
-                    sig = ((x @ planes[dim] > 0).reshape(len(own), tables, signs) * power).sum(axis=2).astype(np.int32)
-                    rep, weight = some["rep"].to_numpy()[own], some["weight"].to_numpy()[own]
-                    vec, packed = [vecs[k] for k in own], [s.tobytes() for s in sig]
-                    for t in range(tables):
-                        yield pa.record_batch([pa.array(np.full(len(own), t, np.int32)), pa.array(sig[:, t]), pa.array(np.full(len(own), dim, np.int32)), pa.array(rep), pa.array(weight), pa.array(vec, pa.binary()), pa.array(packed, pa.binary())], names=["tab", "sig", "dim", "rep", "weight", "vec", "sigs"])
+                for dim, own, q in _by_length(some):
+                    sig = _signs_of(q, signs, tables)
+                    row = pa.array(np.repeat(own, tables))
+                    cols = [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(np.full(len(row), dim, np.int32)), pa.array(sig.ravel()), *(some[c].take(row) for c in ("rep", "weight", "scale", "q"))]
+                    yield pa.record_batch(cols, names=["tab", "dim", "sig", "rep", "weight", "scale", "q"])
 
     return run
 
 
-def _compare(threshold: float):
-    """For each block pair: (rep, links, root): links of other vectors' weights newly met here, and a spanning link."""
+_FOUND = "rep long, links long, root long, other_links long, open boolean"
+
+
+def _compare(threshold: float, signs: int):
+    """For each block pair: links of other vectors' weights newly met here and a spanning link (rep, links, root),
+    and the pairs too near to the threshold to tell (open: rep and root, with the weight that each gives the other)."""
     keys = ["tab", "dim", "sig", "bi", "bj"]
 
     def run(batches):
@@ -72,21 +107,55 @@ def _compare(threshold: float):
                     continue
                 g = rows.slice(s, e - s)
                 tab, dim, own = g["tab"][0].as_py(), g["dim"][0].as_py(), g["own"].to_numpy()
-                x = np.frombuffer(b"".join(g["vec"].to_pylist()), np.float64).reshape(-1, dim)
-                near = x @ x.T >= threshold
+                q = np.frombuffer(b"".join(g["q"].to_pylist()), np.int16).reshape(-1, dim)
+                scale = g["scale"].to_numpy()
+                x = (q * scale[:, None]).astype(np.float32)
+                cos = x @ x.T
+                # a vector's rounding is at most half a step in each component
+                doubt = scale * 0.5 * math.sqrt(dim) + SLACK
+                doubt = (doubt[:, None] + doubt[None, :]).astype(np.float32)
+                near = cos >= threshold - doubt
                 if g["bi"][0].as_py() != g["bj"][0].as_py():
                     near &= own[:, None] != own[None, :]  # pairs within a block are another task's
                 np.fill_diagonal(near, False)
                 if not near.any():
                     continue
+                open_ = near & (cos <= threshold + doubt)
+                near &= ~open_
+                rep, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
+                sig = _signs_of(q, signs, tab) if tab else np.empty((e - s, 0), np.int32)
                 i, j = np.nonzero(near)
-                sigs = np.frombuffer(b"".join(g["sigs"].to_pylist()), np.int32).reshape(e - s, -1)[:, :tab]
-                old = (sigs[i] == sigs[j]).any(axis=1)
-                links = np.bincount(i[~old], g["weight"].to_numpy()[j[~old]], e - s)
+                fresh = _unmet(sig, i, j)
+                links = np.bincount(i[fresh], weight[j[fresh]], e - s).astype(np.int64)
                 root = local_roots(near)
-                told = (links > 0) | (root != np.arange(e - s))
-                rep = g["rep"].to_numpy()
-                yield pa.record_batch([pa.array(rep[told]), pa.array(links[told].astype(np.int64)), pa.array(rep[root[told]])], names=["rep", "links", "root"])
+                told = np.flatnonzero((links > 0) | (root != np.arange(e - s)))
+                i, j = np.nonzero(np.triu(open_))
+                fresh = _unmet(sig, i, j)
+                i, j = i[fresh], j[fresh]
+                n, z = len(told), len(i)
+                cols = [np.append(rep[told], rep[i]), np.append(links[told], weight[j]), np.append(rep[root[told]], rep[j]), np.append(np.zeros(n, np.int64), weight[i]), np.append(np.zeros(n, bool), np.ones(z, bool))]
+                yield pa.record_batch([pa.array(c) for c in cols], names=["rep", "links", "root", "other_links", "open"])
+
+    return run
+
+
+def _unmet(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share no bucket of the tables in ``sig``."""
+    out = np.ones(len(i), bool)
+    for t in sig.T:
+        out &= t[i] != t[j]
+    return out
+
+
+def _settle(threshold: float):
+    """Open pairs whose whole vectors link, once in each direction."""
+
+    def run(batches):
+        for b in batches:
+            keep = [float(np.frombuffer(x) @ np.frombuffer(y)) >= threshold for x, y in zip(b["va"].to_pylist(), b["vb"].to_pylist(), strict=True)]
+            b = b.filter(pa.array(keep, pa.bool_()))
+            for rep, links, root in (("rep", "links", "root"), ("root", "other_links", "rep")):
+                yield pa.record_batch([b[rep], b[links], b[root]], names=["rep", "links", "root"])
 
     return run
 
@@ -99,17 +168,21 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: f
     # -0.0 and 0.0 are equal; two hashes of 64 bits stand for the vector
     rows = rows.withColumn("v", F.transform("v", lambda v: v + F.lit(0.0))).withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v"))
     reps = rows.filter("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v"))
-    reps = written(reps.mapInArrow(_unit, "h1 long, h2 long, rep long, weight long, vec binary"), "vectors")
+    reps = written(reps.mapInArrow(_unit, "h1 long, h2 long, rep long, weight long, vec binary, scale double, q binary"), "vectors")
     signs, tables = plan_tables(reps.count(), threshold, recall)
-    tabs = reps.select("rep", "weight", "vec").mapInArrow(_signs(signs, tables), "tab int, sig int, dim int, rep long, weight long, vec binary, sigs binary")
     bucket = ["tab", "dim", "sig"]
-    sizes = tabs.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    met = tabs.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    sizes = reps.select("q").mapInArrow(_bucket_sizes(signs, tables), "tab int, dim int, sig int, n long").groupBy(*bucket).agg(F.sum("n").alias("n"))
+    big = written(sizes.filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).drop("n"), "buckets")
+    big = F.broadcast(big) if big.count() <= BROADCAST_BUCKETS else big
+    dealt = reps.select("rep", "weight", "scale", "q").mapInArrow(_dealt(signs, tables), "tab int, dim int, sig int, rep long, weight long, scale double, q binary")
+    met = dealt.join(big, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     met = met.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("n", "blocks", "other")
+    met = met.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("blocks", "other")
     keys = ["tab", "dim", "sig", "bi", "bj"]
-    found = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold), "rep long, links long, root long")
-    found = written(found, "links")
+    found = written(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(threshold, signs), _FOUND), "links")
+    vec = lambda k, name: reps.select(F.col("rep").alias(k), F.col("vec").alias(name))
+    open_ = found.filter("open").join(vec("rep", "va"), "rep").join(vec("root", "vb"), "root").select("rep", "links", "root", "other_links", "va", "vb")
+    found = found.filter("not open").select("rep", "links", "root").union(written(open_.mapInArrow(_settle(threshold), "rep long, links long, root long"), "settled"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     groups = reps.select("h1", "h2", "rep", "weight").join(links, "rep", "left").join(comp, "rep", "left")
@@ -120,14 +193,18 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: f
 
 
 def _unit(batches):
-    """Vectors as the bytes of unit vectors in double precision; one too small or large to square is scaled first."""
+    """Vectors as the bytes of unit vectors in double precision, and as whole numbers with a scale; one too small or large to square is scaled first."""
     for b in batches:
-        vecs = []
+        vecs, scales, whole = [], [], []
         for v in b["v"].to_pylist():
             x = np.array(v, np.float64)
             x = x / np.abs(x).max()
-            vecs.append((x / np.sqrt((x * x).sum())).tobytes())
-        yield pa.record_batch([b["h1"], b["h2"], b["rep"], b["weight"], pa.array(vecs, pa.binary())], names=["h1", "h2", "rep", "weight", "vec"])
+            x = x / np.sqrt((x * x).sum())
+            scale = np.abs(x).max() / 32767
+            vecs.append(x.tobytes())
+            scales.append(scale)
+            whole.append(np.rint(x / scale).astype(np.int16).tobytes())
+        yield pa.record_batch([b["h1"], b["h2"], b["rep"], b["weight"], pa.array(vecs, pa.binary()), pa.array(scales, pa.float64()), pa.array(whole, pa.binary())], names=["h1", "h2", "rep", "weight", "vec", "scale", "q"])
 
 
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out rows."""
 
+import math
 import random
 import tracemalloc
 import zlib
@@ -656,6 +657,36 @@ def test_decontamination_of_the_tables(spark, sf, rows):
     assert decontamination.contamination(odd(spark), bench_df.limit(0)).count() == 0
 
 
+def test_decontamination_of_the_tables_equals_every_alignment(spark, sf, rows):
+    bench = [(r["item_id"], decontamination.words_of((r["text"] or "").encode())) for r in table(spark, sf, "benchmark").collect()]
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["edits"]) for r in decontamination.op8_decontamination(spark, sf).collect()}
+    want = {}
+    for d, t in rows:
+        ws = decontamination.words_of(t.encode())
+        here = set(ws)
+        for i, item in bench:
+            if not item or len(item) - sum(w in here for w in item) > len(item) // 5:
+                continue  # a word that is nowhere in the text is an edit
+            vocab = {}
+            number = lambda x, v=vocab: np.array([v.setdefault(w, len(v)) for w in x], np.int64)
+            edits, a, b = decontamination.best_span(number(item), number(ws))
+            if edits <= len(item) // 5:
+                want[d, i] = a, b - a, edits
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) > 2
+    assert all(got[k][2] == want[k][2] for k in got)
+
+
+def test_short_items_of_common_words(spark):
+    import time
+
+    text = "of the and to " * 20_000
+    items = decontamination.Items([(1, b"the"), (2, b"of the"), (3, b"and to of the"), (4, b"the of"), (5, b"x")])
+    at = time.perf_counter()
+    got = items.search([text.encode(), b"the x", None])
+    assert time.perf_counter() - at < 2
+    assert [(x, items.ids[i], start, n, edits) for x, i, start, n, edits in got] == [(0, 1, 1, 1, 0), (0, 2, 0, 2, 0), (0, 3, 2, 4, 0), (1, 1, 0, 1, 0), (1, 5, 1, 1, 0)]
+
+
 # 9
 
 
@@ -682,6 +713,25 @@ def test_embeddings(spark):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_told_by_whole_vectors(spark):
+    rng, rows = np.random.default_rng(11), []
+    for k in range(60):  # pairs whose cosine is the threshold to within a few units of the last places
+        x = rng.standard_normal(8)
+        y = rng.standard_normal(8)
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        c = 0.9 + rng.choice((-1, 1)) * 10.0 ** -rng.integers(4, 13)
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (c * x + math.sqrt(1 - c * c) * y).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.embedding_groups(df).collect()}
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = m @ m.T
+    np.fill_diagonal(cos, 0)
+    assert all(got[i] == (cos[i] >= 0.9).sum() for i in range(len(rows)) if abs(cos[i] - 0.9).min() > 1e-14)
+
+
 # 10
 
 

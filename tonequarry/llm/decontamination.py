@@ -10,10 +10,12 @@ item on them in any walk is compared with it exactly.
 Windows are embedded where they can match at all: of the d + 1 equal parts of an item, d edits leave
 one whole, so a text with none of the parts' leading words (up to three) in a row can't hold it.
 That sieve loses nothing; it is there because embedding every window of every length costs more
-than the time allowed.
+than the time allowed. An item too short for any edit is looked up as a whole by the sieve, and only its
+first place in a text goes on: no later one can be nearer.
 
 Items without words match nothing; null texts hold nothing. Repeated items are each reported,
-repeated rows too. Empty tables give no rows. Extra columns pass ``drop_contaminated`` unchanged.
+repeated rows too. Ties: of equal spans the first. Very long texts are searched whole; work is linear in their words for
+each item whose parts stand in them. Empty tables give no rows. Extra columns pass ``drop_contaminated`` unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import table
 
-TOLERANCE, WALKS, SAMPLED, ITEMS_AT_ONCE, DOCS_AT_ONCE = 0.2, 48, 2, 20_000, 2000
+TOLERANCE, WALKS, SAMPLED, ITEMS_AT_ONCE, BYTES_AT_ONCE, DOCS_AT_ONCE = 0.2, 48, 2, 20_000, 1 << 23, 2000
 
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -140,7 +142,8 @@ class Items:
             parts.append(np.fromiter(map(get, ws, repeat(0)), np.int64, len(ws)))
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
         ends = np.cumsum(lens)
-        windows = set()
+        windows, whole = set(), set()
+        stops, edits_of, size_of = ends.tolist(), self.edits.tolist(), self.size.tolist()
         for q, (grams, places) in self.grams.items():
             if len(flat) < q:
                 continue
@@ -153,14 +156,21 @@ class Items:
                 g = g * self.base + flat[pos + k]
             slot = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
             hit = grams[slot] == g
-            for p, s in zip(pos[hit].tolist(), slot[hit].tolist(), strict=True):
-                doc = int(np.searchsorted(ends, p, "right"))
-                low = int(ends[doc]) - lens[doc]
-                if p + q > ends[doc]:
+            found = pos[hit]
+            docs = np.searchsorted(ends, found, "right")
+            for p, s, doc in zip(found.tolist(), slot[hit].tolist(), docs.tolist(), strict=True):
+                high = stops[doc]
+                if p + q > high:
                     continue
+                low = high - lens[doc]
                 for i, offset in places[s]:
-                    d, size = int(self.edits[i]), int(self.size[i])
-                    windows.update((w, size, doc) for w in range(max(low, p - offset - d), min(p - offset + d, int(ends[doc]) - 1) + 1))
+                    d, size = edits_of[i], size_of[i]
+                    if not d:
+                        if (doc, i) not in whole and p + size <= high and (flat[p : p + size] == self.words[i]).all():
+                            whole.add((doc, i))
+                            windows.add((p, size, doc))
+                        continue
+                    windows.update((w, size, doc) for w in range(max(low, p - offset - d), min(p - offset + d, high - 1) + 1))
         if not windows:
             return []
         out: dict[tuple[int, int], tuple] = {}
@@ -190,13 +200,14 @@ class Items:
 
 
 def _blocks(benchmark: DataFrame, at_once: int) -> Iterator[list]:
-    """The items, so many at a time: no more of the benchmark is ever with the driver or in a task."""
-    held = []
+    """The items, so many and so many bytes at a time: no more of the benchmark is ever with the driver or in a task."""
+    held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator():
         held.append((r["item_id"], bytes(r["text"] or b"")))
-        if len(held) == at_once:
+        size += len(held[-1][1])
+        if len(held) == at_once or size >= BYTES_AT_ONCE:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 

@@ -38,34 +38,40 @@ class UnitEncoder:
         self.wide = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in prints)}
         self.kept: dict[str, bytes] = {"\n": self._encode_any(["\n"])[0]}
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit. Letters alone, after a space or not, are one pre-token and go to the model straight; marks after them are another."""
-        out: list = [None] * len(units)
-        rest, kept = [], self.kept
-        tokenize, wide = self.tok.model.tokenize, self.wide
-        for k, u in enumerate(units):
+    def _encode(self, units: dict[str, bytes | None]) -> None:
+        """Fill in the ids of each unit; None stays where a unit holds other white space than one space before it.
+
+        Letters alone, after a space or not, are one pre-token and go to the model straight; marks after them are another.
+        """
+        kept, cached, longest = self.kept, self.cached, CACHED_CHARS
+        tokenize, wide, space = self.tok.model.tokenize, self.wide, self.wide[32]
+        rest = []
+        for u in units:
             word = u.rstrip(MARKS)
-            if not (word[1:] if word[:1] == " " else word).isalpha():
-                rest.append(k)
+            core = word[1:] if word[:1] == " " else word
+            if not core.isalpha():
+                if self._clean(u):
+                    rest.append(u)
                 continue
             ids = kept.get(word)
             if ids is None:
-                t = tokenize(word.encode().decode("latin-1").translate(wide))
+                if core.isascii():
+                    t = tokenize(core if core is word else space + core)
+                else:
+                    t = tokenize(word.encode().decode("latin-1").translate(wide))
                 ids = pack(f"<{len(t)}I", *[x.id for x in t])
-                if len(kept) < self.cached and len(word) <= CACHED_CHARS:
+                if len(kept) < cached and len(word) <= longest:
                     kept[word] = ids
             if len(word) < len(u):
                 marks = u[len(word) :]
                 more = kept.get(marks)
                 if more is None:
                     more = self._encode_any([marks])[0]
-                    if len(kept) < self.cached and len(marks) <= CACHED_CHARS:
+                    if len(kept) < cached and len(marks) <= longest:
                         kept[marks] = more
                 ids += more
-            out[k] = ids
-        for k, ids in zip(rest, self._encode_any([units[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+            units[u] = ids
+        units.update(zip(rest, self._encode_any(rest), strict=True))
 
     def _encode_any(self, units: list[str]) -> list[bytes]:
         out = []
@@ -85,15 +91,13 @@ class UnitEncoder:
     @staticmethod
     def _clean(unit: str) -> bool:
         """No white space but one space before."""
-        if unit.isalpha():
-            return True
         rest = unit[1:] if unit[:1] == " " else unit
         return bool(rest) and len(rest.split()) == 1 and rest.strip() == rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         get, out, todo = self.kept.get, [], {}
         whole: list[int] = []
-        open_: list[tuple[list, list, list]] = []
+        open_: list[tuple[int, list, list]] = []
         for k, text in enumerate(texts):
             got: list = []
             out.append(got)
@@ -104,25 +108,27 @@ class UnitEncoder:
                 continue
             units = self._units(text)
             got += map(get, units)
-            missed = [i for i, g in enumerate(got) if g is None]
-            if missed:
-                new = {u for i in missed if (u := units[i]) not in todo}
-                if all(map(self._clean, new)):
-                    todo.update(dict.fromkeys(new))
-                    open_.append((got, units, missed))
-                else:
-                    whole.append(k)
-                    got.clear()
+            if None in got:
+                missed = [i for i, g in enumerate(got) if g is None]
+                for i in missed:
+                    todo[units[i]] = None
+                open_.append((k, units, missed))
         if todo:
-            names, kept = list(todo), self.kept
-            for u, b in zip(names, self._encode(names), strict=True):
-                todo[u] = b
-                # a word alone is kept by _encode; with marks it is worth a place only while there is much room
-                if len(kept) < self.cached // 2 and len(u) <= CACHED_CHARS:
-                    kept[u] = b
-            for got, units, missed in open_:
+            self._encode(todo)
+            kept, room = self.kept, self.cached // 2
+            for k, units, missed in open_:
+                got = out[k]
                 for i in missed:
                     got[i] = todo[units[i]]
+                if None in got:  # a unit that can't stand alone
+                    whole.append(k)
+                    got.clear()
+            # a word alone is kept by _encode; with marks it is worth a place only while there is much room
+            for u, b in todo.items():
+                if len(kept) >= room:
+                    break
+                if b is not None and len(u) <= CACHED_CHARS:
+                    kept[u] = b
         done = [b"".join(got) for got in out]
         for k in whole:
             done[k] = self._encode_any([texts[k]])[0]

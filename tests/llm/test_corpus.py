@@ -591,6 +591,30 @@ def test_token_file_ranges_and_odd_rows(spark, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(nothing(spark), folder), folder).count() == 0
 
 
+def test_token_files_end_at_a_number_of_documents(spark, tmp_path):
+    folder = f"file://{tmp_path}/small"
+    df = spark.createDataFrame([(k, None) for k in range(10)], "doc_id long, text string").coalesce(1)
+    manifest = token_files.write_token_files(df, folder, file_docs=2)
+    assert max(r["n_docs"] for r in manifest.collect()) == 2
+    got = sorted(tuple(r) for r in token_files.read_token_files(manifest, folder).collect())
+    assert got == [(k, k, 1, zlib.crc32(bytes(4))) for k in range(10)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from tonequarry.llm.common import shared_dir
+
+    def session(master):
+        unset = SimpleNamespace(isDefined=lambda: False)
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+
+    assert shared_dir(session("local[4]")).startswith("file://")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+
+
 # 8
 
 

@@ -16,12 +16,18 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of its own if driver and
+    executors are one process (``local`` masters, as in tests); on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = got.get() if got.isDefined() else None
-    return (named or f"file://{tempfile.gettempdir()}/checkpoints/tonequarry-{os.getuid()}").rstrip("/")
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/checkpoints/tonequarry-{os.getuid()}"
+    return named.rstrip("/")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:

@@ -6,7 +6,8 @@ all of them open, the fullest leaves. What is still open at a partition's end is
 ids and merged, some partitions at a time, into full windows, cut where needed.
 
 Nulls and empty texts give one piece that holds the end id alone. Repeated rows and ids are packed
-as often as they occur. An empty table gives no rows. Extra columns are ignored.
+as often as they occur. A very long text is encoded whole and leaves in full windows at once. Ties: of windows that
+fit equally well the one opened first. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -2,8 +2,10 @@
 
 A stable 64-bit key of each row walks through jumps to its shard: no ring table, and one more shard
 takes rows only into itself. Rows with a null id share one fixed key. Repeated ids go to one shard
-together; an empty table gives no rows; extra columns are ignored by ``shard_plan`` and kept by
-``write_shards``.
+together, repeated rows too, each with a slot of its own. Ties in the order of slots go by the text's crc32, then its
+size; rows equal in all three are alike in the result. Null texts have size 1; texts of any length are only measured
+and hashed. An empty table gives no rows; extra columns, whatever their names, are ignored by ``shard_plan`` and kept
+by ``write_shards``.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ products with all of them are even, so each pair within the radius agrees in tha
 missed. Pairs are compared where they meet, block by block, and only spanning links leave a block.
 
 Null and empty texts have fingerprint zero and are linked like any other. A row with a null doc_id
-gets its group's smallest doc_id (null if there is none). Repeated rows are kept. An empty table
-gives no rows. Extra columns are ignored.
+gets its group's smallest doc_id (null if there is none). Repeated rows are kept. Very long texts are hashed
+65,536 shingles at a time. Ties: a bit set in just half the hashes is 0. An empty table gives no rows. Extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,8 +5,11 @@ index's length as eight bytes, and ``MAGIC`` again. The index has for each block
 and its planes' places and lengths, and for each document its id and length. Blocks are read on
 their own: ``read_ids`` opens only those that a range needs.
 
-Null texts are empty; each document ends with the end id, so an empty one has one id. Repeated ids
-stay in the order of their texts' hashes. An empty table gives no files and no rows.
+A file ends at ``FILE_IDS`` ids or ``FILE_DOCS`` documents, so an index of a file is bounded and files of empty
+texts are too. Null texts are empty; each document ends with the end id, so an empty one has one id. Rows of one id
+stand in the order of their texts' hashes, equal rows one after the other; null ids come first. Very long texts are
+encoded whole and written block by block. An empty table gives no files and no rows. Extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import n_parts, shared_path, table, written
 from tonequarry.llm.tokens import encoder, vocabulary_path
 
-MAGIC, END_ID, BLOCK_IDS, FILE_IDS = b"TQPLANE1", 0, 1 << 16, 1 << 23
+MAGIC, END_ID, BLOCK_IDS, FILE_IDS, FILE_DOCS = b"TQPLANE1", 0, 1 << 16, 1 << 23, 1 << 18
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -123,7 +127,7 @@ class PlaneReader:
             yield doc, b"".join(parts)
 
 
-def _write(vocabulary: str, folder: str, end_id: int, bits: bool, file_ids: int):
+def _write(vocabulary: str, folder: str, end_id: int, bits: bool, file_ids: int, file_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -147,7 +151,7 @@ def _write(vocabulary: str, folder: str, end_id: int, bits: bool, file_ids: int)
                         w = PlaneWriter(store.open_output_stream(f"{base}/{name}"), bits)
                     w.add(doc, ids + end)
                     n += len(ids) // 4 + 1
-                    if n >= file_ids:
+                    if n >= file_ids or len(w.docs) >= file_docs:
                         close()
         if w is not None:
             close()
@@ -157,12 +161,12 @@ def _write(vocabulary: str, folder: str, end_id: int, bits: bool, file_ids: int)
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, bits: bool = False, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order to files in ``folder``; return the manifest, a row per file:
     part, file, name, n_docs, n_ids. Only files in the manifest count."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranged = docs.repartitionByRange(n_parts(docs.sparkSession), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = ranged.mapInArrow(_write(path or vocabulary_path(), folder, end_id, bits, file_ids), "part long, file long, name string, n_docs long, n_ids long")
+    manifest = ranged.mapInArrow(_write(path or vocabulary_path(), folder, end_id, bits, file_ids, file_docs), "part long, file long, name string, n_docs long, n_ids long")
     return written(manifest, "manifest")
 
 
@@ -180,11 +184,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for name, start in zip(b["name"].to_pylist(), b["start"].to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{name}") as src:
-                    rows = []
-                    for doc, ids in PlaneReader(src).documents():
-                        rows.append((doc, start, len(ids) // 4, zlib.crc32(ids)))
-                        start += len(ids) // 4
-                    if rows:
+                    found = PlaneReader(src).documents()
+                    while True:
+                        rows = []
+                        for doc, ids in islice(found, 10_000):
+                            rows.append((doc, start, len(ids) // 4, zlib.crc32(ids)))
+                            start += len(ids) // 4
+                        if not rows:
+                            break
                         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "name string, start long").repartition(max(1, min(len(files), 4 * n_parts(spark))))

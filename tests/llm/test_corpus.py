@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, near_copies, packing, registry, sharding, simhash, token_files, tokens
 from tonequarry.llm.common import table
-from tonequarry.llm.components import connected_components
+from tonequarry.llm.components import connected_components, local_roots, roots_of
 
 #: Rows every text operator must take: nulls, empties, no words, no letters, repeats, long texts.
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "12 34 !?"), (5, "word"), (5, "word"), (None, "a null id"), (6, "long words " * 3000), (7, "x" * 5000), (8, "Under the MIT License. under the mit license"), (9, "été ÀÉ ½")]
@@ -70,6 +70,17 @@ def test_components(spark):
         assert all(v == k for k, v in want.items() if k not in got)
 
 
+def test_local_roots():
+    rng = np.random.default_rng(2)
+    for n, share in ((1, 0.0), (30, 0.02), (60, 0.05), (40, 0.0), (50, 0.5)):
+        m = rng.random((n, n)) < share
+        m |= m.T
+        np.fill_diagonal(m, False)
+        want = union(list(zip(*np.nonzero(m), strict=True)), range(n))
+        i, j = np.nonzero(m)
+        assert local_roots(m).tolist() == roots_of(i, j, n).tolist() == [want[k] for k in range(n)]
+
+
 def test_unit_encoder_equals_library():
     rng = random.Random(1)
     parts = ["a", "it's", " ", "  ", "\n", "\n\n", "\t", "x", "é", "12", "!?", " ", "　", "<|endoftext|>", "don't", "\r\n", "\0", "ñ́", "'s", "..."]

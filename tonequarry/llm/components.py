@@ -22,6 +22,22 @@ def local_roots(adjacent: np.ndarray) -> np.ndarray:
         root = new
 
 
+def roots_of(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """As ``local_roots``, of pairs in both directions that are sorted by ``i``: work follows the pairs."""
+    root = np.arange(n)
+    if not len(i):
+        return root
+    start = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    own = i[start]
+    while True:
+        new = root.copy()
+        new[own] = np.minimum(root[own], np.minimum.reduceat(root[j], start))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     return r[0], r[1]

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.llm.common import clustered, table, written
-from tonequarry.llm.components import connected_components, local_roots
+from tonequarry.llm.components import connected_components, roots_of
 
 THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.9999, 1000, 1024, 5
 #: More buckets than this with several blocks are joined instead of broadcast.
 BROADCAST_BUCKETS = 200_000
 #: Rounding of a product of two unit vectors in single precision, generously.
-SLACK = 5e-5
+SLACK = 2e-5
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -112,26 +112,23 @@ def _compare(threshold: float, signs: int):
                 x = (q * scale[:, None]).astype(np.float32)
                 cos = x @ x.T
                 # a vector's rounding is at most half a step in each component
-                doubt = scale * 0.5 * math.sqrt(dim) + SLACK
-                doubt = (doubt[:, None] + doubt[None, :]).astype(np.float32)
+                doubt = float(scale.max()) * math.sqrt(dim) + 2 * SLACK
                 near = cos >= threshold - doubt
                 if g["bi"][0].as_py() != g["bj"][0].as_py():
                     near &= own[:, None] != own[None, :]  # pairs within a block are another task's
                 np.fill_diagonal(near, False)
-                if not near.any():
+                i, j = np.nonzero(near)
+                if not len(i):
                     continue
-                open_ = near & (cos <= threshold + doubt)
-                near &= ~open_
+                open_ = cos[i, j] <= threshold + doubt
                 rep, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
                 sig = _signs_of(q, signs, tab) if tab else np.empty((e - s, 0), np.int32)
-                i, j = np.nonzero(near)
                 fresh = _unmet(sig, i, j)
-                links = np.bincount(i[fresh], weight[j[fresh]], e - s).astype(np.int64)
-                root = local_roots(near)
+                links = np.bincount(i[fresh & ~open_], weight[j[fresh & ~open_]], e - s).astype(np.int64)
+                root = roots_of(i[~open_], j[~open_], e - s)
                 told = np.flatnonzero((links > 0) | (root != np.arange(e - s)))
-                i, j = np.nonzero(np.triu(open_))
-                fresh = _unmet(sig, i, j)
-                i, j = i[fresh], j[fresh]
+                open_ &= fresh & (i < j)
+                i, j = i[open_], j[open_]
                 n, z = len(told), len(i)
                 cols = [np.append(rep[told], rep[i]), np.append(links[told], weight[j]), np.append(rep[root[told]], rep[j]), np.append(np.zeros(n, np.int64), weight[i]), np.append(np.zeros(n, bool), np.ones(z, bool))]
                 yield pa.record_batch([pa.array(c) for c in cols], names=["rep", "links", "root", "other_links", "open"])

@@ -32,8 +32,8 @@ from tonequarry.llm.components import connected_components, roots_of
 THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.9, 0.9999, 1000, 1024, 5
 #: More buckets than this with several blocks are joined instead of broadcast.
 BROADCAST_BUCKETS = 200_000
-#: Rounding of a product of two unit vectors in single precision, generously.
-SLACK = 2e-5
+#: Rounding of a product of two unit vectors in single precision, generously: for each component, and for what comes before.
+SLACK, SLACK_BEFORE = 2e-7, 1e-5
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -112,7 +112,7 @@ def _compare(threshold: float, signs: int):
                 x = (q * scale[:, None]).astype(np.float32)
                 cos = x @ x.T
                 # a vector's rounding is at most half a step in each component
-                doubt = float(scale.max()) * math.sqrt(dim) + 2 * SLACK
+                doubt = float(scale.max()) * math.sqrt(dim) + SLACK * dim + SLACK_BEFORE
                 near = cos >= threshold - doubt
                 if g["bi"][0].as_py() != g["bj"][0].as_py():
                     near &= own[:, None] != own[None, :]  # pairs within a block are another task's

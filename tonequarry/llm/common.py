@@ -54,7 +54,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tq_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more; shuffles of finished steps leave the executors' disks."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._tq_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        # shuffle files go once the driver has collected the plans that made them
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Order statistics under the conventions the measurements need, as aggregate columns.
 
-Three percentile ranks and two medians are in use and they differ, so each has a name here. The
-aggregates hold a group's values: groups are clips, users or categories. For a whole library use
-``ranked_value``, which sorts and spills instead.
+Three percentile ranks and two medians are in use and they differ, so each has a name here.
+The
+aggregates hold a group's values: groups are clips, users or categories. ``ranked_value`` sorts within a group and spills; ``exact_ranks`` takes a whole table,
+counting in bins.
 """
 
 from __future__ import annotations
@@ -48,6 +49,30 @@ def upper_median(col: Column | str) -> Column:
     return F.when(F.size(v) > 0, _at(v, F.floor(F.size(v) / 2)))
 
 
+def exact_ranks(df: DataFrame, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """pick and value: the values of a whole table at given ranks (from 0; columns of ``n``, the number of values; a rank per pick).
+
+    Equal values are counted together first. A value's bin is its size on a scale of logarithms, then its place among 4096 in
+    the bin: two small tables of counts tell where a rank lies, and only the values of that place are ordered.
+    """
+    v = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    v = v.withColumn("b1", F.floor(F.asinh("x") * 64))
+    upto = lambda w: F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    holds = (F.col("rank") >= F.col("upto") - F.col("c")) & (F.col("rank") < F.col("upto"))
+    # a bin for each 64th of a logarithm: some thousands at most, however many rows
+    bins = v.groupBy("b1").agg(F.sum("c").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    bins = bins.withColumn("upto", upto(Window.orderBy("b1"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("pick"), r.cast("long").alias("rank")) for p, r in ranks.items()]))
+    bins = bins.withColumn("w", wanted).select("b1", "c", "lo", "hi", "upto", "w.*").filter(holds)
+    bins = bins.select("b1", "lo", "hi", "pick", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    b2 = F.least(F.lit(4095), F.floor((F.col("x") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * 4096))
+    inner = v.join(F.broadcast(bins), "b1").withColumn("b2", b2)  # a row for each pick
+    places = inner.groupBy("pick", "rank", "b2").agg(F.sum("c").alias("c")).withColumn("upto", upto(Window.partitionBy("pick").orderBy("b2"))).filter(holds)
+    places = places.select("pick", "b2", (F.col("rank") - F.col("upto") + F.col("c")).alias("_r"))
+    last = inner.drop("rank").join(F.broadcast(places), ["pick", "b2"]).withColumnRenamed("_r", "rank")
+    return last.withColumn("upto", upto(Window.partitionBy("pick").orderBy("x"))).filter(holds).select("pick", F.col("x").alias("value"))
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, median and median absolute deviation (both with averaged middles) of ``value`` by ``keys``: two aggregations, no window over a group."""
     mid = df.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"))

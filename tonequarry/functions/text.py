@@ -116,6 +116,43 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def general(number: pd.Series) -> pd.Series:
+    """A number with six significant digits and no zeros at its end, as reports print it; a dash for null. Reports are short: this is for their cells."""
+    return number.map(lambda x: "—" if pd.isna(x) else f"{x:g}")
+
+
+def dbfs_cell(value: Column) -> Column:
+    """A level with its sign and two decimals; -inf for null and what isn't finite."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(finite, F.concat(F.format_string("%+.2f", F.bround(value, 2)), F.lit(" dBFS"))).otherwise("-inf dBFS")
+
+
+def two_decimals(value: Column) -> Column:
+    """Two decimals, a dash for null."""
+    return F.when(value.isNull(), "—").otherwise(F.format_string("%.2f", F.bround(value.cast("double"), 2)))
+
+
+def quoted(value: Column) -> Column:
+    """Text for a shell's single quotes: each quote doubled."""
+    return F.replace(value, F.lit("'"), F.lit("''"))
+
+
+def first_line(text: Column, limit: int = 80) -> Column:
+    """The first line without white space around it, ``limit`` characters at most; '' for null."""
+    return F.left(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)[\r\n].*$", "")), F.lit(limit))
+
+
+def json_get(document: Column, path: str, default: Column) -> Column:
+    """What lies at a path such as ``$.a.b`` of a JSON text; ``default`` where it is missing, null or no JSON."""
+    return F.coalesce(F.get_json_object(document, path), default)
+
+
+def clip_stamp(when: Column) -> Column:
+    """The day in a clip's name: yyyyMMdd."""
+    return F.date_format(when, "yyyyMMdd")
+
+
 def timecode(seconds: Column) -> Column:
     """MM:SS.mmm"""
     ms = F.bround(seconds * 1000, 0).cast("long")

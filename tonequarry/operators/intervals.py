@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonequarry.functions.stats import nearest_rank, upper_median
+from tonequarry.functions.stats import exact_ranks, upper_median
 from tonequarry.functions.text import normalized, similarity
 
 
@@ -67,8 +67,9 @@ def best_overlap(states: DataFrame, activity: DataFrame, keys: list[str], bucket
     return out.withColumn(activity_id, F.col(f"m.{activity_id}")).withColumn("overlap", F.coalesce("m._seconds", F.lit(0.0))).withColumn("voice_start", F.when(F.col("overlap") / span >= share, F.col("m.right_start"))).drop("m")
 
 
-def least_covered(activity: DataFrame, states: DataFrame, keys: list[str], bucket: float, activity_id: str, share: float = 0.2) -> DataFrame:
-    """Activities of which no state covers ``share``, where the key has states at all."""
+def least_covered(activity: DataFrame, states: DataFrame, keys: list[str], bucket: float, activity_id: str, share: float = 0.2, least: float = 0.15) -> DataFrame:
+    """Activities of ``least`` seconds or more of which no state covers ``share``, where the key has states at all."""
+    activity = activity.filter(F.col("end") - F.col("start") >= least)
     pairs = overlap_join(activity.select(*keys, activity_id, "start", "end"), states.select(*keys, "start", "end"), keys, bucket)
     most = pairs.groupBy(*keys, activity_id).agg(F.max(overlap_seconds(F.col("start"), F.col("end"), F.col("right_start"), F.col("right_end"))).alias("most"))
     some = activity.join(states.select(*keys).distinct(), keys, "left_semi")
@@ -182,6 +183,20 @@ def difference_counts(found: DataFrame) -> DataFrame:
     return dim.join(n, "category", "left").select("rank", "category", zero("total").alias("total"), zero("confirmed").alias("confirmed"), (zero("total") - zero("confirmed")).alias("suspected"))
 
 
+def in_report_order(found: DataFrame) -> DataFrame:
+    """Findings by category in report order, then by index as text; sorted by range."""
+    return found.orderBy(F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category")), "idx")
+
+
 def offset_stats(df: DataFrame, offset: str = "offset_ms", warn_ms: float = 150.0, fail_ms: float = 250.0) -> DataFrame:
-    a = F.abs(offset)
-    return df.filter(F.col(offset).isNotNull()).agg(F.count("*").alias("evaluated"), F.median(a).alias("median_ms"), nearest_rank(a, 0.9).alias("p90_ms"), F.max(a).alias("max_ms"), F.count_if(a > warn_ms).alias("n_exceed"), F.count_if(a > fail_ms).alias("n_fail"))
+    """One row over all offsets: how many, median, 90th percentile (nearest rank) and largest of their sizes, how many are beyond the limits.
+
+    Ranks are found by counting in bins, so no task holds the offsets.
+    """
+    a = df.filter(F.col(offset).isNotNull()).select(F.abs(offset).cast("double").alias("a"))
+    last = F.col("n") - 1
+    ranks = {"p90": F.greatest(F.lit(0), F.bround(0.9 * last, 0)), "low": F.floor(last / 2), "high": F.ceil(last / 2)}
+    at = exact_ranks(a, "a", ranks).groupBy().agg(*[F.max(F.when(F.col("pick") == p, F.col("value"))).alias(p) for p in ranks])
+    counts = a.agg(F.count("*").alias("evaluated"), F.max("a").alias("max_ms"), F.count_if(F.col("a") > warn_ms).alias("n_exceed"), F.count_if(F.col("a") > fail_ms).alias("n_fail"))
+    one = counts.withColumn("_k", F.lit(1)).join(at.withColumn("_k", F.lit(1)), "_k")  # a row each
+    return one.select("evaluated", ((F.col("low") + F.col("high")) / 2).alias("median_ms"), F.col("p90").alias("p90_ms"), "max_ms", "n_exceed", "n_fail")

@@ -54,7 +54,7 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     """Groups of files of one hash: by file, then by content where those are not the same files.
 
     A content group is told apart from a file group by its size and the sum of its paths' hashes, so no list of
-    paths is compared. Columns: by, hash, n_files, keeper, n_names, n_dirs, n_canonical, kind, severity, recoverable_bytes.
+    paths is compared. Columns: by, hash, n_files, keeper, one_name, one_dir, one_canonical, kind, severity, recoverable_bytes.
     """
     rows = files.withColumns({"_name": base_name(F.col("path")), "_dir": parent(F.col("path")), "_canon": canonical_name(F.col("path"))})
     both = rows.select(F.explode(F.array(F.struct(F.lit("file").alias("by"), F.col("file_sha256").alias("hash")), F.struct(F.lit("content").alias("by"), F.nullif(F.col("content_sha256"), F.lit("")).alias("hash")))).alias("g"), "path", "size_bytes", "_name", "_dir", "_canon").select("g.*", "path", "size_bytes", "_name", "_dir", "_canon").filter("hash is not null")
@@ -63,14 +63,14 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
         F.min("path").alias("keeper"),
         F.min_by("size_bytes", "path").alias("_keeper_size"),
         F.sum("size_bytes").alias("_size"),
-        F.count_distinct("_name").alias("n_names"),
-        F.count_distinct("_dir").alias("n_dirs"),
-        F.count_distinct("_canon").alias("n_canonical"),
+        (F.min("_name") == F.max("_name")).alias("one_name"),
+        (F.min("_dir") == F.max("_dir")).alias("one_dir"),
+        (F.min("_canon") == F.max("_canon")).alias("one_canonical"),
         F.sum(F.xxhash64("path").cast("decimal(38,0)")).alias("_paths"),
     ).filter("n_files > 1")
     exact = groups.filter("by = 'file'").select("keeper", "n_files", "_paths")
     groups = groups.filter("by = 'file'").unionByName(groups.filter("by = 'content'").join(exact, ["keeper", "n_files", "_paths"], "left_anti").select(groups.columns))
-    kind = F.when((F.col("n_names") == 1) & (F.col("n_dirs") > 1), "redundant_copy").when(F.col("n_canonical") == 1, "equivalent_naming").otherwise("duplicate_asset")
+    kind = F.when(F.col("one_name") & ~F.col("one_dir"), "redundant_copy").when(F.col("one_canonical"), "equivalent_naming").otherwise("duplicate_asset")
     groups = groups.withColumn("kind", kind)
     return groups.withColumn("severity", F.when(F.col("kind") == "equivalent_naming", "INFO").otherwise("WARN")).withColumn(
         "recoverable_bytes", F.when(F.col("kind") == "redundant_copy", F.col("_size") - F.col("_keeper_size")).otherwise(F.lit(0))
@@ -106,6 +106,29 @@ def loudness_outliers(files: DataFrame, groups: DataFrame, cfg: Thresholds = Thr
     return loud.join(groups.filter("evaluated"), "category").withColumn("delta", F.col("lufs") - F.col("basis")).filter("abs(delta) > tolerance").select("path", "category", "lufs", "delta")
 
 
+def loudness_hits(groups: DataFrame, outliers: DataFrame) -> DataFrame:
+    """``groups`` with hits: the outliers of each category, zero included."""
+    n = outliers.groupBy("category").agg(F.count("*").alias("hits"))
+    return groups.join(n, "category", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def duplicates_in_order(groups: DataFrame) -> DataFrame:
+    """Duplicate groups, the worst first, then by the file that is kept; sorted by range."""
+    return groups.orderBy(severity_order(F.col("severity")), "keeper")
+
+
+def results_in_order(files: DataFrame) -> DataFrame:
+    """Files by path, sorted by range."""
+    return files.orderBy("path")
+
+
+def audio_else_video(files: DataFrame, is_audio: Column) -> DataFrame:
+    """Of each folder the audio files, or all of them where it has none: one small aggregate by folder, joined back."""
+    f = files.withColumn("_folder", parent(F.col("path"))).withColumn("_audio", is_audio)
+    some = f.groupBy("_folder").agg(F.bool_or("_audio").alias("_some"))
+    return f.join(some, "_folder").filter("_audio or not _some").select(files.columns)
+
+
 def below_gate(files: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
     return files.filter(F.col("lufs") <= cfg.lufs_gate_floor).select("path", "lufs")
 

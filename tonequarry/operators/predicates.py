@@ -34,11 +34,18 @@ def has_marker(name: Column, markers: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(m.lower()) for m in markers]), lambda m: F.contains(low, m))
 
 
+def look_up(items: DataFrame, keys: list[str], name: str, fragment: Column) -> DataFrame:
+    """By key how many names hold the fragment, whatever its case (n_hits), and the name if it is the only one."""
+    hit = F.coalesce(F.contains(F.lower(F.col(name)), F.lower(fragment)), F.lit(False))
+    g = items.groupBy(*keys).agg(F.count_if(hit).alias("n_hits"), F.min(F.when(hit, F.col(name))).alias(name))
+    return g.withColumn(name, F.when(F.col("n_hits") == 1, F.col(name)))
+
+
 def the_one(items: DataFrame, keys: list[str], name: str, fragment: Column) -> DataFrame:
     """By key the only name that holds the fragment; the query fails where several do. Keys without a hit have none."""
-    hits = items.filter(F.contains(F.lower(F.col(name)), F.lower(fragment))).groupBy(*keys).agg(F.count("*").alias("_n"), F.min(name).alias(name))
-    ambiguous = F.raise_error(F.format_string("%d names match", "_n")).cast("string")
-    return hits.select(*keys, F.when(F.col("_n") == 1, F.col(name)).otherwise(ambiguous).alias(name))
+    ambiguous = F.raise_error(F.format_string("%d names match", "n_hits")).cast("string")
+    hits = look_up(items, keys, name, fragment).filter("n_hits > 0")
+    return hits.select(*keys, F.when(F.col("n_hits") == 1, F.col(name)).otherwise(ambiguous).alias(name))
 
 
 def first_item(items: DataFrame, keys: list[str], wanted: Column, order: str) -> DataFrame:

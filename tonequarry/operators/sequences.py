@@ -1,12 +1,12 @@
 """Sequence operators over time-ordered rows of a key: islands, windows, change points, folds, schedules.
 
 Windows are partitioned by the key of one clip, user or device; their rows are sorted on disk where
-needed. Folds that depend on what they took before (greedy picks, debounce) run on one key's sorted
-array inside the JVM.
+needed. Debounce is a window; greedy picks, which depend on what they took before, stream over sorted candidates.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,6 +72,23 @@ def change_points(rows: DataFrame, keys: list[str], order: list[str], vector: Co
     return d.withColumn("segment", 1 + F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_n")
 
 
+def segment_means(segmented: DataFrame, keys: list[str], onset: str = "onset", means: dict[str, int] = {"centroid_hz": 1, "low_ratio": 4, "decay": 4}) -> DataFrame:  # noqa: B006
+    """A row per segment of ``change_points``: first and last step, steps, start_s, end_s, the mean of each feature (with so many digits) and boundary_step, the first step of all segments but the first."""
+    means = [F.bround(F.avg(c), d).alias(f"mean_{c}") for c, d in means.items()]
+    s = segmented.groupBy(*keys, "segment").agg(F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count("*").alias("steps"), F.min(onset).alias("start_s"), F.max(onset).alias("end_s"), *means)
+    return s.withColumn("boundary_step", F.when(F.col("segment") > 1, F.col("first_step")))
+
+
+def step_gaps(rows: DataFrame, keys: list[str], onset: str = "onset") -> DataFrame:
+    """Add step_gap: seconds since the step before, to the millisecond; null for the first."""
+    return rows.withColumn("step_gap", F.bround(F.col(onset) - F.lag(onset).over(Window.partitionBy(*keys).orderBy(onset)), 3))
+
+
+def step_gap_stats(gaps: DataFrame, keys: list[str]) -> DataFrame:
+    """By key the number of gaps and their upper median."""
+    return gaps.filter("step_gap is not null").groupBy(*keys).agg(F.count("*").alias("n_gaps"), upper_median("step_gap").alias("median_gap"))
+
+
 def transitions(segmented: DataFrame, keys: list[str], floor: float = 0.3) -> DataFrame:
     """The first step of each segment but the first: distances to the steps before and after, jitter, and whether it differs from both.
 
@@ -115,9 +132,21 @@ def greedy_peaks(df: DataFrame, keys: list[str], order: str, value: str, thresho
     """Local maxima (not below either neighbour) at or above the threshold, each ``gap`` rows at least after the last one taken: keys, order."""
     w = Window.partitionBy(*keys).orderBy(order)
     c = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).filter((F.col(value) >= threshold) & (F.col(value) >= F.col("_p")) & (F.col(value) >= F.col("_n")))
-    a = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(order).cast("long"))).alias("_c"))
-    taken = F.aggregate("_c", F.array().cast("array<long>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return a.select(*keys, F.explode(taken).alias(order))
+    c = c.select(*keys, F.col(order).cast("long").alias(order))
+
+    def take(batches):
+        own, last = None, 0
+        for b in batches:
+            names = list(zip(*(b[k].to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
+            keep = []
+            for name, at in zip(names, b[order].to_pylist(), strict=True):
+                keep.append(name != own or at - last >= gap)
+                if keep[-1]:
+                    own, last = name, at
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    # candidates stream by in order: one place is held, not a key's candidates
+    return c.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(take, c.schema)
 
 
 def schedule(steps: DataFrame, keys: list[str], order: str, dwell: str, lead_in: float = 8.0, scale: float = 1.0) -> DataFrame:

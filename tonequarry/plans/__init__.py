@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tonequarry.plans import media, reports, timelines
+from tonequarry.plans import media, reports, sessions, timelines
 
-_MODULES = (media, timelines, reports)
+_MODULES = (media, timelines, reports, sessions)
 
 
 def queries() -> dict:

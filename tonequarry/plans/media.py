@@ -142,11 +142,10 @@ def a12_framing(spark, sf_dir):
     return _one(spark, sf_dir).select("vec_id", F.posexplode(f).alias("frame", "s")).select("vec_id", F.col("frame").cast("long"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT vec_id, sha256(CAST(embedding AS VARCHAR)) IS NOT NULL AS hashed, count(*) OVER (PARTITION BY embedding) AS n_same FROM embeddings")
+@query("SELECT doc_id, sha256(text) AS hash, count(*) OVER (PARTITION BY text) AS n_same FROM documents")
 def a18_content_hash(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("h", F.sha2(F.to_json("embedding"), 256))
-    n = e.groupBy("h").agg(F.count("*").alias("n_same"))
-    return e.join(n, "h").select("vec_id", F.col("h").isNotNull().alias("hashed"), "n_same")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return d.join(d.groupBy("hash").agg(F.count("*").alias("n_same")), "hash").select("doc_id", "hash", "n_same")
 
 
 def _judged(spark, sf_dir):
@@ -262,9 +261,9 @@ _DOCS = """df AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 7, '0')
   CASE doc_id % 4 WHEN 0 THEN 'Loop_A#3_' || lang WHEN 1 THEN 'Loop_Bb3_' || lang ELSE 'take_' || doc_id END AS nm, source || '/' || doc_id AS dir,
   n_chars AS size_bytes, sha256(text) AS file_sha256, sha256(lower(text)) AS content_sha256 FROM documents),
 g0 AS (SELECT 'file' AS "by", file_sha256 AS hash, * FROM df UNION ALL SELECT 'content', content_sha256, * FROM df),
-g1 AS (SELECT "by", hash, count(*) AS n_files, min(path) AS keeper, count(DISTINCT nm) AS n_names, count(DISTINCT dir) AS n_dirs, count(DISTINCT canon) AS n_canonical, sum(size_bytes) - arg_min(size_bytes, path) AS rest, list_sort(list(path)) AS ps FROM g0 GROUP BY ALL HAVING count(*) > 1),
-g2 AS (SELECT *, CASE WHEN n_names = 1 AND n_dirs > 1 THEN 'redundant_copy' WHEN n_canonical = 1 THEN 'equivalent_naming' ELSE 'duplicate_asset' END AS kind FROM g1 WHERE "by" = 'file' OR ps NOT IN (SELECT ps FROM g1 WHERE "by" = 'file')),
-dg AS (SELECT "by", hash, n_files, keeper, n_names, n_dirs, n_canonical, kind, CASE kind WHEN 'equivalent_naming' THEN 'INFO' ELSE 'WARN' END AS severity, CAST(CASE kind WHEN 'redundant_copy' THEN rest ELSE 0 END AS BIGINT) AS recoverable_bytes FROM g2)"""
+g1 AS (SELECT "by", hash, count(*) AS n_files, min(path) AS keeper, count(DISTINCT nm) = 1 AS one_name, count(DISTINCT dir) = 1 AS one_dir, count(DISTINCT canon) = 1 AS one_canonical, sum(size_bytes) - arg_min(size_bytes, path) AS rest, list_sort(list(path)) AS ps FROM g0 GROUP BY ALL HAVING count(*) > 1),
+g2 AS (SELECT *, CASE WHEN one_name AND NOT one_dir THEN 'redundant_copy' WHEN one_canonical THEN 'equivalent_naming' ELSE 'duplicate_asset' END AS kind FROM g1 WHERE "by" = 'file' OR ps NOT IN (SELECT ps FROM g1 WHERE "by" = 'file')),
+dg AS (SELECT "by", hash, n_files, keeper, one_name, one_dir, one_canonical, kind, CASE kind WHEN 'equivalent_naming' THEN 'INFO' ELSE 'WARN' END AS severity, CAST(CASE kind WHEN 'redundant_copy' THEN rest ELSE 0 END AS BIGINT) AS recoverable_bytes FROM g2)"""
 
 
 @query(f"WITH {_DOCS} SELECT * FROM dg")

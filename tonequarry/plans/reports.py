@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tonequarry.functions.stats import median_mad, upper_median
 from tonequarry.operators import predicates as P
 from tonequarry.operators import spectral
-from tonequarry.plans import media, timelines
+from tonequarry.plans import media
 from tonequarry.plans.media import table
 from tonequarry.sources import reports as W
 
@@ -47,12 +46,6 @@ def p13_steps(spark, sf_dir):
     return P.select_steps(table(spark, sf_dir, "events"), ["click", "view"], "event_type").select("event_id")
 
 
-@query("SELECT r_regionkey AS r, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = r_regionkey")
-def p17_the_one(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey = n_regionkey").withColumnRenamed("n_regionkey", "r")
-    return P.the_one(n, ["r"], "n_name", F.col("n_name"))
-
-
 @query("SELECT p_partkey, contains(lower(p_type), 'brass') OR contains(lower(p_type), 'steel') AS marked FROM part")
 def p18_markers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.has_marker(F.col("p_type"), ["BRASS", "steel"]).alias("marked"))
@@ -94,20 +87,6 @@ def g08_median_mad(spark, sf_dir):
     return s.select("user_id", "n", whole("median"), whole("mad"))
 
 
-@query("SELECT o_orderkey, CAST(c - (o_orderkey % 9 + 1) AS BIGINT) AS begins, CAST(c AS BIGINT) AS cursor FROM (SELECT o_orderkey, sum(o_orderkey % 9 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS c FROM orders)")
-def w15_macro_timeline(spark, sf_dir):
-    """When each action of a macro begins and where the cursor stands after it, without a lead-in."""
-    o = table(spark, sf_dir, "orders").withColumn("dwell", F.col("o_orderkey") % 9 + 1)
-    cursor = F.sum("dwell").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return o.select("o_orderkey", (cursor - F.col("dwell")).alias("begins"), cursor.alias("cursor"))
-
-
-@query("""WITH p AS (SELECT o_orderkey, 8 + sum(o_orderkey % 9 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - (o_orderkey % 9 + 1) AS planned FROM orders) SELECT o_orderkey, CAST(planned + o_orderkey % 3 - planned AS BIGINT) AS late_by FROM p""")
-def w16_late_by(spark, sf_dir):
-    at = timelines.w05_schedule(spark, sf_dir).withColumn("issued", F.col("at") + F.col("o_orderkey") % 3)
-    return at.select("o_orderkey", (F.col("issued") - F.col("at")).cast("long").alias("late_by"))
-
-
 _FOUND = "SELECT '| ' || path || ' | ' || \"check\" || ' | ' || severity || ' |' AS line"
 
 

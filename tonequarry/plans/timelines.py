@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonequarry.functions import text as X
-from tonequarry.functions.stats import upper_median
 from tonequarry.operators import intervals as I
 from tonequarry.operators import sequences as Q
 from tonequarry.plans.media import table
@@ -178,11 +177,6 @@ def w08_change_points(spark, sf_dir):
     return _segmented(spark, sf_dir).select("event_id", F.col("step").cast("long"), "segment")
 
 
-@query(f"WITH {_STEPS} SELECT user_id, CAST(segment AS BIGINT) AS segment, min(step) AS first_step, max(step) AS last_step, count(*) AS steps, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM c GROUP BY ALL")
-def g17_segment_means(spark, sf_dir):
-    return _segmented(spark, sf_dir).groupBy("user_id", "segment").agg(F.min("step").cast("long").alias("first_step"), F.max("step").cast("long").alias("last_step"), F.count("*").alias("steps"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
-
-
 @query(f"""WITH {_STEPS}, x AS (SELECT *, coalesce(lag(segment) OVER w <> segment, true) AS first, coalesce(lead(d) OVER w, 0.0) AS nxt FROM c WINDOW w AS (PARTITION BY user_id ORDER BY step)),
 j AS (SELECT user_id, coalesce(list_sort(list(d) FILTER (NOT first AND d IS NOT NULL))[(count(d) FILTER (NOT first)) // 2 + 1], 0) AS jitter FROM x GROUP BY 1)
 SELECT user_id, step AS boundary_step, least(d, nxt) > greatest(3 * jitter, 0.3) AS is_transition FROM x JOIN j USING (user_id) WHERE first AND segment > 1""")
@@ -244,21 +238,14 @@ def w17_vanished(spark, sf_dir):
     return Q.vanished(s, ["o_custkey"], "o_orderkey", "names")
 
 
-@query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 % 86400 AS time_s, value * 10 AS duration_ms FROM events WHERE event_id % 5 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_s, duration_ms) AS k FROM g), u AS (SELECT DISTINCT user_id FROM events)
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) / 1e6 % 86400 AS time_s, value * 10 AS duration_ms FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time_s, duration_ms) AS k FROM g), u AS (SELECT DISTINCT user_id FROM events)
 SELECT user_id, 1 AS frame, 5.0::DOUBLE AS t FROM u UNION ALL SELECT user_id, 2 * k, greatest(0.0, time_s - 0.6) FROM n WHERE 1 + 2 * k <= 6 UNION ALL SELECT user_id, 2 * k + 1, least(time_s + greatest(0.05, duration_ms / 2000), 86399.95) FROM n WHERE 1 + 2 * k <= 6""")
 def t06_keyframes(spark, sf_dir):
     e = _events(spark, sf_dir)
-    gaps = e.filter("id % 5 = 0").select("user_id", (F.col("start") % 86400).alias("time_s"), (F.col("value") * 10).alias("duration_ms"))
+    gaps = e.select("user_id", (F.col("start") % 86400).alias("time_s"), (F.col("value") * 10).alias("duration_ms"))
     return Q.keyframes(gaps, e.select("user_id").distinct().withColumn("duration", F.lit(86400.0)), ["user_id"]).select("user_id", F.col("frame").cast("long"), "t")
 
 
-@query("""WITH m AS (SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS med FROM events GROUP BY 1) SELECT event_id, CASE WHEN value < med * 0.5 THEN 'design' ELSE 'dropped_audio' END AS verdict FROM events JOIN m USING (user_id)""")
-def r24_gap_triage(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    m = e.groupBy("user_id").agg(upper_median("value").alias("med"))
-    return e.join(m, "user_id").select("event_id", F.when(F.col("value") < F.col("med") * 0.5, "design").otherwise("dropped_audio").alias("verdict"))
-
-
 @query("""SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '不可用' WHEN page_id % 2 + 1 < 2 OR page_id % 3 = 0 OR -40.0 - page_id % 11 < -45 OR page_id % 13 < 5 THEN '有警告但可用' ELSE '可用' END AS verdict FROM pages""")
 def r23_capture_verdict(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 7 == 0, 0.0005).otherwise(0.5).alias("peak"), (F.col("page_id") % 2 + 1).alias("channels"), F.when(F.col("page_id") % 3 == 0, 44100).otherwise(48000).alias("sample_rate"), (-40.0 - F.col("page_id") % 11).alias("lufs"), (F.col("page_id") % 13).alias("duration_s"))
@@ -280,18 +267,6 @@ def st3_sessions(spark, sf_dir):
     return recorder.sessions(_events(spark, sf_dir), ["user_id"], "start", "id", 7200.0).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT user_id, coalesce(max(try_cast(regexp_extract('take_r' || (event_id % 40), 'r(\\d+)$', 1) AS INT)), 0) + 1 AS next_take FROM events GROUP BY 1""")
-def g21_next_take(spark, sf_dir):
-    name = F.concat(F.lit("take_r"), (F.col("event_id") % 40).cast("string"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg((F.coalesce(F.max(F.regexp_extract(name, r"r(\d+)$", 1).try_cast("int")), F.lit(0)) + 1).alias("next_take"))
-
-
-@query("""WITH c AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, count(*) AS voices, count(*) FILTER (event_type = 'purchase') AS physical FROM events GROUP BY ALL) SELECT user_id, max(voices) AS peak_voices, max(physical) AS peak_physical FROM c GROUP BY 1""")
-def g20_peak_voices(spark, sf_dir):
-    c = _events(spark, sf_dir).groupBy("user_id", F.floor(F.col("start") / 3600).alias("h")).agg(F.count("*").alias("v"), F.count_if(F.col("kind") == "purchase").alias("p"))
-    return c.groupBy("user_id").agg(F.max("v").alias("peak_voices"), F.max("p").alias("peak_physical"))
-
-
 def _alignment(spark, sf_dir):
     """Turns as subtitles three seconds apart; what is heard is the same text, some of it late, missing or another."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

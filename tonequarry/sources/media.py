@@ -94,7 +94,8 @@ def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSION
         schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in AUDIO.split(", ")])
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                row = {"path": path, "size_bytes": len(content), "file_sha256": hashlib.sha256(content).hexdigest(), "content_sha256": "", "frames": 0, "chans": [], "error": None}
+                row = {"path": path, "size_bytes": len(content), "file_sha256": hashlib.sha256(content).hexdigest(), "content_sha256": "", "frames": 0, "error": None}
+                samples = np.zeros((0, 0), np.int64)
                 try:
                     via = "wave"
                     try:
@@ -105,11 +106,15 @@ def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSION
                         via, (rate, channels, width, pcm) = "external", decoder(content)
                     x = pcm_samples(pcm, width, channels)
                     full, lsb = {1: (128, 1), 2: (1 << 15, 1), 3: (1 << 31, 256), 4: (1 << 31, 1)}[width]
-                    row |= {"content_sha256": hashlib.sha256(pcm).hexdigest(), "decoded_via": via, "sample_rate": rate, "bit_depth": 8 * width, "channels": channels, "full_scale": full, "lsb": lsb, "frames": len(x), "chans": [c.tolist() for c in x.T]}
+                    row |= {"content_sha256": hashlib.sha256(pcm).hexdigest(), "decoded_via": via, "sample_rate": rate, "bit_depth": 8 * width, "channels": channels, "full_scale": full, "lsb": lsb, "frames": len(x)}
+                    samples = x
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's error
                     row["error"] = str(e) or type(e).__name__
                 # a file at a time: samples take many times a file's size
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                # samples go to Arrow as they lie in memory, channel by channel
+                ends = pa.array(np.arange(samples.shape[1] + 1) * len(samples), pa.int32())
+                chans = pa.ListArray.from_arrays(pa.array([0, samples.shape[1]], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(samples.T).ravel())))
+                yield pa.record_batch([chans if f.name == "chans" else pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
     return files.mapInArrow(run, AUDIO)
 
@@ -159,9 +164,9 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 REPORT = "files array<struct<path:string,status:string,findings:array<struct<check:string,severity:string,detail:map<string,string>>>>>"
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A row per file of scan reports in JSON."""
-    return spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline("files"))
+def read_report(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
+    """A row per file of scan reports in JSON. One that can't be read is an error; ``tolerant``: it has no files."""
+    return spark.read.schema(REPORT).option("multiLine", True).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path).select(F.inline("files"))
 
 
 def write_report(judged: DataFrame, path: str) -> None:

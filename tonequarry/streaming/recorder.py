@@ -67,3 +67,13 @@ def takes(events: DataFrame) -> DataFrame:
     e = events.withColumn("_started", F.last(F.when(F.col("state") == "started", F.col("t")), True).over(w)).withColumn("_stopped", F.max(F.when(F.col("state") == "stopped", F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     done = e.filter("state = 'stopped' and _started is not null and (_stopped is null or _started > _stopped)")
     return done.select("recorder", F.row_number().over(Window.partitionBy("recorder").orderBy("t")).alias("take"), F.col("_started").alias("started"), F.col("t").alias("stopped"), "path")
+
+
+def takes_with_marks(events: DataFrame) -> DataFrame:
+    """``takes`` with n_marks and first_mark (seconds from the start): what came, neither start nor stop, between a take's last start and its stop."""
+    w = Window.partitionBy("recorder").orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda state: F.last(F.when(F.col("state") == state, F.col("t")), True).over(upto)
+    m = events.withColumn("_start", last("started")).withColumn("_stop", last("stopped")).filter(~F.col("state").isin("started", "stopped"))
+    m = m.filter("_start is not null and (_stop is null or _start > _stop)").groupBy("recorder", F.col("_start").alias("started")).agg(F.count("*").alias("n_marks"), F.min(F.col("t") - F.col("_start")).alias("first_mark"))
+    return takes(events).join(m, ["recorder", "started"], "left").withColumn("n_marks", F.coalesce("n_marks", F.lit(0)))

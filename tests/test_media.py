@@ -111,6 +111,18 @@ def test_scan_of_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/report").count() == len(got)
 
 
+def test_clip_runs_are_listed(spark):
+    import json as js
+
+    full = 1 << 15
+    chan = lambda step, n: [x for k in range(n) for x in ([full - 1] * 3 + [0] * step)]
+    a, b = chan(7, 30), chan(2, 60)
+    df = spark.createDataFrame([("x.wav", 1000, full, 1, [a, b])], "path string, sample_rate int, full_scale long, lsb long, chans array<array<long>>")
+    f = next(f for f in R.judge(R.measure(df)).first()["findings"] if f["check"] == "clipping")
+    want = sorted([(k * 0.01, 0, 3) for k in range(20)] + [(round(k * 0.005, 4), 1, 3) for k in range(20)])[:20]
+    assert f["detail"]["runs"] == "90" and [(r["time_s"], r["channel"], r["samples"]) for r in js.loads(f["detail"]["first_runs"])] == [(round(t, 4), c, n) for t, c, n in want]
+
+
 def test_edges_equal_plain_python(spark):
     """Silence gaps against a plain reading of the rule, on seeded signals."""
     rng = np.random.default_rng(20260910)

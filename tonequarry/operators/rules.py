@@ -17,6 +17,8 @@ from tonequarry.operators import signals as S
 
 #: Fixed values.
 SEVERITIES = ["PASS", "INFO", "WARN", "FAIL"]
+#: A finding lists so many runs or gaps; their number stands beside them.
+LISTED = 20
 FINDING = "struct<check:string,severity:string,detail:map<string,string>>"
 
 
@@ -90,6 +92,8 @@ def measure(files: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
             "silent_channels": F.filter(F.transform("_peaks", lambda p, i: F.when(p <= floor, i)), lambda i: i.isNotNull()),
             "clip_runs": F.aggregate("_clip", F.lit(0), lambda a, c: a + F.size(c["runs"])),
             "clip_samples": F.aggregate("_clip", F.lit(0), lambda a, c: a + c["total"]),
+            # the first LISTED runs of each channel, of these the first LISTED in time
+            "clip_list": F.slice(F.array_sort(F.flatten(F.transform("_clip", lambda c, i: F.transform(F.slice(c["runs"], 1, LISTED), lambda r: F.struct(F.bround(r["start"] / rate, 4).alias("time_s"), i.alias("channel"), r["length"].alias("samples")))))), 1, LISTED),
             "silent": F.coalesce(F.array_max("_peaks"), F.lit(0)) <= floor,
         }
     ).drop("_floor", "_window", "_peaks", "_clip")
@@ -118,15 +122,15 @@ def judge(measured: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
     padded = c("tail_zero_ms") > cfg.tail_silence_max_ms
     rules = [
         _finding((F.size("silent_channels") > 0) & (F.size("silent_channels") < F.size("chans")), "channel_silent", "FAIL", channels=F.to_json("silent_channels")),
-        _finding((c("clip_runs") > 0) & external, "clip_after_decode", "INFO", runs=c("clip_runs"), samples=c("clip_samples")),
-        _finding((c("clip_runs") > 0) & ~external, "clipping", "FAIL", runs=c("clip_runs"), samples=c("clip_samples")),
+        _finding((c("clip_runs") > 0) & external, "clip_after_decode", "INFO", runs=c("clip_runs"), samples=c("clip_samples"), first_runs=F.to_json("clip_list")),
+        _finding((c("clip_runs") > 0) & ~external, "clipping", "FAIL", runs=c("clip_runs"), samples=c("clip_samples"), first_runs=F.to_json("clip_list")),
         _finding((c("clip_runs") == 0) & (c("clip_samples") > 0) & ~external, "clipping", "WARN", samples=c("clip_samples")),
         _finding(c("dc_offset") > cfg.dc_offset_max, "dc_offset", "FAIL", dc_offset=F.bround("dc_offset", 5)),
         _finding(late & short, "head_silence", "FAIL", head_silence_ms=F.bround("head_silence_ms", 1)),
         _finding(late & ~short, "head_offset", "INFO", head_silence_ms=F.bround("head_silence_ms", 1)),
         _finding(padded, "tail_silence", "WARN", tail_zero_ms=F.bround("tail_zero_ms", 1)),
         _finding(~padded & (c("tail_silence_ms") > cfg.tail_silence_max_ms), "tail_decay", "INFO", tail_below_floor_ms=F.bround("tail_silence_ms", 1)),
-        _finding(F.size("gaps") > 0, "silence_gap", "WARN", gap_count=F.size("gaps"), gaps=F.to_json(F.slice("gaps", 1, 20))),
+        _finding(F.size("gaps") > 0, "silence_gap", "WARN", gap_count=F.size("gaps"), gaps=F.to_json(F.slice("gaps", 1, LISTED))),
         _finding(seam, "loop_discontinuity", F.when(loop, "FAIL").otherwise("INFO"), loop_step=F.bround("loop_step", 4), ratio=F.bround(ratio, 2)),
         _finding(~seam & loop & (c("loop_onset") > cfg.loop_onset_max), "loop_onset", "WARN", onset=F.bround("loop_onset", 4)),
         _finding(c("same_channels"), "fake_stereo", "WARN", redundant_bytes=F.floor(opt("size_bytes", "long") / 2)),

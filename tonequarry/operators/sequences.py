@@ -27,6 +27,11 @@ def inner_islands(df: DataFrame, keys: list[str], order: str, flag: Column, leas
     return islands(df, keys, order, flag).join(loud, keys).filter((F.col("start") > F.col("_lo")) & (F.col("start") < F.col("_hi")) & (F.col("length") >= least)).drop("_lo", "_hi")
 
 
+def tumbling(df: DataFrame, keys: list[str], t: str, width: float, *aggregates: Column) -> DataFrame:
+    """Aggregates by key and window [k width, (k + 1) width) of ``t``: keys, window (k) and the aggregates, combined before the shuffle."""
+    return df.groupBy(*keys, F.floor(F.col(t) / width).alias("window")).agg(*aggregates)
+
+
 def lagged_difference(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     return df.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -139,7 +139,7 @@ def w03_rolling_median(spark, sf_dir):
 @query("WITH h AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, max(value) AS m FROM events GROUP BY ALL) SELECT user_id, h, m FROM h")
 def w01_tumbling(spark, sf_dir):
     e = _events(spark, sf_dir)
-    return e.groupBy("user_id", F.floor(F.col("start") / 3600).alias("h")).agg(F.max("value").alias("m"))
+    return Q.tumbling(e, ["user_id"], "start", 3600.0, F.max("value").alias("m")).select("user_id", F.col("window").alias("h"), "m")
 
 
 @query("""WITH h AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, max(value) AS m FROM events GROUP BY ALL), q AS (SELECT user_id, h, h - row_number() OVER (PARTITION BY user_id ORDER BY h) AS g FROM h WHERE m > 20)
@@ -284,13 +284,24 @@ def c04_alignment(spark, sf_dir):
     return I.differences(*_alignment(spark, sf_dir), ["conv_id"], 4.0).filter("category is not null")
 
 
-@query()
+@query("""WITH f AS (SELECT ['missing_speech', 'missing_subtitle', 'misordered', 'other'][event_id % 4 + 1] AS category, event_id % 3 = 0 AS confirmed FROM events), c(rank, category) AS (VALUES (0, 'missing_speech'), (1, 'missing_subtitle'), (2, 'misordered'), (3, 'offset'))
+SELECT rank, c.category, count(f.category) AS total, count(*) FILTER (confirmed) AS confirmed, count(f.category) - count(*) FILTER (confirmed) AS suspected FROM c LEFT JOIN f ON f.category = c.category GROUP BY 1, 2""")
 def g12_difference_counts(spark, sf_dir):
-    return I.difference_counts(c04_alignment(spark, sf_dir))
+    """Events as findings: of three categories, of another, and none of the fourth."""
+    kind = F.element_at(F.array(*[F.lit(c) for c in (*I.CATEGORIES[:3], "other")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return I.difference_counts(table(spark, sf_dir, "events").select(kind.alias("category"), (F.col("event_id") % 3 == 0).alias("confirmed")))
 
 
-@query()
+@query("""WITH a AS (SELECT abs(value * 4 - 300) AS a FROM events WHERE event_id % 7 > 0), l AS (SELECT list_sort(list(a)) AS v FROM a)
+SELECT count(*) AS evaluated, median(a) AS median_ms, any_value(v[CAST(round_even(0.9 * (len(v) - 1), 0) AS INT) + 1]) AS p90_ms, max(a) AS max_ms, count(*) FILTER (a > 150) AS n_exceed, count(*) FILTER (a > 250) AS n_fail FROM a, l""")
 def g13_offset_stats(spark, sf_dir):
+    """Events as offsets, some without one."""
+    return I.offset_stats(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 > 0, F.col("value") * 4 - 300).alias("offset_ms")))
+
+
+@query()
+def g13_alignment_offsets(spark, sf_dir):
+    """The offsets of the alignment, which SQL has no similarity for."""
     return I.offset_stats(I.differences(*_alignment(spark, sf_dir), ["conv_id"], 4.0))
 
 

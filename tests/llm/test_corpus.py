@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ def test_unit_encoder_equals_library():
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
     got = tokens.UnitEncoder(tokens.vocabulary_path(), 50).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == encoded(texts)
+    for some in ([], [None], [""], ["\n"], [" "], [None, "a b", "", "\n\n", "a\0b"]):
+        got = tokens.UnitEncoder(tokens.vocabulary_path()).encode(some)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == encoded([t or "" for t in some])
+    batch = pa.record_batch([pa.array([None, "x" * 9, "y" * 9, "z" * 50, "", "w"])], names=["text"])
+    assert [b["text"].to_pylist() for b in tokens.by_size(batch, 20)] == [[None, "x" * 9, "y" * 9], ["z" * 50], ["", "w"]]
 
 
 # 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.llm.common import clustered, table, written
-from tonequarry.llm.tokens import encoder, vocabulary_path
+from tonequarry.llm.tokens import by_size, encoder, vocabulary_path
 
 LENGTH, END_ID, OPEN_WINDOWS, MERGED_PARTITIONS = 2048, 1, 128, 16
 SEQUENCE_BITS = 33
@@ -84,9 +84,8 @@ def _pack(path: str, length: int, end_id: int, open_windows: int):
 
         packer = OnlinePacker(length, open_windows, emit)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["text"].to_pylist()), strict=True):
+            for some in by_size(b):
+                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["text"]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for s in range(0, total, length):

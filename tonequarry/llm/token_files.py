@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.llm.common import n_parts, shared_path, table, written
-from tonequarry.llm.tokens import encoder, vocabulary_path
+from tonequarry.llm.tokens import by_size, encoder, vocabulary_path
 
 MAGIC, END_ID, BLOCK_IDS, FILE_IDS, FILE_DOCS = b"TQPLANE1", 0, 1 << 16, 1 << 23, 1 << 18
 
@@ -142,9 +142,8 @@ def _write(vocabulary: str, folder: str, end_id: int, bits: bool, file_ids: int,
             w = None
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                some = b.slice(at, 500)
-                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["text"].to_pylist()), strict=True):
+            for some in by_size(b):
+                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode(some["text"]), strict=True):
                     if w is None:
                         # a name of its own for each attempt: files of lost tasks are in no manifest
                         name, n = f"part-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.planes", 0

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept per Python worker, and the longest unit kept. Neither changes a result.
 CACHED_UNITS, CACHED_CHARS = 500_000, 48
+#: Bytes of text that are encoded at once: memory follows them, and the more there are the fewer units are distinct.
+ENCODED_BYTES = 1 << 23
 
 #: Marks that may follow a word in its unit: no letters, digits, apostrophes or white space, so they are pre-tokens of their own.
 MARKS = ".,;:!?#$%&*)]}"
@@ -79,60 +84,79 @@ class UnitEncoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(units[i : i + 2000], add_special_tokens=False)]
         return out
 
-    @staticmethod
-    def _units(text: str) -> list[str]:
-        units = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        if units and not units[0]:
-            del units[0]
-        if units and not units[-1]:
-            del units[-1]
-        return units
-
     @staticmethod
     def _clean(unit: str) -> bool:
         """No white space but one space before."""
         rest = unit[1:] if unit[:1] == " " else unit
         return bool(rest) and len(rest.split()) == 1 and rest.strip() == rest
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        get, out, todo = self.kept.get, [], {}
-        whole: list[int] = []
-        open_: list[tuple[int, list, list]] = []
-        for k, text in enumerate(texts):
-            got: list = []
-            out.append(got)
-            if not text:
-                continue
-            if "\0" in text:
-                whole.append(k)
-                continue
-            units = self._units(text)
-            got += map(get, units)
-            if None in got:
-                missed = [i for i, g in enumerate(got) if g is None]
-                for i in missed:
-                    todo[units[i]] = None
-                open_.append((k, units, missed))
-        if todo:
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text; null is empty.
+
+        Texts are cut and their units made distinct in Arrow; only distinct units are looked up, and ids are gathered by number.
+        """
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+        if not len(texts):
+            return []
+        marked = pc.fill_null(pc.match_substring(texts, "\0"), False)  # the mark of a cut stands in the text itself
+        plain = pc.if_else(marked, "", pc.fill_null(texts, ""))
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        found = cut.values.dictionary_encode()
+        code, start = found.indices.to_numpy(), cut.offsets.to_numpy()
+        units = found.dictionary.to_pylist()
+        ids = self._look_up(units)
+        whole = marked.to_numpy(zero_copy_only=False)
+        bad = np.zeros(len(units), bool)
+        if "" in units:
+            # an empty unit is nothing at a text's ends, and a second line feed within it
+            empty = code == units.index("")
+            empty[start[:-1]] = empty[start[1:] - 1] = False
+            whole = whole | (np.add.reduceat(empty, start[:-1]) > 0)
+        if None in ids:
+            bad[[k for k, x in enumerate(ids) if x is None]] = True
+            whole = whole | (np.add.reduceat(bad[code], start[:-1]) > 0)
+            ids = [x or b"" for x in ids]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = size[code]
+        upto = np.cumsum(n)
+        flat = pool[np.repeat((np.cumsum(size) - size)[code] - (upto - n), n) + np.arange(int(upto[-1]))]
+        ends = upto[start[1:] - 1].tolist()
+        raw = flat.tobytes()
+        done = [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero(whole).tolist():
+            done[k] = self._encode_any([texts[k].as_py()])[0]
+        return done
+
+    def _look_up(self, units: list[str]) -> list[bytes | None]:
+        """Ids of distinct units, kept or new; None for one that can't stand alone."""
+        kept = self.kept
+        got = list(map(kept.get, units))
+        if None in got:
+            missed = [i for i, g in enumerate(got) if g is None]
+            todo: dict[str, bytes | None] = {units[i]: None for i in missed if units[i]}
             self._encode(todo)
-            kept, room = self.kept, self.cached // 2
-            for k, units, missed in open_:
-                got = out[k]
-                for i in missed:
-                    got[i] = todo[units[i]]
-                if None in got:  # a unit that can't stand alone
-                    whole.append(k)
-                    got.clear()
             # a word alone is kept by _encode; with marks it is worth a place only while there is much room
             for u, b in todo.items():
-                if len(kept) >= room:
+                if len(kept) >= self.cached // 2:
                     break
                 if b is not None and len(u) <= CACHED_CHARS:
                     kept[u] = b
-        done = [b"".join(got) for got in out]
-        for k in whole:
-            done[k] = self._encode_any([texts[k]])[0]
-        return done
+            todo[""] = b""
+            for i in missed:
+                got[i] = todo[units[i]]
+        return got
+
+
+def by_size(batch: pa.RecordBatch, most: int = ENCODED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text; a longer text stands alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 _encoders: dict[str, UnitEncoder] = {}

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Units kept per Python worker, and the longest unit kept. Neither changes a result.
 CACHED_UNITS, CACHED_CHARS = 500_000, 48
 #: Bytes of text that are encoded at once: memory follows them, and the more there are the fewer units are distinct.
-ENCODED_BYTES = 1 << 23
+ENCODED_BYTES = 1 << 21
 
 #: Marks that may follow a word in its unit: no letters, digits, apostrophes or white space, so they are pre-tokens of their own.
 MARKS = ".,;:!?#$%&*)]}"

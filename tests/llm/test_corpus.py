@@ -878,6 +878,39 @@ def test_near_copies_in_blocks_equal_all_pairs(spark):
     assert 1 < len(by) < 150 and sorted(map(sorted, got.values())) == sorted(map(sorted, by.values()))
 
 
+def test_covering_masks_of_halves_cover():
+    rng, masks = random.Random(3), simhash.covering_masks(7, parts=2)
+    assert len(masks) == 30
+    for _ in range(3000):
+        diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7)))
+        assert any(not diff & m for m in masks)
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """What the covering tables find is linked without the rest's join, and nothing else is."""
+    rng, words = random.Random(8), [f"w{i}" for i in range(2000)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(60, 300))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: near_copies.shingle_set(t.encode()) for d, t in rows}
+    fp = {d: sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s)) for d, s in sets.items()}
+    alike = lambda a, b: 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))
+    want = union([(a, b) for a in sets for b in sets if a < b and (fp[a] ^ fp[b]).bit_count() <= 7 and alike(a, b)], sets)
+    assert {d: near_copies.fingerprint_of(s) for d, s in sets.items()} == fp
+    every = near_copies.near_copies(df).collect()
+    monkeypatch.setattr(near_copies, "_members", lambda nodes, f=near_copies._members: f(nodes.limit(0)))
+    met = near_copies.near_copies(df).collect()
+    groups = lambda got: sorted(sorted(r["doc_id"] for r in got if r["component"] == c) for c in {r["component"] for r in got})
+    assert groups(met) == sorted(sorted(d for d in want if want[d] == c) for c in set(want.values()))
+    assert 40 <= len(groups(every)) < len(groups(met)) < len(rows)
+
+
 # pipeline
 
 

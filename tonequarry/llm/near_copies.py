@@ -1,6 +1,10 @@
 """Groups of near copies: texts linked by a Jaccard similarity of 0.8 or more over their sets of five-word shingles.
 
-No pair is missed, which no radius of SimHash bits can promise. The shingles of all texts have one
+Texts meet by SimHash first: sets whose 64-bit fingerprints differ in at most ``RADIUS`` bits meet in the covering tables of
+``simhash.py`` (two halves of the bits, 15 masks each), and the sets of the links found there are compared.
+
+Pairs at a similarity of 0.8 differ in about ten bits, so no radius that tables can cover finds all of them. The rest,
+pairs of different groups, is found without a miss by what the sets share. The shingles of all texts have one
 order, the common last; of two texts of a similarity of 0.8 the larger has one of its first b - ceil(0.8b) + 1 of
 b shingles among the first a - ceil(8a/9) + 1 of the smaller's a (its short ones), so pairs are met where such
 shingles are equal. A pair's sets differ in at least as many
@@ -27,9 +31,12 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import clustered, free, written
 from tonequarry.llm.components import connected_components
+from tonequarry.llm.simhash import majority, near_links, set_bits
 
+#: Differing bits of fingerprints that meet; each half of the bits is covered to half of it.
+RADIUS, HALVES = 7, 2
 SHINGLE, SEED, DEALT, BLOCK, PAIRS_AT_ONCE = 5, 42, 4096, 1024, 1 << 16
-#: Up to so many texts' hashes are sent to all tasks (8 MB); more are joined.
+#: Up to so many texts' hashes are sent to all executors; more are joined.
 SENT_MARKS = 1_000_000
 #: Bits travel with each shingle of a text, so a very long text's are bounded; fewer bits sift less and lose nothing.
 BITS = 1 << 12
@@ -48,6 +55,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([xxh(b" ".join(g), SEED) for g in zip(*(words[k:] for k in range(SHINGLE)), strict=False)], "<u8"))
 
 
+def fingerprint_of(s: np.ndarray) -> int:
+    """The SimHash of a set's hashes."""
+    return majority(sum(set_bits(s[at : at + (1 << 16)]) for at in range(0, len(s), 1 << 16)), len(s))
+
+
 def parity_bits(s: np.ndarray) -> bytes:
     """For each value of the hashes' low bits whether an odd number of them has it; as many values as shingles, in a power of two, ``BITS`` at most."""
     n = min(BITS, max(64, 1 << (len(s) - 1).bit_length()))
@@ -83,17 +95,18 @@ def _sets_of(b: pa.RecordBatch):
 
 
 def shingled(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, mark, node (a hash of the set), size, bits and first (the shingles by which it can be met, in their order) of each row."""
+    """doc_id, mark, node (a hash of the set), size, bits, fp and first (the shingles by which it can be met, in their order) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for b in batches:
             for some, sets, node in _sets_of(b):
                 first = [first_shingles(s, sent.value).view(np.int64) for s in sets]
-                cols = [some["doc_id"], some["mark"], pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity_bits(s) for s in sets], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.record_batch(cols, names=["doc_id", "mark", "node", "size", "bits", "first"])
+                cols = [some["doc_id"], some["mark"], pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity_bits(s) for s in sets], pa.binary())]
+                cols += [pa.array(np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.record_batch(cols, names=["doc_id", "mark", "node", "size", "bits", "fp", "first"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, mark long, node long, size int, bits binary, first array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, mark long, node long, size int, bits binary, fp long, first array<long>")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -102,51 +115,44 @@ def _common(docs: DataFrame) -> np.ndarray:
             for _, sets, _ in _sets_of(b):
                 yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
-    some = _once(_texts(docs).filter(F.pmod("mark", F.lit(SAMPLE)) == 0).select("mark", "text")).dropDuplicates(["mark"])
+    some = _texts(docs).filter(F.pmod("mark", F.lit(SAMPLE)) == 0).select("mark", "text").dropDuplicates(["mark"])
     often = some.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON)
     return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
 
 
-def _once(texts: DataFrame, sent=None) -> DataFrame:
-    """``texts`` (mark, text) with each mark once in a partition: what is dealt by mark afterwards has no hot group of copies.
-
-    ``sent`` is a broadcast of sorted marks: others go.
-    """
+# --- first: texts meet by their fingerprints ------------------------------------
 
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            if sent is not None and b.num_rows:
-                marks, known = b["mark"].to_numpy(), sent.value
-                at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
-                b = b.filter(pa.array(known[at] == marks if len(known) else np.zeros(len(marks), bool)))
-            keep = []
-            for m in b["mark"].to_pylist():
-                keep.append(m not in seen)
-                seen.add(m)
-            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(run, texts.schema)
+def _fingerprint_pairs(nodes: DataFrame, block: int) -> DataFrame:
+    """Distinct pairs (a, b): the texts of one fingerprint with the smallest of them, and those of the links that span all groups within ``RADIUS`` bits."""
+    reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "reps")
+    same = nodes.select("node", "fp").join(reps.filter("n > 1").select("fp", "rep"), "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    links = written(near_links(reps.select("fp"), RADIUS, block, HALVES).distinct(), "near")
+    side = lambda k: reps.select(F.col("fp").alias(k), F.col("rep").alias(f"r{k}"))
+    near = links.join(side("a"), "a").join(side("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    out = written(same.union(near).distinct(), "met")
+    free(reps, links)
+    return out
 
 
-# --- first: each shingle's texts meet one of them ------------------------------
+# --- the rest: each shingle's texts meet one of them ----------------------------
 
 
 def _meet(batches):
-    """Rows arrive by (h, k, salt): each group's first text is its hub. Pairs (a, b) of a hub and another whose bits allow the similarity; hubs of parts as rows of their own."""
+    """Rows arrive by (h, k, salt): each group's first text is its hub. Pairs (a, b) of a hub and another of a different component whose bits allow the similarity; hubs of parts as rows of their own."""
     hub = None
     for b in batches:
         rows: list[tuple] = []
-        for h, k, salt, node, size, bits in zip(*(b[c].to_pylist() for c in ("h", "k", "salt", "node", "size", "bits")), strict=True):
+        for h, k, salt, node, size, bits, component in zip(*(b[c].to_pylist() for c in ("h", "k", "salt", "node", "size", "bits", "component")), strict=True):
             if hub is None or hub[:3] != (h, k, salt):
-                hub = h, k, salt, node, size, bits
+                hub = h, k, salt, node, size, bits, component
                 if salt:  # a part of a class's texts: its hub meets those of the other parts
-                    rows.append((h, k, node, size, bits, None, None))
-            elif 5 * min(size, hub[4]) >= 4 * max(size, hub[4]) and differing_bits(bits, hub[5]) <= (size + hub[4]) // 9:
-                rows.append((None, None, None, None, None, min(node, hub[3]), max(node, hub[3])))
+                    rows.append((h, k, node, size, bits, component, None, None))
+            elif component != hub[6] and 5 * min(size, hub[4]) >= 4 * max(size, hub[4]) and differing_bits(bits, hub[5]) <= (size + hub[4]) // 9:
+                rows.append((None, None, None, None, None, None, min(node, hub[3]), max(node, hub[3])))
         if rows:
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "k", "node", "size", "bits", "a", "b"])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "k", "node", "size", "bits", "component", "a", "b"])
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -169,15 +175,16 @@ def _members(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _first_pairs(members: DataFrame, nodes: DataFrame, dealt: int) -> DataFrame:
-    """Distinct pairs (a, b) of each class's texts with one of them. More than ``dealt`` have a hub in each part of them, and one for the hubs."""
-    schema = "h long, k int, node long, size int, bits binary, a long, b long"
+def _first_pairs(members: DataFrame, nodes: DataFrame, tied: DataFrame, dealt: int) -> DataFrame:
+    """Distinct pairs (a, b) of each class's texts with one of them of a different component. More than ``dealt`` have a hub in each part of them, and one for the hubs."""
+    schema = "h long, k int, node long, size int, bits binary, component long, a long, b long"
     parts = F.ceil(F.col("n") / F.lit(dealt)).cast("int")
-    rows = members.join(nodes.select("node", "bits"), "node").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), parts).cast("int"))
+    own = nodes.select("node", "bits").join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = members.join(own, "node").withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), parts).cast("int"))
     rows = rows.withColumn("salt", F.when(parts > 1, F.col("salt") + 1).otherwise(0))
     by, other = ["h", "k", "salt"], F.xxhash64("h", "node")  # a text is not the hub of all its shingles
-    low = written(rows.repartition(*by).sortWithinPartitions(*by, other).select(*by, "node", "size", "bits").mapInArrow(_meet, schema), "met")
-    hubs = low.filter("node is not null").select("h", "k", F.lit(0).alias("salt"), "node", "size", "bits")
+    low = written(rows.repartition(*by).sortWithinPartitions(*by, other).select(*by, "node", "size", "bits", "component").mapInArrow(_meet, schema), "hubs")
+    hubs = low.filter("node is not null").select("h", "k", F.lit(0).alias("salt"), "node", "size", "bits", "component")
     high = hubs.repartition("h", "k").sortWithinPartitions("h", "k", other).mapInArrow(_meet, schema)
     out = written(low.filter("a is not null").select("a", "b").union(high.filter("a is not null").select("a", "b")).distinct(), "pairs")
     free(low)
@@ -306,11 +313,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     marks = written(nodes.join(wanted, "node", "left_semi").select("mark"), "marks")
+    # texts are told apart in the JVM: batches of all of them would lie in memory beside a full heap
+    texts = _texts(docs).select("mark", "text")
     if marks.count() <= SENT_MARKS:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(marks.toPandas()["mark"].to_numpy(np.int64)))
-        texts = _once(_texts(docs).select("mark", "text"), sent).dropDuplicates(["mark"])
+        texts = texts.join(F.broadcast(marks), "mark", "left_semi").dropDuplicates(["mark"])
     else:
-        texts = _once(_texts(docs).select("mark", "text")).join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+        texts = texts.dropDuplicates(["mark"]).join(marks, "mark", "left_semi")
     whole = written(texts.select("text").mapInArrow(run, "node long, shingles array<long>"), "whole")
     side = lambda k: whole.select(F.col("node").alias(k), F.col("shingles").alias(f"x{k}"))
     # sets meet in the JVM, a pair at a time: batches of them would be large
@@ -323,10 +331,13 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, block: int = BLOCK, dealt: int = DEALT) -> DataFrame:
     """doc_id, mark (a hash of the text) and component (of the links of a similarity of 0.8 or more) of each row."""
     sets = written(shingled(docs, _common(docs)), "shingled")
-    nodes = written(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("mark", "size", "bits", "first")]), "nodes")
+    nodes = written(sets.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("mark", "size", "bits", "fp", "first")]), "nodes")
+    met = _fingerprint_pairs(nodes, block)
+    near = _alike(met, docs, nodes)
+    free(met)
     members = _members(nodes)
-    first = _first_pairs(members, nodes, dealt)
-    links = _alike(first, docs, nodes)
+    first = _first_pairs(members, nodes, connected_components(near), dealt)
+    links = near.union(_alike(first, docs, nodes))
     rest = written(_rest_pairs(members, nodes, connected_components(links), block).distinct().join(first, ["a", "b"], "left_anti"), "rest")
     free(members, first)
     more = _alike(rest, docs, nodes)

@@ -4,7 +4,8 @@ A 64-bit fingerprint takes the majority of each bit over the XXH64 of all word s
 r, every bit position gets a vector of r + 1 bits; the table of a nonzero vector v keeps the
 positions whose vector has an odd product with v. At most r differing positions leave some v whose
 products with all of them are even, so each pair within the radius agrees in that table: no pair is
-missed. Pairs are compared where they meet, block by block, and only spanning links leave a block.
+missed. Pairs are compared where they meet, block by block, and only spanning links leave a block. For
+a wider radius the positions are cut into parts: some part differs in at most its share of them.
 
 Null and empty texts have fingerprint zero and are linked like any other. A row with a null doc_id
 gets its group's smallest doc_id (null if there is none). Repeated rows are kept. Very long texts are hashed
@@ -22,11 +23,20 @@ from pyspark.sql import functions as F
 
 from tonequarry.llm.common import by_batch, clustered, table, written
 from tonequarry.llm.components import connected_components, local_roots
-from tonequarry.llm.near_copies import near_copies
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 1024
 
 
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """For each of the 64 bits how many of the hashes have it."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes of which ``ones`` have each bit."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = (text or b"").lower().split()
     if not words:
@@ -38,9 +48,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     n = len(words) - shingle + 1
     for at in range(0, n, 1 << 16):
         some = words[at : at + (1 << 16) + shingle - 1]
-        h = np.array([xxh(b" ".join(g), seed) for g in zip(*(some[k:] for k in range(shingle)), strict=False)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += set_bits(np.array([xxh(b" ".join(g), seed) for g in zip(*(some[k:] for k in range(shingle)), strict=False)], "<u8"))
+    return majority(ones, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -53,8 +62,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(by_batch(run), "doc_id long, fp long")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks; positions take the nonzero vectors in turn, so each mask keeps about 8 of 15 bits."""
+def covering_masks(radius: int = RADIUS, bits: int = 64, parts: int = 1) -> list[int]:
+    """2^(radius+1) - 1 masks; positions take the nonzero vectors in turn, so each mask keeps about 8 of 15 bits.
+
+    With ``parts`` each of so many equal parts of the bits has the masks of its share of the radius.
+    """
+    if parts > 1:
+        own = bits // parts
+        return [m << (p * own) for p in range(parts) for m in covering_masks(radius // parts, bits - p * own if p == parts - 1 else own)]
     size = (1 << (radius + 1)) - 1
     return [sum(1 << i for i in range(bits) if (v & (i % size + 1)).bit_count() & 1) for v in range(1, size + 1)]
 
@@ -87,12 +102,12 @@ def _links(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, parts: int = 1) -> DataFrame:
     """Links (a, b) that span every group of the distinct longs ``fp`` within ``radius`` bits of each other.
 
     A bucket of more than ``block`` fingerprints is dealt over pairs of hashed blocks, each compared in a task of its own.
     """
-    masks = F.array(*[F.struct(F.lit(k).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))])
+    masks = F.array(*[F.struct(F.lit(k).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius, parts=parts))])
     rows = fps.select("fp", F.explode(masks).alias("m")).select("fp", "m.tab", "m.key")
     sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(sizes, ["tab", "key"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
@@ -120,23 +135,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     then the smallest hash of the text. Rows of one id with unlike texts are in different groups, so each group keeps its own.
 
     Groups are ranked on ids and hashes alone; texts are shuffled once, to meet the kept (id, hash), after repeats
-    within a partition are gone.
+    within a partition are gone (by the partial aggregate).
     """
+    from tonequarry.llm.near_copies import near_copies  # it needs this module's tables
+
     rows = written(near_copies(docs), "copies")
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("m"))
     keep = first.select(F.coalesce(F.col("m.doc_id").cast("string"), F.lit("")).alias("__tq_id"), F.col("m.mark").alias("__tq_mark"))
     keyed = docs.withColumn("__tq_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("__tq_mark", F.xxhash64(F.col("text").cast("string")))
-
-    def once(batches):
-        seen = set()
-        for b in batches:
-            new = []
-            for key in zip(b["__tq_id"].to_pylist(), b["__tq_mark"].to_pylist(), strict=True):
-                new.append(key not in seen)
-                seen.add(key)
-            yield b.filter(pa.array(new, pa.bool_()))
-
-    return keyed.mapInArrow(once, keyed.schema).join(keep, ["__tq_id", "__tq_mark"], "left_semi").dropDuplicates(["__tq_id", "__tq_mark"]).select(docs.columns)
+    return keyed.dropDuplicates(["__tq_id", "__tq_mark"]).join(keep, ["__tq_id", "__tq_mark"], "left_semi").select(docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

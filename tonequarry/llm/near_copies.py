@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import clustered, free, written
 from tonequarry.llm.components import connected_components
 from tonequarry.llm.simhash import majority, near_links, set_bits
+from tonequarry.llm.tokens import release
 
 #: Differing bits of fingerprints that meet; each half of the bits is covered to half of it.
 RADIUS, HALVES = 7, 2
@@ -99,12 +100,14 @@ def shingled(docs: DataFrame, common: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        release()  # packing's encoders, if this worker ran it before
         for b in batches:
             for some, sets, node in _sets_of(b):
                 first = [first_shingles(s, sent.value).view(np.int64) for s in sets]
                 cols = [some["doc_id"], some["mark"], pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity_bits(s) for s in sets], pa.binary())]
                 cols += [pa.array(np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
                 yield pa.record_batch(cols, names=["doc_id", "mark", "node", "size", "bits", "fp", "first"])
+        release()  # the memory of a batch of whole texts
 
     return _texts(docs).mapInArrow(run, "doc_id long, mark long, node long, size int, bits binary, fp long, first array<long>")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from struct import pack
 
@@ -148,6 +150,17 @@ class UnitEncoder:
         return got
 
 
+def release() -> None:
+    """Give back what earlier tasks of a Python worker keep: encoders with their units, and what the allocators hold."""
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc than glibc
+        pass
+
+
 def by_size(batch: pa.RecordBatch, most: int = ENCODED_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text; a longer text stands alone."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonequarry.llm.common import table, written
+from tonequarry.llm.common import give_back, table, written
 from tonequarry.llm.decontamination import drop_contaminated
 from tonequarry.llm.language_id import keep_identified, learn
 from tonequarry.llm.packing import pack
@@ -23,16 +23,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 by the rule of a stage (five words, a similarity of 0.8): one document of each group stays, its smallest doc_id."""
+    give_back(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that hold a benchmark item go."""
+    give_back(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: a row for each piece of a document in a sequence."""
+    give_back(spark)
     return pack(docs)
 
 

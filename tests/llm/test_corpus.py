@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tonequarry.llm import decontamination, embeddings, html_extract, language_id, language_model, licenses, near_copies, packing, registry, sharding, simhash, token_files, tokens
-from tonequarry.llm.common import table
+from tonequarry.llm.common import free, give_back, table, written
 from tonequarry.llm.components import connected_components, local_roots, roots_of
 
 #: Rows every text operator must take: nulls, empties, no words, no letters, repeats, long texts.
@@ -813,6 +813,48 @@ def test_near_links_span_dense_groups(spark):
         assert union([tuple(r) for r in links], signed) == want
 
 
+def rows_made(spark, run):
+    """The most rows that any operator of the plans run meanwhile made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most, every = 0, store.executionsList()
+    for k in range(before, store.executionsCount()):
+        at = every.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_links_make_a_row_for_each_table(spark):
+    """Neither a dense group nor buckets that fill up by chance make more rows than two, itself and a link, for a fingerprint in a table."""
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    dense = [centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
+    for fps, block in ((rng.sample(dense, 1500), 16), ([rng.getrandbits(64) for _ in range(1500)], 16)):
+        df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+        assert rows_made(spark, lambda df=df, block=block: simhash.near_links(df, 7, block, 2).count()) <= 2 * 30 * len(fps)
+
+
+def test_near_links_of_large_buckets_equal_all_pairs(spark):
+    rng = random.Random(7)
+    fps = {rng.getrandbits(30) for _ in range(1500)}  # one half of the bits is the same: buckets of all of them, and most are in no dense group
+    for c in [rng.getrandbits(40) for _ in range(8)]:
+        fps |= {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(100)}
+    signed = [simhash._signed(x) for x in sorted(fps)]
+    x = np.array(signed).view(np.uint64)
+    for radius, parts, block in ((7, 2, 16), (3, 1, 64), (7, 2, 1024)):
+        i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
+        want = union([(signed[p], signed[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True) if p < q], signed)
+        links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3), radius, block, parts).collect()
+        assert union([tuple(r) for r in links], signed) == want and len(set(want.values())) > 5
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD)
@@ -914,6 +956,16 @@ def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
 # pipeline
 
 
+def test_heap_is_given_back(spark):
+    """A step's heap goes back once its tables are freed."""
+    beans = lambda: sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    made, collected = written(spark.range(1000).select(F.col("id").alias("a")), "heap"), beans()
+    free(made)
+    assert beans() >= collected + 2  # the driver's and an executor's, one process here
+    give_back(spark)
+    assert beans() >= collected + 3
+
+
 def test_pipeline(spark, sf, docs, rows):
     """Every stage by brute force on its own input: rejected texts, groups of five-word similarity, items found, packed ids."""
     import corpus_pipeline

@@ -68,6 +68,13 @@ def free(*tables: DataFrame) -> None:
     if tables:
         # shuffle files go once the driver has collected the plans that made them
         tables[0].sparkSession.sparkContext._jvm.System.gc()
+        give_back(tables[0].sparkSession)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, a task for each, so that the heap a finished step has filled is there for Python workers."""
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).collect()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

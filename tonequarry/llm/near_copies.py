@@ -130,7 +130,7 @@ def _fingerprint_pairs(nodes: DataFrame, block: int) -> DataFrame:
     """Distinct pairs (a, b): the texts of one fingerprint with the smallest of them, and those of the links that span all groups within ``RADIUS`` bits."""
     reps = written(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "reps")
     same = nodes.select("node", "fp").join(reps.filter("n > 1").select("fp", "rep"), "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    links = written(near_links(reps.select("fp"), RADIUS, block, HALVES).distinct(), "near")
+    links = near_links(reps.select("fp"), RADIUS, block, HALVES)
     side = lambda k: reps.select(F.col("fp").alias(k), F.col("rep").alias(f"r{k}"))
     near = links.join(side("a"), "a").join(side("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     out = written(same.union(near).distinct(), "met")

@@ -202,6 +202,16 @@ def test_gradients_stop_where_a_document_begins():
     assert np.allclose(d_in, want, atol=1e-5) and np.allclose(d_rec, total, atol=1e-4)
 
 
+def test_large_logits_stay_a_distribution():
+    k = small_known(20, 5)[1]
+    net = language_model.Gru(k, 6)
+    net.cls *= 2000
+    net.out *= 2000
+    every = np.arange(k.size + language_model.BINS)
+    lp = net.log_probs(np.repeat(np.ones((1, 6), np.float32), len(every), 0), every)
+    assert np.isfinite(lp).all() and abs(np.exp(lp.astype(float)).sum() - 1) < 1e-3
+
+
 def plain_score(net, k, counts, words):
     """log10 probability of a document, one token at a time from the counts and weights."""
     h, ln10, hid = np.zeros(net.hidden), np.log(10), net.hidden

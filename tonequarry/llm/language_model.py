@@ -38,6 +38,8 @@ from tonequarry.llm.common import fold_crc, table, written
 FOLDS, END = 10, b"\n"
 KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 32
 WINDOW, ROUNDS, LANES_TRAINED, RATE = 20, 2, 96, 0.12
+#: Logits up to this need no shift: their exponentials and sums stay in single precision.
+SAFE = 60
 LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
 
 
@@ -134,6 +136,16 @@ def known(counts: DataFrame, most: int = KNOWN, vocabulary: int = VOCABULARY, cl
 # --- the network -------------------------------------------------------------
 
 
+def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log probability of column ``own`` of each row and one over the row's sum; ``x`` becomes exponentials."""
+    if max(x.max(), -x.min()) > SAFE:  # else neither they nor their sum leave single precision
+        x -= x.max(axis=1, keepdims=True)
+    got = x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return got - np.log(total), 1 / total
+
+
 class Gru:
     """Weights and arithmetic of the model, in single precision."""
 
@@ -165,24 +177,27 @@ class Gru:
         """States (steps x lanes x hidden) after each input, and what the backward pass needs."""
         n, hid = ids.shape[0], self.hidden
         hs = np.empty((*ids.shape, hid), np.float32)
-        gates = []
+        before, cs, g_cs, zrs = np.empty_like(hs), np.empty_like(hs), np.empty_like(hs), np.empty((*ids.shape, 2 * hid), np.float32)
         for t in range(n):
             if fresh is not None and fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            a, g = self.inp[ids[t]], h @ self.rec
-            zr = a[:, : 2 * hid]
-            zr += g[:, : 2 * hid]
-            np.negative(zr, out=zr)
-            np.minimum(zr, 80, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            c = np.tanh(a[:, 2 * hid :] + zr[:, hid:] * g[:, 2 * hid :])
-            new = c + zr[:, :hid] * (h - c)
-            hs[t] = new
-            gates.append((h, zr, c, g[:, 2 * hid :]))
+            before[t] = h
+            a, g, zr = self.inp.take(ids[t], axis=0), h @ self.rec, zrs[t]
+            np.add(a[:, : 2 * hid], g[:, : 2 * hid], out=zr)
+            zr *= 0.5  # the logistic function by tanh
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c, g_cs[t] = cs[t], g[:, 2 * hid :]
+            np.multiply(zr[:, hid:], g_cs[t], out=c)
+            c += a[:, 2 * hid :]
+            np.tanh(c, out=c)
+            new = hs[t]
+            np.subtract(before[t], c, out=new)
+            new *= zr[:, :hid]
+            new += c
             h = new
-        return hs, gates
+        return hs, (before, zrs, cs, g_cs)
 
     def target_class(self, ids: np.ndarray) -> np.ndarray:
         inside = ids < self.k.size
@@ -190,65 +205,62 @@ class Gru:
 
     def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: bool = False):
         """Natural log probability of each target id after its state; with ``grads`` also the gradients of their negative sum."""
-        n = len(ids)
         cls = self.target_class(ids)
         logits = hs @ self.cls
         logits += self.cls_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(n), cls]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        lp = picked - np.log(total)
+        lp, share = _softmax(logits, cls)
         if grads:
-            logits /= total[:, None]
-            logits[np.arange(n), cls] -= 1
-            d_cls, d_cls_bias = hs.T @ logits, logits.sum(axis=0)
+            logits *= share[:, None]
+            logits[np.arange(len(ids)), cls] -= 1
+            d_cls, d_cls_bias = hs.T @ logits, np.ones(len(ids), logits.dtype) @ logits
             d_h = logits @ self.cls.T
             d_out, d_out_bias = np.zeros_like(self.out), np.zeros_like(self.out_bias)
         order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by radix
         ends = np.searchsorted(cls[order], np.arange(self.k.n_classes + 1))
-        for c in range(self.k.n_classes):
-            at = order[ends[c] : ends[c + 1]]
-            lo, hi = self.k.bounds[c], self.k.bounds[c + 1]
-            if not len(at) or hi - lo < 2:
+        # the targets of a class lie together, so a class is a slice
+        order = order[: ends[-1]]
+        hs, ids = hs[order], ids[order]
+        more, d_more = np.zeros(len(order), lp.dtype), np.zeros_like(hs)
+        for lo, hi, s, e in zip(*(x.tolist() for x in (self.k.bounds[:-1], self.k.bounds[1:], ends[:-1], ends[1:])), strict=True):
+            if s == e or hi - lo < 2:
                 continue
-            x = hs[at] @ self.out[:, lo:hi]
+            at, out, own = hs[s:e], self.out[:, lo:hi], ids[s:e] - lo
+            x = at @ out
             x += self.out_bias[lo:hi]
-            x -= x.max(axis=1, keepdims=True)
-            own = ids[at] - lo
-            got = x[np.arange(len(at)), own]
-            np.exp(x, out=x)
-            s = x.sum(axis=1)
-            lp[at] += got - np.log(s)
+            more[s:e], share = _softmax(x, own)
             if grads:
-                x /= s[:, None]
-                x[np.arange(len(at)), own] -= 1
-                d_out[:, lo:hi] += hs[at].T @ x
-                d_out_bias[lo:hi] += x.sum(axis=0)
-                d_h[at] += x @ self.out[:, lo:hi].T
+                x *= share[:, None]
+                x[np.arange(e - s), own] -= 1
+                d_out[:, lo:hi] = at.T @ x
+                d_out_bias[lo:hi] = np.ones(e - s, x.dtype) @ x
+                d_more[s:e] = x @ out.T
+        lp[order] += more
+        if grads:
+            d_h[order] += d_more
         return (lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias) if grads else lp
 
     def backward(self, ids: np.ndarray, gates: list, d_hs: np.ndarray, fresh: np.ndarray | None = None):
         """Gradients of the input rows (as ids and rows) and of the recurrent weights, through one window; none pass a document's start."""
         hid = self.hidden
-        d_rec = np.zeros_like(self.rec)
-        d_in = np.empty((*ids.shape, 3 * hid), np.float32)
-        d_h = np.zeros_like(d_hs[0])
+        before, zr, c, g_c = gates
+        z, r = zr[..., :hid], zr[..., hid:]
+        # what no later step changes, for the whole window at once
+        by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), g_c * r * (1 - r)
+        d_in, d_g = np.empty((*ids.shape, 3 * hid), np.float32), np.empty((*ids.shape, 3 * hid), np.float32)
+        d_h, back = np.zeros_like(d_hs[0]), np.ascontiguousarray(self.rec.T)
         for t in range(len(ids) - 1, -1, -1):
-            h, zr, c, g_c = gates[t]
-            z, r = zr[:, :hid], zr[:, hid:]
             d = d_h + d_hs[t]
-            d_pre_c = d * (1 - z) * (1 - c * c)
-            d_g = np.empty_like(d_in[t])
-            d_in[t, :, :hid] = d_g[:, :hid] = d * (h - c) * z * (1 - z)
-            d_in[t, :, hid : 2 * hid] = d_g[:, hid : 2 * hid] = d_pre_c * g_c * r * (1 - r)
-            d_in[t, :, 2 * hid :] = d_pre_c
-            d_g[:, 2 * hid :] = d_pre_c * r
-            d_rec += h.T @ d_g
-            d_h = d * z + d_g @ self.rec.T
+            own, pre_c = d_g[t], d_in[t, :, 2 * hid :]
+            np.multiply(d, by_c[t], out=pre_c)
+            np.multiply(d, by_z[t], out=own[:, :hid])
+            np.multiply(pre_c, by_r[t], out=own[:, hid : 2 * hid])
+            np.multiply(pre_c, r[t], out=own[:, 2 * hid :])
+            d *= z[t]
+            d_h = d + own @ back
             if fresh is not None and fresh[t].any():
                 d_h[fresh[t]] = 0
-        return d_in, d_rec
+        d_in[..., : 2 * hid] = d_g[..., : 2 * hid]
+        return d_in, before.reshape(-1, hid).T @ d_g.reshape(-1, 3 * hid)
 
 
 class Trainer:

@@ -254,6 +254,56 @@ def test_scores_equal_a_plain_recomputation(spark, docs):
             assert abs(got[r["doc_id"]] - plain_score(net, k, plain, words)) < 1e-3 * len(words), r["doc_id"]
 
 
+def test_texts_are_looked_up_once_for_training_and_scoring(spark, docs):
+    rows = docs.select("doc_id", (language_model.fold_crc("doc_id", 10) == 0).alias("held_out"), "text")
+    counts = language_model.token_counts(rows.filter("not held_out")).cache()
+    k = language_model.known(counts, most=600, vocabulary=150, classes=12)
+    kept = written(language_model.resolved(rows, k), "ids")
+    assert "text" not in kept.columns
+    texts = {r["doc_id"]: language_model.words_of((r["text"] or "").encode()) for r in docs.collect()}
+    got = {r["row"]: r for r in kept.filter("ids is not null").collect()}
+    assert len(got) == len(texts) and all(r["word"] is None for r in got.values())
+    rare: dict[int, Counter] = {}
+    for r in kept.filter("word is not null").collect():
+        rare.setdefault(got[r["row"]]["doc_id"], Counter())[bytes(r["word"])] += r["n"]
+    for r in got.values():
+        words = texts[r["doc_id"]]
+        assert np.frombuffer(r["ids"], k.kind).tolist() == language_model._document_ids(k, words)[1].tolist()
+        assert (r["n_tokens"], r["n_known"]) == (len(words), sum(w in k.rank for w in words))
+        assert rare.get(r["doc_id"], Counter()) == Counter(w for w in words if w not in k.rank)
+    # what is kept is enough to train and to score, with the results of the texts
+    weights = language_model.train_ids(kept.filter("ids is not null and not held_out").select("ids").coalesce(1), k, rounds=1, hidden=8)
+    assert np.isfinite(weights).all()
+    by_ids = {r["doc_id"]: r["score"] for r in language_model.score_ids(kept, counts, k, weights, hidden=8).collect()}
+    by_text = {r["doc_id"]: r["score"] for r in language_model.score(rows, counts, k, weights, hidden=8).collect()}
+    assert by_ids.keys() == by_text.keys() and all(abs(by_ids[d] - by_text[d]) < 1e-6 * len(texts[d]) for d in texts)
+
+
+def test_sorted_targets_give_the_gradients_of_a_plain_softmax():
+    k = small_known(30, 25)[1]  # most classes hold one token
+    assert (np.diff(k.bounds) == 1).any() and (np.diff(k.bounds) > 1).any()
+    net, rng = language_model.Gru(k, 6), np.random.default_rng(5)
+    hs, ids = rng.standard_normal((400, 6)).astype(np.float32), rng.integers(0, k.size + language_model.BINS, 400)
+    lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(hs, ids, True)
+    assert np.allclose(lp, net.log_probs(hs, ids), atol=1e-5)
+    want = [np.zeros(x.shape) for x in (lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias)]
+    for i, (h, t) in enumerate(zip(hs.astype(float), ids.tolist(), strict=True)):
+        c = int(k.cls[t]) if t < k.size else t - k.size + k.n_classes
+        lo, hi = (int(k.bounds[c]), int(k.bounds[c + 1])) if t < k.size else (0, 0)
+        for w, bias, own, d_w, d_b, cut in ((net.cls, net.cls_bias, c, want[2], want[3], slice(None)), (net.out, net.out_bias, t - lo, want[4], want[5], slice(lo, hi))):
+            x = h @ w[:, cut] + bias[cut]
+            if len(x):
+                p = np.exp(x - x.max())
+                p /= p.sum()
+                want[0][i] += np.log(p[own])
+                p[own] -= 1
+                want[1][i] += w[:, cut] @ p
+                d_w[:, cut] += np.outer(h, p)
+                d_b[cut] += p
+    for got, plain in zip((lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias), want, strict=True):
+        assert got.shape == plain.shape and np.allclose(got, plain, atol=2e-4)
+
+
 def test_one_long_document_does_not_widen_the_lanes():
     k = small_known(30, 4)[1]
     net, rng = language_model.Gru(k, 8), np.random.default_rng(2)

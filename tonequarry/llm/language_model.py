@@ -23,6 +23,7 @@ one. An empty table gives no rows. Extra columns, whatever their names, are igno
 
 from __future__ import annotations
 
+import copy
 import heapq
 import zlib
 from collections import Counter
@@ -111,7 +112,18 @@ class Known:
 
     def ids(self, ranks: np.ndarray, bins: np.ndarray) -> np.ndarray:
         """Input ids: a token of the vocabulary is its rank, any other its bin after them."""
-        return np.where((ranks >= 0) & (ranks < self.size), ranks, self.size + bins)
+        return np.where((ranks >= 0) & (ranks < self.size), ranks, self.size + bins).astype(self.kind)
+
+    @property
+    def kind(self) -> type:
+        """What ids are kept as; the start's is the largest."""
+        return np.int16 if self.size + BINS < 1 << 15 else np.int32
+
+    def without_words(self) -> Known:
+        """What the network needs; a task that has ids looks no word up."""
+        out = copy.copy(self)
+        out.rank = {}
+        return out
 
 
 def known(counts: DataFrame, most: int = KNOWN, vocabulary: int = VOCABULARY, classes: int = CLASSES) -> Known:
@@ -136,14 +148,14 @@ def known(counts: DataFrame, most: int = KNOWN, vocabulary: int = VOCABULARY, cl
 # --- the network -------------------------------------------------------------
 
 
-def _softmax(x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log probability of column ``own`` of each row and one over the row's sum; ``x`` becomes exponentials."""
-    if max(x.max(), -x.min()) > SAFE:  # else neither they nor their sum leave single precision
-        x -= x.max(axis=1, keepdims=True)
-    got = x[np.arange(len(x)), own]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    return got - np.log(total), 1 / total
+def _begins(sorted_ids: np.ndarray) -> np.ndarray:
+    """Where a run of equal ids begins."""
+    return np.flatnonzero(np.concatenate((sorted_ids[:1] == sorted_ids[:1], sorted_ids[1:] != sorted_ids[:-1])))
+
+
+def _sorting(ids: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of ids below ``most``; short integers are sorted by radix."""
+    return np.argsort(ids.astype(np.int16) if most < 1 << 15 else ids, kind="stable")
 
 
 class Gru:
@@ -158,6 +170,7 @@ class Gru:
         self.start = k.size + BINS
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.inp, self.rec, self.cls, self.out = small(n_in, 3 * hidden), small(hidden, 3 * hidden), small(hidden, n_out), small(hidden, k.size)
+        self.cls, self.out = np.asfortranarray(self.cls), np.asfortranarray(self.out)  # a token's weights lie together
         self.inp[:, :hidden] += 1.0  # keep the state at first
         mass = np.concatenate((np.add.reduceat(k.count[: k.size], k.bounds[:-1]) if k.size else [], k.bin_n)) + 0.1
         self.cls_bias = np.log(mass / mass.sum()).astype(np.float32)
@@ -170,97 +183,149 @@ class Gru:
         at = 0
         for n in self.NAMES:
             a = getattr(self, n)
-            setattr(self, n, flat[at : at + a.size].reshape(a.shape).astype(np.float32))
+            a[...] = flat[at : at + a.size].reshape(a.shape)
             at += a.size
 
-    def forward(self, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None):
-        """States (steps x lanes x hidden) after each input, and what the backward pass needs."""
-        n, hid = ids.shape[0], self.hidden
-        hs = np.empty((*ids.shape, hid), np.float32)
-        before, cs, g_cs, zrs = np.empty_like(hs), np.empty_like(hs), np.empty_like(hs), np.empty((*ids.shape, 2 * hid), np.float32)
+    def forward(self, ids: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: bool = True):
+        """States (steps x lanes x hidden) after each input, and, with ``keep``, what the backward pass needs."""
+        (n, lanes), hid = ids.shape, self.hidden
+        hs, first = np.empty((n, lanes, hid), np.float32), h
+        gates, cs = (np.empty((n if keep else 1, *x, lanes, hid), np.float32) for x in ((3,), ()))
+        # a matrix and an input row for each gate, so that what a gate takes is one stretch of memory
+        rec = np.ascontiguousarray(self.rec.reshape(hid, 3, hid).transpose(1, 0, 2))
+        rows, a = self.inp.reshape(-1, hid), np.empty((3, lanes, hid), self.inp.dtype)
+        at = 3 * ids[:, None, :].astype(np.intp) + np.arange(3)[:, None]
+        starts = [False] * n if fresh is None else fresh.any(axis=1).tolist()
         for t in range(n):
-            if fresh is not None and fresh[t].any():
+            if starts[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            before[t] = h
-            a, g, zr = self.inp.take(ids[t], axis=0), h @ self.rec, zrs[t]
-            np.add(a[:, : 2 * hid], g[:, : 2 * hid], out=zr)
+            np.take(rows, at[t], axis=0, out=a, mode="clip")
+            gate, c, new = gates[t if keep else 0], cs[t if keep else 0], hs[t]
+            np.matmul(h, rec, out=gate)
+            zr = gate[:2]
+            zr += a[:2]
             zr *= 0.5  # the logistic function by tanh
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            c, g_cs[t] = cs[t], g[:, 2 * hid :]
-            np.multiply(zr[:, hid:], g_cs[t], out=c)
-            c += a[:, 2 * hid :]
+            np.multiply(zr[1], gate[2], out=c)
+            c += a[2]
             np.tanh(c, out=c)
-            new = hs[t]
-            np.subtract(before[t], c, out=new)
-            new *= zr[:, :hid]
+            np.subtract(h, c, out=new)
+            new *= zr[0]
             new += c
             h = new
-        return hs, (before, zrs, cs, g_cs)
+        if not keep:
+            return hs, None
+        before = np.empty_like(hs)
+        before[0], before[1:] = first, hs[:-1]
+        if fresh is not None:
+            before[fresh] = 0
+        return hs, (before, gates, cs)
 
     def target_class(self, ids: np.ndarray) -> np.ndarray:
         inside = ids < self.k.size
         return np.where(inside, self.k.cls[np.where(inside, ids, 0)] if self.k.size else 0, ids - self.k.size + self.k.n_classes)
 
     def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: bool = False):
-        """Natural log probability of each target id after its state; with ``grads`` also the gradients of their negative sum."""
+        """Natural log probability of each target id after its state; with ``grads`` also the gradients of their negative sum.
+
+        Targets are sorted, so those of a class lie together, and a state has a one behind it, by which a product takes in the bias.
+        A share less the target's one is never formed: exponentials are multiplied as they are, what stems from the ones is added by id.
+        """
+        order, hid, k = _sorting(ids, self.start), self.hidden, self.k
+        ids = ids[order]
         cls = self.target_class(ids)
-        logits = hs @ self.cls
-        logits += self.cls_bias
-        lp, share = _softmax(logits, cls)
-        if grads:
-            logits *= share[:, None]
-            logits[np.arange(len(ids)), cls] -= 1
-            d_cls, d_cls_bias = hs.T @ logits, np.ones(len(ids), logits.dtype) @ logits
-            d_h = logits @ self.cls.T
-            d_out, d_out_bias = np.zeros_like(self.out), np.zeros_like(self.out_bias)
-        order = np.argsort(cls.astype(np.int16), kind="stable")  # short integers are sorted by radix
-        ends = np.searchsorted(cls[order], np.arange(self.k.n_classes + 1))
-        # the targets of a class lie together, so a class is a slice
-        order = order[: ends[-1]]
-        hs, ids = hs[order], ids[order]
-        more, d_more = np.zeros(len(order), lp.dtype), np.zeros_like(hs)
-        for lo, hi, s, e in zip(*(x.tolist() for x in (self.k.bounds[:-1], self.k.bounds[1:], ends[:-1], ends[1:])), strict=True):
-            if s == e or hi - lo < 2:
-                continue
-            at, out, own = hs[s:e], self.out[:, lo:hi], ids[s:e] - lo
-            x = at @ out
-            x += self.out_bias[lo:hi]
-            more[s:e], share = _softmax(x, own)
-            if grads:
-                x *= share[:, None]
-                x[np.arange(e - s), own] -= 1
-                d_out[:, lo:hi] = at.T @ x
-                d_out_bias[lo:hi] = np.ones(e - s, x.dtype) @ x
-                d_more[s:e] = x @ out.T
-        lp[order] += more
-        if grads:
-            d_h[order] += d_more
-        return (lp, d_h, d_cls, d_cls_bias, d_out, d_out_bias) if grads else lp
-
-    def backward(self, ids: np.ndarray, gates: list, d_hs: np.ndarray, fresh: np.ndarray | None = None):
+        at = np.empty((len(ids), hid + 1), hs.dtype)
+        at[:, :hid], at[:, hid] = hs[order], 1
+        got, d, d_cls = self._layer(at, cls, self.cls, self.cls_bias, [(0, len(ids), 0, len(self.cls_bias))], grads)
+        # a class of one token says no more; the most frequent ones come first
+        skip = int(np.argmax(np.append(np.diff(k.bounds) > 1, True)))
+        ends = np.searchsorted(ids, k.bounds[skip:]).tolist()
+        bounds, s, e = k.bounds[skip:].tolist(), ends[0], ends[-1]
+        parts = [(x - s, y - s, lo, hi) for x, y, lo, hi in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:], strict=True) if x < y]
+        more, d_more, d_out = self._layer(at[s:e], ids[s:e], self.out, self.out_bias, parts, grads)
+        got[s:e] += more
+        lp = np.empty_like(got)
+        lp[order] = got
+        if not grads:
+            return lp
+        d[s:e] += d_more
+        d_h = np.empty_like(d)
+        d_h[order] = d
+        return lp, d_h, *(x for g in (d_cls, d_out) for x in (np.ascontiguousarray(g[:, :hid]).T, g[:, hid].copy()))
+
+    def _layer(self, at: np.ndarray, own: np.ndarray, weights: np.ndarray, bias: np.ndarray, parts: list, grads: bool):
+        """Log probabilities of the sorted columns ``own`` after the rows of ``at``, with the gradients by states and by columns (weights and bias).
+
+        A part (from, to, low, high) of the rows chooses among the columns from ``low`` on.
+        """
+        n, hid = len(at), self.hidden
+        w = np.empty((len(bias), hid + 2), weights.dtype)
+        w[:, :hid], w[:, hid], w[:, hid + 1] = weights.T, bias, 1
+        size = np.array([(e - s) * (hi - lo) for s, e, lo, hi in parts], np.int64)
+        flat = np.empty(int(size.sum()), np.result_type(at, w))
+        xs, p = [], 0
+        for (s, e, lo, hi), m in zip(parts, size.tolist(), strict=True):
+            x = flat[p : p + m].reshape(e - s, hi - lo)
+            np.matmul(at[s:e], w[lo:hi, : hid + 1].T, out=x)
+            xs.append(x)
+            p += m
+        spans = np.array(parts, np.int64).reshape(-1, 4).T
+        rows, wide = spans[1] - spans[0], spans[3] - spans[2]
+        places = np.repeat(np.cumsum(size) - size - spans[0] * wide - spans[2], rows) + np.arange(n) * np.repeat(wide, rows) + own
+        if n and max(flat.max(), -flat.min()) > SAFE:  # else neither they nor their sum leave single precision
+            for x in xs:
+                x -= x.max(axis=1, keepdims=True)
+        got = flat[places]
+        np.exp(flat, out=flat)
+        if not grads:
+            total = np.empty(n, flat.dtype)
+            for (s, e, lo, hi), x in zip(parts, xs, strict=True):
+                np.matmul(x, w[lo:hi, hid + 1], out=total[s:e])
+            return got - np.log(total), None, None
+        back = np.empty((n, hid + 2), flat.dtype)
+        for (s, e, lo, hi), x in zip(parts, xs, strict=True):
+            np.matmul(x, w[lo:hi], out=back[s:e])
+        share = 1 / back[:, hid + 1 :]
+        d = back[:, :hid] * share
+        d -= w[own, :hid]
+        scaled, d_w = at * share, np.zeros((len(bias), hid + 1), flat.dtype)
+        for (s, e, lo, hi), x in zip(parts, xs, strict=True):
+            np.matmul(x.T, scaled[s:e], out=d_w[lo:hi])
+        if n:
+            begins = _begins(own)
+            d_w[own[begins]] -= np.add.reduceat(at, begins, axis=0)
+        return got + np.log(share[:, 0]), d, d_w
+
+    def backward(self, ids: np.ndarray, kept: tuple, d_hs: np.ndarray, fresh: np.ndarray | None = None):
         """Gradients of the input rows (as ids and rows) and of the recurrent weights, through one window; none pass a document's start."""
-        hid = self.hidden
-        before, zr, c, g_c = gates
-        z, r = zr[..., :hid], zr[..., hid:]
-        # what no later step changes, for the whole window at once
-        by_c, by_z, by_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), g_c * r * (1 - r)
-        d_in, d_g = np.empty((*ids.shape, 3 * hid), np.float32), np.empty((*ids.shape, 3 * hid), np.float32)
-        d_h, back = np.zeros_like(d_hs[0]), np.ascontiguousarray(self.rec.T)
-        for t in range(len(ids) - 1, -1, -1):
-            d = d_h + d_hs[t]
-            own, pre_c = d_g[t], d_in[t, :, 2 * hid :]
-            np.multiply(d, by_c[t], out=pre_c)
-            np.multiply(d, by_z[t], out=own[:, :hid])
-            np.multiply(pre_c, by_r[t], out=own[:, hid : 2 * hid])
-            np.multiply(pre_c, r[t], out=own[:, 2 * hid :])
-            d *= z[t]
-            d_h = d + own @ back
-            if fresh is not None and fresh[t].any():
+        (n, lanes), hid = ids.shape, self.hidden
+        before, gates, c = kept
+        z, r, g_c = gates[:, 0], gates[:, 1], gates[:, 2]
+        # what no later step changes, for the whole window at once: what a state's gradient is multiplied by for each gate
+        by, keep = np.empty((n, lanes, 3, hid), np.float32), 1 - z
+        by_c = 1 - c * c
+        by_c *= keep
+        keep *= z
+        np.multiply(before - c, keep, out=by[:, :, 0])
+        np.multiply(by_c, r, out=by[:, :, 2])
+        np.multiply(by[:, :, 2], g_c * (1 - r), out=by[:, :, 1])
+        d_in, ds = np.empty((n, lanes, 3, hid), np.float32), np.empty((n, lanes, hid), np.float32)
+        d_h, passed, back = np.zeros((lanes, hid), np.float32), np.empty((lanes, hid), np.float32), np.ascontiguousarray(self.rec.T)
+        starts = [False] * n if fresh is None else fresh.any(axis=1).tolist()
+        for t in range(n - 1, -1, -1):
+            d = ds[t]
+            np.add(d_hs[t], d_h, out=d)
+            np.multiply(d[:, None], by[t], out=d_in[t])
+            np.matmul(d_in[t].reshape(lanes, 3 * hid), back, out=d_h)
+            np.multiply(d, z[t], out=passed)
+            d_h += passed
+            if starts[t]:
                 d_h[fresh[t]] = 0
-        d_in[..., : 2 * hid] = d_g[..., : 2 * hid]
-        return d_in, before.reshape(-1, hid).T @ d_g.reshape(-1, 3 * hid)
+        d_rec = before.reshape(-1, hid).T @ d_in.reshape(-1, 3 * hid)
+        np.multiply(ds, by_c, out=d_in[:, :, 2])  # the input joins the candidate after the reset gate
+        return d_in.reshape(n, lanes, 3 * hid), d_rec
 
 
 class Trainer:
@@ -268,12 +333,16 @@ class Trainer:
 
     def __init__(self, net: Gru, rate: float = RATE):
         self.net, self.rate, self.tokens = net, rate, 0
-        self.seen = {n: np.full(getattr(net, n).shape, 1e-4, np.float32) for n in net.NAMES}
+        self.seen = {n: np.full_like(getattr(net, n), 1e-4) for n in net.NAMES}
 
     def _step(self, name: str, grad: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen += grad * grad
-        getattr(self.net, name)[...] -= self.rate * grad / np.sqrt(seen)
+        seen, step = self.seen[name], grad * grad
+        weights = getattr(self.net, name)
+        seen += step
+        np.sqrt(seen, out=step)
+        np.divide(grad, step, out=step)
+        step *= self.rate
+        weights -= step
 
     def run(self, docs, lanes: int = LANES_TRAINED, window: int = WINDOW, buffer: int = BUFFER) -> None:
         """Train on every token of each of ``docs`` (arrays of ids), the state carried from a document's start to its end.
@@ -311,9 +380,9 @@ class Trainer:
         d_hs[where] = d.reshape(hs.shape) if real is None else d
         d_in, d_rec = net.backward(inp, gates, d_hs, fresh)
         flat, ids = d_in.reshape(-1, d_in.shape[-1]), inp.ravel()
-        order = np.argsort(ids.astype(np.int16), kind="stable") if net.start < 1 << 15 else np.argsort(ids, kind="stable")
+        order = _sorting(ids, net.start)
         ids = ids[order]
-        begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        begins = _begins(ids)
         rows = ids[begins]
         sums = np.add.reduceat(flat[order], begins, axis=0)
         np.clip(sums, -1, 1, out=sums)
@@ -383,16 +452,61 @@ def _document_ids(k: Known, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     return ranks, k.ids(ranks, bins)
 
 
+_RESOLVED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, tail double, ids binary, word binary, n long"
+
+
+def resolved(docs: DataFrame, k: Known) -> DataFrame:
+    """What ``k`` says of the tokens of each row of ``docs`` (doc_id, held_out, text): a row with its ids, its counts and sums over the
+    known tokens, and a row (word, n) for each distinct one of the others. So texts are split and looked up once for training and scoring."""
+    sent = docs.sparkSession.sparkContext.broadcast(k)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        know, names = sent.value, [x.split() for x in _RESOLVED.split(", ")]
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+        part, made, size = TaskContext.get().partitionId() << 33, 0, 0
+        rows: list[tuple] = []
+        rare: list[tuple] = []
+
+        def out():
+            for held, own in ((rows, names[:8]), (rare, [names[1], *names[8:]])):
+                cols = dict(zip((n for n, _ in own), zip(*held, strict=True), strict=True)) if held else {}
+                yield pa.record_batch([pa.array(cols[n], kinds[t]) if n in cols else pa.nulls(len(held), kinds[t]) for n, t in names], names=[n for n, _ in names])
+
+        for b in batches:
+            for doc, held_out, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"], strict=True):
+                words, row = words_of(t.as_py()), part + made
+                ranks, ids = _document_ids(know, words)
+                got = ranks[ranks >= 0]
+                rows.append((doc, row, held_out, len(words), len(got), float(know.base[got].sum()), float(know.tail[got[got >= know.size]].sum()), ids.tobytes()))
+                rare += ((row, w, n) for w, n in Counter([words[p] for p in np.flatnonzero(ranks < 0).tolist()]).items())
+                made, size = made + 1, size + len(words)
+                if size >= BUFFER:
+                    yield from out()
+                    rows.clear()
+                    rare.clear()
+                    size = 0
+        if rows:
+            yield from out()
+
+    return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string").cast("binary")).mapInArrow(run, _RESOLVED)
+
+
 def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: float = RATE) -> np.ndarray:
     """Weights of a ``Gru`` trained on every row of ``docs`` (text)."""
-    spark = docs.sparkSession
-    net = Gru(k, hidden)
+    rows = resolved(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), k)
+    return train_ids(rows.filter("ids is not null").select("ids"), k, rounds, hidden, rate)
+
+
+def train_ids(rows: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN, rate: float = RATE) -> np.ndarray:
+    """Weights of a ``Gru`` trained on every one of ``rows`` (ids, see ``resolved``)."""
+    net, k = Gru(k, hidden), k.without_words()
     weights = net.flat()
-    rows = docs.select(F.col("text").cast("string").cast("binary"))
     if not k.size:
         return weights
     for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((k, weights))
+        sent = rows.sparkSession.sparkContext.broadcast((k, weights))
 
         def fit(batches, sent=sent, turn=turn):
             from pyspark import TaskContext
@@ -401,8 +515,7 @@ def train(docs: DataFrame, k: Known, rounds: int = ROUNDS, hidden: int = HIDDEN,
             own = Gru(know, hidden)
             own.load(begin)
             trainer = Trainer(own, rate / (1 + turn))
-            texts = (words_of(t) for b in batches for t in b["text"].to_pylist())
-            trainer.run(_document_ids(know, words)[1].astype(np.int32) for words in texts)
+            trainer.run(np.frombuffer(ids, know.kind) for b in batches for ids in b["ids"].to_pylist())
             if trainer.tokens:
                 part = TaskContext.get().partitionId() % 16
                 cuts = np.array_split(own.flat(), WEIGHT_BLOCKS)
@@ -442,7 +555,7 @@ def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: in
     lp = np.zeros(len(laid.out), np.float64)
     h = np.zeros((laid.n, net.hidden), np.float32)
     for at, real in laid.windows(window):
-        hs, _ = net.forward(laid.inp[at], h[: at.shape[1]], laid.fresh[at])
+        hs, _ = net.forward(laid.inp[at], h[: at.shape[1]], laid.fresh[at], keep=False)
         if real is None:
             lp[at.ravel()] = net.log_probs(hs.reshape(-1, net.hidden), laid.out[at.ravel()])
         else:
@@ -453,77 +566,61 @@ def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: in
     return scores.tolist()
 
 
-_SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"
+_SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def score(docs: DataFrame, counts: DataFrame, k: Known, weights: np.ndarray, hidden: int = HIDDEN) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, held_out, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, held_out, text)."""
+    return score_ids(written(resolved(docs, k), "ids"), counts, k, weights, hidden)
 
-    A task resolves the tokens among ``k``; the others, a row for each distinct one of a document, are joined with ``counts``.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((k, weights))
 
-    def run(batches):
-        from pyspark import TaskContext
+def score_ids(rows: DataFrame, counts: DataFrame, k: Known, weights: np.ndarray, hidden: int = HIDDEN) -> DataFrame:
+    """The same of ``rows`` (see ``resolved``), whose words that ``k`` doesn't hold are joined with ``counts``."""
+    sent = rows.sparkSession.sparkContext.broadcast((k.without_words(), weights))
 
+    def run(batches):
         know, w = sent.value
         net = Gru(know, hidden)
         net.load(w)
-        part, made = TaskContext.get().partitionId() << 33, 0
-        held: list[tuple] = []
+        held: list = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def out():
-            nonlocal made
-            scores = lane_scores(net, [x[2] for x in held])
-            docs, rows, outs, n_tokens, n_known, base, total = [], [], [], [], [], [], []
-            rare_rows, words, times = [], [], []
-            for (doc, out_, ids, ranks, rare), s in zip(held, scores, strict=True):
-                got = ranks[ranks >= 0]
-                row, made = part + made, made + 1
-                docs.append(doc)
-                rows.append(row)
-                outs.append(out_)
-                n_tokens.append(len(ids))
-                n_known.append(len(got))
-                base.append(know.base[got].sum())
-                total.append(s + know.tail[got[got >= know.size]].sum())
-                rare_rows += repeat(row, len(rare))
-                words += rare
-                times += rare.values()
-            a, z = pa.nulls, len(words)
-            cols = [(docs, pa.int64()), (rows, pa.int64()), (outs, pa.bool_()), (n_tokens, pa.int64()), (n_known, pa.int64()), (base, pa.float64()), (total, pa.float64())]
-            first = [pa.array(c, t) for c, t in cols] + [a(len(rows), t) for t in (pa.binary(), pa.int64())]
-            then = [a(z, pa.int64()), pa.array(rare_rows, pa.int64()), *(a(z, t) for _, t in cols[2:]), pa.array(words, pa.binary()), pa.array(times, pa.int64())]
-            for c in (first, then):
-                yield pa.record_batch(c, names=[x.split()[0] for x in _SCORED.split(", ")])
+            t = pa.Table.from_batches(held)
+            scores = np.array(lane_scores(net, ids)) + t["tail"].to_numpy()
+            t = t.drop_columns(["tail", "ids"]).append_column("score", pa.array(scores, pa.float64()))
+            return t.combine_chunks().to_batches()
 
         for b in batches:
-            for doc, held_out, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"], strict=True):
-                words = words_of(t.as_py())
-                ranks, ids = _document_ids(know, words)
-                held.append((doc, held_out, ids.astype(np.int32), ranks.astype(np.int32), Counter([words[p] for p in np.flatnonzero(ranks < 0).tolist()])))
-                size += len(words)
+            at = 0
+            for x, own in enumerate(b["ids"].to_pylist()):
+                ids.append(np.frombuffer(own, know.kind))
+                size += len(ids[-1])
                 if size >= BUFFER:
+                    held.append(b.slice(at, x + 1 - at))
                     yield from out()
                     held.clear()
-                    size = 0
+                    ids.clear()
+                    at, size = x + 1, 0
+            if at < b.num_rows:
+                held.append(b.slice(at))
         if held:
             yield from out()
 
-    scored = docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string").cast("binary")).mapInArrow(run, _SCORED)
-    scored = written(scored, "scored")
+    own = [x.split()[0] for x in _SCORED.split(", ")][:-1]
+    scored = rows.filter("ids is not null").select(*own, "tail", "ids").mapInArrow(run, _SCORED)
     share = float(np.log10(k.total + 0.1 * (k.distinct + 1)))
     tail = F.array(*[F.lit(float(x)) for x in k.bin_log])
     c = F.coalesce("c", F.lit(0))
-    rare = scored.filter("word is not null").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rare = rows.filter("word is not null").select("row", "word", "n").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.col("n") * (F.log10(c + 0.1) - share)).alias("rare_base"),
         F.sum(F.col("n") * (F.log10(c + 0.1) - F.get(tail, tail_bin_column("word")))).alias("rare_score"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return scored.filter("word is null").select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(int(k.total)).cast("long").alias("train_tokens"),
         (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("score") + zero("rare_score")).alias("score"),
     )
@@ -535,7 +632,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, rounds: int = ROUNDS) -
     learned = docs.filter(~F.col("held_out"))
     counts = written(token_counts(learned), "counts")
     k = known(counts)
-    return score(docs, counts, k, train(learned, k, rounds))
+    rows = written(resolved(docs, k), "ids")
+    return score_ids(rows, counts, k, train_ids(rows.filter("ids is not null and not held_out").select("ids"), k, rounds))
 
 
 def op1_language_model(spark, sf_dir: str) -> DataFrame:

@@ -268,7 +268,10 @@ def test_texts_are_looked_up_once_for_training_and_scoring(spark, docs):
         rare.setdefault(got[r["row"]]["doc_id"], Counter())[bytes(r["word"])] += r["n"]
     for r in got.values():
         words = texts[r["doc_id"]]
-        assert np.frombuffer(r["ids"], k.kind).tolist() == language_model._document_ids(k, words)[1].tolist()
+        ranks = [k.rank.get(w, -1) for w in words]
+        assert np.frombuffer(r["ids"], k.kind).tolist() == [x if 0 <= x < k.size else k.size + language_model.tail_bin(w) for x, w in zip(ranks, words, strict=True)]
+        assert abs(r["base"] - sum(k.base[x] for x in ranks if x >= 0)) < 1e-8 * len(words)
+        assert abs(r["tail"] - sum(k.tail[x] for x in ranks if x >= k.size)) < 1e-8 * len(words)
         assert (r["n_tokens"], r["n_known"]) == (len(words), sum(w in k.rank for w in words))
         assert rare.get(r["doc_id"], Counter()) == Counter(w for w in words if w not in k.rank)
     # what is kept is enough to train and to score, with the results of the texts
@@ -279,6 +282,18 @@ def test_texts_are_looked_up_once_for_training_and_scoring(spark, docs):
     assert by_ids.keys() == by_text.keys() and all(abs(by_ids[d] - by_text[d]) < 1e-6 * len(texts[d]) for d in texts)
 
 
+def test_words_of_a_column_are_those_of_each_text():
+    odd_texts = [None, b"", b" ", b"\n", b"a", b" A\tb\x0b\x0cC\r\n", b"x\x1c\x1dy\x85z\xa0 \xff\xfe Q", "É\u00a0\u2003 Ünd\u0085X".encode(), b"\x00 \x00Z", b"end "]
+    rng = np.random.default_rng(4)
+    odd_texts += [bytes(rng.choice(np.frombuffer(b" \t\n\x0b\x0c\r\x1f\x80\xc3\xa9AZaz[@", np.uint8), n)) for n in range(60)]
+    for kind in (pa.binary(), pa.large_binary()):
+        texts = pa.array(odd_texts, kind)
+        for cut in (texts, texts.slice(3, 20), texts.slice(0, 0), texts.slice(1, 3)):
+            words, size = language_model.split_words(cut)
+            plain = [language_model.words_of(t)[:-1] for t in cut.to_pylist()]
+            assert words.to_pylist() == [w for ws in plain for w in ws] and size.tolist() == [len(ws) for ws in plain]
+
+
 def test_sorted_targets_give_the_gradients_of_a_plain_softmax():
     k = small_known(30, 25)[1]  # most classes hold one token
     assert (np.diff(k.bounds) == 1).any() and (np.diff(k.bounds) > 1).any()

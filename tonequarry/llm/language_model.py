@@ -27,21 +27,23 @@ import copy
 import heapq
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonequarry.llm.common import fold_crc, table, written
+from tonequarry.llm.tokens import by_size
 
 FOLDS, END = 10, b"\n"
 KNOWN, VOCABULARY, CLASSES, BINS, HIDDEN = 131_072, 4096, 64, 32, 32
 WINDOW, ROUNDS, LANES_TRAINED, RATE = 20, 2, 96, 0.12
 #: Logits up to this need no shift: their exponentials and sums stay in single precision.
 SAFE = 60
-LANES, BUFFER, HELD_WORDS, WEIGHT_BLOCKS = 256, 1 << 21, 1_000_000, 32
+#: ``SPLIT``: bytes of text split at once (one text at least), ``HELD_WORDS``: words counted at once.
+LANES, BUFFER, HELD_WORDS, SPLIT, WEIGHT_BLOCKS = 256, 1 << 21, 1 << 22, 1 << 23, 32
 
 
 def tail_bin(word: bytes) -> int:
@@ -54,9 +56,22 @@ def tail_bin_column(word: str):
 
 
 def words_of(text: bytes | None) -> list[bytes]:
+    """A text's tokens; ``split_words`` does whole columns."""
     return [*(text or b"").lower().split(), END]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all ``texts`` (binary; null: none) in one column, and how many each has; the ends are left out."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind).fill_null("")))  # bytes stay as they are, valid UTF-8 or not
+    size, words = parts.value_lengths().to_numpy(), parts.flatten().cast(pa.large_string()).view(pa.large_binary())
+    real = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(real).as_py():  # white space at a text's begin or end leaves an empty part
+        row = np.repeat(np.arange(len(size)), size)[real.to_numpy(zero_copy_only=False)]
+        words, size = words.filter(real), np.bincount(row, minlength=len(size))
+    return words, size.astype(np.int64)
+
+
 # --- counts -----------------------------------------------------------------
 
 
@@ -64,19 +79,25 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """word (binary) and n of every distinct token of ``docs`` (text), the end included; all rows are counted."""
 
     def count(batches):
-        held: Counter = Counter()
+        held: list = []
+        size = ends = 0
 
         def out():
-            return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t in b["text"].to_pylist():
-                held.update(words_of(t))
-                if len(held) > HELD_WORDS:
-                    yield out()
+            got = pc.value_counts(pa.chunked_array(held, pa.large_binary()))
+            words, n = got.field("values"), got.field("counts")
+            yield pa.record_batch([pa.concat_arrays([words.cast(pa.binary()), pa.array([END])]), pa.concat_arrays([n, pa.array([ends], pa.int64())])], names=["word", "n"])
+
+        for batch in batches:
+            for b in by_size(batch, SPLIT):
+                words, _ = split_words(b["text"])
+                held.append(words)
+                size, ends = size + len(words), ends + b.num_rows
+                if size >= HELD_WORDS:
+                    yield from out()
                     held.clear()
-        if held:
-            yield out()
+                    size = ends = 0
+        if ends:
+            yield from out()
 
     rows = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
@@ -441,17 +462,6 @@ class Lanes:
                 yield at, real
 
 
-def _document_ids(k: Known, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks (-1: not among the known) and input ids of a document's tokens."""
-    ranks = np.fromiter(map(k.rank.get, words, repeat(-1)), np.int64, len(words))
-    bins = np.zeros(len(words), np.int64)
-    far = np.flatnonzero(ranks >= k.size)
-    bins[far] = k.bin[ranks[far]]
-    for p in np.flatnonzero(ranks < 0).tolist():
-        bins[p] = tail_bin(words[p])
-    return ranks, k.ids(ranks, bins)
-
-
 _RESOLVED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, tail double, ids binary, word binary, n long"
 
 
@@ -465,30 +475,45 @@ def resolved(docs: DataFrame, k: Known) -> DataFrame:
 
         know, names = sent.value, [x.split() for x in _RESOLVED.split(", ")]
         kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
-        part, made, size = TaskContext.get().partitionId() << 33, 0, 0
-        rows: list[tuple] = []
-        rare: list[tuple] = []
-
-        def out():
-            for held, own in ((rows, names[:8]), (rare, [names[1], *names[8:]])):
-                cols = dict(zip((n for n, _ in own), zip(*held, strict=True), strict=True)) if held else {}
-                yield pa.record_batch([pa.array(cols[n], kinds[t]) if n in cols else pa.nulls(len(held), kinds[t]) for n, t in names], names=[n for n, _ in names])
-
-        for b in batches:
-            for doc, held_out, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"], strict=True):
-                words, row = words_of(t.as_py()), part + made
-                ranks, ids = _document_ids(know, words)
-                got = ranks[ranks >= 0]
-                rows.append((doc, row, held_out, len(words), len(got), float(know.base[got].sum()), float(know.tail[got[got >= know.size]].sum()), ids.tobytes()))
-                rare += ((row, w, n) for w, n in Counter([words[p] for p in np.flatnonzero(ranks < 0).tolist()]).items())
-                made, size = made + 1, size + len(words)
-                if size >= BUFFER:
-                    yield from out()
-                    rows.clear()
-                    rare.clear()
-                    size = 0
-        if rows:
-            yield from out()
+        known_words, end = pa.array(know.rank, pa.large_binary()), know.rank.get(END, -1)
+        made = TaskContext.get().partitionId() << 33
+
+        def out(rows, cols):
+            return pa.record_batch([pa.nulls(rows, kinds[t]) if n not in cols else pa.array(c, kinds[t]) if isinstance(c := cols[n], np.ndarray) else c for n, t in names], names=[n for n, _ in names])
+
+        for batch in batches:
+            for b in by_size(batch, SPLIT):
+                words, size = split_words(b["text"])
+                found = pc.index_in(words, known_words).fill_null(-1).to_numpy()
+                row = np.arange(made, made + len(size))
+                made += len(size)
+                # a row's tokens: its words, then its end
+                own = np.repeat(np.arange(len(size)), size)
+                begin = np.cumsum(size + 1) - (size + 1)
+                ranks, bins = np.full(len(found) + len(size), end, np.int64), np.full(len(found) + len(size), tail_bin(END), np.int64)
+                place = np.arange(len(found)) + own
+                ranks[place] = found
+                # the others, each distinct one once
+                other = np.flatnonzero(found < 0)
+                coded = words.take(pa.array(other)).dictionary_encode()
+                distinct, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
+                bins[place[other]] = np.array([tail_bin(w) for w in distinct.to_pylist()], np.int64)[code]
+                far = np.flatnonzero(ranks >= know.size)
+                bins[far] = know.bin[ranks[far]]
+                ids, inside = know.ids(ranks, bins), ranks >= 0
+                base, tail = np.zeros(len(ranks)), np.zeros(len(ranks))
+                base[inside], tail[far] = know.base[ranks[inside]], know.tail[ranks[far]]
+                sums = lambda x, begin=begin: np.add.reduceat(x, begin)
+                at = np.append(begin, len(ids)) * ids.itemsize
+                cols = {"doc_id": b["doc_id"], "row": row, "held_out": b["held_out"], "n_tokens": size + 1, "n_known": sums(inside.astype(np.int64)), "base": sums(base), "tail": sums(tail)}
+                yield out(len(size), cols | {"ids": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)])})
+                pair, times = np.unique(own[other] * max(1, len(distinct)) + code, return_counts=True)
+                of, word = np.divmod(pair, max(1, len(distinct)))
+                cols = [(row[of], distinct.take(pa.array(word)), times)]
+                if end < 0:  # so is the end, where none was learned
+                    cols.append((row, pa.array([END] * len(size)), np.ones(len(size), np.int64)))
+                for r, w, n in cols:
+                    yield out(len(r), {"row": r, "word": w, "n": n})
 
     return docs.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string").cast("binary")).mapInArrow(run, _RESOLVED)
 

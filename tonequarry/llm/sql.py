@@ -33,3 +33,19 @@ reach AS (SELECT a AS node, a AS root FROM (SELECT DISTINCT a FROM links) UNION
 comp AS (SELECT node, min(root) AS root FROM reach GROUP BY 1),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(coalesce(root, vec_id) = vec_id, false) AS kept FROM v LEFT JOIN comp ON node = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+#: Every prefix as a list of turns; crc32 bit by bit; each node counts for all prefixes of its own path.
+PREFIX_TRIE = """WITH RECURSIVE ordered AS MATERIALIZED (SELECT conv_id, {'role': coalesce(role, ''), 'body': coalesce(text, '')} AS said,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, list(said ORDER BY d) AS seq FROM ordered GROUP BY 1),
+crc AS (SELECT conv_id, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM own
+ UNION ALL SELECT conv_id, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+ FROM (SELECT conv_id, i, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(CAST(conv_id AS VARCHAR)[i // 8 + 1]) AS BIGINT)) ELSE c END AS x FROM crc WHERE i < 8 * length(CAST(conv_id AS VARCHAR)))),
+h AS (SELECT conv_id, xor(c, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE i = 8 * length(CAST(conv_id AS VARCHAR))),
+rebuilt AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.seq[1 : h.h], []), o.seq[h.h + 1 :]) AS seq FROM own o JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+paths AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS d, seq FROM rebuilt),
+nodes AS MATERIALIZED (SELECT seq[1 : d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM paths GROUP BY 1, 2),
+costs AS MATERIALIZED (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[d].body) END AS cost, NOT EXISTS (SELECT 1 FROM nodes k WHERE k.d = n.d + 1 AND k.path[1 : n.d] = n.path) AS leaf FROM nodes n),
+rolled AS (SELECT path[1 : k] AS path, sum(cost) AS saved, count(*) FILTER (leaf) AS leaves, count(*) FILTER (d = k + 1) AS children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM costs) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, children AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN rolled USING (path) LEFT JOIN nodes p ON n.d = p.d + 1 AND n.path[1 : p.d] = p.path"""

@@ -49,3 +49,25 @@ costs AS MATERIALIZED (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * str
 rolled AS (SELECT path[1 : k] AS path, sum(cost) AS saved, count(*) FILTER (leaf) AS leaves, count(*) FILTER (d = k + 1) AS children FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM costs) GROUP BY 1)
 SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, children AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
 FROM nodes n JOIN rolled USING (path) LEFT JOIN nodes p ON n.d = p.d + 1 AND n.path[1 : p.d] = p.path"""
+
+#: Ranks are put in order as a whole; sources that are above their limit are the first by size over weight.
+MIXING = r"""WITH docs AS MATERIALIZED (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+ (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents),
+classed AS MATERIALIZED (SELECT *, length(bin(size)) AS propensity FROM docs),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM docs GROUP BY source),
+levels AS (SELECT *, (sum(size) OVER () - 3 * coalesce(sum(size) OVER before, 0)) AS share, sum(weight) OVER rest AS whole FROM src
+ WINDOW before AS (ORDER BY size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+level AS (SELECT share, whole FROM levels WHERE NOT CAST(share * weight AS DOUBLE) / whole > 3 * size ORDER BY size / weight, source LIMIT 1),
+aims AS (SELECT source, size AS source_size, least(CAST(share * weight AS DOUBLE) / whole, CAST(3 * size AS DOUBLE)) AS target FROM src, level),
+sums AS (SELECT source, propensity, CAST(sum(size) AS BIGINT) AS words FROM classed GROUP BY ALL),
+rates AS (SELECT s.source, propensity, words, source_size, target, (target - 3 * coalesce(sum(words) OVER before, 0)) / sum(words * propensity) OVER rest AS rate, sum(words * propensity) OVER rest AS left_over
+ FROM sums s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+ WINDOW before AS (PARTITION BY s.source ORDER BY propensity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (PARTITION BY s.source ORDER BY propensity DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+held AS (SELECT *, CASE WHEN left_over > 0 THEN rate ELSE 0 END AS r FROM rates),
+free AS (SELECT source, max(propensity) AS top, arg_max(r, propensity) AS r FROM held WHERE r * propensity < 3 GROUP BY source),
+copies AS (SELECT h.*, CASE WHEN f.top IS NULL OR h.propensity > f.top THEN 3.0::DOUBLE ELSE least(f.r * h.propensity, 3.0::DOUBLE) END AS n FROM held h LEFT JOIN free f ON h.source IS NOT DISTINCT FROM f.source),
+plan AS (SELECT source, propensity, source_size, target, CAST(floor(n) AS BIGINT) AS whole, n - floor(n) AS p, target - sum(words * CAST(floor(n) AS BIGINT)) OVER (PARTITION BY source) AS left_over FROM copies),
+ranked AS (SELECT doc_id, d.source, size, source_size, target, whole, left_over, CASE WHEN p > 0 AND size > 0 THEN u / (1 - u) * ((1 - p) / p) END AS rank
+ FROM classed d JOIN plan q ON d.source IS NOT DISTINCT FROM q.source AND d.propensity = q.propensity),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN rank IS NOT NULL AND 2 * before + size <= 2 * left_over THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM placed"""

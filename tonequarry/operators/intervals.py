@@ -1,10 +1,10 @@
 """Interval joins and the timelines built on them.
 
-Overlap is half-open and strict: a starts before b ends and b starts before a ends. Both sides are
-dealt into time buckets of ``bucket`` seconds and joined on key and bucket, so the plan is an
-equi-join that a cluster can deal out; a pair that shares several buckets is kept in the first one
-alone. A bucket near the usual length of the intervals keeps the copies few; a hot key is split by its
-buckets. An interval that is far longer than the bucket costs a copy for each bucket it covers.
+Overlap is half-open and strict: a starts before b ends and b starts before a ends. Time is cut into cells of
+``bucket`` seconds, of twice that, and so on. A row goes to the cells of the level that fits its length, and of
+the levels of longer rows on the other side: at most two on each. The join is an equi-join on key, level and cell that a
+cluster can deal out, and a pair meets once. A bucket near the usual length keeps the copies few; a row of any
+length costs at most two for each doubling. A hot key is split by its cells.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonequarry.functions.stats import exact_ranks, upper_median
+from tonequarry.functions.stats import exact_ranks, joined, medians_by
 from tonequarry.functions.text import normalized, similarity
 
 
@@ -25,27 +25,38 @@ def overlap_seconds(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def _dealt(df: DataFrame, start: str, end: str, bucket: float) -> DataFrame:
-    low, high = F.floor(F.col(start) / bucket), F.floor(F.greatest(F.col(start), F.col(end)) / bucket)
-    return df.withColumn("_low", low).withColumn("_bucket", F.explode(F.sequence(low, high)))
+def _levelled(df: DataFrame, start: str, end: str, bucket: float) -> DataFrame:
+    """Add _level: cells of the level, ``bucket`` x 2^level wide, are at least as long as the interval."""
+    span = F.greatest(F.col(start), F.col(end)) - F.col(start)
+    return df.withColumn("_level", F.when(span <= bucket, F.lit(0)).otherwise(F.ceil(F.log2(span / bucket))).cast("int"))
+
+
+def _cells(df: DataFrame, other: DataFrame, keys: list[str], start: str, end: str, bucket: float, side: str) -> DataFrame:
+    """A copy of each row for the cells that it touches on its own level and on each higher level that the other side's rows of its key
+    are on: two to a level, and as many levels as the longest interval is doublings of ``bucket``."""
+    levels = other.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    rows = df.join(levels, keys).withColumn("_at", F.explode(F.array_union(F.array("_level"), F.filter("_levels", lambda x: x > F.col("_level")))))
+    width = bucket * F.pow(F.lit(2.0), "_at")
+    low, high = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
+    return rows.withColumn("_cell", F.explode(F.sequence(low, high))).drop("_levels").withColumn(f"_low{side}", low).withColumnRenamed("_level", f"_level{side}")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: float) -> DataFrame:
     """Pairs of rows that overlap by ``keys``. Both have start and end; the right's other columns must have names of their own,
     its start and end come as right_start and right_end."""
-    r = right.withColumnRenamed("start", "right_start").withColumnRenamed("end", "right_end")
-    a = _dealt(left, "start", "end", bucket)
-    b = _dealt(r, "right_start", "right_end", bucket).withColumnRenamed("_low", "_low2")
+    a = _levelled(left, "start", "end", bucket)
+    b = _levelled(right.withColumnRenamed("start", "right_start").withColumnRenamed("end", "right_end"), "right_start", "right_end", bucket)
+    pairs = _cells(a, b, keys, "start", "end", bucket, "1").join(_cells(b, a, keys, "right_start", "right_end", bucket, "2"), [*keys, "_at", "_cell"])
     hit = overlaps(F.col("start"), F.col("end"), F.col("right_start"), F.col("right_end"))
-    return a.join(b, [*keys, "_bucket"]).filter(hit & (F.col("_bucket") == F.greatest("_low", "_low2"))).drop("_bucket", "_low", "_low2")
+    # a pair meets on the longer one's level, in the first cell that both touch
+    once = (F.col("_at") == F.greatest("_level1", "_level2")) & (F.col("_cell") == F.greatest("_low1", "_low2"))
+    return pairs.filter(hit & once).drop("_at", "_cell", "_level1", "_level2", "_low1", "_low2")
 
 
 def covered(segments: DataFrame, windows: DataFrame, keys: list[str], bucket: float, missing: bool = False) -> DataFrame:
     """The segments that some window overlaps (``missing``: that none does). Both have start and end."""
     ids = [*keys, "start", "end"]
-    w = _dealt(windows.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e", bucket).drop("_low")
-    own = segments.select(*ids).distinct()
-    hit = _dealt(own, "start", "end", bucket).join(w, [*keys, "_bucket"]).filter(overlaps(F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))).select(*ids).distinct()
+    hit = overlap_join(segments.select(*ids).distinct(), windows.select(*ids), keys, bucket).select(*ids).distinct()
     on = [segments[c].eqNullSafe(hit[c]) for c in ids]
     return segments.join(hit, on, "left_anti" if missing else "left_semi")
 
@@ -102,7 +113,9 @@ def adjacent_gaps(states: DataFrame, keys: list[str], most: float | None = None)
 
 def gap_stats(states: DataFrame, keys: list[str]) -> DataFrame:
     """n, upper median, least gap, and gaps of at most 0.1 and 0.35 seconds, by key."""
-    return adjacent_gaps(states, keys).groupBy(*keys).agg(F.count("*").alias("n_gaps"), upper_median("gap").alias("median_gap"), F.min("gap").alias("min_gap"), F.count_if(F.col("gap") <= 0.1).alias("n_tight"), F.count_if(F.col("gap") <= 0.35).alias("n_near"))
+    gaps = adjacent_gaps(states, keys)
+    counts = gaps.groupBy(*keys).agg(F.count("*").alias("n_gaps"), F.min("gap").alias("min_gap"), F.count_if(F.col("gap") <= 0.1).alias("n_tight"), F.count_if(F.col("gap") <= 0.35).alias("n_near"))
+    return joined(counts, medians_by(gaps, keys, "gap", "median_gap", upper=True), keys, "left").select(*keys, "n_gaps", "median_gap", "min_gap", "n_tight", "n_near")
 
 
 def nearest(points: DataFrame, samples: DataFrame, keys: list[str], point_id: str, value: str, step: float) -> DataFrame:

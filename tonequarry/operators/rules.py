@@ -110,6 +110,8 @@ def judge(measured: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
 
     Optional columns: error, decoded_via (``external``: clipping is then only told), size_bytes, true_peak_dbtp.
     """
+    # recordings measured in chunks have no samples left, but their number
+    channels = F.size("chans") if "chans" in measured.columns else F.col("n_channels")
     have = set(measured.columns)
     opt = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
     error, external = opt("error", "string"), F.coalesce(opt("decoded_via", "string") == "external", F.lit(False))
@@ -121,7 +123,7 @@ def judge(measured: DataFrame, cfg: Thresholds = Thresholds()) -> DataFrame:
     short = c("duration_s") <= cfg.oneshot_max_duration_s
     padded = c("tail_zero_ms") > cfg.tail_silence_max_ms
     rules = [
-        _finding((F.size("silent_channels") > 0) & (F.size("silent_channels") < F.size("chans")), "channel_silent", "FAIL", channels=F.to_json("silent_channels")),
+        _finding((F.size("silent_channels") > 0) & (F.size("silent_channels") < channels), "channel_silent", "FAIL", channels=F.to_json("silent_channels")),
         _finding((c("clip_runs") > 0) & external, "clip_after_decode", "INFO", runs=c("clip_runs"), samples=c("clip_samples"), first_runs=F.to_json("clip_list")),
         _finding((c("clip_runs") > 0) & ~external, "clipping", "FAIL", runs=c("clip_runs"), samples=c("clip_samples"), first_runs=F.to_json("clip_list")),
         _finding((c("clip_runs") == 0) & (c("clip_samples") > 0) & ~external, "clipping", "WARN", samples=c("clip_samples")),

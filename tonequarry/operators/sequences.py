@@ -1,17 +1,23 @@
 """Sequence operators over time-ordered rows of a key: islands, windows, change points, folds, schedules.
 
 Windows are partitioned by the key of one clip, user or device; their rows are sorted on disk where
-needed. Debounce is a window; greedy picks, which depend on what they took before, stream over sorted candidates.
+needed. Debounce is a window. Rolling medians and greedy picks cut a long key into parts that are told what they need of
+their neighbours.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tonequarry.functions.stats import upper_median
+from tonequarry.functions.stats import joined, medians_by, ranks_by
 
 
 def islands(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
@@ -36,9 +42,55 @@ def lagged_difference(df: DataFrame, keys: list[str], order: list[str], value: s
     return df.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def rolling_median(df: DataFrame, keys: list[str], order: list[str], value: str, reach: int) -> DataFrame:
-    """Median of the rows up to ``reach`` before and after, fewer at the ends."""
-    return df.withColumn("rolling_median", F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-reach, reach)))
+def numbered(df: DataFrame, keys: list[str], order: list[str], step: float, name: str = "_n") -> DataFrame:
+    """Add each row's place (from 0) within its key by ``order``, whose first column is a number. Rows are placed within stretches of
+    ``step`` of that column, and stretches by their counts: a key's rows are in as many tasks as it has stretches."""
+    rows = df.withColumn("_stretch", F.floor(F.col(order[0]) / step))
+    counts = rows.groupBy(*keys, "_stretch").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "_stretch", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(*order)) - 1
+    return joined(rows.withColumn("_own", own), counts, [*keys, "_stretch"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_stretch", "_own", "_before")
+
+
+#: Rows of a key that are worked on together.
+PART = 4096
+
+
+def _sliding_medians(reach: int, value: str):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_n")
+        at, x = t["_n"].to_pylist(), t[value].to_pylist()
+        window, medians, first, upto = [], [], 0, 0
+        for k, n in enumerate(at):
+            # rows of a part are consecutive: the window moves a place at a time
+            while upto < len(at) and at[upto] <= n + reach:
+                if x[upto] is not None:
+                    insort(window, x[upto])
+                upto += 1
+            while at[first] < n - reach:
+                if x[first] is not None:
+                    del window[bisect_left(window, x[first])]
+                first += 1
+            m = len(window)
+            medians.append(None if not m else float(window[m // 2]) if m % 2 else 0.5 * window[m // 2 - 1] + 0.5 * window[m // 2])
+        t = t.append_column("rolling_median", pa.array(medians, pa.float64()))
+        return t.filter(pc.equal(pc.divide(t["_n"], PART), t["_part"])).drop_columns(["_n", "_part"])
+
+    return run
+
+
+def rolling_median(df: DataFrame, keys: list[str], order: list[str], value: str, reach: int, step: float) -> DataFrame:
+    """Median of the rows up to ``reach`` before and after, fewer at the ends; nulls don't count.
+
+    A key's rows are cut into parts of ``PART`` with ``reach`` rows of the neighbours beside each; in a part a sorted window moves from
+    row to row. ``step``: see ``numbered``.
+    """
+    rows = numbered(df, keys, order, step)
+    near = F.sequence(F.greatest(F.lit(0), F.expr(f"(_n - {reach}) div {PART}")), F.expr(f"(_n + {reach}) div {PART}"))
+    rows = rows.withColumn("_part", F.explode(near))
+    schema = StructType([*df.schema.fields, StructField("rolling_median", DoubleType())])
+    return rows.groupBy(*keys, "_part").applyInArrow(_sliding_medians(reach, value), schema)
 
 
 def loudest_windows(samples: DataFrame, keys: list[str], width: int = 4, top: int = 4, floor: float = -70.0, t: str = "t", value: str = "m") -> DataFrame:
@@ -51,7 +103,9 @@ def loudest_windows(samples: DataFrame, keys: list[str], width: int = 4, top: in
 
 def density(samples: DataFrame, keys: list[str], floor: float = -70.0, loud: float = -20.0, value: str = "m") -> DataFrame:
     """n, upper median and the share of samples above ``loud``, of the samples above the floor."""
-    return samples.filter(F.col(value) > floor).groupBy(*keys).agg(F.count("*").alias("n"), upper_median(value).alias("median"), F.avg((F.col(value) > loud).cast("double")).alias("loud_share"))
+    inside = samples.filter(F.col(value) > floor)
+    counts = inside.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col(value) > loud).cast("double")).alias("loud_share"))
+    return joined(counts, medians_by(inside, keys, value, upper=True), keys, "left").select(*keys, "n", "median", "loud_share")
 
 
 def feature_distance(a: Column, b: Column) -> Column:
@@ -71,8 +125,8 @@ def change_points(rows: DataFrame, keys: list[str], order: list[str], vector: Co
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     d = rows.withColumn("_v", vector).withColumn("step", F.row_number().over(w)).withColumn("distance", feature_distance(F.lag("_v").over(w), F.col("_v")))
-    typical = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.coalesce(F.nullif(upper_median("distance"), F.lit(0.0)), F.lit(1e-9)).alias("typical"))
-    d = d.join(typical, keys).filter(F.col("_n") >= rows_least)
+    typical = joined(d.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= rows_least), medians_by(d, keys, "distance", "_m", upper=True), keys, "left")
+    d = joined(d, typical.select(*keys, "_n", F.coalesce(F.nullif("_m", F.lit(0.0)), F.lit(1e-9)).alias("typical")), keys)
     new = F.coalesce((F.col("distance") > F.col("typical") * ratio) & (F.col("distance") > least), F.lit(False))
     return d.withColumn("segment", 1 + F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_n")
 
@@ -91,7 +145,7 @@ def step_gaps(rows: DataFrame, keys: list[str], onset: str = "onset") -> DataFra
 
 def step_gap_stats(gaps: DataFrame, keys: list[str]) -> DataFrame:
     """By key the number of gaps and their upper median."""
-    return gaps.filter("step_gap is not null").groupBy(*keys).agg(F.count("*").alias("n_gaps"), upper_median("step_gap").alias("median_gap"))
+    return ranks_by(gaps, keys, "step_gap", {"median_gap": (0.5, F.floor(F.col("n") / 2))}).withColumnRenamed("n", "n_gaps")
 
 
 def transitions(segmented: DataFrame, keys: list[str], floor: float = 0.3) -> DataFrame:
@@ -101,8 +155,8 @@ def transitions(segmented: DataFrame, keys: list[str], floor: float = 0.3) -> Da
     """
     w = Window.partitionBy(*keys).orderBy("step")
     d = segmented.withColumn("_first", F.coalesce(F.lag("segment").over(w) != F.col("segment"), F.lit(True))).withColumn("distance_to_next", F.coalesce(F.lead("distance").over(w), F.lit(0.0)))
-    jitter = d.groupBy(*keys).agg(F.coalesce(upper_median(F.when(~F.col("_first"), F.col("distance"))), F.lit(0.0)).alias("jitter"))
-    d = d.filter("_first and segment > 1").join(jitter, keys)
+    jitter = medians_by(d.filter("not _first"), keys, "distance", "jitter", upper=True)
+    d = joined(d.filter("_first and segment > 1"), jitter, keys, "left").na.fill(0.0, ["jitter"])
     return d.withColumn("is_transition", F.least("distance", "distance_to_next") > F.greatest(3.0 * F.col("jitter"), F.lit(floor))).select(*keys, F.col("step").alias("boundary_step"), F.col("distance").alias("distance_to_previous"), "distance_to_next", "jitter", "is_transition")
 
 
@@ -133,25 +187,78 @@ def debounce(states: DataFrame, keys: list[str], least: float = 0.4) -> DataFram
     return s.groupBy(*keys, "_state").agg(F.min("start").alias("start"), F.max_by("end", "_k").alias("end")).drop("_state")
 
 
-def greedy_peaks(df: DataFrame, keys: list[str], order: str, value: str, threshold: Column, gap: int) -> DataFrame:
-    """Local maxima (not below either neighbour) at or above the threshold, each ``gap`` rows at least after the last one taken: keys, order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    c = df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).filter((F.col(value) >= threshold) & (F.col(value) >= F.col("_p")) & (F.col(value) >= F.col("_n")))
-    c = c.select(*keys, F.col(order).cast("long").alias(order))
+def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, block: int) -> DataFrame:
+    """Rows that are not below the row before nor the one after; the first and the last of a key have no such neighbour. Blocks of so many
+    units of ``order`` are tasks of their own and are told their neighbours' edge rows."""
+    b = df.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
+    edges = b.groupBy(*keys, "_block").agg(F.min_by(F.struct(value), order).alias("_head"), F.max_by(F.struct(value), order).alias("_tail"))
+    by = Window.partitionBy(*keys).orderBy("_block")
+    edges = edges.select(*keys, "_block", F.lag("_tail").over(by).alias("_before"), F.lead("_head").over(by).alias("_after"))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    b = joined(b.withColumn("_p", F.lag(F.struct(value)).over(w)).withColumn("_q", F.lead(F.struct(value)).over(w)), edges, [*keys, "_block"])
+    p, q = F.coalesce("_p", "_before")[value], F.coalesce("_q", "_after")[value]
+    return b.filter((F.col(value) >= p) & (F.col(value) >= q)).drop("_p", "_q", "_before", "_after")
 
-    def take(batches):
-        own, last = None, 0
+
+def greedy_peaks(df: DataFrame, keys: list[str], order: str, value: str, threshold: Column, gap: int, block: int | None = None) -> DataFrame:
+    """Local maxima (not below either neighbour) at or above the threshold, each ``gap`` units of ``order`` at least after the last one taken: keys, order.
+
+    What a block takes depends on the last one taken before it alone, and only through the first candidate that is far enough: each block
+    tells for every candidate in its first ``gap`` units which would be its last one taken. A pass over these answers finds where each
+    block begins, and all blocks then take theirs.
+    """
+    block = max(block or 4096 * gap, gap)
+    c = local_maxima(df, keys, order, value, block).filter(F.col(value) >= threshold)
+    c = c.select(*keys, F.col(order).cast("long").alias("_o"), "_block")
+    names = [f.name for f in c.schema.fields if f.name in keys]
+    key_fields = [c.schema[k] for k in names]
+    long = LongType()
+
+    def answers(t: pa.Table) -> pa.Table:
+        o = np.sort(t["_o"].to_numpy())
+        after = np.searchsorted(o, o + gap)  # the next candidate that may be taken
+        last = o.copy()
+        for k in range(len(o) - 1, -1, -1):
+            if after[k] < len(o):
+                last[k] = last[after[k]]
+        edge = np.flatnonzero(o < o[0] // block * block + gap)
+        # candidates beyond the first gap are all far enough from whatever came before
+        rest = len(edge) if len(edge) < len(o) else None
+        pick = np.append(edge, rest) if rest is not None else edge
+        head = t.slice(0, 1)
+        return pa.table([*(head[k] for k in names), head["_block"], pa.array([o[pick].tolist()]), pa.array([last[pick].tolist()])], names=[*names, "_block", "_enter", "_leave"])
+
+    answered = StructType([*key_fields, StructField("_block", long), StructField("_enter", ArrayType(long)), StructField("_leave", ArrayType(long))])
+    told = c.groupBy(*keys, "_block").applyInArrow(answers, answered)
+
+    def chain(batches):
+        own, last = None, None
         for b in batches:
-            names = list(zip(*(b[k].to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
-            keep = []
-            for name, at in zip(names, b[order].to_pylist(), strict=True):
-                keep.append(name != own or at - last >= gap)
-                if keep[-1]:
-                    own, last = name, at
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    # candidates stream by in order: one place is held, not a key's candidates
-    return c.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(take, c.schema)
+            held = list(zip(*(b[k].to_pylist() for k in names), strict=True)) if names else [()] * b.num_rows
+            begins = []
+            for name, enter, leave in zip(held, b["_enter"].to_pylist(), b["_leave"].to_pylist(), strict=True):
+                if name != own:
+                    own, last = name, None
+                at = 0 if last is None else bisect_left(enter, last + gap)
+                begins.append(enter[at] if at < len(enter) else None)
+                last = leave[at] if at < len(enter) else last
+            yield pa.record_batch([*(b[k] for k in names), b["_block"], pa.array(begins, pa.int64())], names=[*names, "_block", "_begin"])
+
+    begun = StructType([*key_fields, StructField("_block", long), StructField("_begin", long)])
+    starts = told.repartition(*keys).sortWithinPartitions(*keys, "_block").mapInArrow(chain, begun) if keys else told.repartition(1).sortWithinPartitions("_block").mapInArrow(chain, begun)
+
+    def take(t: pa.Table) -> pa.Table:
+        o = np.sort(t["_o"].to_numpy())
+        begin, kept = t["_begin"][0].as_py(), []
+        at = len(o) if begin is None else int(np.searchsorted(o, begin))
+        while at < len(o):
+            kept.append(o[at])
+            at = int(np.searchsorted(o, o[at] + gap))
+        head = t.slice(0, 1)
+        return pa.table([*(pa.array(head[k].to_pylist() * len(kept), head.schema.field(k).type) for k in names), pa.array(kept, pa.int64())], names=[*names, order])
+
+    taken = StructType([*key_fields, StructField(order, long)])
+    return joined(c, starts, [*keys, "_block"]).groupBy(*keys, "_block").applyInArrow(take, taken)
 
 
 def schedule(steps: DataFrame, keys: list[str], order: str, dwell: str, lead_in: float = 8.0, scale: float = 1.0) -> DataFrame:

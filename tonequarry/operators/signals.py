@@ -2,8 +2,8 @@
 
 A signal row has ``path``, ``sample_rate``, ``full_scale``, ``lsb`` and ``chans`` (array of arrays of
 samples). The column functions take one channel, an array of longs or doubles. Samples stay in
-their row: nothing here shuffles. Files too long for a row are measured where they are decoded
-(``sources.wav``), which gives window peaks instead of samples.
+their row: nothing here shuffles. Recordings too long for a row are read and measured in chunks
+(``sources.media.read_audio_chunks``, ``operators.chunks``) with the same results.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tonequarry.functions.stats import upper_median
+from tonequarry.functions.stats import medians_by
 from tonequarry.functions.text import stem
 from tonequarry.operators.intervals import nearest
 
@@ -53,7 +53,7 @@ def triage(gaps: DataFrame, activity: DataFrame, keys: list[str], gap_id: str, r
     ``gaps`` has time_s and inside_kb (the picture's size within the gap; null: of the sample nearest in time), ``activity`` has t and kb.
     A picture below ``ratio`` of the take's upper median is simple: by design. Without activity there is no verdict.
     """
-    mid = activity.groupBy(*keys).agg(upper_median("kb").alias("median_kb"))
+    mid = medians_by(activity, keys, "kb", "median_kb", upper=True)
     near = nearest(gaps.select(*keys, gap_id, F.col("time_s").alias("t")), activity.select(*keys, "t", "kb"), keys, gap_id, "kb", step)
     near = near.select(*keys, gap_id, F.col("kb").alias("_near"))
     j = gaps.join(near, [*keys, gap_id], "left").join(mid, keys, "left")
@@ -145,15 +145,15 @@ def run_records(plan: DataFrame, keys: list[str], order: str) -> DataFrame:
 # --- waiting --------------------------------------------------------------------
 
 
-def stable_files(polls: DataFrame, keys: list[str], t: str = "t", size: str = "size", timeout: float = FILE_TIMEOUT_S) -> DataFrame:
-    """By key of polls of a file's size: ready_at, the first with the size of the one before it and above 0; else whether the last one is above 0.
+def stable_files(polls: DataFrame, keys: list[str], t: str = "t", size: str = "size", timeout: float = FILE_TIMEOUT_S, seq: str = "seq") -> DataFrame:
+    """By key of polls of a file's size, in the order of ``t`` and ``seq``: ready_at, the first with the size of the one before it and above 0; else whether the last one is above 0.
 
-    Polls later than ``timeout`` after the first don't count. Columns: keys, ready_at, ready, settled.
+    Polls later than ``timeout`` after the first don't count. Columns: keys, ready_at, ready, settled. ``live.live_stable_files`` gives the same of a stream.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
+    w = Window.partitionBy(*keys).orderBy(t, seq)
     p = polls.withColumn("_first", F.min(t).over(Window.partitionBy(*keys))).filter(F.col(t) < F.col("_first") + timeout)
     p = p.withColumn("_same", (F.col(size) > 0) & F.coalesce(F.lag(size).over(w) == F.col(size), F.lit(False)))
-    g = p.groupBy(*keys).agg(F.min(F.when(F.col("_same"), F.col(t))).alias("_at"), F.max(t).alias("_last"), F.max_by(size, t).alias("_size"))
+    g = p.groupBy(*keys).agg(F.min(F.when(F.col("_same"), F.col(t))).alias("_at"), F.max(t).alias("_last"), F.max_by(size, F.struct(t, seq)).alias("_size"))
     settled = F.col("_at").isNotNull()
     return g.select(*keys, F.coalesce("_at", "_last").alias("ready_at"), (settled | (F.col("_size") > 0)).alias("ready"), settled.alias("settled"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.functions import stats
 from tonequarry.functions import text as X
+from tonequarry.operators import chunks as K
 from tonequarry.operators import library as L
 from tonequarry.operators import rules as R
 from tonequarry.operators import signals as S
@@ -122,7 +123,9 @@ def a08_loop_seam(spark, sf_dir):
 SELECT user_id, v[CAST(round_even(0.9 * (len(v) - 1), 0) AS INT) + 1] AS p90, v[least(CAST(floor(0.95 * len(v)) AS INT), len(v) - 1) + 1] AS p95_floor,
 v[len(v) // 2 + 1] AS upper_median FROM l""")
 def a09_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(stats.nearest_rank("value", 0.9).alias("p90"), stats.floor_rank("value", 0.95).alias("p95_floor"), stats.upper_median("value").alias("upper_median"))
+    n = F.col("n")
+    ranks = {"p90": (0.9, F.bround(0.9 * (n - 1), 0)), "p95_floor": (0.95, F.least(F.floor(0.95 * n), n - 1)), "upper_median": (0.5, F.floor(n / 2))}
+    return stats.ranks_by(table(spark, sf_dir, "events"), ["user_id"], "value", ranks).drop("n")
 
 
 @query(f"WITH {_SIG} SELECT vec_id, (vec_id % 2 = 0 OR c = list_reverse(c)) AS same FROM sig")
@@ -179,6 +182,48 @@ f AS (SELECT path, 'silent_file' AS "check", 'FAIL' AS severity FROM z WHERE pea
 _STATUS = """, st AS (SELECT z.path, coalesce(max(CASE severity WHEN 'INFO' THEN 1 WHEN 'WARN' THEN 2 WHEN 'FAIL' THEN 3 END), 0) AS k FROM z LEFT JOIN f ON z.path = f.path GROUP BY z.path)"""
 
 
+# --- the same in chunks of seven frames ---------------------------------------------
+
+
+def _chunks(spark, sf_dir):
+    return K.split(signals(spark, sf_dir).drop("path"), 7, "vec_id")
+
+
+def _summaries(chunks, floor=FLOOR, window=WINDOW, gap=1, **more):
+    return K.summarize(chunks, F.lit(floor), F.lit(window), F.lit(gap), 2, **more)
+
+
+@query(SQL["a04_clip_runs"])
+def s02_chunked_clip_runs(spark, sf_dir):
+    return K.clip_runs(_summaries(_chunks(spark, sf_dir)), 2, "vec_id").drop("channel")
+
+
+@query(SQL["a05_edge_silence"])
+def s02_chunked_edges(spark, sf_dir):
+    return K.edge_silence(_summaries(_chunks(spark, sf_dir)), "vec_id").drop("channel")
+
+
+@query(SQL["a06_silence_gaps"])
+def s02_chunked_gaps(spark, sf_dir):
+    return K.silence_gaps(_summaries(_chunks(spark, sf_dir), 8, 2, 4), "vec_id")
+
+
+@query(SQL["a07_trailing_zeros"])
+def s02_chunked_zeros(spark, sf_dir):
+    return K.trailing_zeros(_summaries(_chunks(spark, sf_dir), sound=3), "vec_id")
+
+
+@query(SQL["a08_loop_seam"])
+def s02_chunked_seams(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    return K.loop_seams(chunks, _summaries(chunks), "vec_id").select("vec_id", "step", F.col("slope").cast("long").alias("slope"))
+
+
+@query(f'{_RULES} SELECT path, "check", severity FROM f')
+def s02_chunked_findings(spark, sf_dir):
+    return R.findings_of(R.judge(K.measure(K.split(signals(spark, sf_dir), 7), CFG), CFG)).select("path", "check", "severity")
+
+
 @query(f'{_RULES} SELECT path, "check", severity FROM f')
 def r01_findings(spark, sf_dir):
     return R.findings_of(_judged(spark, sf_dir)).select("path", "check", "severity")

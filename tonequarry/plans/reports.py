@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonequarry.functions.stats import median_mad, upper_median
+from tonequarry.functions.stats import joined, median_mad, medians_by
 from tonequarry.operators import predicates as P
 from tonequarry.operators import spectral
 from tonequarry.plans import media
@@ -76,7 +76,8 @@ def p23_covers_screen(spark, sf_dir):
 
 @query("""WITH b AS (SELECT user_id, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS med, max(value) AS amp FROM events GROUP BY 1) SELECT user_id, CASE WHEN n BETWEEN 3 AND 60 AND med BETWEEN 0.4 AND 20.0 THEN amp ELSE 0.0 END AS score FROM b""")
 def p24_band_score(spark, sf_dir):
-    b = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), upper_median("value").alias("med"), F.max("value").alias("amp"))
+    e = table(spark, sf_dir, "events")
+    b = joined(e.groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("amp")), medians_by(e, ["user_id"], "value", "med", upper=True), ["user_id"], "left")
     return b.select("user_id", spectral.band_score(F.col("n"), F.col("med"), F.col("amp")).alias("score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tonequarry.functions import text as X
 from tonequarry.operators import crosscheck as C
+from tonequarry.operators import edits as E
 from tonequarry.operators import injection as J
 from tonequarry.operators import intervals as I
 from tonequarry.operators import library as L
@@ -17,7 +18,9 @@ from tonequarry.operators import takes as K
 from tonequarry.plans import media, timelines
 from tonequarry.plans.media import table
 from tonequarry.plans.timelines import _EV, _HIT, _OV, _STEPS, BUCKET, _events, _segmented, _sides
-from tonequarry.streaming import recorder
+from tonequarry.sources import sections as T
+from tonequarry.sources.shared import shared_folder
+from tonequarry.streaming import live, recorder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -241,24 +244,54 @@ def g24_injected_files(spark, sf_dir):
 # --- sessions, waits, replies -----------------------------------------------------------
 
 
-@query(f"""WITH {_EV}, e AS (SELECT user_id, start AS t, CASE id % 4 WHEN 0 THEN 'started' WHEN 3 THEN 'stopped' ELSE 'mark' END AS st FROM ev),
-w AS (SELECT *, max(CASE WHEN st = 'started' THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS s, max(CASE WHEN st = 'stopped' THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e),
+@query(f"""WITH {_EV}, e AS (SELECT user_id, start AS t, id, CASE id % 4 WHEN 0 THEN 'started' WHEN 3 THEN 'stopped' ELSE 'mark' END AS st FROM ev),
+w AS (SELECT *, max(CASE WHEN st = 'started' THEN t END) OVER (PARTITION BY user_id ORDER BY t, id) AS s, max(CASE WHEN st = 'stopped' THEN t END) OVER (PARTITION BY user_id ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e),
 k AS (SELECT user_id, s, t FROM w WHERE st = 'stopped' AND s IS NOT NULL AND (p IS NULL OR s > p)),
 n AS (SELECT k.user_id, k.t, count(m.t) AS n_marks FROM k LEFT JOIN e m ON m.user_id = k.user_id AND m.st = 'mark' AND m.t > k.s AND m.t < k.t GROUP BY ALL)
 SELECT k.user_id, row_number() OVER (PARTITION BY k.user_id ORDER BY k.t) AS take, s AS started, k.t AS stopped, n_marks FROM k JOIN n ON n.user_id = k.user_id AND n.t = k.t""")
 def st3_takes(spark, sf_dir):
-    state = F.when(F.col("id") % 4 == 0, "started").when(F.col("id") % 4 == 3, "stopped").otherwise("mark")
-    e = _events(spark, sf_dir).select(F.col("user_id").alias("recorder"), F.col("start").alias("t"), state.alias("state"), F.lit("x").alias("path"))
+    e = _recorded(_events(spark, sf_dir)).select("recorder", F.col("start").alias("t"), F.col("id").alias("seq"), "state", "path")
     return recorder.takes_with_marks(e).select(F.col("recorder").alias("user_id"), F.col("take").cast("long"), "started", "stopped", "n_marks")
 
 
-@query(f"""WITH {_EV}, p AS (SELECT user_id, start AS t, id % 3 * 10 AS sz, min(start) OVER (PARTITION BY user_id) AS f FROM ev), q AS (SELECT *, coalesce(sz > 0 AND lag(sz) OVER (PARTITION BY user_id ORDER BY t) = sz, false) AS same FROM p WHERE t < f + 864000)
+def _recorded(events):
+    state = F.when(F.col("id") % 4 == 0, "started").when(F.col("id") % 4 == 3, "stopped").otherwise("mark")
+    return events.withColumn("recorder", F.col("user_id")).withColumn("state", state).withColumn("path", F.lit("x"))
+
+
+def _streamed(rows, live, late: str):
+    """What ``live`` makes of ``rows`` (with ts) as a stream: they are written in parts that hold rows of all times and come one part a batch;
+    a row far ahead closes what is open. Source, checkpoint and result lie in the shared folder."""
+    spark = rows.sparkSession
+    home = shared_folder(spark, "stream")
+    rows.repartition(3).write.parquet(f"{home}/in")
+    ahead = rows.agg(F.max("ts").alias("ts")).filter("ts is not null").select((F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+    ahead.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]).repartition(1).write.mode("append").parquet(f"{home}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    q = live(stream, late).writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{home}/out")
+
+
+@query(SQL["st3_takes"])
+def st3_live_takes(spark, sf_dir):
+    e = _recorded(_events(spark, sf_dir)).select("recorder", F.timestamp_micros(F.round(F.col("start") * 1000000).cast("long")).alias("ts"), F.col("id").alias("seq"), "state", "path")
+    return _streamed(e, live.live_takes, "60 days").select(F.col("recorder").alias("user_id"), "take", "started", "stopped", "n_marks")
+
+
+@query(f"""WITH {_EV}, p AS (SELECT user_id, id, start AS t, id % 3 * 10 AS sz, min(start) OVER (PARTITION BY user_id) AS f FROM ev), q AS (SELECT *, coalesce(sz > 0 AND lag(sz) OVER (PARTITION BY user_id ORDER BY t, id) = sz, false) AS same FROM p WHERE t < f + 864000)
 SELECT user_id, coalesce(min(t) FILTER (same), max(t)) AS ready_at, bool_or(same) OR arg_max(sz, t) > 0 AS ready, bool_or(same) AS settled FROM q GROUP BY 1""")
 def st4_stable_files(spark, sf_dir):
-    polls = _events(spark, sf_dir).select("user_id", F.col("start").alias("t"), (F.col("id") % 3 * 10).alias("size"))
+    polls = _events(spark, sf_dir).select("user_id", F.col("start").alias("t"), F.col("id").alias("seq"), (F.col("id") % 3 * 10).alias("size"))
     return K.stable_files(polls, ["user_id"], timeout=864000.0)
 
 
+@query(SQL["st4_stable_files"])
+def st4_live_stable_files(spark, sf_dir):
+    polls = _events(spark, sf_dir).select(F.col("user_id"), F.timestamp_micros(F.round(F.col("start") * 1000000).cast("long")).alias("ts"), F.col("id").alias("seq"), (F.col("id") % 3 * 10).alias("size"))
+    return _streamed(polls, lambda s, late: live.live_stable_files(s, 864000.0, late, "user_id"), "60 days")
+
+
 @query(f"""WITH {_EV}, c AS (SELECT user_id, start - min(start) OVER (PARTITION BY user_id) AS e, coalesce(CASE WHEN id % 11 > 0 THEN value > 150 END, false) AS okk FROM ev) SELECT user_id, arg_min(okk, e) AS met, min(e) AS elapsed FROM c WHERE okk OR e >= 432000 GROUP BY 1""")
 def st5_polls(spark, sf_dir):
     first = F.min("start").over(Window.partitionBy("user_id"))
@@ -339,3 +372,54 @@ def f05_clip_stamps(spark, sf_dir):
 def f06_first_lines(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", X.first_line(F.col("text")).alias("line"), X.quoted(F.left("text", F.lit(20))).alias("quoted"))
+
+
+# --- reports that people write into, stored timelines ------------------------------------
+
+
+_FRESH = ["## 一、环境（待填）", "| 项目 | 值 |", "| 游戏 / 版本 |  |", "| `a.mkv` | 00:01 | 300 |  |  |", "- 执行次数：3（本目录内 3 个片段）", "- 复现率：__ / 3", "## 四、结论（待填）", "- 结论（PASS / FAIL / BLOCKED / 未复现）：", "  to fill in", "- 预期："]
+
+
+@query("""WITH c AS (SELECT c_custkey AS doc, c_custkey % 4 AS m, c_nationkey AS k, c_mktsegment AS seg FROM customer),
+l AS (SELECT doc, unnest(list_concat([CASE WHEN m < 2 THEN '## 一、环境' ELSE '## 一、环境（待填）' END, '| 项目 | 值 |', CASE WHEN m < 2 THEN '| 游戏 / 版本 | v' || k || ' |' ELSE '| 游戏 / 版本 |  |' END,
+ '| `a.mkv` | 00:01 | 300 | ' || CASE WHEN m % 2 = 0 THEN 'dark' ELSE '' END || ' |  |', '- 执行次数：3（本目录内 3 个片段）', CASE WHEN m IN (0, 3) THEN '- 复现率：' || k || ' / 3（' || seg || '）' ELSE '- 复现率：__ / 3' END,
+ CASE WHEN m = 1 THEN '## 四、结论' ELSE '## 四、结论（待填）' END], CASE WHEN m = 1 THEN ['- 结论（PASS / FAIL / BLOCKED / 未复现）：PASS', '  because ' || seg, '  twice'] ELSE ['- 结论（PASS / FAIL / BLOCKED / 未复现）：', '  to fill in'] END,
+ [CASE WHEN m >= 2 THEN '- 预期：loud' ELSE '- 预期：' END])) AS line, unnest(generate_series(0, CASE WHEN m = 1 THEN 10 ELSE 9 END)) AS n FROM c)
+SELECT doc, n, line FROM l""")
+def j11_report_edits(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 4).alias("m"), F.col("c_nationkey").cast("string").alias("k"), F.col("c_mktsegment").alias("seg"))
+    m = F.col("m")
+    when = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    edited = F.array(
+        when(m < 2, say("| 游戏 / 版本 | v", F.col("k"), " |"), "| 游戏 / 版本 |  |"),
+        when(m % 2 == 0, "| `a.mkv` | 00:01 | 200 | dark |  |", "| `a.mkv` | 00:01 | 300 |  |  |"),
+        F.lit("- 执行次数：2（本目录内 2 个片段）"),
+        when(m.isin(0, 3), say("- 复现率：", F.col("k"), " / 2（", F.col("seg"), "）"), "- 复现率：__ / 2"),
+        when(m == 1, "- 结论（PASS / FAIL / BLOCKED / 未复现）：PASS", "- 结论（PASS / FAIL / BLOCKED / 未复现）："),
+        when(m == 1, say("  because ", F.col("seg")), ""),
+        when(m == 1, "  twice", ""),
+        when(m >= 2, "- 预期：loud", "- 预期："),
+    )
+    fresh = c.select("doc", F.posexplode(F.array(*map(F.lit, _FRESH))).alias("n", "line"))
+    return E.merge_reports(fresh, c.select("doc", F.posexplode(edited).alias("n", "line"))).select("doc", F.col("n").cast("long").alias("n"), "line")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS clip, 's' || o_orderkey AS step, o_orderkey % 50 + 1.0 AS t, o_orderkey % 5 > 0 AS ok, o_orderstatus AS st FROM orders),
+l AS (SELECT DISTINCT clip, -1 AS part, 0.0 AS t, '' AS step, '# log of ' || clip AS line FROM r
+UNION ALL SELECT DISTINCT clip, 0, k, '', CASE k WHEN 0 THEN '## Device timeline' WHEN 1 THEN '' WHEN 2 THEN '| step | planned s | issued s | effective s | late s | result | action | default device |' ELSE '| --- | --- | --- | --- | --- | --- | --- | --- |' END FROM r, unnest([0.0, 1.0, 2.0, 3.0]) AS u(k)
+UNION ALL SELECT clip, 1, t, step, '| ' || step || ' | ' || printf('%.2f', t) || ' | ' || printf('%.3f', t + 0.25) || ' | ' || printf('%.3f', t + 0.5) || ' | 0.25 | ' || CASE WHEN ok THEN 'effective' ELSE '**not controlled**' END || ' | set | x → ' || st || ' |' FROM r
+UNION ALL SELECT clip, 2, t, step, '- `' || step || '` was not controlled' FROM r WHERE NOT ok)
+SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY part, t, step, line) - 1 AS n, line FROM l""")
+def k06_refreshed_timelines(spark, sf_dir):
+    at = F.col("o_orderkey") % 50 + 1.0
+    o = table(spark, sf_dir, "orders")
+    records = o.select(
+        F.col("o_orderpriority").alias("clip"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("step"), at.alias("at"), (at + 0.25).alias("issued_at"), (at + 0.5).alias("effective_at"),
+        F.lit(0.25).alias("late_by"), (F.col("o_orderkey") % 5 > 0).alias("ok"), F.lit("set").alias("label"), F.lit("x").alias("before"), F.col("o_orderstatus").alias("after"),
+    )
+    folder = shared_folder(spark, "timelines")
+    T.write_timeline(records, folder)
+    old = F.posexplode(F.array(F.concat(F.lit("# log of "), F.col("clip")), F.lit("## Device timeline"), F.lit("an older form")))
+    once = T.refresh_timelines(spark, folder, records.select("clip").distinct().select("clip", old.alias("n", "line")))
+    return T.refresh_timelines(spark, folder, once).select("clip", F.col("n").cast("long").alias("n"), "line")

@@ -133,7 +133,8 @@ def w02_lag(spark, sf_dir):
 
 @query("SELECT event_id, median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING AND 60 FOLLOWING) AS rolling_median FROM events")
 def w03_rolling_median(spark, sf_dir):
-    return Q.rolling_median(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 60).select("event_id", "rolling_median")
+    e = _events(spark, sf_dir).select("user_id", F.col("id").alias("event_id"), "start", "value")
+    return Q.rolling_median(e, ["user_id"], ["start", "event_id"], "value", 60, 7 * 86400.0).select("event_id", "rolling_median")
 
 
 @query("WITH h AS (SELECT user_id, epoch_us(ts) // 3600000000 AS h, max(value) AS m FROM events GROUP BY ALL) SELECT user_id, h, m FROM h")

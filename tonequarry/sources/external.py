@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import subprocess
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonequarry.functions.dsp import resampled
 from tonequarry.functions.text import base_name, parent, suffix
 from tonequarry.sources.media import EXTENSIONS, list_files, parse_wav, pcm_samples
 
@@ -41,25 +43,31 @@ def stream_info(log: Column) -> Column:
     return F.struct(pick(part(1), "unknown").alias("codec"), pick(part(2).try_cast("int"), FALLBACK_RATE).alias("sample_rate"), pick(channels, FALLBACK_CHANNELS).alias("channels"), pick(part(4), "s16").alias("sample_format"))
 
 
+def layout_channels(layout: str | None) -> int:
+    """Channels of a layout's name, or of "n channels"; one for what isn't known."""
+    name = (layout or "").partition("(")[0].strip()
+    count = name.partition(" ")[0]
+    return LAYOUTS.get(name, int(count) if name.endswith("channels") and count.isdigit() else 1)
+
+
 def parse_stream(log: str) -> tuple[int, int]:
-    """(rate, channels) of a decoder's log, by the same rule."""
-    m = re.search(STREAM, log)
-    if not m:
-        return FALLBACK_RATE, FALLBACK_CHANNELS
-    numbered = re.match(r"\s*(\d+) channels", m[3])
-    return int(m[2]), LAYOUTS.get(m[3].split("(")[0].strip()) or (int(numbered[1]) if numbered else 1)
+    """(rate, channels) of a decoder's log; ``stream_info`` reads the same of a column of logs."""
+    found = re.search(STREAM, log)
+    return (int(found[2]), layout_channels(found[3])) if found else (FALLBACK_RATE, FALLBACK_CHANNELS)
+
+
+#: Bytes of a failed command's log that its error repeats.
+LOG_TAIL = 400
 
 
 def command_decoder(command: list[str], timeout: float = 600.0) -> Callable[[bytes], tuple[int, int, int, bytes]]:
     """A decoder for ``read_audio`` of a command that reads a file from its input and writes 16-bit PCM; its log tells rate and channels."""
 
     def decode(content: bytes) -> tuple[int, int, int, bytes]:
-        done = subprocess.run(command, input=content, capture_output=True, timeout=timeout)  # noqa: S603  the caller's command
-        log = done.stderr.decode("utf-8", "replace")
-        if done.returncode or not done.stdout:
-            raise ValueError("not decoded: " + (" / ".join(x.strip() for x in log.strip().splitlines()[-3:]) or "no output"))
-        rate, channels = parse_stream(log)
-        return rate, channels, 2, done.stdout
+        done = subprocess.run(command, input=content, capture_output=True, timeout=timeout, check=False)  # noqa: S603  the caller's command
+        if not done.stdout or done.returncode != 0:
+            raise ValueError(f"exit code {done.returncode}, {len(done.stdout)} bytes decoded; log: {done.stderr[-LOG_TAIL:].decode('utf-8', 'replace').strip()}")
+        return (*parse_stream(done.stderr.decode("utf-8", "replace")), 2, done.stdout)
 
     return decode
 
@@ -74,8 +82,9 @@ def loudness(logs: DataFrame, path: str = "path", text: str = "value") -> DataFr
     return logs.select(path, last(INTEGRATED).alias("lufs"), last(RANGE).alias("lra"), last(TRUE_PEAK).alias("true_peak_dbtp"))
 
 
-def read_mono(spark: SparkSession, root: str, decoder: Callable[[bytes], tuple[int, np.ndarray]] | None = None, extensions: list[str] = EXTENSIONS) -> DataFrame:
-    """clip, sample_rate, samples (doubles from -1 to 1, channels averaged) and error of each file. ``decoder`` gives (rate, samples); without one WAV is read."""
+def read_mono(spark: SparkSession, root: str, decoder: Callable[[bytes], tuple[int, np.ndarray]] | None = None, extensions: list[str] = EXTENSIONS, rate: int | None = None) -> DataFrame:
+    """clip, sample_rate, samples (doubles from -1 to 1, channels averaged) and error of each file. ``decoder`` gives (rate, samples); without one WAV is read.
+    With ``rate`` all samples come at that rate (features of steps are measured at 48000)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(suffix(F.col("path")).isin([e.lower() for e in extensions])).select("path", "content")
 
     def wav(content: bytes) -> tuple[int, np.ndarray]:
@@ -85,13 +94,15 @@ def read_mono(spark: SparkSession, root: str, decoder: Callable[[bytes], tuple[i
     def run(batches):
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                rate, samples, error = None, None, None
+                own, samples, error = None, None, None
                 try:
-                    rate, samples = (decoder or wav)(content)
+                    own, samples = (decoder or wav)(content)
+                    if rate:
+                        own, samples = rate, resampled(samples, own, rate)
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's error
                     error = str(e) or type(e).__name__
                 values = pa.nulls(1, pa.list_(pa.float64())) if samples is None else pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples, pa.float64()))
-                yield pa.record_batch([pa.array([path]), pa.array([rate], pa.int32()), values, pa.array([error], pa.string())], names=["clip", "sample_rate", "samples", "error"])
+                yield pa.record_batch([pa.array([path]), pa.array([own], pa.int32()), values, pa.array([error], pa.string())], names=["clip", "sample_rate", "samples", "error"])
 
     return files.mapInArrow(run, "clip string, sample_rate int, samples array<double>, error string")
 
@@ -151,16 +162,23 @@ def voices(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("captured_at", F.inline("voices"))
 
 
+SEEN = "path string, length long, modificationTime timestamp, poll string"
+
+
 def poll_folder(spark: SparkSession, folder: str, seen: str, extensions: list[str] = EXTENSIONS, settle_s: float = 3.0, first: bool = False) -> DataFrame:
     """New files of a folder whose last change is ``settle_s`` old, and a note of them in the table ``seen``; what is younger waits for the next poll.
 
-    With ``first`` all files count as seen: what was there before the watch is not new. Two small listings are joined, contents are not read.
+    With ``first`` all files count as seen: what was there before the watch is not new. Two listings are joined, contents are not read; new
+    files are written to ``seen`` once, under this poll's name, and read back from it. A poll adds one file, or none if nothing is new.
     """
-    spark.createDataFrame([], "path string").write.mode("append").parquet(seen)
-    files = list_files(spark, folder, extensions)
-    fresh = files.join(spark.read.schema("path string").parquet(seen), "path", "left_anti")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    fresh = list_files(spark, folder, extensions)
+    if there:
+        fresh = fresh.join(spark.read.schema(SEEN).parquet(seen).select("path"), "path", "left_anti")
     if not first:
         fresh = fresh.filter(F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {float(settle_s)} SECONDS"))
-    found = spark.createDataFrame(fresh.select("path", "length", "modificationTime").toPandas(), "path string, length long, modificationTime timestamp") if not fresh.isEmpty() else fresh.limit(0)
-    found.select("path").write.mode("append").parquet(seen)
-    return found if not first else found.limit(0)
+    poll = uuid.uuid4().hex
+    if not there or not fresh.isEmpty():
+        fresh.select("path", "length", "modificationTime", F.lit(poll).alias("poll")).repartition(1).write.mode("append").parquet(seen)
+    return spark.read.schema(SEEN).parquet(seen).filter(F.lit(not first) & (F.col("poll") == poll)).drop("poll")

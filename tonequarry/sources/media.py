@@ -6,14 +6,17 @@ scan goes on. Decoding of formats other than PCM in WAV is left to a function th
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import io
+import math
 import struct
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,9 +64,8 @@ def pcm_samples(raw: bytes, width: int, channels: int) -> np.ndarray:
     return x.reshape(-1, channels)
 
 
-def parse_wav(content: bytes) -> tuple[int, int, int, bytes]:
-    """(rate, channels, bytes to a sample, PCM bytes) of a RIFF file; data cut short is taken as far as it goes."""
-    src = io.BytesIO(content)
+def wav_header(src) -> tuple[int, int, int, int, int]:
+    """(rate, channels, bytes to a sample, where the PCM bytes begin, how many are said to follow) of a RIFF file that can be sought in."""
     head = src.read(12)
     if len(head) < 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
         raise ValueError("not a WAV file")
@@ -75,7 +77,7 @@ def parse_wav(content: bytes) -> tuple[int, int, int, bytes]:
         elif name == b"data":
             if fmt is None or fmt[0] not in (1, 0xFFFE) or fmt[5] not in (8, 16, 24, 32) or not fmt[1]:
                 raise ValueError("no PCM format")
-            return fmt[2], fmt[1], fmt[5] // 8, src.read(size)
+            return fmt[2], fmt[1], fmt[5] // 8, src.tell(), size
         else:
             src.seek(size, 1)
         if size % 2:
@@ -83,6 +85,90 @@ def parse_wav(content: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data")
 
 
+def parse_wav(content: bytes) -> tuple[int, int, int, bytes]:
+    """(rate, channels, bytes to a sample, PCM bytes) of a RIFF file; data cut short is taken as far as it goes."""
+    rate, channels, width, at, size = wav_header(io.BytesIO(content))
+    return rate, channels, width, content[at : at + size]
+
+
+#: By bytes to a sample: full scale and the step between neighbouring values.
+SCALES = {1: (128, 1), 2: (1 << 15, 1), 3: (1 << 31, 256), 4: (1 << 31, 1)}
+CHUNKS = "path string, size_bytes long, file_sha256 string, content_sha256 string, sample_rate int, bit_depth int, channels int, full_scale long, lsb long, frames long, error string, chunk long, first_frame long, lead long"
+
+
+def _open(path: str):
+    store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store.open_input_file(name)
+
+
+def _hashes(src, at: int, size: int) -> tuple[str, str]:
+    """SHA-256 of a file and of its PCM bytes, read once in blocks."""
+    whole, own, place = hashlib.sha256(), hashlib.sha256(), 0
+    src.seek(0)
+    while block := src.read(1 << 22):
+        whole.update(block)
+        own.update(block[max(0, at - place) : max(0, at + size - place)])
+        place += len(block)
+    return whole.hexdigest(), own.hexdigest()
+
+
+def plan_chunks(files: DataFrame, frames: int, lead: int = 0) -> DataFrame:
+    """A row (``CHUNKS``, byte_at, n_bytes) for each stretch of so many frames of the WAV ``files`` (path), with up to ``lead`` frames before it. Headers and hashes are read where
+    the task runs, a block at a time; a file that can't be read is one row with its error."""
+
+    def run(batches):
+        schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in f"{CHUNKS}, byte_at long, n_bytes long".split(", ")])
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                row, rows = {"path": path, "file_sha256": "", "content_sha256": "", "frames": 0, "chunk": 0, "first_frame": 0, "lead": 0, "byte_at": 0, "n_bytes": 0}, []
+                try:
+                    with _open(path) as src:
+                        row["size_bytes"] = src.size()
+                        rate, channels, width, at, size = wav_header(src)
+                        size = min(size, src.size() - at)
+                        step, whole = width * channels, size // (width * channels)
+                        full, lsb = SCALES[width]
+                        row["file_sha256"], row["content_sha256"] = _hashes(src, at, size)
+                    row |= {"sample_rate": rate, "bit_depth": 8 * width, "channels": channels, "full_scale": full, "lsb": lsb, "frames": whole}
+                    for k, first in enumerate(range(0, max(whole, 1), frames)):
+                        more = min(lead, first)
+                        rows.append(row | {"chunk": k, "first_frame": first, "lead": more, "byte_at": at + (first - more) * step, "n_bytes": (more + min(frames, whole - first)) * step})
+                except Exception as e:  # noqa: BLE001  one file's fault is its row's error
+                    rows = [row | {"error": str(e) or type(e).__name__}]
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pylist(rows[i : i + 10_000], schema=schema)
+
+    return files.select("path").mapInArrow(run, f"{CHUNKS}, byte_at long, n_bytes long")
+
+
+def read_audio_chunks(spark: SparkSession, root: str, frames: int = 1 << 20, extensions: list[str] = EXTENSIONS, lead: int = 0) -> DataFrame:
+    """WAV files of any length as rows (``CHUNKS``, chans) of at most ``frames`` frames, for ``operators.chunks``; with ``lead``, for ``operators.loudness``, samples
+    before a chunk's own come first. Every task reads its own
+    stretches; no row or task holds a whole recording."""
+    plan = plan_chunks(list_files(spark, root, extensions), frames, lead).repartition("path", "chunk")
+
+    def run(batches):
+        kept = [c.split()[0] for c in CHUNKS.split(", ")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                path, at, n, channels, bits = (one[c][0].as_py() for c in ("path", "byte_at", "n_bytes", "channels", "bit_depth"))
+                x = np.zeros((0, channels or 0), np.int64)
+                if n:
+                    with _open(path) as src:
+                        src.seek(at)
+                        x = pcm_samples(src.read(n), bits // 8, channels)
+                yield pa.record_batch([*(one[c] for c in kept), _channels(x)], names=[*kept, "chans"])
+
+    return plan.mapInArrow(run, f"{CHUNKS}, chans array<array<long>>")
+
+
+def _channels(x: np.ndarray) -> pa.Array:
+    """One row's samples by channel, as they lie in memory."""
+    ends = pa.array(np.arange(x.shape[1] + 1) * len(x), pa.int32())
+    return pa.ListArray.from_arrays(pa.array([0, x.shape[1]], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x.T).ravel())))
+
+
 def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, decoder: Callable[[bytes], tuple] | None = None) -> DataFrame:
     """A row (``AUDIO``) per file with its samples by channel. ``decoder`` gives (rate, channels, bytes to a sample, PCM) of other formats."""
     wanted = [e.lower() for e in extensions]
@@ -105,15 +191,13 @@ def read_audio(spark: SparkSession, root: str, extensions: list[str] = EXTENSION
                             raise
                         via, (rate, channels, width, pcm) = "external", decoder(content)
                     x = pcm_samples(pcm, width, channels)
-                    full, lsb = {1: (128, 1), 2: (1 << 15, 1), 3: (1 << 31, 256), 4: (1 << 31, 1)}[width]
+                    full, lsb = SCALES[width]
                     row |= {"content_sha256": hashlib.sha256(pcm).hexdigest(), "decoded_via": via, "sample_rate": rate, "bit_depth": 8 * width, "channels": channels, "full_scale": full, "lsb": lsb, "frames": len(x)}
                     samples = x
                 except Exception as e:  # noqa: BLE001  one file's fault is its row's error
                     row["error"] = str(e) or type(e).__name__
                 # a file at a time: samples take many times a file's size
-                # samples go to Arrow as they lie in memory, channel by channel
-                ends = pa.array(np.arange(samples.shape[1] + 1) * len(samples), pa.int32())
-                chans = pa.ListArray.from_arrays(pa.array([0, samples.shape[1]], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(samples.T).ravel())))
+                chans = _channels(samples)
                 yield pa.record_batch([chans if f.name == "chans" else pa.array([row.get(f.name)], f.type) for f in schema], schema=schema)
 
     return files.mapInArrow(run, AUDIO)
@@ -139,26 +223,60 @@ def last_match(text, pattern: str):
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-def read_subtitles(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """The subtitle table: seven columns under a fixed header. A number that isn't one is an error, a blank one null; blank lines go; rows without a key are named by line."""
-    raw = spark.read.option("encoding", "UTF-8").text(path, wholetext=True).withColumn("_lines", F.split(F.regexp_replace("value", "^\\uFEFF", ""), "\r?\n"))
-    head = F.get("_lines", F.lit(0))
-    checked = raw.withColumn("_ok", F.assert_true(head == sep.join(SUBTITLE_COLUMNS), F.lit("the header isn't the expected one")))
-    lines = checked.select(F.posexplode(F.when(F.col("_ok").isNull(), F.col("_lines"))).alias("_n", "_line")).filter((F.col("_n") > 0) & (F.trim(F.translate("_line", sep, " ")) != ""))
-    cell = lambda i: F.trim(F.coalesce(F.get(F.split("_line", sep, 7), F.lit(i)), F.lit("")))
-    number = lambda i: F.when(cell(i) != "", cell(i).cast("double"))
-    idx = F.when(cell(0) != "", cell(0)).otherwise(F.concat(F.lit("L"), (F.col("_n") + 1).cast("string")))
-    return lines.select("_n", idx.alias("idx"), number(1).alias("speech_start"), number(2).alias("speech_end"), number(3).alias("subtitle_start"), number(4).alias("subtitle_end"), cell(5).alias("subtitle_text"), cell(6).alias("note")).withColumnRenamed("_n", "line")
+SUBTITLES = "line int, idx string, speech_start double, speech_end double, subtitle_start double, subtitle_end double, subtitle_text string, note string"
+
+
+def subtitle_rows(text: str, sep: str) -> list[tuple]:
+    """The rows of one subtitle table: quoted cells may hold separators and line breaks, cells beyond the seventh are passed over, blank
+    records go, a record without a key is named by its number. A blank or non-finite time is null; one that is no number, a short record,
+    another header and a table without records are errors."""
+    records = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), delimiter=sep))
+    if not records or [c.strip() for c in records[0]][:7] != SUBTITLE_COLUMNS:
+        raise ValueError(f"the header isn't the expected one: {', '.join(SUBTITLE_COLUMNS)}")
+    rows = []
+    for n, cells in enumerate(records[1:], 1):
+        if not "".join(cells).strip():
+            continue
+        if len(cells) < 7:
+            raise ValueError(f"record {n + 1} has {len(cells)} cells, not seven")
+        cells = [c.strip() for c in cells]
+        times = [float(c) if c else None for c in cells[1:5]]
+        rows.append((n, cells[0] or f"L{n + 1}", *(t if t is not None and math.isfinite(t) else None for t in times), cells[5], cells[6]))
+    if not rows:
+        raise ValueError("no records")
+    return rows
+
+
+def read_subtitles(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Subtitle tables (``SUBTITLES``) under a fixed header of seven columns, separated by tabs if the name ends so (.tsv, .tab), else by commas.
+    See ``subtitle_rows`` for what is an error; it names the file."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("_path"))
+
+    def run(batches):
+        for pdf in batches:
+            for text, name in zip(pdf["value"], pdf["_path"], strict=True):
+                try:
+                    rows = subtitle_rows(text, sep or ("\t" if name.lower().endswith((".tsv", ".tab")) else ","))
+                except ValueError as e:
+                    raise ValueError(f"{name}: {e}") from e
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUBTITLES.split(", ")])
 
+    return raw.mapInPandas(run, SUBTITLES)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript segments, of ``{"segments": [...]}`` or a bare array; one that ends before it starts is an error."""
+    """Transcript segments (start, end, text), of ``{"segments": [...]}`` or a bare array. Errors: text that is no JSON or cut off, no array of segments, a
+    segment without a number as start or end, and one that ends before it starts. Texts are trimmed."""
     text = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", "segments array<struct<start:double,end:double,text:string>>")["segments"]
-    bare = F.from_json("value", "array<struct<start:double,end:double,text:string>>")
-    rows = text.select(F.inline(F.when(F.startswith(F.ltrim("value"), F.lit("[")), bare).otherwise(items)))
-    return rows.withColumn("end", F.when(F.col("end") < F.col("start"), F.raise_error(F.lit("a segment ends before it starts")).cast("double")).otherwise(F.col("end")))
+    one = "struct<start:string,end:string,text:string>"
+    wrong = lambda what: F.raise_error(F.lit(what))
+    parsed = lambda schema: F.from_json("value", schema, {"mode": "FAILFAST"})
+    items = F.when(F.startswith(F.ltrim("value"), F.lit("[")), parsed(f"array<{one}>")).otherwise(parsed(f"segments array<{one}>")["segments"])
+    items = F.coalesce(items, wrong("the transcript has no array of segments").cast(f"array<{one}>"))
+    rows = text.select(F.explode(items).alias("s"))
+    time = lambda c: F.coalesce(F.col("s")[c].try_cast("double"), wrong(f"a segment has no {c}").cast("double"))
+    rows = rows.select(time("start").alias("start"), time("end").alias("end"), F.regexp_replace(F.coalesce(F.col("s.text"), F.lit("")), r"(?U)^\s+|\s+$", "").alias("text"))
+    return rows.withColumn("end", F.when(F.col("end") < F.col("start"), wrong("a segment ends before it starts").cast("double")).otherwise(F.col("end")))
 
 
 REPORT = "files array<struct<path:string,status:string,findings:array<struct<check:string,severity:string,detail:map<string,string>>>>>"

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonequarry.functions.text import general, timecode, two_decimals
 from tonequarry.operators.intervals import CATEGORIES, in_report_order
@@ -149,9 +150,54 @@ def defect_payload(judged: DataFrame) -> DataFrame:
 # --- stored timelines, replaced sections, state -----------------------------------
 
 
+#: Stored records' form. A reader takes its own and older ones.
+TIMELINE_VERSION = 2
+TIMELINE = "step string, at double, issued_at double, effective_at double, late_by double, ok boolean, label string, before string, after string"
+
+
 def write_timeline(records: DataFrame, folder: str, clip: str = "clip") -> None:
-    """Store records as JSON by clip: clips that are written again are replaced, others stay."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(clip).json(folder)
+    """Store records (clip, ``TIMELINE``) as JSON by clip: clips that are written again are replaced, others stay."""
+    marked = records.withColumn("version", F.lit(TIMELINE_VERSION))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(clip).json(folder)
+
+
+def read_timelines(spark: SparkSession, folder: str, clip: str = "clip") -> DataFrame:
+    """Stored records of all clips. Records without a version are of the first form, in which late_by was not kept; a later form than
+    this reader's is an error."""
+    raw = spark.read.schema(f"{TIMELINE}, version int, {clip} string").json(folder)
+    known = F.when(F.coalesce("version", F.lit(1)) > TIMELINE_VERSION, F.raise_error(F.lit("the records are of a later form")).cast("boolean")).otherwise(True)
+    late = F.coalesce("late_by", F.bround(F.col("issued_at") - F.col("at"), 3))
+    return raw.filter(known).withColumn("late_by", late).drop("version")
+
+
+def timeline_lines(records: DataFrame, clip: str = "clip") -> DataFrame:
+    """(clip, n, line) of every clip's timeline, rendered from records at once: heading, table in the order of ``at`` and step, and what was not controlled."""
+    three = lambda c: F.format_string("%.3f", F.col(c))
+    cells = [F.col("step"), two_decimals(F.col("at")), three("issued_at"), three("effective_at"), two_decimals(F.col("late_by")), F.when(F.col("ok"), "effective").otherwise("**not controlled**"), F.col("label"), F.concat_ws(" → ", "before", "after")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))
+    names = ["step", "planned s", "issued s", "effective s", "late s", "result", "action", "default device"]
+    head = ["## Device timeline", "", f"| {' | '.join(names)} |", f"| {' | '.join(['---'] * len(names))} |"]
+    fixed = records.select(clip).distinct().select(clip, F.posexplode(F.array(*map(F.lit, head))).alias("k", "line")).select(clip, F.lit(0).alias("part"), F.col("k").cast("double").alias("at"), F.lit("").alias("step"), "line")
+    rows = records.select(clip, F.lit(1).alias("part"), "at", "step", line.alias("line"))
+    bad = records.filter("not ok").select(clip, F.lit(2).alias("part"), "at", "step", F.concat(F.lit("- `"), F.col("step"), F.lit("` was not controlled")).alias("line"))
+    n = F.row_number().over(Window.partitionBy(clip).orderBy("part", "at", "step", "line")) - 1
+    return fixed.union(rows).union(bad).select(clip, n.alias("n"), "line")
+
+
+def with_sections(lines: DataFrame, heading: str, sections: DataFrame, doc: str = "clip") -> DataFrame:
+    """``with_section`` of many reports (doc, n, line): each keeps its lines before the heading and takes its own section, if it has one."""
+    has = sections.select(doc).distinct().withColumn("_new", F.lit(True))
+    cut = lines.filter(F.startswith("line", F.lit(heading))).groupBy(doc).agg(F.min("n").alias("_cut"))
+    kept = lines.join(has, doc, "left").join(cut, doc, "left").filter("_new is null or _cut is null or n < _cut").select(doc, "n", "line")
+    ends = kept.groupBy(doc).agg((F.max("n") + 1).alias("_end"))
+    added = sections.join(ends, doc, "left").select(doc, (F.col("n") + F.coalesce("_end", F.lit(0))).alias("n"), "line")
+    return kept.union(added)
+
+
+def refresh_timelines(spark: SparkSession, folder: str, reports: DataFrame, clip: str = "clip") -> DataFrame:
+    """Reports (clip, n, line) with their timelines rendered again from the stored records: nothing is recorded anew when the form of a report
+    changes, and a second time changes nothing."""
+    return with_sections(reports, "## Device timeline", timeline_lines(read_timelines(spark, folder, clip), clip), clip)
 
 
 def with_section(lines: DataFrame, heading: str, section: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def sessions(events: DataFrame, keys: list[str], t: str, tie: str, gap: float) -
 def watch_files(spark: SparkSession, folder: str, pattern: str = "*", settle_s: int = 3) -> DataFrame:
     """New files of a folder as a stream: path, length, modificationTime. What was seen is in the query's checkpoint.
 
-    A file that is still being written shows no age: rows younger than ``settle_s`` at their batch are for the caller to defer.
+    Each file comes once, whole or not: ``live.settled_files`` waits until it is.
     """
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return files.select("path", "length", "modificationTime", (F.col("modificationTime") <= F.current_timestamp() - F.expr(f"INTERVAL {int(settle_s)} SECONDS")).alias("settled"))
@@ -62,18 +62,23 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1
 
 
 def takes(events: DataFrame) -> DataFrame:
-    """Takes from ordered recorder states of a batch (recorder, t, state, path): each stop closes what began at the last start."""
-    w = Window.partitionBy("recorder").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = events.withColumn("_started", F.last(F.when(F.col("state") == "started", F.col("t")), True).over(w)).withColumn("_stopped", F.max(F.when(F.col("state") == "stopped", F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    done = e.filter("state = 'stopped' and _started is not null and (_stopped is null or _started > _stopped)")
-    return done.select("recorder", F.row_number().over(Window.partitionBy("recorder").orderBy("t")).alias("take"), F.col("_started").alias("started"), F.col("t").alias("stopped"), "path")
+    """Takes from recorder states of a batch (recorder, t, seq, state, path), in the order of t and seq: each stop closes what began at the last start."""
+    return takes_with_marks(events).drop("n_marks", "first_mark")
 
 
 def takes_with_marks(events: DataFrame) -> DataFrame:
-    """``takes`` with n_marks and first_mark (seconds from the start): what came, neither start nor stop, between a take's last start and its stop."""
-    w = Window.partitionBy("recorder").orderBy("t")
+    """``takes`` with n_marks and first_mark (seconds from the start): what came, neither start nor stop, between a take's last start and its stop.
+    ``live.live_takes`` gives the same of a stream."""
+    w = Window.partitionBy("recorder").orderBy("t", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda state: F.last(F.when(F.col("state") == state, F.col("t")), True).over(upto)
-    m = events.withColumn("_start", last("started")).withColumn("_stop", last("stopped")).filter(~F.col("state").isin("started", "stopped"))
-    m = m.filter("_start is not null and (_stop is null or _start > _stop)").groupBy("recorder", F.col("_start").alias("started")).agg(F.count("*").alias("n_marks"), F.min(F.col("t") - F.col("_start")).alias("first_mark"))
-    return takes(events).join(m, ["recorder", "started"], "left").withColumn("n_marks", F.coalesce("n_marks", F.lit(0)))
+    at = F.struct("t", "seq")
+    last = lambda state, over: F.last(F.when(F.col("state") == state, at), True).over(over)
+    e = events.withColumn("_start", last("started", upto)).withColumn("_stop", last("stopped", w.rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.filter("_start is not null and (_stop is null or _start > _stop) and state <> 'started'")
+    mark = F.col("state") != "stopped"
+    g = e.groupBy("recorder", "_start").agg(
+        F.min(F.when(~mark, at)).alias("_end"), F.min_by("path", F.when(~mark, at)).alias("path"), F.count_if(mark).alias("n_marks"), F.min(F.when(mark, F.col("t"))).alias("_mark")
+    )
+    # a start that another start follows has no stop
+    g = g.filter("_end is not null").withColumn("take", F.row_number().over(Window.partitionBy("recorder").orderBy("_end")))
+    return g.select("recorder", "take", F.col("_start.t").alias("started"), F.col("_end.t").alias("stopped"), "path", "n_marks", (F.col("_mark") - F.col("_start.t")).alias("first_mark"))

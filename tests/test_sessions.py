@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tonequarry.functions import stats
 from tonequarry.functions import text as X
 from tonequarry.operators import crosscheck as C
+from tonequarry.operators import edits
 from tonequarry.operators import injection as J
 from tonequarry.operators import intervals as I
 from tonequarry.operators import library as L
@@ -92,7 +93,7 @@ def test_macros_and_records(spark):
 
 def test_waits_and_replies(spark):
     polls = spark.createDataFrame([("a", 0.0, 0), ("a", 1.0, 5), ("a", 2.0, 5), ("b", 0.0, 1), ("b", 1.0, 2), ("c", 0.0, 0), ("c", 1.0, 0), ("d", 0.0, 1), ("d", 30.0, 1)], "f string, t double, size long")
-    assert {r["f"]: (r["ready_at"], r["ready"], r["settled"]) for r in K.stable_files(polls, ["f"]).collect()} == {"a": (2.0, True, True), "b": (1.0, True, False), "c": (1.0, False, False), "d": (0.0, True, False)}
+    assert {r["f"]: (r["ready_at"], r["ready"], r["settled"]) for r in K.stable_files(polls.withColumn("seq", F.lit(0)), ["f"]).collect()} == {"a": (2.0, True, True), "b": (1.0, True, False), "c": (1.0, False, False), "d": (0.0, True, False)}
     checks = spark.createDataFrame([("a", 0.0, False), ("a", 1.0, True), ("b", 0.0, None), ("b", 2.5, False), ("b", 3.0, True), ("c", 0.0, False)], "k string, e double, ok boolean")
     assert {r["k"]: (r["met"], r["elapsed"]) for r in K.poll_result(checks, ["k"], "e", F.col("ok"), 2.0).collect()} == {"a": (True, 1.0), "b": (False, 2.5)}
     req = spark.createDataFrame([("s", 1, 0), ("s", 2, 0), ("s", 3, 0), ("s", 4, 0)], "session string, request_id int, after int")
@@ -115,7 +116,7 @@ def test_replies_of_streams(spark, tmp_path):
 
 def test_takes_with_marks(spark):
     e = spark.createDataFrame([("r", float(t), s, None) for t, s in enumerate(["mark", "started", "mark", "started", "mark", "mark", "stopped", "mark", "stopped", "started", "stopped"])], "recorder string, t double, state string, path string")
-    assert [(r["take"], r["started"], r["stopped"], r["n_marks"], r["first_mark"]) for r in recorder.takes_with_marks(e).orderBy("take").collect()] == [(1, 3.0, 6.0, 2, 1.0), (2, 9.0, 10.0, 0, None)]
+    assert [(r["take"], r["started"], r["stopped"], r["n_marks"], r["first_mark"]) for r in recorder.takes_with_marks(e.withColumn("seq", F.lit(0))).orderBy("take").collect()] == [(1, 3.0, 6.0, 2, 1.0), (2, 9.0, 10.0, 0, None)]
 
 
 def test_properties(spark):
@@ -184,7 +185,7 @@ def test_outside_tools(spark, tmp_path):
     r = media.read_audio(spark, str(tmp_path), [".ogg"], external.command_decoder([sys.executable, "-c", script])).first()
     assert (r["sample_rate"], r["channels"], r["chans"], r["decoded_via"], r["error"]) == (8000, 2, [[1, 2], [-1, -2]], "external", None)
     bad = media.read_audio(spark, str(tmp_path), [".ogg"], external.command_decoder([sys.executable, "-c", "import sys; sys.exit('broken')"])).first()
-    assert bad["error"] == "not decoded: broken" and bad["chans"] == []
+    assert bad["error"] == "exit code 1, 0 bytes decoded; log: broken" and bad["chans"] == []
     mono = external.read_mono(spark, str(tmp_path), lambda b: (4, np.array([0.5, -0.5])), [".ogg"])
     heard = external.transcribe(mono, lambda: lambda rate, x: [(0.0, len(x) / rate, "hi")]).collect()
     assert sorted((r["start"], r["end"], r["text"]) for r in heard) == [(0.0, 0.5, "hi")] * 2
@@ -248,3 +249,114 @@ def test_reports_sections_and_state(spark, tmp_path):
     for k in (1, 2):
         sections.write_state(spark, f"file://{tmp_path}/state.json", {"k": k})
     assert json.loads((tmp_path / "state.json").read_text()) == {"k": 2} and not math.isnan(1.0)
+
+
+HEADER = "句号,语音起,语音止,字幕出现,字幕消失,字幕原文,备注"
+
+
+def subtitles(spark, tmp_path, text, name="t.csv"):
+    (tmp_path / name).write_text(text, encoding="utf-8")
+    return [tuple(r)[1:] for r in media.read_subtitles(spark, str(tmp_path / name)).orderBy("line").collect()]
+
+
+def test_subtitle_tables_as_people_save_them(spark, tmp_path):
+    rows = subtitles(spark, tmp_path, "\ufeff" + HEADER.replace(",", " , ") + ',更多\r\n1,1.5,2,1.4,,"hello, world",note,extra\r\n\r\n,nan,inf, 3 ,4,"two\nlines ""said""", \r\n')
+    assert rows == [("1", 1.5, 2.0, 1.4, None, "hello, world", "note"), ("L4", None, None, 3.0, 4.0, 'two\nlines "said"', "")]
+    assert subtitles(spark, tmp_path, HEADER.replace(",", "\t") + "\nA\t1\t2\t\t\ta, b\t\n", "t.tsv") == [("A", 1.0, 2.0, None, None, "a, b", "")]
+    for bad in (" ", HEADER, HEADER + "\n\n", "a,b\n1,2", HEADER + "\n1,2", HEADER + "\n1,one,2,3,4,text,", HEADER.replace("备注", "别的") + "\n1,1,2,3,4,t,"):
+        with pytest.raises(Exception, match="t.csv"):
+            subtitles(spark, tmp_path, bad)
+
+
+def test_transcripts_that_are_cut_off_are_errors(spark, tmp_path):
+    def read(text):
+        (tmp_path / "s.json").write_text(text, encoding="utf-8")
+        return [tuple(r) for r in media.read_segments(spark, str(tmp_path / "s.json")).collect()]
+
+    assert read('{"segments": [{"start": "1.5", "end": 2, "text": "  said\\n"}, {"start": 2, "end": 2, "text": null}]}') == [(1.5, 2.0, "said"), (2.0, 2.0, "")]
+    assert read('[{"start": 0, "end": 1, "text": "  "}]') == [(0.0, 1.0, "")] and read('{"segments": []}') == []
+    for bad in ('{"segments": [{"start": 1, "end": 2, "text": "a"}, {"sta', "[1, 2", " ", '{"other": []}', '[{"start": 1, "text": "a"}]', '[{"start": "x", "end": 2}]', '[{"start": 2, "end": 1}]', "[null]"):
+        with pytest.raises(Exception):  # noqa: B017
+            read(bad)
+
+
+def test_edits_are_kept_in_new_reports(spark):
+    old = """## 一、环境（待填）
+| 项目 | 值 |
+| --- | --- |
+| 游戏 / 版本 | 1.2 |
+| `a` | 00:01 | 200 | dark | |
+| `a` | 00:01 | 210 | dark room | by design |
+| `b` | 00:02 | 9 | | |
+- 执行次数：2（本目录内 2 个片段）
+- 复现率：1 / 2（twice seen）
+- 结论（PASS / FAIL / BLOCKED / 未复现）：
+- 预期：
+  it goes on
+    and on
+not under it
+- 实际（写可观察事实 + 时间码）：
+- 其它备注：said once
+- 其它备注：said twice"""
+    new = """## 一、环境（待填）
+| 游戏 / 版本 |  |
+| 设备 |  |
+| `a` | 00:01 | 300 |  |  |
+| `b` | 00:02 | 9 |  |  |
+| `c` | 00:03 | 1 |  |  |
+- 执行次数：3（本目录内 3 个片段）
+- 复现率：__ / 3
+## 四、结论（待填）
+- 结论（PASS / FAIL / BLOCKED / 未复现）：
+- 预期：
+  a hint
+- 实际（写可观察事实 + 时间码）：
+  another hint
+- 其它备注："""
+    want = """## 一、环境
+| 游戏 / 版本 | 1.2 |
+| 设备 |  |
+| `a` | 00:01 | 300 | dark room | by design |
+| `b` | 00:02 | 9 |  |  |
+| `c` | 00:03 | 1 |  |  |
+- 执行次数：3（本目录内 3 个片段）
+- 复现率：1 / 3（twice seen）
+## 四、结论（待填）
+- 结论（PASS / FAIL / BLOCKED / 未复现）：
+- 预期：
+  it goes on
+    and on
+- 实际（写可观察事实 + 时间码）：
+  another hint
+- 其它备注：said twice"""
+    rows = lambda text, doc: [(doc, n, line) for n, line in enumerate(text.split("\n"))]
+    kind = "doc string, n int, line string"
+    got = edits.merge_reports(spark.createDataFrame(rows(new, "r") + rows(new, "alone"), kind), spark.createDataFrame(rows(old, "r"), kind)).orderBy("doc", "n").collect()
+    assert "\n".join(r["line"] for r in got if r["doc"] == "r") == want
+    assert "\n".join(r["line"] for r in got if r["doc"] == "alone") == new
+    again = edits.merge_reports(spark.createDataFrame(rows(new, "r"), kind), spark.createDataFrame(rows(want, "r"), kind)).orderBy("n").collect()
+    assert "\n".join(r["line"] for r in again) == want
+    custom = rows("- 复现率：always", "r")
+    kept = edits.merge_reports(spark.createDataFrame(rows(new, "r"), kind), spark.createDataFrame(custom, kind)).filter("line like '- 复现率%'").collect()
+    assert [r["line"] for r in kept] == ["- 复现率：always"]
+
+
+def test_stored_timelines_are_rendered_again(spark, tmp_path):
+    rec = spark.createDataFrame([("a", "s1", 1.0, 1.25, 1.5, 0.25, True, "plug", "x", "y"), ("a", "s2", 2.0, 2.0, 2.5, 0.0, False, "pull", "y", "x"), ("b", "s1", 1.0, 1.0, 1.0, 0.0, True, "plug", "x", "y")], f"clip string, {sections.TIMELINE}")
+    sections.write_timeline(rec, f"{tmp_path}/tl")
+    reports = spark.createDataFrame([("a", 0, "# a"), ("a", 1, "## Device timeline"), ("a", 2, "old"), ("c", 0, "# c"), ("c", 1, "## Device timeline"), ("c", 2, "stays")], "clip string, n long, line string")
+    once = sections.refresh_timelines(spark, f"{tmp_path}/tl", reports)
+    lines = lambda df, clip: [r["line"] for r in df.filter(F.col("clip") == clip).orderBy("n").collect()]
+    assert lines(once, "a")[0] == "# a" and "old" not in lines(once, "a") and lines(once, "a")[-1] == "- `s2` was not controlled" and lines(once, "c") == ["# c", "## Device timeline", "stays"]
+    assert lines(once, "b")[0] == "## Device timeline"
+    twice = sections.refresh_timelines(spark, f"{tmp_path}/tl", once)
+    assert all(lines(once, c) == lines(twice, c) for c in "abc")
+    sections.write_timeline(rec.filter("clip = 'a' and step = 's1'"), f"{tmp_path}/tl")
+    assert len(lines(sections.refresh_timelines(spark, f"{tmp_path}/tl", reports), "a")) == 6
+    # records of the first form have no version and no late_by; a later form is refused
+    (tmp_path / "old" / "clip=z").mkdir(parents=True)
+    (tmp_path / "old" / "clip=z" / "x.json").write_text('{"step":"s1","at":1.0,"issued_at":1.5,"ok":true}\n')
+    assert sections.read_timelines(spark, f"{tmp_path}/old").first()["late_by"] == 0.5
+    (tmp_path / "old" / "clip=z" / "x.json").write_text('{"step":"s1","at":1.0,"version":99}\n')
+    with pytest.raises(Exception, match="later form"):
+        sections.read_timelines(spark, f"{tmp_path}/old").collect()

@@ -249,7 +249,7 @@ def subtitle_rows(text: str, sep: str) -> list[tuple]:
 
 def read_subtitles(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Subtitle tables (``SUBTITLES``) under a fixed header of seven columns, separated by tabs if the name ends so (.tsv, .tab), else by commas.
-    See ``subtitle_rows`` for what is an error; it names the file."""
+    See ``subtitle_rows`` for what is an error; it names the file. Spark passes over a file of no bytes."""
     raw = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("_path"))
 
     def run(batches):
@@ -266,7 +266,7 @@ def read_subtitles(spark: SparkSession, path: str, sep: str | None = None) -> Da
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Transcript segments (start, end, text), of ``{"segments": [...]}`` or a bare array. Errors: text that is no JSON or cut off, no array of segments, a
-    segment without a number as start or end, and one that ends before it starts. Texts are trimmed."""
+    segment without a number as start or end, and one that ends before it starts. Texts are trimmed. Spark passes over a file of no bytes."""
     text = spark.read.text(path, wholetext=True)
     one = "struct<start:string,end:string,text:string>"
     wrong = lambda what: F.raise_error(F.lit(what))

@@ -29,25 +29,30 @@ def dc_offset(chan: Column, full_scale: Column) -> Column:
     return F.when(F.size(chan) > 0, total / F.size(chan) / full_scale).otherwise(F.lit(0.0))
 
 
-def _runs(flags: Column) -> Column:
-    """(start, length) of each run of true in an array of booleans, in order.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: an expression that stands in several places of a lambda is worked out in each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Neighbours are paired by shifted copies: an expression inside a lambda would be worked out again for every element.
-    """
-    n = F.size(flags)
-    before = F.concat(F.array(F.lit(False)), F.slice(flags, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(flags, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.lit(False)))
-    at = lambda other: F.array_compact(F.transform(F.zip_with(flags, other, lambda f, o: f & ~o), lambda x, i: F.when(x, i)))
-    runs = F.zip_with(at(before), at(after), lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
+
+def _stretches(at: Column) -> Column:
+    """(start, length) of each stretch of consecutive numbers in a sorted array; ``at`` stands in it several times."""
+    rest = F.greatest(F.size(at) - 1, F.lit(0))
+    before = F.concat(F.array(F.lit(-2)), F.slice(at, F.lit(1), rest))
+    after = F.concat(F.slice(at, F.lit(2), rest), F.array(F.lit(-2)))
+    starts = F.array_compact(F.zip_with(at, before, lambda p, b: F.when(p != b + 1, p)))
+    ends = F.array_compact(F.zip_with(at, after, lambda p, a: F.when(a != p + 1, p)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
+
+
+def _places(values: Column, holds) -> Column:
+    """Positions at which ``holds``."""
+    return F.array_compact(F.transform(values, lambda v, i: F.when(holds(v), i)))
 
 
 def full_scale_runs(chan: Column, full_scale: Column, lsb: Column, min_run: int = 3) -> Column:
     """struct(runs, total): runs of at least ``min_run`` samples at either rail (the top value, its negative, the bottom value), and all such samples."""
-    at_rail = F.transform(chan, lambda v: (v == full_scale - lsb) | (v == lsb - full_scale) | (v == -full_scale))
-    runs = F.filter(_runs(at_rail), lambda r: r["length"] >= min_run)
-    total = F.size(F.filter(at_rail, lambda x: x))
-    return F.struct(runs.alias("runs"), total.alias("total"))
+    at_rail = _places(chan, lambda v: (v == full_scale - lsb) | (v == lsb - full_scale) | (v == -full_scale))
+    return _let(at_rail, lambda at: F.struct(F.filter(_stretches(at), lambda r: r["length"] >= min_run).alias("runs"), F.size(at).alias("total")))
 
 
 def window_peaks(chan: Column, window: Column) -> Column:
@@ -83,7 +88,7 @@ def silence_gaps(chans: Column, floor: Column, window: Column, min_frames: Colum
     """(start, length) of the runs of windows in which all channels are at or below the floor, with signal before and after, of ``min_frames`` at least."""
     loud = F.aggregate(chans, window_peaks(F.get(chans, F.lit(0)), window), lambda acc, c: F.zip_with(acc, window_peaks(c, window), lambda a, b: F.greatest(a, b)))
     n = F.ceil(F.array_max(F.transform(chans, F.size)) / window)
-    inner = F.filter(_runs(F.transform(loud, lambda p: p <= floor)), lambda r: (r["start"] > 0) & (r["start"] + r["length"] < n))
+    inner = F.filter(_let(_places(loud, lambda p: p <= floor), _stretches), lambda r: (r["start"] > 0) & (r["start"] + r["length"] < n))
     gaps = F.transform(inner, lambda r: F.struct((r["start"] * window).alias("start"), (r["length"] * window).alias("length")))
     return F.filter(gaps, lambda g: g["length"] >= min_frames)
 

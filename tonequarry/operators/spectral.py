@@ -75,6 +75,17 @@ def features(samples: np.ndarray, onsets: np.ndarray, rate: int, at_once: int =
     return out
 
 
+def envelopes(clips: DataFrame) -> DataFrame:
+    """clip and its envelope of rises (``flux``, six digits), from (clip string, sample_rate int, samples array<double>); short clips have none."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(clip, np.round(flux(np.asarray(x, np.float64), int(rate)), 6).tolist()) for clip, rate, x in zip(pdf["clip"], pdf["sample_rate"], pdf["samples"], strict=True) if x is not None and rate and rate > 0]
+            yield pd.DataFrame(rows, columns=["clip", "envelope"])
+
+    return clips.select("clip", "sample_rate", "samples").mapInPandas(run, "clip string, envelope array<double>")
+
+
 def onset_features(clips: DataFrame) -> DataFrame:
     """clip and a row per onset with its features, from (clip string, sample_rate int, samples array<double>); null and short clips have none."""
 

@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tonequarry.functions import stats
 from tonequarry.functions import text as X
 from tonequarry.operators import chunks as K
+from tonequarry.operators import intervals as I
 from tonequarry.operators import library as L
 from tonequarry.operators import rules as R
+from tonequarry.operators import sequences as Q
 from tonequarry.operators import signals as S
+from tonequarry.operators import spectral
+from tonequarry.operators import takes as T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -446,18 +451,126 @@ def p06_loop_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.is_loop_name(name).alias("is_loop"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'bgm' WHEN doc_id % 5 = 1 THEN 'ui' WHEN doc_id % 5 = 2 THEN 'weapon' WHEN doc_id % 5 = 3 THEN 'vo' ELSE 'uncategorized' END AS category FROM documents""")
+def _marks(rules) -> list[str]:
+    return [m for _, marks in rules for m in marks]
+
+
+def _chain(text: str, rules) -> str:
+    return " ".join(f"WHEN {' OR '.join(f"contains({text}, '{m}')" for m in marks)} THEN '{label}'" for label, marks in rules)
+
+
+#: Every mark of a directory meets every mark of a name, and both meet none; letters in upper and lower case, both slashes.
+_DIRS, _NAMES = ["/plain/", *_marks(X.DIRECTORY_RULES)], ["x", *_marks(X.NAME_RULES)]
+_sql_list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN upper(d) WHEN doc_id % 3 = 1 THEN replace(d, '/', '\') ELSE d END || 'a' || n || doc_id || '.wav' AS path
+ FROM (SELECT doc_id, 'Audio/' || {_sql_list(_DIRS)}[doc_id % {len(_DIRS)} + 1] || '/b/' AS d, {_sql_list(_NAMES)}[doc_id // {len(_DIRS)} % {len(_NAMES)} + 1] AS n FROM documents)),
+w AS (SELECT doc_id, '/' || lower(replace(path, '\', '/')) AS whole FROM p), q AS (SELECT *, regexp_replace(whole, '[^/]*$', '') AS dir FROM w)
+SELECT doc_id, CASE {_chain('dir', X.DIRECTORY_RULES)} {_chain('whole', X.NAME_RULES)} ELSE 'uncategorized' END AS category FROM q""")
 def p07_categories(spark, sf_dir):
-    path = F.element_at(F.array(*[F.lit(x) for x in ("Audio/Music/x_click.wav", "a/hud_menu_1.wav", "Fx/GUN_shot.wav", "a\\Voices\\theme.wav", "plain/x.wav")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    of = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (k + 1).cast("int"))
+    k = F.col("doc_id")
+    folder = F.concat(F.lit("Audio/"), of(_DIRS, k % len(_DIRS)), F.lit("/b/"))
+    folder = F.when(k % 3 == 0, F.upper(folder)).when(k % 3 == 1, F.replace(folder, F.lit("/"), F.lit("\\"))).otherwise(folder)
+    path = F.concat(folder, F.lit("a"), of(_NAMES, F.floor(k / len(_DIRS)) % len(_NAMES)), k.cast("string"), F.lit(".wav"))
     return table(spark, sf_dir, "documents").select("doc_id", X.category(path).alias("category"))
 
 
-@query("""SELECT doc_id, ['suling_note65', 'suling_note65', 'theme_a', 'p1a', 'x_note-2'][doc_id % 5 + 1] AS canonical FROM documents""")
+@query("""SELECT doc_id, 'suling_note' || (12 * (doc_id // 28 % 11 - 1) + [0, 2, 4, 5, 7, 9, 11][doc_id % 7 + 1] + [0, 1, -1, 2][doc_id // 7 % 4 + 1]) || '_x' || doc_id AS canonical FROM documents""")
 def p08_canonical_names(spark, sf_dir):
-    path = F.element_at(F.array(*[F.lit(x) for x in ("a/Suling_E#5.wav", "b/Suling_F5.wav", "Theme_138bpm4-4_L17M-P1B_A.wav", "P1a.wav", "X_bb-1.wav")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    k = F.col("doc_id")
+    of = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    note = F.concat(of("CdEfGaB", k % 7), of(["", "#", "b", "##"], F.floor(k / 7) % 4), (F.floor(k / 28) % 11 - 1).cast("string"))
+    path = F.concat(F.lit("a/Suling_"), note, F.lit("_138bpm4-4_L17M-P1B_X"), k.cast("string"), F.lit(".wav"))
     return table(spark, sf_dir, "documents").select("doc_id", X.canonical_name(path).alias("canonical"))
 
 
 @query("""SELECT user_id, CAST(sum(CASE WHEN value > 1e308 OR isnan(value) THEN 0 ELSE 1 END) AS BIGINT) AS n_finite FROM events GROUP BY user_id""")
 def p16_finite(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(stats.finite_round(F.col("value"), 2)).alias("n_finite"))
+
+
+# --- spectra, frames, orders ------------------------------------------------------------
+
+
+def _clips(spark, sf_dir):
+    """Embeddings as clips of 64 samples, a thousand a second."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("clip"), F.lit(1000).alias("sample_rate"), F.transform("embedding", lambda v: v.cast("double")).alias("samples"))
+
+
+@query()
+def a13_onset_envelopes(spark, sf_dir):
+    return spectral.envelopes(_clips(spark, sf_dir))
+
+
+@query()
+def a14_onset_features(spark, sf_dir):
+    return spectral.onset_features(_clips(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+v AS (SELECT user_id, k, event_id, log10(greatest(value, 1.0)) AS a, 4.0::DOUBLE * (event_id % 10 / 10.0::DOUBLE) AS b, log10(greatest(event_id % 7 / 10.0::DOUBLE, 0.001::DOUBLE)) AS c FROM e)
+SELECT event_id, CAST(round(sqrt((a - lag(a) OVER w) ^ 2 + (b - lag(b) OVER w) ^ 2 + (c - lag(c) OVER w) ^ 2) * 1000000) AS BIGINT) AS micro_distance FROM v WINDOW w AS (PARTITION BY user_id ORDER BY k)""")
+def a15_step_distances(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    v = e.withColumn("v", Q.step_vector(F.col("value"), F.col("event_id") % 10 / 10.0, F.col("event_id") % 7 / 10.0))
+    before = F.lag("v").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return v.withColumn("d", Q.feature_distance(before, F.col("v"))).select("event_id", F.round(F.col("d") * 1000000).cast("long").alias("micro_distance"))
+
+
+@query("""WITH f AS (SELECT label, vec_id, list_transform(embedding, lambda v: CAST(v > 0 AS INT)) AS m FROM embeddings),
+g AS (SELECT *, lag(m) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM f)
+SELECT label, vec_id AS idx, list_sum(m)::DOUBLE / len(m) * 100 AS bright, CASE WHEN p IS NULL OR len(p) <> len(m) THEN 0.0 ELSE list_sum(list_transform(list_zip(m, p), lambda x: CAST(x[1] <> x[2] AS INT)))::DOUBLE / len(m) * 100 END AS change FROM g""")
+def a16_frame_signals(spark, sf_dir):
+    pixels = F.unhex(F.array_join(F.transform("embedding", lambda v: F.when(v > 0, "c8").otherwise("b4")), ""))
+    frames = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("idx"), pixels.alias("pixels"))
+    return spectral.frame_signals(frames, ["label"])
+
+
+@query("""SELECT vec_id, greatest(0.0, s[least(CAST(floor(0.95 * len(s)) AS INT), len(s) - 1) + 1] - s[least(CAST(floor(0.05 * len(s)) AS INT), len(s) - 1) + 1]) AS amplitude FROM (SELECT vec_id, list_sort(CAST(embedding AS DOUBLE[])) AS s FROM embeddings)""")
+def a17_band_amplitudes(spark, sf_dir):
+    values = F.array_sort(F.transform("embedding", lambda v: v.cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", spectral.band_amplitude(values).alias("amplitude"))
+
+
+@query("""WITH b AS (SELECT user_id, event_id AS start, CASE WHEN user_id % 3 = 0 THEN 0.0 ELSE greatest(0.0, round_even(value / 10, 0) - 8) END AS score, value AS amplitude FROM events)
+SELECT user_id, start, score, amplitude, score <= 0 AS fallback FROM b QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, CASE WHEN score > 0 THEN 0.0 ELSE amplitude END DESC, start) = 1""")
+def j17_best_bands(spark, sf_dir):
+    score = F.when(F.col("user_id") % 3 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.bround(F.col("value") / 10, 0) - 8))
+    bands = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("start"), score.alias("score"), F.col("value").alias("amplitude"))
+    return spectral.best_band(bands, ["user_id"])
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Add place (from 0) of each row of a sorted table: places within parts, and what the parts before hold."""
+    parts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    n = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each part
+    return parts.join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_row", "_part", "_before")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name || p_partkey) - 1 AS place FROM part")
+def t01_results_in_order(spark, sf_dir):
+    files = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
+    return _placed(L.results_in_order(files)).select("p_partkey", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 4 DESC, p_name || p_partkey) - 1 AS place FROM part")
+def t02_duplicates_in_order(spark, sf_dir):
+    severity = F.element_at(F.array(*map(F.lit, R.SEVERITIES)), (F.col("p_size") % 4 + 1).cast("int"))
+    groups = table(spark, sf_dir, "part").select("p_partkey", severity.alias("severity"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("keeper"))
+    return _placed(L.duplicates_in_order(groups)).select("p_partkey", "place")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 4, CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM orders")
+def t03_differences_in_order(spark, sf_dir):
+    category = F.element_at(F.array(*map(F.lit, I.CATEGORIES)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", category.alias("category"), F.col("o_orderkey").cast("string").alias("idx"))
+    return _placed(I.in_report_order(found)).select("o_orderkey", "place")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY user_id, event_id / 4.0) - 1 AS place FROM events")
+def t04_gaps_in_order(spark, sf_dir):
+    gaps = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), (F.col("event_id") / 4.0).alias("time_s"))
+    return _placed(T.gaps_in_order(gaps)).select("event_id", "place")

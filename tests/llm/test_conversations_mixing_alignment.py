@@ -74,7 +74,7 @@ def test_louds_bits_hold_the_tree():
     order, degrees, starts = prefix_trie.level_order(parent, np.array([5, 3, 2, 9, 1, 0, 8]))
     trie = prefix_trie.Louds(degrees)
     assert order.tolist() == [4, 0, 5, 2, 1, 6, 3] and starts == [1, 3, 6, 8]
-    assert "".join("01"[int(b)] for b in trie.bits) == "110101100011000"[: len(trie.bits)] or len(trie.bits) == 15
+    assert "".join("01"[int(b)] for b in trie.bits) == "110101100011000"
     above = trie.parents()
     place = {n: k + 1 for k, n in enumerate(order.tolist())}
     assert [place.get(parent[n], 0) for n in order] == above.tolist()
@@ -146,7 +146,10 @@ def test_mixture_of_odd_rows(spark):
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[r["target"], r["source_size"]] += r["taken"]
-    assert taken[2703.0, 901] if (2703.0, 901) in taken else True
+    # a has no words, c and the null source stop at three times theirs: b and hot share the rest, two to one
+    (target,) = (t for t, size in taken if size == 900)
+    assert target == pytest.approx((5911 - 3 * 7) / 3) and abs(taken[target, 900] - target) <= 1.5
+    assert taken[3.0, 1] == 3 and taken[18.0, 6] == 18 and taken[0.0, 0] == 0
     assert mixing.mix(df.limit(0)).collect() == []
     # a propensity of one's own: what is likelier is taken first
     some = spark.createDataFrame([(k, "a b c d", "s" if k < 100 else "t") for k in range(110)], "doc_id long, text string, source string").withColumn("good", F.when(F.col("doc_id") % 2 == 0, 9).otherwise(1))

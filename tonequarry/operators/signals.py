@@ -88,6 +88,7 @@ def silence_gaps(chans: Column, floor: Column, window: Column, min_frames: Colum
     """(start, length) of the runs of windows in which all channels are at or below the floor, with signal before and after, of ``min_frames`` at least."""
     loud = F.aggregate(chans, window_peaks(F.get(chans, F.lit(0)), window), lambda acc, c: F.zip_with(acc, window_peaks(c, window), lambda a, b: F.greatest(a, b)))
     n = F.ceil(F.array_max(F.transform(chans, F.size)) / window)
+    loud = F.coalesce(loud, F.array().cast("array<long>"))  # no channels
     inner = F.filter(_let(_places(loud, lambda p: p <= floor), _stretches), lambda r: (r["start"] > 0) & (r["start"] + r["length"] < n))
     gaps = F.transform(inner, lambda r: F.struct((r["start"] * window).alias("start"), (r["length"] * window).alias("length")))
     return F.filter(gaps, lambda g: g["length"] >= min_frames)

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tonequarry.llm.common import table, written
 from tonequarry.llm.tokens import CACHED_CHARS, UnitEncoder, by_size, vocabulary_path
 
-#: Units kept per Python worker (neither changes a result), and pairs of ids in a table that is broadcast.
-CACHED_UNITS, BROADCAST_PAIRS = 300_000, 1_000_000
+#: Units kept per Python worker and bytes of text aligned at once (neither changes a result), and pairs of ids in a table that is broadcast.
+CACHED_UNITS, ALIGNED_BYTES, BROADCAST_PAIRS = 200_000, 1 << 20, 1_000_000
 
 #: White space beyond ASCII, which A's pre-tokenizer knows.
 WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -211,7 +211,7 @@ def _aligned(path_a: str, path_b: str):
             _aligners[path_a, path_b] = Aligner(path_a, path_b)
         aligner = _aligners[path_a, path_b]
         for b in batches:
-            for some in by_size(b):
+            for some in by_size(b, ALIGNED_BYTES):
                 yield aligner.align(some["doc_id"], some["text"])
 
     return run

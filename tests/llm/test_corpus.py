@@ -1063,7 +1063,7 @@ def test_corpus_query_equals_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(registry.ORACLE_SQL[name])
     names = [c[0] for c in want.description]

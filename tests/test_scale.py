@@ -12,6 +12,7 @@ from tonequarry.functions import stats
 from tonequarry.operators import intervals as I
 from tonequarry.operators import sequences as Q
 from tonequarry.operators import takes as K
+from tonequarry.plans import media
 
 
 def values(k, n):
@@ -124,3 +125,20 @@ def test_numbered_rows(spark):
     for k, t, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         by[k].append(i)
     assert {(r["k"], r["i"]): r["_n"] for r in Q.numbered(df, ["k"], ["t", "i"], 7.0).collect()} == {(k, i): n for k, own in by.items() for n, i in enumerate(own)}
+
+
+@pytest.mark.parametrize("name, source, order", [("t03_differences_in_order", "orders", lambda r: (r["o_orderkey"] % 4, str(r["o_orderkey"])))])
+def test_places_of_a_sort_by_few_samples(spark, sf, tmp_path, name, source, order):
+    """Bounds from few samples differ from one sort of the same rows to the next; every row has its place all the same."""
+    spark.read.parquet(f"{sf}/{source}.parquet").repartition(5).write.parquet(f"{tmp_path}/{source}.parquet")
+    few = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        got = [tuple(r) for r in media.QUERIES[name](spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = sorted(spark.read.parquet(f"{sf}/{source}.parquet").collect(), key=order)
+    assert sorted(got, key=lambda r: r[1]) == [(r[0], k) for k, r in enumerate(rows)]

@@ -20,6 +20,7 @@ from tonequarry.operators import sequences as Q
 from tonequarry.operators import signals as S
 from tonequarry.operators import spectral
 from tonequarry.operators import takes as T
+from tonequarry.sources.shared import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -542,35 +543,39 @@ def j17_best_bands(spark, sf_dir):
     return spectral.best_band(bands, ["user_id"])
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Add place (from 0) of each row of a sorted table: places within parts, and what the parts before hold."""
-    parts = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+def _placed(df: DataFrame, key: str) -> DataFrame:
+    """``key`` and place (from 0) of each row of a sorted table: places within parts, and what the parts before hold.
+
+    The sorted rows are stored first: a sort that runs twice cuts its ranges anew, so places and counts would be of different parts.
+    """
+    parts = stored(df.select(key, F.monotonically_increasing_id().alias("_row")), "placed").withColumn("_part", F.shiftright("_row", 33))
     n = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each part
-    return parts.join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_row", "_part", "_before")
+    place = F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)
+    return parts.join(F.broadcast(before), "_part").select(key, place.cast("long").alias("place"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name || p_partkey) - 1 AS place FROM part")
 def t01_results_in_order(spark, sf_dir):
     files = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
-    return _placed(L.results_in_order(files)).select("p_partkey", "place")
+    return _placed(L.results_in_order(files), "p_partkey")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 4 DESC, p_name || p_partkey) - 1 AS place FROM part")
 def t02_duplicates_in_order(spark, sf_dir):
     severity = F.element_at(F.array(*map(F.lit, R.SEVERITIES)), (F.col("p_size") % 4 + 1).cast("int"))
     groups = table(spark, sf_dir, "part").select("p_partkey", severity.alias("severity"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("keeper"))
-    return _placed(L.duplicates_in_order(groups)).select("p_partkey", "place")
+    return _placed(L.duplicates_in_order(groups), "p_partkey")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 4, CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM orders")
 def t03_differences_in_order(spark, sf_dir):
     category = F.element_at(F.array(*map(F.lit, I.CATEGORIES)), (F.col("o_orderkey") % 4 + 1).cast("int"))
     found = table(spark, sf_dir, "orders").select("o_orderkey", category.alias("category"), F.col("o_orderkey").cast("string").alias("idx"))
-    return _placed(I.in_report_order(found)).select("o_orderkey", "place")
+    return _placed(I.in_report_order(found), "o_orderkey")
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY user_id, event_id / 4.0) - 1 AS place FROM events")
 def t04_gaps_in_order(spark, sf_dir):
     gaps = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), (F.col("event_id") / 4.0).alias("time_s"))
-    return _placed(T.gaps_in_order(gaps)).select("event_id", "place")
+    return _placed(T.gaps_in_order(gaps), "event_id")

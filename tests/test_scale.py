@@ -127,7 +127,7 @@ def test_numbered_rows(spark):
     assert {(r["k"], r["i"]): r["_n"] for r in Q.numbered(df, ["k"], ["t", "i"], 7.0).collect()} == {(k, i): n for k, own in by.items() for n, i in enumerate(own)}
 
 
-@pytest.mark.parametrize("name, source, order", [("t03_differences_in_order", "orders", lambda r: (r["o_orderkey"] % 4, str(r["o_orderkey"]))), ("t04_gaps_in_order", "events", lambda r: (r["user_id"], r["event_id"] / 4.0)), ("t01_results_in_order", "part", lambda r: r["p_name"] + str(r["p_partkey"]))])
+@pytest.mark.parametrize("name, source, order", [("t03_differences_in_order", "orders", lambda r: (r["o_orderkey"] % 4, str(r["o_orderkey"]))), ("t04_gaps_in_order", "events", lambda r: (r["user_id"], r["event_id"] / 4.0)), ("t01_results_in_order", "part", lambda r: r["p_name"] + str(r["p_partkey"])), ("t02_duplicates_in_order", "part", lambda r: (-(r["p_size"] % 4), r["p_name"] + str(r["p_partkey"])))])
 def test_places_of_a_sort_by_few_samples(spark, sf, tmp_path, name, source, order):
     """Bounds from few samples differ from one sort of the same rows to the next; every row has its place all the same."""
     spark.read.parquet(f"{sf}/{source}.parquet").repartition(5).write.parquet(f"{tmp_path}/{source}.parquet")

@@ -13,6 +13,7 @@ from tonequarry.operators import intervals as I
 from tonequarry.operators import sequences as Q
 from tonequarry.operators import takes as K
 from tonequarry.plans import media
+from tonequarry.sources import sections
 
 
 def values(k, n):
@@ -142,3 +143,32 @@ def test_places_of_a_sort_by_few_samples(spark, sf, tmp_path, name, source, orde
             spark.conf.set(k, v)
     rows = sorted(spark.read.parquet(f"{sf}/{source}.parquet").collect(), key=order)
     assert sorted(got, key=lambda r: r[1]) == [(r[0], k) for k, r in enumerate(rows)]
+
+
+def test_no_task_sorts_the_lines_of_a_clip(spark, monkeypatch):
+    held, kept = {}, sections.stored
+
+    def stored(df, tag):
+        held[tag] = kept(df, tag)
+        return held[tag]
+
+    monkeypatch.setattr(sections, "stored", stored)
+    monkeypatch.setattr(sections, "BROADCAST_ROWS", 3)  # some joins are by shuffle
+    rows = [("long", f"s{k}", float(k * 7 % 400), k % 3 > 0 if k % 5 else None) for k in range(2000)] + [("short", "x", 1.0, False), (None, "y", 1.0, True)]
+    rec = spark.createDataFrame([(c, s, t, t, t, 0.0, ok, "set", "a", "b") for c, s, t, ok in rows], f"clip string, {sections.TIMELINE}").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = sections.timeline_lines(rec)
+        got = sorted((r["clip"] or "", r["n"], r["line"]) for r in lines.collect())
+        again = sections.with_sections(lines.filter("clip is not null"), "## Device", lines.filter("clip is not null"))
+        assert sorted((r["clip"], r["n"], r["line"]) for r in again.collect()) == [r for r in got if r[0]]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for clip in ("long", "short", None):
+        own = [r for r in rows if r[0] == clip]
+        body = [x[1] for x in sorted((t, s) for _, s, t, _ in own)] + [f"{s}!" for _, s in sorted((t, s) for _, s, t, ok in own if ok is False)]
+        mine = [(n, line) for c, n, line in got if c == (clip or "")]
+        assert [n for n, _ in mine] == list(range(len(body) + 4))
+        assert [line.split(" | ")[0][2:] if line[0] == "|" else line.split("`")[1] + "!" for _, line in mine[4:]] == body
+    of = held["lines"].groupBy(F.shiftright("_row", 33)).count().collect()
+    assert len(of) == 4 and max(r["count"] for r in of) < 1200

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tonequarry.functions.stats import joined
 from tonequarry.functions.text import general, timecode, two_decimals
 from tonequarry.operators.intervals import CATEGORIES, in_report_order
+from tonequarry.sources.shared import stored
 
 DASH = "—"
 
@@ -170,26 +172,44 @@ def read_timelines(spark: SparkSession, folder: str, clip: str = "clip") -> Data
     return raw.filter(known).withColumn("late_by", late).drop("version")
 
 
+#: Rows of a table that is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def _few(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` stored, and broadcast if it is small: lines that are joined with it stay where they are."""
+    df = stored(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def timeline_lines(records: DataFrame, clip: str = "clip") -> DataFrame:
-    """(clip, n, line) of every clip's timeline, rendered from records at once: heading, table in the order of ``at`` and step, and what was not controlled."""
+    """(clip, n, line) of every clip's timeline, rendered from records at once: heading, table in the order of ``at`` and step, and what was not controlled.
+
+    Lines are sorted by range and stored once; a range's lines count on from those of the ranges before it, so no task sorts a clip.
+    """
     three = lambda c: F.format_string("%.3f", F.col(c))
     cells = [F.col("step"), two_decimals(F.col("at")), three("issued_at"), three("effective_at"), two_decimals(F.col("late_by")), F.when(F.col("ok"), "effective").otherwise("**not controlled**"), F.col("label"), F.concat_ws(" → ", "before", "after")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))
     names = ["step", "planned s", "issued s", "effective s", "late s", "result", "action", "default device"]
     head = ["## Device timeline", "", f"| {' | '.join(names)} |", f"| {' | '.join(['---'] * len(names))} |"]
-    fixed = records.select(clip).distinct().select(clip, F.posexplode(F.array(*map(F.lit, head))).alias("k", "line")).select(clip, F.lit(0).alias("part"), F.col("k").cast("double").alias("at"), F.lit("").alias("step"), "line")
-    rows = records.select(clip, F.lit(1).alias("part"), "at", "step", line.alias("line"))
-    bad = records.filter("not ok").select(clip, F.lit(2).alias("part"), "at", "step", F.concat(F.lit("- `"), F.col("step"), F.lit("` was not controlled")).alias("line"))
-    n = F.row_number().over(Window.partitionBy(clip).orderBy("part", "at", "step", "line")) - 1
-    return fixed.union(rows).union(bad).select(clip, n.alias("n"), "line")
+    bad = F.concat(F.lit("- `"), F.col("step"), F.lit("` was not controlled"))
+    # what is ranged is ranged twice, once for its bounds, so lines are rendered afterwards
+    parts = records.withColumn("_part", F.explode(F.when(~F.col("ok"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    rows = parts.repartitionByRange(clip, "_part", "at", "step").withColumn("line", F.when(F.col("_part") == 1, line).otherwise(bad)).sortWithinPartitions(clip, "_part", "at", "step", "line")
+    laid = stored(rows.select(clip, F.monotonically_increasing_id().alias("_row"), "line"), "lines").withColumn("_range", F.shiftright("_row", 33))
+    ranges = laid.groupBy(clip, "_range").agg(F.count("*").alias("_c"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(clip).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = _few(ranges.select(clip, "_range", (before + len(head) - F.col("_first")).alias("_shift")), "ranges")
+    fixed = ranges.select(clip).distinct().select(clip, F.posexplode(F.array(*map(F.lit, head))).alias("n", "line")).withColumn("n", F.col("n").cast("long"))
+    return fixed.union(joined(laid, ranges, [clip, "_range"]).select(clip, (F.col("_row") + F.col("_shift")).alias("n"), "line"))
 
 
 def with_sections(lines: DataFrame, heading: str, sections: DataFrame, doc: str = "clip") -> DataFrame:
     """``with_section`` of many reports (doc, n, line): each keeps its lines before the heading and takes its own section, if it has one."""
     has = sections.select(doc).distinct().withColumn("_new", F.lit(True))
     cut = lines.filter(F.startswith("line", F.lit(heading))).groupBy(doc).agg(F.min("n").alias("_cut"))
-    kept = lines.join(has, doc, "left").join(cut, doc, "left").filter("_new is null or _cut is null or n < _cut").select(doc, "n", "line")
-    ends = kept.groupBy(doc).agg((F.max("n") + 1).alias("_end"))
+    kept = lines.join(_few(has.join(cut, doc, "left"), "cuts"), doc, "left").filter("_new is null or _cut is null or n < _cut").select(doc, "n", "line")
+    ends = _few(kept.groupBy(doc).agg((F.max("n") + 1).alias("_end")), "ends")
     added = sections.join(ends, doc, "left").select(doc, (F.col("n") + F.coalesce("_end", F.lit(0))).alias("n"), "line")
     return kept.union(added)
 
@@ -203,9 +223,9 @@ def refresh_timelines(spark: SparkSession, folder: str, reports: DataFrame, clip
 def with_section(lines: DataFrame, heading: str, section: DataFrame) -> DataFrame:
     """Lines (n, line) up to the first that begins with ``heading``, then ``section`` (n, line): applied twice it changes nothing more."""
     cut = lines.filter(F.startswith("line", F.lit(heading))).agg(F.min("n").alias("cut"), F.lit(1).alias("_k"))
-    kept = lines.withColumn("_k", F.lit(1)).join(cut, "_k").filter("cut is null or n < cut").select("n", "line")
+    kept = lines.withColumn("_k", F.lit(1)).join(F.broadcast(cut), "_k").filter("cut is null or n < cut").select("n", "line")
     end = kept.agg((F.coalesce(F.max("n"), F.lit(-1)) + 1).alias("end"), F.lit(1).alias("_k"))
-    return kept.union(section.withColumn("_k", F.lit(1)).join(end, "_k").select((F.col("n") + F.col("end")).alias("n"), "line"))
+    return kept.union(section.withColumn("_k", F.lit(1)).join(F.broadcast(end), "_k").select((F.col("n") + F.col("end")).alias("n"), "line"))
 
 
 def write_state(spark: SparkSession, path: str, state: dict) -> None:

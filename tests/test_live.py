@@ -172,3 +172,23 @@ def test_recorder_log_is_read_exactly_once_over_restarts(spark, tmp_path):
     for size in (1, 7, 64, 10_000):
         some = event_log._Log({"path": str(log), "partBytes": size})
         assert [x for p in some.ranges({}, some.ends()) for x in some.read(p)] == [x for p in whole.ranges({}, whole.ends()) for x in whole.read(p)]
+
+
+def test_state_is_kept_by_bucket_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 8)
+    big = 2**53
+    # long keys and values beyond what a double holds, beside nulls; sizes of two polls are equal or differ by one
+    polls = [(None if k == 7 else big + k, _time(1_700_000_000 + t), t, None if t == 0 else big + t // (1 + k % 2)) for k in range(60) for t in range(3)]
+    schema = "recorder long, ts timestamp, seq long, size long"
+    spark.createDataFrame(polls, schema).repartition(2).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(0, _time(2_000_000_000), 0, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = live.live_stable_files(stream, 25.0, "1 hour", "recorder").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 9
+    got = {r["recorder"]: (r["ready_at"] - 1.7e9, r["ready"], r["settled"]) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r["recorder"] != 0}
+    want = {}
+    for k in range(60):
+        sizes = [None, *[big + t // (1 + k % 2) for t in (1, 2)]]
+        want[None if k == 7 else big + k] = (2.0, True, sizes[1] == sizes[2])
+    assert got == want and not any(settled for _, _, settled in got.values())

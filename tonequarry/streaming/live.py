@@ -2,7 +2,8 @@
 
 ``in_order`` holds what a key was sent until the watermark has passed it, then hands it on in the order of time and
 sequence: results don't depend on how rows came in, in which batches, or on restarts from the checkpoint. A fold may set a deadline in
-event time. ``polled`` asks on processing-time timers until an answer holds or the time is over. State is what is
+event time. State is kept by bucket of keys (``BUCKETS``, fixed for a checkpoint's life): a call costs milliseconds, so many small keys share one.
+``polled`` asks on processing-time timers until an answer holds or the time is over. State is what is
 open: rows above the watermark and one small record a key.
 """
 
@@ -11,12 +12,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _STATE = "held string, own string"
+#: Buckets of keys that ``in_order`` keeps its state by.
+BUCKETS = 512
 
 
 def in_order(
@@ -37,42 +41,58 @@ def in_order(
     """
     key_type = events.schema[key].dataType.simpleString()
     names = [key, *(c.strip().split()[0] for c in out.split(", "))]
+    # pandas has no whole numbers beside nulls, so long values travel as text
+    longs = [events.schema[v].dataType.simpleString() == "bigint" for v in values]
+    plain = [key, "_us", "seq", *values]
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, own = (json.loads(x) for x in state.get) if state.exists else ([], dict(start))
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, told = (json.loads(x) for x in state.get) if state.exists else ([[] for _ in plain], [])
+        owns = {k: own for k, own in told}
         if not state.hasTimedOut:
             for b in batches:
-                held += [[int(t), -1 if _plain(s) is None else int(s), *map(_plain, row)] for t, s, *row in zip(b["_us"], b["seq"], *(b[v] for v in values), strict=True)]
+                for c, more in zip(held, plain, strict=True):
+                    c += _plain(b[more])
         mark = state.getCurrentWatermarkMs() * 1000
-        held.sort(key=lambda r: r[:2])
+        us = np.array(held[1], np.int64)
+        past = us <= mark
         rows: list[tuple] = []
 
-        def over(upto: int) -> None:
+        def over(k, own: dict, upto: int) -> None:
             while (d := deadline(own)) is not None and d <= upto:
-                rows.extend(expire(own))
-
-        done = 0
-        while done < len(held) and held[done][0] <= mark:
-            t, _, *row = held[done]
-            over(t)
-            rows.extend(step(own, t, tuple(row)))
-            done += 1
-        over(mark)
-        state.update((json.dumps(held[done:]), json.dumps(own)))
-        due = [x for x in (held[done][0] if done < len(held) else None, deadline(own)) if x is not None]
+                rows.extend((k, *r) for r in expire(own))
+
+        if past.any():
+            at = np.flatnonzero(past)
+            for i in at[np.lexsort((np.array(held[2], np.int64)[at], us[at]))].tolist():
+                k, t, _, *row = (c[i] for c in held)
+                if k not in owns:
+                    owns[k] = dict(start)
+                over(k, owns[k], t)
+                row = tuple(int(x) if whole and x is not None else x for x, whole in zip(row, longs, strict=True))
+                rows.extend((k, *r) for r in step(owns[k], t, row))
+            rest = np.flatnonzero(~past).tolist()
+            held = [[c[i] for i in rest] for c in held]
+            us = us[rest]
+        for k, own in owns.items():
+            over(k, own, mark)
+        state.update((json.dumps(held), json.dumps(list(owns.items()))))
+        due = [x for x in map(deadline, owns.values()) if x is not None] + ([int(us.min())] if len(us) else [])
         if due:
             state.setTimeoutTimestamp(max(-(-min(due) // 1000), mark // 1000 + 1))
-        yield pd.DataFrame([(*k, *r) for r in rows], columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    rows = events.withWatermark("ts", late).filter("ts is not null").select(key, "ts", "seq", *values, F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {key_type}, {out}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.withWatermark("ts", late).filter("ts is not null").select(
+        # null keys have a bucket of their own, so that whole numbers stay whole beside them
+        F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int").alias("_bucket"), key, "ts", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"),
+        *[F.col(v).cast("string").alias(v) if whole else F.col(v) for v, whole in zip(values, longs, strict=True)], F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+    )
+    return rows.groupBy("_bucket").applyInPandasWithState(run, f"{key} {key_type}, {out}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _plain(x):
-    """A JSON value; null for what pandas has for it."""
-    if x is None or x != x or x is pd.NaT:
-        return None
-    return x.item() if hasattr(x, "item") else x
+def _plain(c: pd.Series) -> list:
+    """A column's JSON values; null for what pandas has for it."""
+    return (c.astype(object).where(c.notna(), None) if c.hasnans else c).tolist()
 
 
 # --- takes ----------------------------------------------------------------------

@@ -1073,3 +1073,11 @@ def test_corpus_query_equals_sql(spark, sf, name):
     got = registry.QUERIES[name](spark, sf)
     assert sorted(got.columns) == cols
     assert sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_token_files_are_read_on_heaps_that_were_given_back(spark, sf, monkeypatch):
+    done = []
+    for name in ("write_token_files", "give_back", "read_token_files"):
+        monkeypatch.setattr(token_files, name, lambda *a, name=name, f=getattr(token_files, name), **k: (done.append(name), f(*a, **k))[1])
+    token_files.op7_token_files(spark, sf)
+    assert done == ["write_token_files", "give_back", "read_token_files"]

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonequarry.llm.common import n_parts, shared_path, table, written
+from tonequarry.llm.common import give_back, n_parts, shared_path, table, written
 from tonequarry.llm.tokens import by_size, encoder, vocabulary_path
 
 MAGIC, END_ID, BLOCK_IDS, FILE_IDS, FILE_DOCS = b"TQPLANE1", 0, 1 << 16, 1 << 23, 1 << 18
@@ -199,4 +199,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "planes")
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), folder), folder)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
+    # the heap that the sort of whole texts has filled would stay beside the Python workers that read
+    give_back(spark)
+    return read_token_files(manifest, folder)

@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +173,14 @@ def test_no_task_sorts_the_lines_of_a_clip(spark, monkeypatch):
         assert [line.split(" | ")[0][2:] if line[0] == "|" else line.split("`")[1] + "!" for _, line in mine[4:]] == body
     of = held["lines"].groupBy(F.shiftright("_row", 33)).count().collect()
     assert len(of) == 4 and max(r["count"] for r in of) < 1200
+
+
+@pytest.mark.parametrize("name, source, key, nulls", [("t01_results_in_order", "part", "p_partkey", ["p_name"])])
+def test_nulls_come_last_as_in_sql(spark, sf, tmp_path, name, source, key, nulls):
+    """One row for each column lacks its value; a null that came first would move every place."""
+    rows = spark.read.parquet(f"{sf}/{source}.parquet")
+    rows.withColumns({c: F.when(~F.col(key).eqNullSafe(3 + k), F.col(c)) for k, c in enumerate(nulls)}).write.parquet(f"{tmp_path}/{source}.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW {source} AS SELECT * FROM read_parquet('{tmp_path}/{source}.parquet/*.parquet')")
+    want = db.execute(media.SQL[name]).fetchall()
+    assert sorted(map(tuple, media.QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)

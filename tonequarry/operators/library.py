@@ -118,8 +118,8 @@ def duplicates_in_order(groups: DataFrame) -> DataFrame:
 
 
 def results_in_order(files: DataFrame) -> DataFrame:
-    """Files by path, sorted by range."""
-    return files.orderBy("path")
+    """Files by path (null last), sorted by range."""
+    return files.orderBy(F.col("path").asc_nulls_last())
 
 
 def audio_else_video(files: DataFrame, is_audio: Column) -> DataFrame:

@@ -113,8 +113,8 @@ def loudness_hits(groups: DataFrame, outliers: DataFrame) -> DataFrame:
 
 
 def duplicates_in_order(groups: DataFrame) -> DataFrame:
-    """Duplicate groups, the worst first, then by the file that is kept; sorted by range."""
-    return groups.orderBy(severity_order(F.col("severity")), "keeper")
+    """Duplicate groups, the worst first, then by the file that is kept (null last); sorted by range."""
+    return groups.orderBy(severity_order(F.col("severity")).asc_nulls_last(), F.col("keeper").asc_nulls_last())
 
 
 def results_in_order(files: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ def gap_entries(measured: DataFrame, listed: int = 20) -> DataFrame:
 
 
 def gaps_in_order(entries: DataFrame) -> DataFrame:
-    """Gaps by path and time, sorted by range."""
-    return entries.orderBy("path", "time_s")
+    """Gaps by path and time (null last), sorted by range."""
+    return entries.orderBy(F.col("path").asc_nulls_last(), F.col("time_s").asc_nulls_last())
 
 
 def take_gaps(entries: DataFrame, stems: DataFrame) -> DataFrame:

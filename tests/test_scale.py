@@ -175,7 +175,7 @@ def test_no_task_sorts_the_lines_of_a_clip(spark, monkeypatch):
     assert len(of) == 4 and max(r["count"] for r in of) < 1200
 
 
-@pytest.mark.parametrize("name, source, key, nulls", [("t01_results_in_order", "part", "p_partkey", ["p_name"]), ("t02_duplicates_in_order", "part", "p_partkey", ["p_name", "p_size"]), ("t04_gaps_in_order", "events", "event_id", ["user_id", "event_id"])])
+@pytest.mark.parametrize("name, source, key, nulls", [("t01_results_in_order", "part", "p_partkey", ["p_name"]), ("t02_duplicates_in_order", "part", "p_partkey", ["p_name", "p_size"]), ("t04_gaps_in_order", "events", "event_id", ["user_id", "event_id"]), ("t03_differences_in_order", "orders", "o_orderkey", ["o_orderkey"])])
 def test_nulls_come_last_as_in_sql(spark, sf, tmp_path, name, source, key, nulls):
     """One row for each column lacks its value; a null that came first would move every place."""
     rows = spark.read.parquet(f"{sf}/{source}.parquet")

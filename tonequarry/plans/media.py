@@ -570,7 +570,7 @@ def t02_duplicates_in_order(spark, sf_dir):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 4, CAST(o_orderkey AS VARCHAR)) - 1 AS place FROM orders")
 def t03_differences_in_order(spark, sf_dir):
-    category = F.element_at(F.array(*map(F.lit, I.CATEGORIES)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    category = F.get(F.array(*map(F.lit, I.CATEGORIES)), (F.col("o_orderkey") % 4).cast("int"))
     found = table(spark, sf_dir, "orders").select("o_orderkey", category.alias("category"), F.col("o_orderkey").cast("string").alias("idx"))
     return _placed(I.in_report_order(found), "o_orderkey")
 

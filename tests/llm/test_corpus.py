@@ -3,6 +3,7 @@
 import math
 import random
 import tracemalloc
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -202,6 +203,51 @@ def test_gradients_stop_where_a_document_begins():
     assert np.allclose(d_in, want, atol=1e-5) and np.allclose(d_rec, total, atol=1e-4)
 
 
+def test_a_window_is_trained_as_a_plain_adagrad_would():
+    k = small_known(30, 12)[1]
+    trainer, plain, rng = language_model.Trainer(language_model.Gru(k, 8)), language_model.Gru(k, 8), np.random.default_rng(6)
+    for name, a in trainer.net.columns.items():  # a column's weights and bias lie together, and training changes them where they lie
+        assert np.shares_memory(a, getattr(trainer.net, name)) and np.shares_memory(a, getattr(trainer.net, name + "_bias"))
+    columns = dict(trainer.net.columns)
+    docs = [rng.choice([3] * 20 + [*range(60)], 20).astype(np.int32) for _ in range(6)]
+    trainer.run(docs, 6, 20)
+    assert all(trainer.net.columns[n] is a for n, a in columns.items())
+    laid = language_model.Lanes(docs, 6, plain.start, np.random.default_rng(0))
+    ((at, real),) = laid.windows(20)
+    inp, out, fresh = laid.inp[at], laid.out[at], laid.fresh[at]
+    assert real is None and np.bincount(inp.ravel()).max() > language_model.SHORT  # long runs of one id and short ones
+    hs, kept = plain.forward(inp, np.zeros((6, 8), np.float32), fresh)
+    _, d, *grads = plain.log_probs(hs.reshape(-1, 8), out.ravel(), True)
+    d_in, d_rec = plain.backward(inp, kept, d.reshape(hs.shape) / 6, fresh)
+    d_inp = np.zeros_like(plain.inp)
+    np.add.at(d_inp, inp.ravel(), d_in.reshape(-1, 24))
+    want = {"inp": np.clip(d_inp, -1, 1), "rec": np.clip(d_rec, -1, 1)} | {n: g / 6 for n, g in zip(plain.NAMES[2:], grads, strict=True)}
+    for name, g in want.items():
+        after = getattr(plain, name) - trainer.rate * g / np.sqrt(1e-4 + g * g)
+        assert np.allclose(getattr(trainer.net, name), after, atol=1e-4), name
+
+
+def test_sums_by_id_of_long_and_short_runs():
+    rng = np.random.default_rng(7)
+    for sizes in ([1], [40], [1, 2, 8, 9, 3, 1, 100, 1, 2], [1] * 5, []):
+        ids = np.repeat(np.arange(len(sizes)), sizes)
+        rows = rng.standard_normal((len(ids), 6)).astype(np.float32)
+        got = language_model._sums_by_id(rows, language_model._begins(ids)) if sizes else np.zeros((0, 6))
+        want = np.zeros((len(sizes), 6))
+        np.add.at(want, ids, rows)
+        assert got.shape == want.shape and np.allclose(got, want, atol=1e-4)
+
+
+def test_shut_gates_do_not_overflow():
+    k = small_known(20, 5)[1]
+    net = language_model.Gru(k, 6)
+    net.inp[3], net.inp[4] = -1000, 1000
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        hs, _ = net.forward(np.array([[3, 4], [4, 3], [3, 3]]), np.zeros((2, 6), np.float32))
+    assert np.isfinite(hs).all() and (hs[0, 0] == -1).all() and (hs[0, 1] == 0).all() and (hs[1] == [[-1], [-1]]).all()
+
+
 def test_large_logits_stay_a_distribution():
     k = small_known(20, 5)[1]
     net = language_model.Gru(k, 6)

@@ -43,6 +43,8 @@ WINDOW, ROUNDS, LANES_TRAINED, RATE = 20, 2, 96, 0.12
 #: Logits up to this need no shift: their exponentials and sums stay in single precision.
 SAFE = 60
 #: ``SPLIT``: bytes of text split at once (one text at least), ``HELD_WORDS``: words counted at once.
+#: ``SHORT``: rows of one id that are added place by place; ``STEPPED``: rows of weights changed at once.
+SHORT, STEPPED = 8, 512
 LANES, BUFFER, HELD_WORDS, SPLIT, WEIGHT_BLOCKS = 256, 1 << 21, 1 << 22, 1 << 23, 32
 
 
@@ -179,10 +181,40 @@ def _sorting(ids: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(ids.astype(np.int16) if most < 1 << 15 else ids, kind="stable")
 
 
+def _sums_by_id(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows`` that begin at ``begins``: a product for each long run, the short ones together, place by place."""
+    size = np.diff(begins, append=len(rows))
+    out = np.take(rows, begins, axis=0, mode="clip")
+    some = np.flatnonzero((size > 1) & (size <= SHORT))
+    some = some[np.argsort(-size[some], kind="stable")]
+    more = out[some]
+    for j in range(1, int(size[some].max(initial=1))):
+        m = int(np.count_nonzero(size[some] > j))
+        more[:m] += np.take(rows, begins[some[:m]] + j, axis=0, mode="clip")
+    out[some] = more
+    long = np.flatnonzero(size > SHORT)
+    ones = np.ones(int(size.max(initial=0)), rows.dtype)
+    for k, s, n in zip(long.tolist(), begins[long].tolist(), size[long].tolist(), strict=True):
+        np.matmul(ones[:n], rows[s : s + n], out=out[k])
+    return out
+
+
+def _columns(name: str, part) -> property:
+    """A part of the array that holds the weights and the bias of each column of a layer side by side."""
+
+    def put(self, value):
+        self.columns[name] = a = self.columns[name].astype(value.dtype, copy=False)
+        part(a)[...] = value
+
+    return property(lambda self: part(self.columns[name]), put)
+
+
 class Gru:
     """Weights and arithmetic of the model, in single precision."""
 
     NAMES = ("inp", "rec", "cls", "cls_bias", "out", "out_bias")
+    cls, out = (_columns(n, lambda a: a[:, :-1].T) for n in ("cls", "out"))
+    cls_bias, out_bias = (_columns(n, lambda a: a[:, -1]) for n in ("cls", "out"))
 
     def __init__(self, k: Known, hidden: int = HIDDEN, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -190,8 +222,8 @@ class Gru:
         n_in, n_out = k.size + BINS + 1, k.n_classes + BINS
         self.start = k.size + BINS
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
+        self.columns = {"cls": np.empty((n_out, hidden + 1), np.float32), "out": np.empty((k.size, hidden + 1), np.float32)}
         self.inp, self.rec, self.cls, self.out = small(n_in, 3 * hidden), small(hidden, 3 * hidden), small(hidden, n_out), small(hidden, k.size)
-        self.cls, self.out = np.asfortranarray(self.cls), np.asfortranarray(self.out)  # a token's weights lie together
         self.inp[:, :hidden] += 1.0  # keep the state at first
         mass = np.concatenate((np.add.reduceat(k.count[: k.size], k.bounds[:-1]) if k.size else [], k.bin_n)) + 0.1
         self.cls_bias = np.log(mass / mass.sum()).astype(np.float32)
@@ -214,28 +246,33 @@ class Gru:
         gates, cs = (np.empty((n if keep else 1, *x, lanes, hid), np.float32) for x in ((3,), ()))
         # a matrix and an input row for each gate, so that what a gate takes is one stretch of memory
         rec = np.ascontiguousarray(self.rec.reshape(hid, 3, hid).transpose(1, 0, 2))
+        rec[:2] *= -1
         rows, a = self.inp.reshape(-1, hid), np.empty((3, lanes, hid), self.inp.dtype)
         at = 3 * ids[:, None, :].astype(np.intp) + np.arange(3)[:, None]
         starts = [False] * n if fresh is None else fresh.any(axis=1).tolist()
-        for t in range(n):
-            if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            np.take(rows, at[t], axis=0, out=a, mode="clip")
-            gate, c, new = gates[t if keep else 0], cs[t if keep else 0], hs[t]
-            np.matmul(h, rec, out=gate)
-            zr = gate[:2]
-            zr += a[:2]
-            zr *= 0.5  # the logistic function by tanh
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            np.multiply(zr[1], gate[2], out=c)
-            c += a[2]
-            np.tanh(c, out=c)
-            np.subtract(h, c, out=new)
-            new *= zr[0]
-            new += c
-            h = new
+        with np.errstate(over="ignore"):  # an exponential without end is a gate that is shut
+            for t in range(n):
+                if starts[t]:
+                    h = np.where(fresh[t][:, None], np.float32(0), h)
+                np.take(rows, at[t], axis=0, out=a, mode="clip")
+                gate, c, new = gates[t if keep else 0], cs[t if keep else 0], hs[t]
+                np.matmul(h, rec, out=gate)
+                zr = gate[:2]
+                zr -= a[:2]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[1], gate[2], out=c)
+                c += a[2]
+                c *= -2  # the hyperbolic tangent by the exponential, which is faster
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                np.subtract(h, c, out=new)
+                new *= zr[0]
+                new += c
+                h = new
         if not keep:
             return hs, None
         before = np.empty_like(hs)
@@ -249,75 +286,74 @@ class Gru:
         return np.where(inside, self.k.cls[np.where(inside, ids, 0)] if self.k.size else 0, ids - self.k.size + self.k.n_classes)
 
     def log_probs(self, hs: np.ndarray, ids: np.ndarray, grads: bool = False):
-        """Natural log probability of each target id after its state; with ``grads`` also the gradients of their negative sum.
+        """Natural log probability of each target id after its state; with ``grads`` also the gradients of their negative sum."""
+        lp, d_h, *layers = self.softmax(hs, ids, 1.0 if grads else None)
+        return (lp, d_h, *(x for g in layers for x in (g[:, :-1].T, g[:, -1]))) if grads else lp
+
+    def softmax(self, hs: np.ndarray, ids: np.ndarray, scale: float | None = None):
+        """Natural log probability of each target id after its state, and the gradients of ``scale`` times their negative sum (None: none),
+        by states and by the arrays of ``columns``.
 
         Targets are sorted, so those of a class lie together, and a state has a one behind it, by which a product takes in the bias.
-        A share less the target's one is never formed: exponentials are multiplied as they are, what stems from the ones is added by id.
         """
         order, hid, k = _sorting(ids, self.start), self.hidden, self.k
         ids = ids[order]
-        cls = self.target_class(ids)
         at = np.empty((len(ids), hid + 1), hs.dtype)
-        at[:, :hid], at[:, hid] = hs[order], 1
-        got, d, d_cls = self._layer(at, cls, self.cls, self.cls_bias, [(0, len(ids), 0, len(self.cls_bias))], grads)
+        at[:, :hid], at[:, hid] = np.take(hs, order, axis=0, mode="clip"), 1
+        got, d, d_cls = self._layer(at, self.target_class(ids), self.columns["cls"], [(0, len(ids), 0, len(self.columns["cls"]))], scale)
         # a class of one token says no more; the most frequent ones come first
         skip = int(np.argmax(np.append(np.diff(k.bounds) > 1, True)))
         ends = np.searchsorted(ids, k.bounds[skip:]).tolist()
         bounds, s, e = k.bounds[skip:].tolist(), ends[0], ends[-1]
         parts = [(x - s, y - s, lo, hi) for x, y, lo, hi in zip(ends[:-1], ends[1:], bounds[:-1], bounds[1:], strict=True) if x < y]
-        more, d_more, d_out = self._layer(at[s:e], ids[s:e], self.out, self.out_bias, parts, grads)
+        more, d_more, d_out = self._layer(at[s:e], ids[s:e], self.columns["out"], parts, scale)
         got[s:e] += more
         lp = np.empty_like(got)
         lp[order] = got
-        if not grads:
-            return lp
+        if scale is None:
+            return lp, None, None, None
         d[s:e] += d_more
-        d_h = np.empty_like(d)
-        d_h[order] = d
-        return lp, d_h, *(x for g in (d_cls, d_out) for x in (np.ascontiguousarray(g[:, :hid]).T, g[:, hid].copy()))
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return lp, np.take(d, back, axis=0, mode="clip"), d_cls, d_out
 
-    def _layer(self, at: np.ndarray, own: np.ndarray, weights: np.ndarray, bias: np.ndarray, parts: list, grads: bool):
-        """Log probabilities of the sorted columns ``own`` after the rows of ``at``, with the gradients by states and by columns (weights and bias).
+    def _layer(self, at: np.ndarray, own: np.ndarray, w: np.ndarray, parts: list, scale: float | None):
+        """Log probabilities of the sorted columns ``own`` after the rows of ``at``, with the gradients (see ``softmax``) by states and by columns.
 
         A part (from, to, low, high) of the rows chooses among the columns from ``low`` on.
         """
         n, hid = len(at), self.hidden
-        w = np.empty((len(bias), hid + 2), weights.dtype)
-        w[:, :hid], w[:, hid], w[:, hid + 1] = weights.T, bias, 1
-        size = np.array([(e - s) * (hi - lo) for s, e, lo, hi in parts], np.int64)
-        flat = np.empty(int(size.sum()), np.result_type(at, w))
-        xs, p = [], 0
-        for (s, e, lo, hi), m in zip(parts, size.tolist(), strict=True):
-            x = flat[p : p + m].reshape(e - s, hi - lo)
-            np.matmul(at[s:e], w[lo:hi, : hid + 1].T, out=x)
-            xs.append(x)
-            p += m
         spans = np.array(parts, np.int64).reshape(-1, 4).T
         rows, wide = spans[1] - spans[0], spans[3] - spans[2]
-        places = np.repeat(np.cumsum(size) - size - spans[0] * wide - spans[2], rows) + np.arange(n) * np.repeat(wide, rows) + own
+        size = rows * wide
+        flat = np.empty(int(size.sum()), np.result_type(at, w))
+        xs = [flat[p : p + m].reshape(-1, v) for p, m, v in zip((np.cumsum(size) - size).tolist(), size.tolist(), wide.tolist(), strict=True)]
+        for (s, e, lo, hi), x in zip(parts, xs, strict=True):
+            np.matmul(at[s:e], w[lo:hi].T, out=x)
+        each = np.repeat(wide, rows)
+        begin = np.cumsum(each) - each
+        places = begin + own - np.repeat(spans[2], rows)
         if n and max(flat.max(), -flat.min()) > SAFE:  # else neither they nor their sum leave single precision
             for x in xs:
                 x -= x.max(axis=1, keepdims=True)
         got = flat[places]
         np.exp(flat, out=flat)
-        if not grads:
-            total = np.empty(n, flat.dtype)
-            for (s, e, lo, hi), x in zip(parts, xs, strict=True):
-                np.matmul(x, w[lo:hi, hid + 1], out=total[s:e])
-            return got - np.log(total), None, None
-        back = np.empty((n, hid + 2), flat.dtype)
-        for (s, e, lo, hi), x in zip(parts, xs, strict=True):
-            np.matmul(x, w[lo:hi], out=back[s:e])
-        share = 1 / back[:, hid + 1 :]
-        d = back[:, :hid] * share
-        d -= w[own, :hid]
-        scaled, d_w = at * share, np.zeros((len(bias), hid + 1), flat.dtype)
+        one = len(parts) == 1
+        total = xs[0] @ np.ones(xs[0].shape[1], flat.dtype) if one else np.add.reduceat(flat, begin) if n else got
+        got -= np.log(total)
+        if scale is None:
+            return got, None, None
+        share = np.asarray(scale / total, flat.dtype)
+        if one:
+            xs[0] *= share[:, None]
+        else:
+            flat *= np.repeat(share, each)
+        flat[places] -= flat.dtype.type(scale)
+        d, d_w = np.empty((n, hid), flat.dtype), np.zeros(w.shape, flat.dtype)
         for (s, e, lo, hi), x in zip(parts, xs, strict=True):
-            np.matmul(x.T, scaled[s:e], out=d_w[lo:hi])
-        if n:
-            begins = _begins(own)
-            d_w[own[begins]] -= np.add.reduceat(at, begins, axis=0)
-        return got + np.log(share[:, 0]), d, d_w
+            np.matmul(x, w[lo:hi, :hid], out=d[s:e])
+            np.matmul(x.T, at[s:e], out=d_w[lo:hi])
+        return got, d, d_w
 
     def backward(self, ids: np.ndarray, kept: tuple, d_hs: np.ndarray, fresh: np.ndarray | None = None):
         """Gradients of the input rows (as ids and rows) and of the recurrent weights, through one window; none pass a document's start."""
@@ -354,16 +390,19 @@ class Trainer:
 
     def __init__(self, net: Gru, rate: float = RATE):
         self.net, self.rate, self.tokens = net, rate, 0
-        self.seen = {n: np.full_like(getattr(net, n), 1e-4) for n in net.NAMES}
-
-    def _step(self, name: str, grad: np.ndarray) -> None:
-        seen, step = self.seen[name], grad * grad
-        weights = getattr(self.net, name)
-        seen += step
-        np.sqrt(seen, out=step)
-        np.divide(grad, step, out=step)
-        step *= self.rate
-        weights -= step
+        self.seen = {n: np.full_like(a, 1e-4) for n, a in ({"inp": net.inp, "rec": net.rec} | net.columns).items()}
+
+    def _step(self, name: str, weights: np.ndarray, grad: np.ndarray) -> None:
+        """Change the weights; the gradient is used up. A few rows at once stay in the cache."""
+        room = np.empty_like(grad[:STEPPED])
+        for at in range(0, len(grad), STEPPED):
+            g, seen, w = (x[at : at + STEPPED] for x in (grad, self.seen[name], weights))
+            step = np.multiply(g, g, out=room[: len(g)])
+            seen += step
+            np.sqrt(seen, out=step)
+            g /= step
+            g *= self.rate
+            w -= g
 
     def run(self, docs, lanes: int = LANES_TRAINED, window: int = WINDOW, buffer: int = BUFFER) -> None:
         """Train on every token of each of ``docs`` (arrays of ids), the state carried from a document's start to its end.
@@ -392,28 +431,32 @@ class Trainer:
         net = self.net
         inp, fresh, out = laid.inp[at], laid.fresh[at], laid.out[at]
         hs, gates = net.forward(inp, h, fresh)
-        d_hs = np.zeros_like(hs)
-        where = slice(None) if real is None else real
         flat_hs = hs.reshape(-1, net.hidden) if real is None else hs[real]
-        _, d, d_cls, d_cls_bias, d_out, d_out_bias = net.log_probs(flat_hs, out[where].ravel(), True)
-        scale = np.float32(1 / lanes)
-        d *= scale
-        d_hs[where] = d.reshape(hs.shape) if real is None else d
+        _, d, d_cls, d_out = net.softmax(flat_hs, out.ravel() if real is None else out[real], 1 / lanes)
+        if real is None:
+            d_hs = d.reshape(hs.shape)
+        else:
+            d_hs = np.zeros_like(hs)
+            d_hs[real] = d
         d_in, d_rec = net.backward(inp, gates, d_hs, fresh)
-        flat, ids = d_in.reshape(-1, d_in.shape[-1]), inp.ravel()
+        ids = inp.ravel()
         order = _sorting(ids, net.start)
         ids = ids[order]
         begins = _begins(ids)
         rows = ids[begins]
-        sums = np.add.reduceat(flat[order], begins, axis=0)
+        sums = _sums_by_id(np.take(d_in.reshape(-1, d_in.shape[-1]), order, axis=0, mode="clip"), begins)
         np.clip(sums, -1, 1, out=sums)
-        seen = self.seen["inp"][rows] + sums * sums
+        seen = np.take(self.seen["inp"], rows, axis=0, mode="clip")
+        step = sums * sums
+        seen += step
         self.seen["inp"][rows] = seen
-        net.inp[rows] -= self.rate * sums / np.sqrt(seen)
-        self._step("rec", np.clip(d_rec, -1, 1))
-        for name, g in (("cls", d_cls), ("cls_bias", d_cls_bias), ("out", d_out), ("out_bias", d_out_bias)):
-            g *= scale
-            self._step(name, g)
+        np.sqrt(seen, out=seen)
+        sums /= seen
+        sums *= self.rate
+        net.inp[rows] -= sums
+        self._step("rec", net.rec, np.clip(d_rec, -1, 1))
+        for name, g in (("cls", d_cls), ("out", d_out)):
+            self._step(name, net.columns[name], g)
         self.tokens += len(flat_hs)
         return hs[-1]
 
@@ -572,7 +615,7 @@ def _mean(batches):
 # --- scoring -----------------------------------------------------------------
 
 
-def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: int = 64) -> list[float]:
+def lane_scores(net: Gru, docs: list[np.ndarray], lanes: int = LANES, window: int = 32) -> list[float]:
     """log10 probability of each document's ids, by the network alone, in lanes."""
     if not docs:
         return []
